@@ -1,0 +1 @@
+"""No streaming operators: every job in scope reads a finished run and writes one result."""
