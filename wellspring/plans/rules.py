@@ -131,7 +131,7 @@ def class_frames(spark, root):
     n = F.size("x")
 
     def frame(v, i):
-        e = [F.exp(F.lit(5.0) * F.get("x", ((i + F.lit(16 * c)) % n).cast("int"))) for c in range(4)]
+        e = [F.exp(F.lit(3.0 + c) * F.get("x", ((i + F.lit(16 * c)) % n).cast("int"))) for c in range(4)]
         s = e[0] + e[1] + e[2] + e[3]
         return F.array(*[q / s for q in e])
 
@@ -139,7 +139,7 @@ def class_frames(spark, root):
 
 
 CLASSES = TRACES_LONG + """, ex AS (
-  SELECT b.pixel_id, b.t, k.c, exp(5.0 * a.v) AS e
+  SELECT b.pixel_id, b.t, k.c, exp(CAST(3 + k.c AS DOUBLE) * a.v) AS e
   FROM tl b CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS c) k JOIN tl a ON a.pixel_id = b.pixel_id AND a.t = (b.t + 16 * k.c) % 64),
 sm AS (SELECT pixel_id, t, c, e / sum(e) OVER (PARTITION BY pixel_id, t) AS p FROM ex),
 cs AS (SELECT pixel_id, t, c FROM (SELECT pixel_id, t, c, row_number() OVER (PARTITION BY pixel_id, t ORDER BY e DESC, c) AS rn FROM ex) z WHERE rn = 1)"""
