@@ -12,6 +12,14 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a bound variable.
+
+    A column used inside a lambda is otherwise inlined there and computed again per element.
+    """
+    return F.get(F.transform(F.array(_c(value)), body), F.lit(0))
+
+
 def total(x) -> Column:
     return F.aggregate(_c(x), F.lit(0.0), lambda a, v: a + v)
 
@@ -23,10 +31,12 @@ def mean(x) -> Column:
 
 def std(x, ddof: int = 0) -> Column:
     """Two-pass standard deviation of an array."""
-    x = _c(x)
-    m = mean(x)
-    dev = F.aggregate(F.transform(x, lambda v: v - m), F.lit(0.0), lambda a, d: a + d * d)
-    return F.sqrt(dev / (F.size(x) - F.lit(ddof)))
+
+    def spread(arr):
+        dev = let(mean(arr), lambda m: F.aggregate(arr, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)))
+        return F.sqrt(dev / (F.size(arr) - F.lit(ddof)))
+
+    return let(x, spread)
 
 
 def dyn_range(x) -> Column:
@@ -60,28 +70,32 @@ def diff(x) -> Column:
 
 def gradient(x) -> Column:
     """Central differences with unit spacing, one-sided at the ends."""
-    x = _c(x)
-    last = F.size(x) - 1
-    return F.transform(
-        x,
-        lambda v, i: F.when(i == 0, F.get(x, F.lit(1)) - v)
-        .when(i == last, v - F.get(x, i - 1))
-        .otherwise((F.get(x, i + 1) - F.get(x, i - 1)) / 2.0),
-    )
+
+    def slope(arr):
+        last = F.size(arr) - 1
+        return F.transform(
+            arr,
+            lambda v, i: F.when(i == 0, F.get(arr, F.lit(1)) - v)
+            .when(i == last, v - F.get(arr, i - 1))
+            .otherwise((F.get(arr, i + 1) - F.get(arr, i - 1)) / 2.0),
+        )
+
+    return let(x, slope)
 
 
 def moving_average(x, span: int) -> Column:
     """Centred mean with truncated edges; an even span acts as span - 1."""
-    x = _c(x)
     half = (span - 1) // 2
-    n = F.size(x)
 
-    def around(v, i):
-        lo = F.greatest(i - half, F.lit(0))
-        hi = F.least(i + half, n - 1)
-        return mean(F.slice(x, lo + 1, hi - lo + 1))
+    def smooth(arr):
+        def around(v, i):
+            lo = F.greatest(i - half, F.lit(0))
+            hi = F.least(i + half, F.size(arr) - 1)
+            return mean(F.slice(arr, lo + 1, hi - lo + 1))
 
-    return F.transform(x, around)
+        return F.transform(arr, around)
+
+    return let(x, smooth)
 
 
 def dot(x, weights) -> Column:
@@ -90,9 +104,11 @@ def dot(x, weights) -> Column:
 
 def windows(x, window: int, stride: int) -> Column:
     """Array of sliding windows; ``(T - window) // stride + 1`` of them."""
-    x = _c(x)
-    count = F.floor((F.size(x) - window) / stride).cast("int")
-    return F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(x, i * stride + 1, window))
+    def cut(arr):
+        count = F.floor((F.size(arr) - window) / stride).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(arr, i * stride + 1, window))
+
+    return let(x, cut)
 
 
 def centre_min(i, window: int, stride: int) -> Column:

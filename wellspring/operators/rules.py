@@ -37,29 +37,33 @@ def end_of_run(p, window, stride, thr=0.5, k=3) -> Column:
 
 def fraction_above(p, window, stride, lookback=10, thr=0.5, frac=0.5) -> Column:
     """Centre of the first look-back window in which at least ``frac`` of the scores are above."""
-    p = _c(p)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(p) - lookback, F.lit(0)))
 
-    def enough(i):
-        part = F.slice(p, i + 1, lookback)
-        hits = F.size(F.filter(part, lambda v: v > thr))
-        return (F.size(part) == lookback) & (hits / F.lit(float(lookback)) >= frac)
+    def scan(arr):
+        def enough(i):
+            part = F.slice(arr, i + 1, lookback)
+            hits = F.size(F.filter(part, lambda v: v > thr))
+            return (F.size(part) == lookback) & (hits / F.lit(float(lookback)) >= frac)
+
+        starts = F.sequence(F.lit(0), F.greatest(F.size(arr) - lookback, F.lit(0)))
+        return F.coalesce(_centre(ar.first_where(starts, enough), window, stride), _last(arr, window, stride))
 
-    return F.coalesce(_centre(ar.first_where(starts, enough), window, stride), _last(p, window, stride))
+    return ar.let(p, scan)
 
 
 def linear_crossing(p, window, stride, thr=0.5) -> Column:
     """First ``p >= thr``, interpolated with the window before it; index 0 gives the first centre."""
-    p = _c(p)
-    at = ar.first_where(p, lambda v: v >= thr)
-    p0, p1 = F.get(p, at - 1), F.get(p, at)
-    c0, c1 = _centre(at - 1, window, stride), _centre(at, window, stride)
-    lerp = F.when(p1 == p0, c1).otherwise(c0 + (F.lit(thr) - p0) / (p1 - p0) * (c1 - c0))
-    return (
-        F.when(at.isNull(), _last(p, window, stride))
-        .when(at == 0, _centre(F.lit(0), window, stride))
-        .otherwise(lerp)
-    )
+
+    def cross(arr, at):
+        p0, p1 = F.get(arr, at - 1), F.get(arr, at)
+        c0, c1 = _centre(at - 1, window, stride), _centre(at, window, stride)
+        lerp = F.when(p1 == p0, c1).otherwise(c0 + (F.lit(thr) - p0) / (p1 - p0) * (c1 - c0))
+        return (
+            F.when(at.isNull(), _last(arr, window, stride))
+            .when(at == 0, _centre(F.lit(0), window, stride))
+            .otherwise(lerp)
+        )
+
+    return ar.let(p, lambda arr: ar.let(ar.first_where(arr, lambda v: v >= thr), lambda at: cross(arr, at)))
 
 
 def rise_peak(p, window, stride) -> Column:
@@ -76,12 +80,15 @@ def highest(p, window, stride) -> Column:
 
 def first_local_peak(p, window, stride) -> Column:
     """First inner sample above its left and not below its right neighbour; else the maximum."""
-    p = _c(p)
-    inner = F.sequence(F.lit(1), F.greatest(F.size(p) - 2, F.lit(1)))
-    at = ar.first_where(
-        inner, lambda i: (F.get(p, i) > F.get(p, i - 1)) & (F.get(p, i) >= F.get(p, i + 1))
-    )
-    return _centre(F.coalesce(at + 1, ar.argmax(p)), window, stride)
+
+    def scan(arr):
+        inner = F.sequence(F.lit(1), F.greatest(F.size(arr) - 2, F.lit(1)))
+        at = ar.first_where(
+            inner, lambda i: (F.get(arr, i) > F.get(arr, i - 1)) & (F.get(arr, i) >= F.get(arr, i + 1))
+        )
+        return _centre(F.coalesce(at + 1, ar.argmax(arr)), window, stride)
+
+    return ar.let(p, scan)
 
 
 def nearest_zero(p, window, stride) -> Column:
@@ -106,15 +113,18 @@ def class_run(c, classes, k=3) -> Column:
 
 def smoothed_crossing(p, span=5, thr=0.5) -> Column:
     """Zero-padded moving average, first value above ``thr``; the last sample when there is none."""
-    p = _c(p)
     half = span // 2
-    n = F.size(p)
 
-    def avg(v, i):
-        lo, hi = F.greatest(i - half, F.lit(0)), F.least(i + half, n - 1)
-        return ar.total(F.slice(p, lo + 1, hi - lo + 1)) / F.lit(float(span))
+    def scan(arr):
+        n = F.size(arr)
+
+        def avg(v, i):
+            lo, hi = F.greatest(i - half, F.lit(0)), F.least(i + half, n - 1)
+            return ar.total(F.slice(arr, lo + 1, hi - lo + 1)) / F.lit(float(span))
+
+        return F.coalesce(ar.first_where(F.transform(arr, avg), lambda v: v > thr), n - 1) / F.lit(SAMPLES_PER_MIN)
 
-    return F.coalesce(ar.first_where(F.transform(p, avg), lambda v: v > thr), n - 1) / F.lit(SAMPLES_PER_MIN)
+    return ar.let(p, scan)
 
 
 def largest_block(c, cls=2) -> Column:
@@ -201,18 +211,20 @@ def density_mean(d) -> Column:
 
 def density_median(d) -> Column:
     """First sample whose cumulative share exceeds one half."""
-    d = _c(d)
-    all_ = ar.total(d) + F.lit(1e-12)
-    at = F.aggregate(
-        d,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1).alias("at")),
-        lambda a, v: F.struct(
-            (a["s"] + v).alias("s"),
-            (a["i"] + 1).alias("i"),
-            F.when((a["at"] < 0) & ((a["s"] + v) / all_ > 0.5), a["i"]).otherwise(a["at"]).alias("at"),
-        ),
-        lambda a: a["at"],
-    )
+
+    def scan(arr, all_):
+        return F.aggregate(
+            arr,
+            F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1).alias("at")),
+            lambda a, v: F.struct(
+                (a["s"] + v).alias("s"),
+                (a["i"] + 1).alias("i"),
+                F.when((a["at"] < 0) & ((a["s"] + v) / all_ > 0.5), a["i"]).otherwise(a["at"]).alias("at"),
+            ),
+            lambda a: a["at"],
+        )
+
+    at = ar.let(d, lambda arr: ar.let(ar.total(arr) + F.lit(1e-12), lambda all_: scan(arr, all_)))
     return F.greatest(at, F.lit(0)) / F.lit(SAMPLES_PER_MIN)
 
 

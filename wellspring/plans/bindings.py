@@ -121,7 +121,7 @@ def predictions(spark: SparkSession, root: str) -> DataFrame:
         F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string")).alias("chip_id"),
         ((level - 1) * 2 + F.col("o_orderkey") % 2).cast("int").alias("well_id"),
         F.col("o_orderkey").alias("pixel_id"),
-        (true + (F.col("o_totalprice") - 150000.0) / 40000.0).alias("ttp_pred"),
+        (true + (F.col("o_totalprice") - 150000.0) / 39999.0).alias("ttp_pred"),
         true.cast("double").alias("ttp_true"),
         (level + 4).cast("double").alias("log10_conc"),
         F.when(F.month("o_orderdate") <= 6, "train").otherwise("test").alias("split"),
@@ -133,7 +133,7 @@ pred AS (
   SELECT 'fam' || CAST(o_custkey % 3 AS VARCHAR) || '_seed' || CAST((o_custkey // 3) % 4 AS VARCHAR) AS method_id,
          'c' || CAST(o_orderkey % 3 AS VARCHAR) AS chip_id,
          CAST((lvl - 1) * 2 + o_orderkey % 2 AS INTEGER) AS well_id, o_orderkey AS pixel_id,
-         CAST(30.0 - 3.0 * (lvl + 4) AS DOUBLE) + (o_totalprice - CAST(150000 AS DOUBLE)) / CAST(40000 AS DOUBLE) AS ttp_pred,
+         CAST(30.0 - 3.0 * (lvl + 4) AS DOUBLE) + (o_totalprice - CAST(150000 AS DOUBLE)) / CAST(39999 AS DOUBLE) AS ttp_pred,
          CAST(30.0 - 3.0 * (lvl + 4) AS DOUBLE) AS ttp_true, CAST(lvl + 4 AS DOUBLE) AS log10_conc,
          CASE WHEN month(o_orderdate) <= 6 THEN 'train' ELSE 'test' END AS split
   FROM lv)"""

@@ -127,15 +127,18 @@ def r11(spark, root):
 # --- class sequences: softmax over four shifted copies of the trace ------------------------
 def class_frames(spark, root):
     """Array over time of four class probabilities, and the most likely class per sample."""
-    t = traces(spark, root)
-    n = F.size("x")
-
-    def frame(v, i):
-        e = [F.exp(F.lit(3.0 + c) * F.get("x", ((i + F.lit(16 * c)) % n).cast("int"))) for c in range(4)]
-        s = e[0] + e[1] + e[2] + e[3]
-        return F.array(*[q / s for q in e])
-
-    return t.withColumn("f", F.transform("x", frame)).withColumn("c", F.transform("f", lambda p: ar.argmax(p)))
+    def frames(arr):
+        def frame(v, i):
+            e = F.transform(
+                F.array(*[F.lit(c) for c in range(4)]),
+                lambda c: F.exp((c + 3.0) * F.get(arr, ((i + c * 16) % F.size(arr)).cast("int"))),
+            )
+            return ar.let(e, lambda w: F.transform(w, lambda q: q / ar.total(w)))
+
+        return F.transform(arr, frame)
+
+    t = traces(spark, root).withColumn("f", ar.let("x", frames))
+    return t.withColumn("c", F.transform("f", lambda p: ar.argmax(p)))
 
 
 CLASSES = TRACES_LONG + """, ex AS (
