@@ -166,7 +166,7 @@ def box_smooth(df: DataFrame, order: int, keys=WELL, pid: str = "pixel_id", x: s
             ], axis=axis)
         got = grid[r[home] - r0, c[home] - c0]
         out = pdf.loc[home, spot].copy()
-        out["xs"] = list(got[:, :length] / got[:, length:])
+        out["xs"] = pd.Series((got[:, :length] / got[:, length:]).tolist(), index=out.index, dtype=object)
         return out
 
     smoothed = tiled.groupBy(*keys, "tr", "tc").applyInPandas(smooth, schema)
