@@ -149,3 +149,24 @@ def k_run_start(x, hit, k: int) -> Column:
         lambda s: s["at"],
     )
     return F.when(done >= 0, done)
+
+
+def savgol(x, window: int, poly: int) -> Column:
+    """Polynomial smoothing of an array; ends use the end windows' own fits. NULL when too short."""
+    from wellspring.operators.series import savgol_rows
+
+    rows = savgol_rows(window, poly)
+    table = F.array(*[F.array(*[F.lit(float(c)) for c in r]) for r in rows])
+    h = window // 2
+
+    def smooth(arr):
+        n = F.size(arr)
+
+        def at(v, i):
+            begin = F.least(F.greatest(i - h, F.lit(0)), n - window)
+            return dot(F.slice(arr, begin + 1, window), F.get(table, i - begin))
+
+        return F.when(n >= window, F.transform(arr, at))
+
+    return let(x, smooth)
+

@@ -36,3 +36,100 @@ def spectrogram(window: int, hop: int, keep: int):
         return out
 
     return power
+
+
+def moving_average(mat: np.ndarray, span: int) -> np.ndarray:
+    """Centred row means with truncated edges; an even span acts as span - 1."""
+    half, n = (span - 1) // 2, mat.shape[1]
+    if half < 1 or n == 0:
+        return mat.copy()
+    run = np.concatenate([np.zeros((len(mat), 1)), np.cumsum(mat, axis=1)], axis=1)
+    lo = np.maximum(np.arange(n) - half, 0)
+    hi = np.minimum(np.arange(n) + half + 1, n)
+    return (run[:, hi] - run[:, lo]) / (hi - lo)
+
+
+def peaks(y: np.ndarray, min_prominence: float, min_width: float | None = 1.0):
+    """Positions and half-prominence widths of local maxima (flat tops count once, at their middle)."""
+    n = len(y)
+    if n < 3:
+        return np.empty(0, int), np.empty(0)
+    # runs of equal values: a peak is a run that rises before and falls after
+    first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+    last = np.r_[first[1:] - 1, n - 1]
+    level = y[first]
+    top = np.zeros(len(first), bool)
+    top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
+    spots = (first[top] + last[top]) // 2
+    at, widths = [], []
+    for i in spots:
+        above = y > y[i]
+        left_wall = np.flatnonzero(above[:i])
+        right_wall = np.flatnonzero(above[i + 1 :])
+        a = left_wall[-1] + 1 if len(left_wall) else 0
+        b = i + right_wall[0] if len(right_wall) else n - 1
+        # nearest lowest sample on each side bounds the width search
+        lbase = i - int(np.argmin(y[a : i + 1][::-1]))
+        rbase = i + int(np.argmin(y[i : b + 1]))
+        prominence = y[i] - max(y[lbase], y[rbase])
+        if prominence < min_prominence:
+            continue
+        height = y[i] - prominence / 2
+        under = np.flatnonzero(y[lbase:i] <= height)
+        l = lbase + under[-1] if len(under) else lbase
+        le = l + (height - y[l]) / (y[l + 1] - y[l]) if y[l] < height else float(l)
+        under = np.flatnonzero(y[i + 1 : rbase + 1] <= height)
+        r = i + 1 + under[0] if len(under) else rbase
+        re = r - (height - y[r]) / (y[r - 1] - y[r]) if y[r] < height else float(r)
+        if min_width is None or re - le >= min_width:
+            at.append(int(i))
+            widths.append(re - le)
+    return np.array(at, int), np.array(widths)
+
+
+def strongest(y: np.ndarray, min_prominence: float) -> int | None:
+    """Peak with the largest height x width (first on ties)."""
+    at, widths = peaks(y, min_prominence)
+    return None if not len(at) else int(at[np.argmax(y[at] * widths)])
+
+
+def fit_5pl(mat: np.ndarray, rounds: int = 80) -> np.ndarray:
+    """Bounded least squares of Fm / (1 + exp(-Sc (x - Cs)))^As + Fb, all rows together.
+
+    Rows and the axis are scaled to [0, 1]; parameters return on the original scale (axis in
+    samples): columns Fm, Fb, Sc, Cs, As, r2. Damped steps, kept inside the bounds.
+    """
+    n, width = mat.shape
+    x = np.linspace(0.0, 1.0, width)
+    low, high = mat.min(axis=1, keepdims=True), mat.max(axis=1, keepdims=True)
+    span = np.where(high > low, high - low, 1.0)
+    y = (mat - low) / span
+    p = np.tile([1.0, 0.0, 10.0, 0.5, 1.0], (n, 1))
+    lo, hi = np.array([-0.5, -0.5, 0.01, -0.5, 0.1]), np.array([2.0, 1.5, 500.0, 1.5, 10.0])
+
+    def parts(q):
+        e = np.exp(np.clip(-q[:, 2:3] * (x - q[:, 3:4]), -60, 60))
+        base = (1 + e) ** -q[:, 4:5]
+        return e, base, q[:, 0:1] * base + q[:, 1:2]
+
+    def error(q):
+        return ((y - parts(q)[2]) ** 2).sum(axis=1)
+
+    err, damp = error(p), np.full(n, 1e-2)
+    for _ in range(rounds):
+        e, base, model = parts(p)
+        slope = p[:, 0:1] * p[:, 4:5] * base * e / (1 + e)
+        jac = np.stack([base, np.ones_like(base), slope * (x - p[:, 3:4]), -slope * p[:, 2:3], -p[:, 0:1] * base * np.log1p(e)], axis=2)
+        jtj = np.einsum("ntp,ntq->npq", jac, jac)
+        rhs = np.einsum("ntp,nt->np", jac, y - model)
+        diag = np.einsum("npp->np", jtj)
+        step = np.linalg.solve(jtj + np.einsum("n,np,pq->npq", damp, diag + 1e-9, np.eye(5)), rhs[:, :, None])[:, :, 0]
+        trial = np.clip(p + step, lo, hi)
+        new = error(trial)
+        good = new < err
+        p[good], err[good] = trial[good], new[good]
+        damp = np.clip(np.where(good, damp / 3, damp * 4), 1e-12, 1e8)
+    total = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+    r2 = 1 - err / (total + 1e-10)
+    last = max(width - 1, 1)
+    return np.column_stack([p[:, 0] * span[:, 0], p[:, 1] * span[:, 0] + low[:, 0], p[:, 2] / last, p[:, 3] * last, p[:, 4], r2])

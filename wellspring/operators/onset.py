@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
 from wellspring.functions import kernels as kn
+from wellspring.operators.series import savgol_rows
 
 
 def pixel_shift(x: str, mean: str, anchor: int, half: int, max_lag: int) -> Column:
@@ -32,3 +35,307 @@ def pixel_shift(x: str, mean: str, anchor: int, half: int, max_lag: int) -> Colu
 
     cut = lambda c: F.slice(c, lo + 1, anchor + half - lo)
     return F.coalesce(ar.let(unit(cut(F.col(x))), lambda p: ar.let(unit(cut(F.col(mean))), lambda m: best(p, m))), F.lit(0))
+
+
+LANDMARKS = "ttp double, peak double, cy0 double, sdm double"
+VARIANTS = "array<struct<rule:string,ttp:double,reason:string>>"
+
+
+def landmarks(start: float, end: float = 35.0, span: int = 100, frac: float = 0.4, baseline: float = 1.0, rate: float = 15.0,
+              min_baseline: int = 1):
+    """Pandas UDF: threshold time, derivative peak, tangent intercept and curvature peak, in minutes.
+
+    A landmark that cannot be found is NULL. Smoothing runs on whole batches; only the peak
+    search walks row by row.
+    """
+    def one(x, s, d1, d2, t, lo, hi):
+        out = [np.nan] * 4
+        seg = d1[lo:hi]
+        pk = kn.strongest(seg, 1e-5) if len(seg) >= 10 else None
+        if pk is None:
+            return out
+        pk += lo
+        out[1] = t[pk]
+        floor = d1[lo : pk + 1].min()
+        below = np.flatnonzero(np.diff(x)[lo : pk + 1] < floor + frac * (d1[pk] - floor))
+        if len(below):
+            out[0] = t[lo + below[-1]]
+        slope = d1[pk] * rate
+        b0 = max(int(np.searchsorted(t, t[0] + start - baseline)), 0)
+        b1 = max(lo, b0 + 1)
+        if np.isfinite(slope) and abs(slope) >= 1e-6 and b1 - b0 >= min_baseline:
+            out[2] = t[pk] - (s[pk] - np.median(s[b0:b1])) / slope
+        seg2 = d2[lo : pk + 1]
+        k2 = kn.strongest(seg2, 1e-7) if len(seg2) >= 10 else None
+        if k2 is not None:
+            out[3] = t[lo + k2]
+        return out
+
+    @F.pandas_udf(LANDMARKS)
+    def extract(x: pd.Series) -> pd.DataFrame:
+        res = np.full((len(x), 4), np.nan)
+        for at, mat in kn.by_length(x):
+            t = np.arange(mat.shape[1]) / rate
+            s = kn.moving_average(mat, span)
+            d1 = kn.moving_average(np.diff(s, axis=1), span)
+            d2 = kn.moving_average(np.diff(d1, axis=1), span)
+            lo, hi = int(np.searchsorted(t, start)), int(np.searchsorted(t, end))
+            for i, row in enumerate(at):
+                res[row] = one(mat[i], s[i], d1[i], d2[i], t, lo, hi)
+        return pd.DataFrame(res, columns=["ttp", "peak", "cy0", "sdm"]).astype(object).where(~np.isnan(res), None)
+
+    return extract
+
+
+def zero_crossing(x, anchor, ahead: float, rate: float = 15.0, window: int = 21, poly: int = 3) -> Column:
+    """First + to - change of the smoothed second derivative in [anchor, anchor + ahead], interpolated."""
+    def scan(d2, a):
+        n = F.size(d2)
+        lo = F.ceil(a * rate).cast("int")
+        hi = F.least(F.floor((a + ahead) * rate).cast("int"), n - 1)
+        idx = F.sequence(F.greatest(lo, F.lit(0)), F.greatest(hi - 1, F.greatest(lo, F.lit(0))))
+        falls = lambda i: (i + 1 <= hi) & (F.signum(F.get(d2, i + 1)) < F.signum(F.get(d2, i)))
+        at = ar.first_where(idx, falls) + F.greatest(lo, F.lit(0))
+        return ar.let(at, lambda i: (i + F.get(d2, i) / (F.get(d2, i) - F.get(d2, i + 1))) / F.lit(rate))
+
+    curve = ar.gradient(ar.gradient(ar.savgol(x, window, poly)))
+    return ar.let(curve, lambda d2: ar.let(ar._c(anchor), lambda a: F.when(a.isNotNull() & d2.isNotNull(), scan(d2, a))))
+
+
+def slope_peak_time(x, lo: float, tail: float, rate: float = 15.0, window: int = 15, poly: int = 3) -> Column:
+    """Time of the steepest smoothed slope within [lo, end - tail]; NULL for an empty range."""
+    def pick(d):
+        last = (F.size(d) - 1) / F.lit(rate)
+        inside = F.transform(d, lambda v, i: F.when((i / F.lit(rate) >= lo) & (i / F.lit(rate) <= last - tail), F.round(v, 10)))
+        return ar.let(inside, lambda w: F.when(F.array_max(w).isNotNull(), ar.argmax(w) / F.lit(rate)))
+
+    return ar.let(ar.gradient(ar.savgol(x, window, poly)), pick)
+
+
+def anchored(span: int = 100, window: int = 21, poly: int = 3, ahead: float = 15.0, margin: float = 2.0, baseline: float = 1.0,
+             frac: float = 0.4, share: float = 0.05, rate: float = 15.0):
+    """Pandas UDF (x, anchor minutes): the four anchored variants with reasons, as an array of structs."""
+    names = ("closest_peak_d1", "zero_cross_d2", "cy0_after_plate", "thr_deriv_after_plate")
+    weights = savgol_rows(window, poly)
+
+    def closest(d1, t, a):
+        at, _ = kn.peaks(d1, np.abs(d1).max() * share, None)
+        at = at[(t[at] >= a) & (t[at] <= a + ahead)] if len(at) else at
+        return (t[at[np.argmin(np.abs(t[at] - a))]], "ok") if len(at) else (None, "no derivative peak in window")
+
+    def crossing(d2, t, a):
+        inside = np.flatnonzero((t >= a) & (t <= a + ahead))
+        falls = np.flatnonzero(np.diff(np.sign(d2[inside])) < 0) if len(inside) else inside
+        if not len(falls):
+            return None, "no zero crossing in window"
+        i = inside[falls[0]]
+        return t[i] + d2[i] / (d2[i] - d2[i + 1]) * (t[i + 1] - t[i]), "ok"
+
+    def classical(x, s, ds, t, a):
+        lo, hi = int(np.searchsorted(t, a - margin)), int(np.searchsorted(t, a + ahead))
+        seg = ds[lo : min(hi, len(ds))]
+        pk = kn.strongest(seg, 1e-5) if len(seg) >= 10 else None
+        if pk is None:
+            why = "too few samples in window" if len(seg) < 10 else "no derivative peak in window"
+            return (None, why), (None, why)
+        pk += lo
+        b0 = int(np.searchsorted(t, a - margin - baseline))
+        b0 = 0 if lo - b0 < 2 else b0
+        slope = ds[pk] * rate
+        if lo - b0 < 2:
+            cy = (None, "baseline window too small")
+        elif not np.isfinite(slope) or abs(slope) < 1e-6:
+            cy = (None, "degenerate tangent slope")
+        else:
+            cy = (t[pk] + (np.median(s[b0:lo]) - s[pk]) / slope, "ok")
+        floor = ds[lo : pk + 1].min()
+        below = np.flatnonzero(np.diff(x)[lo : pk + 1] < floor + frac * (ds[pk] - floor))
+        return cy, ((t[lo + below[-1]], "ok") if pk > lo and len(below) else (None, "no crossing below threshold"))
+
+    @F.pandas_udf(VARIANTS)
+    def extract(x: pd.Series, anchor: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(x), dtype=object)
+        for at, mat in kn.by_length(x):
+            n = mat.shape[1]
+            t = np.arange(n) / rate
+            short = n < window
+            if not short:
+                begin = np.clip(np.arange(n) - window // 2, 0, n - window)
+                sg = np.stack([mat[:, b : b + window] @ weights[i - b] for i, b in enumerate(begin)], axis=1)
+                d1 = np.gradient(sg, t, axis=1)
+                d2 = np.gradient(d1, t, axis=1)
+                s = kn.moving_average(mat, span)
+                ds = kn.moving_average(np.diff(s, axis=1), span)
+            for i, row in enumerate(at):
+                a = anchor.iat[row]
+                if short:
+                    got = [(None, "signal too short")] * 4
+                elif a is None or not np.isfinite(a):
+                    got = [(None, "no anchor time")] * 4
+                else:
+                    got = [closest(d1[i], t, a), crossing(d2[i], t, a), *classical(mat[i], s[i], ds[i], t, a)]
+                out.iat[row] = [{"rule": r, "ttp": None if v is None else float(v), "reason": why} for r, (v, why) in zip(names, got)]
+        return out
+
+    return extract
+
+
+def sigmoid_fit(rate: float = 15.0):
+    """Pandas UDF: bounded five-parameter fit per trace; NULLs and ``fit_ok = false`` on failure."""
+    @F.pandas_udf("fm double, fb double, sc double, cs double, asym double, r2 double, fit_ok boolean")
+    def fit(x: pd.Series) -> pd.DataFrame:
+        res = np.full((len(x), 6), np.nan)
+        for at, mat in kn.by_length(x):
+            fine = np.isfinite(mat).all(axis=1) & (mat.shape[1] >= 3)
+            if fine.any():
+                res[at[fine]] = kn.fit_5pl(mat[fine])
+        res[:, 2] *= rate
+        res[:, 3] /= rate
+        ok = np.isfinite(res).all(axis=1)
+        frame = pd.DataFrame(res, columns=["fm", "fb", "sc", "cs", "asym", "r2"])
+        frame["fit_ok"] = ok
+        return frame
+
+    return fit
+
+
+def artefact_cut(span: int = 10, search: float = 5.0, grace: int = 3, descent: float = 0.10, settle: float = 0.30, post: float = 1.0, rate: float = 15.0):
+    """Pandas UDF on well-mean traces: samples to cut after an early drop-and-jump, 0 when there is none."""
+    def cut(s, d):
+        m = min(int(np.searchsorted(np.arange(len(s)) / rate, search)), len(d))
+        if m < grace + 1:
+            return 0
+        held = lambda ok: np.convolve(ok, np.ones(grace), "valid") == grace
+        fell = np.maximum.accumulate(d < 0)
+        turns = np.flatnonzero(held((d >= 0).astype(float))[: m - grace] & fell[: m - grace])
+        if not len(turns) or s[: turns[0] + 1].max() - s[turns[0]] < descent * max(np.ptp(s[:m]), 1e-9):
+            return 0
+        low = int(turns[0])
+        stop = min(low + 1 + max(1, round(post * rate)), m)
+        climb = d[low + 1 : stop]
+        if len(climb) < grace + 1 or climb.max() <= 0:
+            return low + 1
+        top = low + 1 + int(np.argmax(climb))
+        calm = np.flatnonzero(held((d[top + 1 : stop] < settle * climb.max()).astype(float))) if stop - top - 1 >= grace else []
+        return (top + 1 + int(calm[0]) if len(calm) else stop - 1) + 1
+
+    @F.pandas_udf("int")
+    def find(x: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), int)
+        for at, mat in kn.by_length(x):
+            s = kn.moving_average(mat, span)
+            for i, row in enumerate(at):
+                out[row] = cut(s[i], np.diff(s[i]))
+        return pd.Series(out)
+
+    return find
+
+
+def trim_artefact(df: DataFrame, keys=("chip_id", "well_id"), **kw) -> DataFrame:
+    """Cut every trace of a chip by the largest cut of its wells; adds ``cut_idx``."""
+    from wellspring.operators.spatial import mean_trace
+
+    cuts = mean_trace(df, list(keys)).select("chip_id", artefact_cut(**kw)("x").alias("c")).groupBy("chip_id").agg(F.max("c").alias("cut_idx"))
+    got = df.join(cuts, "chip_id")
+    return got.withColumn("x", F.expr("slice(x, cut_idx + 1, size(x))"))
+
+
+# --- plate curves and fitted-curve features ---------------------------------------------------
+def plate_features(x, window: int = 9, base: int = 5, sigmas: float = 3.0, flat: float = 0.05) -> Column:
+    """Baseline, interpolated start, steepest cycle, plateau and end level of a plate curve (cycles from 1)."""
+    def lerp(arr, i, level):
+        a, b = F.get(arr, i - 1), F.get(arr, i)
+        return i + F.when(a == b, 0.0).otherwise((level - a) / (b - a))
+
+    def build(st):
+        s, d = st["s"], st["d"]
+        n = F.size(s)
+        start_at = ar.first_where(s, lambda v: v > st["bm"] + sigmas * st["bs"])
+        start = F.when(start_at == 0, 1.0).otherwise(lerp(s, start_at, st["bm"] + sigmas * st["bs"]))
+        steep = ar.argmax(d)
+        top = F.array_max(d)
+        positive = F.coalesce((top > 5.0 * st["dn"]) & (start < n - 5), F.lit(False))
+        tail = F.slice(d, steep + 1, n)
+        drop = ar.first_where(tail, lambda v: v <= flat * top) + steep
+        plateau = F.when(drop.isNull(), n.cast("double")).otherwise(lerp(d, drop, flat * top))
+        return F.struct(
+            st["bm"].alias("baseline_mean"), st["bs"].alias("baseline_std"), st["pf"].alias("plateau_level"), start.alias("start"),
+            F.when(positive, (steep + 1).cast("double")).alias("takeoff"), F.when(positive, plateau).alias("plateau"), top.alias("max_slope"), positive.alias("is_positive"))
+
+    def prep(arr):
+        head = F.slice(arr, 1, base)
+        tail = F.slice(arr, -5, 5)
+        smooth = ar.savgol(arr, window, 3)
+        return ar.let(smooth, lambda s: ar.let(ar.gradient(s), lambda d: ar.let(F.struct(
+            s.alias("s"), d.alias("d"), ar.mean(head).alias("bm"), F.greatest(ar.std(head), F.lit(1e-9)).alias("bs"), ar.mean(tail).alias("pf"),
+            F.greatest(ar.std(F.slice(d, 1, base)), F.lit(1e-9)).alias("dn")), build)))
+
+    return ar.let(x, prep)
+
+
+def sigmoid_value(x, fm, fb, sc, cs, asym):
+    return fm / F.pow(1.0 + F.exp(-sc * (x - cs)), asym) + fb
+
+
+def sigmoid_slope(x, fm, sc, cs, asym):
+    e = F.exp(-sc * (x - cs))
+    return fm * asym * sc * e / F.pow(1.0 + e, asym + 1.0)
+
+
+def sigmoid_curvature(x, fm, sc, cs, asym):
+    e = F.exp(-sc * (x - cs))
+    return fm * asym * sc * sc * e * (asym * e - 1.0) / F.pow(1.0 + e, asym + 2.0)
+
+
+def kinetic_features(df: DataFrame, n: int, step: float, threshold: float = 0.1) -> DataFrame:
+    """Shape features of a fitted curve (columns fm, fb, sc, cs, asym) sampled at n points.
+
+    Every value is an expression over one short array per row: slope peak, threshold crossings,
+    curvature peaks, distances, areas, asymmetries, 20 % time, tangent intercept, -log10 of the start.
+    """
+    fm, fb, sc, cs, asym = (F.col(c) for c in ("fm", "fb", "sc", "cs", "asym"))
+    at = lambda i: i * F.lit(step)
+    grid = F.sequence(F.lit(0), F.lit(n - 1))
+    d = df.select("*", F.transform(grid, lambda i: F.round(sigmoid_value(at(i), fm, fb, sc, cs, asym), 12)).alias("_f"),
+                  F.transform(grid, lambda i: F.round(sigmoid_slope(at(i), fm, sc, cs, asym), 12)).alias("_d"),
+                  F.transform(grid, lambda i: F.round(sigmoid_curvature(at(i), fm, sc, cs, asym), 12)).alias("_c"))
+
+    def lerp(arr, i, level):
+        a, b = F.get(arr, i), F.get(arr, i + 1)
+        return at(i) + F.when(a == b, F.lit(step)).otherwise((level - a) * step / (b - a))
+
+    def build(f, sl, cv):
+        peak = ar.argmax(sl)
+        th = threshold * F.array_max(sl)
+        up = ar.first_where(sl, lambda v: v > th)
+        down = F.lit(n - 1) - ar.first_where(F.reverse(sl), lambda v: v > th)
+        xs = F.when(up == 0, 0.0).otherwise(lerp(sl, up - 1, th))
+        xe = F.when(down == n - 1, at(down)).otherwise(lerp(sl, down, th))
+        inner = F.sequence(F.lit(1), F.lit(n - 2))
+        hump = lambda s: F.array_max(F.transform(F.filter(inner, lambda i: (s * F.get(cv, i) > s * F.get(cv, i - 1)) & (s * F.get(cv, i) > s * F.get(cv, i + 1))),
+                                                 lambda i: F.struct((s * F.get(cv, i)).alias("h"), (-i).alias("i"))))
+        level = 0.2 * F.array_max(f)
+        c20 = ar.first_where(f, lambda v: v > level)
+        ct = F.when(c20 == 0, 0.0).otherwise(lerp(f, c20 - 1, level))
+        return F.struct(peak.alias("p"), F.array_max(sl).alias("top"), xs.alias("xs"), xe.alias("xe"), hump(1.0).alias("pos"), hump(-1.0).alias("neg"), ct.alias("ct"))
+
+    def area(sl, a, b):
+        part = F.slice(sl, a + 1, b - a + 1)
+        return F.when(b > a, (ar.total(part) - (F.get(sl, a) + F.get(sl, b)) / 2.0) * step).otherwise(0.0)
+
+    base = d.select("*", ar.let("_f", lambda f: ar.let("_d", lambda s: ar.let("_c", lambda c: build(f, s, c)))).alias("_k"))
+    k = lambda c: F.col(f"_k.{c}")
+    near = lambda v: F.floor(v / step + 0.5 - 1e-9).cast("int")
+    xms = at(k("p"))
+    x1, x2 = -k("pos")["i"] * F.lit(step), -k("neg")["i"] * F.lit(step)
+    a1 = area(F.col("_d"), near(k("xs")), k("p"))
+    a2 = area(F.col("_d"), k("p"), near(k("xe")))
+    xi = cs + F.log(asym) / sc
+    return base.select(
+        *df.columns, xms.alias("xms"), k("top").alias("max_slope"), k("xs").alias("xs"), k("xe").alias("xe"), x1.alias("xp1"), x2.alias("xp2"),
+        (k("xe") - k("xs")).alias("threshold_distance"), (xms - k("xs")).alias("first_half"), (k("xe") - xms).alias("second_half"),
+        F.try_divide(k("xe") - xms, xms - k("xs")).alias("distance_asymmetry"), (x2 - x1).alias("peak_shift"),
+        a1.alias("area1"), a2.alias("area2"), F.try_divide(a2, a1).alias("area_asymmetry"),
+        F.try_divide(k("pos")["h"], k("neg")["h"]).alias("peak_asymmetry"), k("ct").alias("ct"),
+        (xi - sigmoid_value(xi, fm, fb, sc, cs, asym) / sigmoid_slope(xi, fm, sc, cs, asym)).alias("cy0"),
+        F.when(F.get("_f", F.lit(0)) > 0, -F.log10(F.get("_f", F.lit(0)))).alias("neg_log_f0"))

@@ -1 +1,166 @@
-"""Queries."""
+"""Queries for onset extractors, plate-curve features and sigmoid fits."""
+
+from pyspark.sql import functions as F
+
+from wellspring.functions import arrays as ar
+from wellspring.operators import onset as on
+from wellspring.operators import spatial as sp
+from wellspring.operators.spatial import WELL
+from wellspring.plans import query
+from wellspring.plans.bindings import CURVES_LONG, PREDICTIONS, curves, predictions, q6, r6, table, traces
+from wellspring.plans.windows import _savgol_sql
+
+
+def _landmarks(spark, root):
+    return curves(spark, root).select("pixel_id", on.landmarks(0.5, span=10, min_baseline=3)("x").alias("m")).select("pixel_id", "m.*")
+
+
+@query("e01_threshold_derivative_time")
+def e01(spark, root):
+    return _landmarks(spark, root).select("pixel_id", r6("ttp").alias("ttp"), r6("peak").alias("peak"))
+
+
+@query("e02_tangent_intercept")
+def e02(spark, root):
+    return _landmarks(spark, root).select("pixel_id", r6("cy0").alias("cy0"))
+
+
+@query("e03_second_derivative_peak")
+def e03(spark, root):
+    return _landmarks(spark, root).select("pixel_id", r6("sdm").alias("sdm"))
+
+
+@query("e04_derivative_peak_time")
+def e04(spark, root):
+    got = curves(spark, root).select("pixel_id", on.landmarks(0.3, span=6)("x").alias("m"))
+    return got.select("pixel_id", r6("m.peak").alias("peak"))
+
+
+def _variants(spark, root):
+    c = curves(spark, root).withColumn("anchor", F.when(F.col("pixel_id") % 13 != 0, (F.col("pixel_id") % 10) * 0.2 + 0.5))
+    v = on.anchored(span=10, window=9, ahead=3.0, margin=0.5, baseline=0.4)("x", "anchor")
+    return c.select("pixel_id", F.inline(v))
+
+
+for _name, _rule in (("e05_anchored_closest_peak", "closest_peak_d1"), ("e07_anchored_tangent", "cy0_after_plate"), ("e07_anchored_threshold", "thr_deriv_after_plate")):
+    def _pick(spark, root, rule=_rule):
+        return _variants(spark, root).filter(F.col("rule") == rule).select("pixel_id", r6("ttp").alias("ttp"), "reason")
+
+    query(_name)(_pick)
+
+
+@query("e08_anchored_variants")
+def e08(spark, root):
+    return _variants(spark, root).select("pixel_id", "rule", r6("ttp").alias("ttp"), "reason")
+
+
+def _grad(src, name, col, out):
+    return f""", {name} AS (SELECT *, CASE WHEN lag({col}) OVER w IS NULL THEN lead({col}) OVER w - {col} WHEN lead({col}) OVER w IS NULL THEN {col} - lag({col}) OVER w
+  ELSE (lead({col}) OVER w - lag({col}) OVER w) / 2.0 END AS {out} FROM {src} WINDOW w AS (PARTITION BY pixel_id ORDER BY t))"""
+
+
+@query("e06_zero_crossing", f"""WITH {CURVES_LONG}{_savgol_sql(9, 3, 'cl', 'pixel_id')}{_grad('sg', 'g1', 'sg', 'd')}{_grad('g1', 'g2', 'd', 'dd')},
+a AS (SELECT pixel_id, t, dd, lead(dd) OVER (PARTITION BY pixel_id ORDER BY t) AS nx, (pixel_id % 10) * CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS a FROM g2),
+f AS (SELECT pixel_id, min(t) AS i, arg_min(dd, t) AS y0, arg_min(nx, t) AS y1 FROM a WHERE t >= ceil(a * 15.0) AND t + 1 <= floor((a + 3) * 15.0) AND sign(nx) < sign(dd) GROUP BY 1)
+SELECT t.pixel_id, {q6('(i + y0 / (y0 - y1)) / 15.0', 5)} AS ttp FROM traces t LEFT JOIN f USING (pixel_id)""")
+def e06(spark, root):
+    c = curves(spark, root).withColumn("anchor", (F.col("pixel_id") % 10) * 0.2 + 0.5)
+    return c.select("pixel_id", r6(on.zero_crossing("x", "anchor", 3.0, window=9), 5).alias("ttp"))
+
+
+@query("e09_slope_peak_time", f"""WITH {CURVES_LONG}{_savgol_sql(15, 3, 'cl', 'pixel_id')}{_grad('sg', 'g1', 'sg', 'd')}
+SELECT pixel_id, {q6('arg_max(t, (round(d, 10), -t)) / 15.0')} AS ttp FROM g1 WHERE t / 15.0 >= 0.5 AND t / 15.0 <= 63 / 15.0 - 1 GROUP BY 1""")
+def e09(spark, root):
+    return curves(spark, root).select("pixel_id", r6(on.slope_peak_time("x", 0.5, 1.0)).alias("ttp"))
+
+
+@query("e10_plate_curve_features", f"""WITH {CURVES_LONG}{_savgol_sql(9, 3, 'cl', 'pixel_id')}{_grad('sg', 'g1', 'sg', 'd')},
+b AS (SELECT pixel_id, avg(v) FILTER (t < 5) AS bm, greatest(stddev_pop(v) FILTER (t < 5), 1e-9) AS bs, avg(v) FILTER (t >= 59) AS pf FROM cl GROUP BY 1),
+dn AS (SELECT pixel_id, greatest(stddev_pop(d) FILTER (t < 5), 1e-9) AS dn, max(d) AS mx, arg_max(t, (d, -t)) AS st FROM g1 GROUP BY 1),
+w AS (SELECT g1.*, lag(sg) OVER (PARTITION BY pixel_id ORDER BY t) AS s0, lag(d) OVER (PARTITION BY pixel_id ORDER BY t) AS d0 FROM g1),
+sc AS (SELECT w.pixel_id, arg_min(CASE WHEN t = 0 THEN 1 ELSE t + (bm + 3 * bs - s0) / (sg - s0) END, t) AS start FROM w JOIN b USING (pixel_id) WHERE sg > bm + 3 * bs GROUP BY 1),
+pl AS (SELECT w.pixel_id, arg_min(t + (0.05::DOUBLE * mx - d0) / (d - d0), t) AS pl FROM w JOIN dn USING (pixel_id) WHERE t >= st AND d <= 0.05::DOUBLE * mx GROUP BY 1)
+SELECT b.pixel_id, {q6('bm')} AS baseline_mean, {q6('bs')} AS baseline_std, {q6('pf')} AS plateau_level, {q6('start')} AS start, {q6('mx')} AS max_slope,
+coalesce(mx > 5 * dn AND start < 59, false) AS is_positive, CASE WHEN mx > 5 * dn AND start < 59 THEN CAST(st + 1 AS DOUBLE) END AS takeoff,
+CASE WHEN mx > 5 * dn AND start < 59 THEN {q6('coalesce(pl, 64)')} END AS plateau FROM b JOIN dn USING (pixel_id) LEFT JOIN sc USING (pixel_id) LEFT JOIN pl USING (pixel_id)""")
+def e10(spark, root):
+    c = curves(spark, root).select("pixel_id", on.plate_features("x").alias("p")).select("pixel_id", "p.*")
+    cols = ("baseline_mean", "baseline_std", "plateau_level", "start", "max_slope", "takeoff", "plateau")
+    return c.select("pixel_id", "is_positive", *[r6(n).alias(n) for n in cols])
+
+
+@query("e12_sigmoid_fit")
+def e12(spark, root):
+    f = curves(spark, root).select("pixel_id", on.sigmoid_fit()("x").alias("p")).select("pixel_id", "p.*")
+    return f.select("pixel_id", r6("r2", 2).alias("r2"), "fit_ok")
+
+
+FITP = """fit AS (SELECT p_partkey, 1 + (p_partkey % 7) / CAST(4 AS DOUBLE) AS fm, (p_size % 5) / CAST(50 AS DOUBLE) + CAST(0.01 AS DOUBLE) AS fb, CAST(0.4 AS DOUBLE) + (p_partkey % 11) / CAST(20 AS DOUBLE) AS sc,
+ CAST(10 AS DOUBLE) + (p_size % 13) AS cs, CAST(0.6 AS DOUBLE) + (p_partkey % 5) / CAST(4 AS DOUBLE) AS asym FROM part)"""
+
+
+def fits(spark, root):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return table(spark, root, "part").select(
+        "p_partkey", (1 + (k % 7) / 4.0).alias("fm"), ((s % 5) / 50.0 + 0.01).alias("fb"), (0.4 + (k % 11) / 20.0).alias("sc"),
+        (10.0 + s % 13).alias("cs"), (0.6 + (k % 5) / 4.0).alias("asym"))
+
+
+KCOLS = ("xms", "max_slope", "xs", "xe", "xp1", "xp2", "threshold_distance", "first_half", "second_half", "distance_asymmetry", "peak_shift",
+         "area1", "area2", "area_asymmetry", "peak_asymmetry", "ct", "cy0", "neg_log_f0")
+
+
+@query("e13_kinetic_features", f"""WITH {FITP}, g AS (SELECT *, i * CAST(0.5 AS DOUBLE) AS x FROM (SELECT *, unnest(range(0, 61)) AS i FROM fit) z), e AS (SELECT *, exp(-sc * (x - cs)) AS e FROM g),
+v AS (SELECT *, round(fm / pow(1 + e, asym) + fb, 12) AS f, round(fm * asym * sc * e / pow(1 + e, asym + 1), 12) AS d, round(fm * asym * sc * sc * e * (asym * e - 1) / pow(1 + e, asym + 2), 12) AS c FROM e),
+n AS (SELECT *, lag(f) OVER w AS f0, lag(d) OVER w AS d0, lead(d) OVER w AS d1, lag(c) OVER w AS c0, lead(c) OVER w AS c1 FROM v WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+m AS (SELECT p_partkey, max(d) AS top, arg_max(i, (d, -i)) AS p, 0.1::DOUBLE * max(d) AS th, 0.2::DOUBLE * max(f) AS l20, arg_min(f, i) AS fstart,
+  any_value(cs) AS cs, any_value(sc) AS sc, any_value(asym) AS asym, any_value(fm) AS fm, any_value(fb) AS fb FROM v GROUP BY 1),
+k AS (SELECT n.p_partkey, arg_min(CASE WHEN i = 0 THEN 0 ELSE x - 0.5 + (th - d0) * 0.5 / (d - d0) END, i) FILTER (d > th) AS xs,
+  arg_max(CASE WHEN i = 60 THEN x ELSE x + (th - d) * 0.5 / (d1 - d) END, i) FILTER (d > th) AS xe, arg_min(CASE WHEN i = 0 THEN 0 ELSE x - 0.5 + (l20 - f0) * 0.5 / (f - f0) END, i) FILTER (f > l20) AS ct,
+  arg_max(x, (c, -i)) FILTER (c > c0 AND c > c1) AS xp1, max(c) FILTER (c > c0 AND c > c1) AS h1, arg_min(x, (c, i)) FILTER (c < c0 AND c < c1) AS xp2, -min(c) FILTER (c < c0 AND c < c1) AS h2 FROM n JOIN m USING (p_partkey) GROUP BY 1),
+ar AS (SELECT v.p_partkey, coalesce(sum(0.25 * (v.d + z.d)) FILTER (v.i >= floor(xs / 0.5 + 0.5 - 1e-9) AND v.i < p), 0) AS area1,
+  coalesce(sum(0.25 * (v.d + z.d)) FILTER (v.i >= p AND v.i < floor(xe / 0.5 + 0.5 - 1e-9)), 0) AS area2
+  FROM v JOIN v z ON z.p_partkey = v.p_partkey AND z.i = v.i + 1 JOIN m ON m.p_partkey = v.p_partkey JOIN k ON k.p_partkey = v.p_partkey GROUP BY 1),
+o AS (SELECT k.p_partkey, p * 0.5 AS xms, top AS max_slope, xs, xe, xp1, xp2, xe - xs AS threshold_distance, p * 0.5 - xs AS first_half, xe - p * 0.5 AS second_half,
+  (xe - p * 0.5) / nullif(p * 0.5 - xs, 0) AS distance_asymmetry, xp2 - xp1 AS peak_shift, area1, area2, area2 / nullif(area1, 0) AS area_asymmetry, h1 / nullif(h2, 0) AS peak_asymmetry, ct,
+  cs + ln(asym) / sc AS xi, m.* EXCLUDE (p_partkey, p, top) FROM k JOIN m USING (p_partkey) JOIN ar USING (p_partkey)),
+oo AS (SELECT *, xi - (fm / pow(1 + exp(-sc * (xi - cs)), asym) + fb) / (fm * asym * sc * exp(-sc * (xi - cs)) / pow(1 + exp(-sc * (xi - cs)), asym + 1)) AS cy0, CASE WHEN fstart > 0 THEN -log10(fstart) END AS neg_log_f0 FROM o)
+SELECT p_partkey, {', '.join(f'{q6(c, 5)} AS {c}' for c in KCOLS)} FROM oo""")
+def e13(spark, root):
+    return on.kinetic_features(fits(spark, root), 61, 0.5).select("p_partkey", *[r6(c, 5).alias(c) for c in KCOLS])
+
+
+@query("e14_fit_loss", f"""WITH {PREDICTIONS}, b AS (SELECT method_id, avg(ttp_true) AS m FROM pred GROUP BY 1)
+SELECT p.method_id, {q6('sum((ttp_true - ttp_pred) ** 2)', 4)} AS ssr, {q6('avg((ttp_true - ttp_pred) ** 2)')} AS mse, {q6('sqrt(avg((ttp_true - ttp_pred) ** 2))')} AS rmse,
+{q6('avg(abs(ttp_true - ttp_pred))')} AS mae, {q6('1 - sum((ttp_true - ttp_pred) ** 2) / (sum((ttp_true - m) ** 2) + CAST(1e-10 AS DOUBLE))')} AS r_squared FROM pred p JOIN b ON b.method_id = p.method_id GROUP BY 1""")
+def e14(spark, root):
+    from wellspring.operators.ranking import attach
+
+    p = predictions(spark, root)
+    p = attach(p, p.groupBy("method_id").agg(F.avg("ttp_true").alias("m")), ["method_id"])
+    r = F.col("ttp_true") - F.col("ttp_pred")
+    ssr, tot = F.sum(r * r), F.sum(F.pow(F.col("ttp_true") - F.col("m"), 2))
+    return p.groupBy("method_id").agg(
+        r6(ssr, 4).alias("ssr"), r6(F.avg(r * r)).alias("mse"), r6(F.sqrt(F.avg(r * r))).alias("rmse"), r6(F.avg(F.abs(r))).alias("mae"), r6(1 - ssr / (tot + F.lit(1e-10))).alias("r_squared"))
+
+
+@query("e15_extractors_per_well")
+def e15(spark, root):
+    """Three stages of well means x all extractors, with the error to the plate time."""
+    c = curves(spark, root)
+    out = None
+    for stage, df in (("raw", c), ("positive", c.filter("y = 1")), ("smoothed", sp.box_smooth(c, 3))):
+        m = sp.mean_trace(df, WELL).withColumn("stage", F.lit(stage)).withColumn("plate", F.col("well_id") * 0.2 + 0.8)
+        out = m if out is None else out.unionByName(m)
+    lm = on.landmarks(0.5, span=10)("x")
+    va = on.anchored(span=10, window=9, ahead=3.0, margin=0.5, baseline=0.4)("x", "plate")
+    got = out.select("stage", *WELL, "plate", lm.alias("m"), va.alias("v"))
+    rows = F.concat(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"m.{r}").alias("ttp"), F.when(F.col(f"m.{r}").isNull(), "not found").otherwise("ok").alias("reason")) for r in ("ttp", "cy0", "sdm")]), "v")
+    flat = got.select("stage", *WELL, "plate", F.inline(rows))
+    return flat.select("stage", *WELL, "rule", r6("ttp").alias("ttp"), r6(F.col("ttp") - F.col("plate")).alias("err"), "reason")
+
+
+@query("q09_artefact_trim")
+def q09(spark, root):
+    t = on.trim_artefact(traces(spark, root), span=4, search=4.0)
+    return t.select("chip_id", "pixel_id", "cut_idx", F.size("x").alias("n_left"), r6(ar.total("x")).alias("total"))
