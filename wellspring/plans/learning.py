@@ -1 +1,112 @@
-"""Queries."""
+"""Queries for per-well clustering and Spark ML models on traces."""
+
+from pyspark.sql import functions as F
+
+from wellspring.operators import clusters as cl
+from wellspring.operators import learning as ml
+from wellspring.operators import metrics as mt
+from wellspring.operators import onset as on
+from wellspring.operators import rules as rl
+from wellspring.operators import series as sr
+from wellspring.operators.spatial import WELL, fold_traces
+from wellspring.plans import query
+from wellspring.plans.bindings import TRACES_LONG, curves, long, r6, traces
+from wellspring.plans.windows import zscore
+
+
+def _sizes(c):
+    return c.groupBy(*WELL, "cluster").agg(F.count("*").alias("size"))
+
+
+@query("m01_shape_clusters")
+def m01(spark, root):
+    t = traces(spark, root).withColumn("f", zscore("x"))
+    return _sizes(cl.kmeans(t, WELL, "pixel_id", "f", 2, rounds=3))
+
+
+@query("m01_time_clusters")
+def m01_time(spark, root):
+    t = curves(spark, root).withColumn("ttp", on.landmarks(0.3, span=6)("x")["peak"])
+    t = t.filter("ttp IS NOT NULL").withColumn("f", F.array("ttp"))
+    c = cl.kmeans(t, WELL, "pixel_id", "f", 2, rounds=3)
+    return _sizes(cl.renumber_by_centre(c, WELL, "pixel_id", t, "ttp"))
+
+
+@query("m01_position_clusters")
+def m01_pos(spark, root):
+    t = traces(spark, root).withColumn("f", F.array(F.col("prow").cast("double"), F.col("pcol").cast("double")))
+    return _sizes(cl.kmeans(t, WELL, "pixel_id", "f", 4, rounds=3))
+
+
+@query("m02_cluster_representative", f"""WITH {TRACES_LONG}, c AS (SELECT chip_id, well_id, CAST(pixel_id % 2 AS INTEGER) AS cluster, pixel_id, t, v FROM tl),
+m AS (SELECT chip_id, well_id, cluster, t, avg(v) AS m FROM c GROUP BY ALL),
+d AS (SELECT c.chip_id, c.well_id, c.cluster, c.pixel_id, round(sqrt(sum((v - m) * (v - m))), 9) AS d FROM c JOIN m ON m.chip_id = c.chip_id AND m.well_id = c.well_id AND m.cluster = c.cluster AND m.t = c.t GROUP BY ALL)
+SELECT chip_id, well_id, cluster, arg_min(pixel_id, (d, pixel_id)) AS representative, count(*) AS size FROM d GROUP BY ALL""")
+def m02(spark, root):
+    t = traces(spark, root).withColumn("cluster", (F.col("pixel_id") % 2).cast("int"))
+    return cl.representatives(t, [*WELL, "cluster"])
+
+
+def _metrics(scored):
+    m = mt.binary_metrics(scored.withColumn("method_id", F.lit("model")).withColumnRenamed("y", "y_true"), ["method_id"])
+    return m.select("n_pos", "n_neg", *[r6(c, 3).alias(c) for c in ("accuracy", "recall", "auroc")])
+
+
+@query("m03_boosted_curve_classifier")
+def m03(spark, root):
+    d = ml.balanced(ml.vectors(traces(spark, root)), "y")
+    return _metrics(ml.score(ml.boosted_classifier(d, "y", 5), d))
+
+
+@query("m03_gain_table")
+def m03_gain(spark, root):
+    d = ml.balanced(ml.vectors(traces(spark, root)), "y")
+    return ml.importance(ml.boosted_classifier(d, "y", 3), spark).withColumn("gain", r6("gain"))
+
+
+@query("m04_boosted_curve_regressor")
+def m04(spark, root):
+    d = ml.vectors(traces(spark, root)).withColumn("ttp_true", F.col("well_id") * 0.4)
+    out = None
+    for loss in ("squared", "absolute", "huber"):
+        s = ml.score(ml.boosted_regressor(d, "ttp_true", loss, 5), d).select(F.lit(loss).alias("loss"), "ttp_pred", "ttp_true")
+        out = s if out is None else out.unionByName(s)
+    m = mt.regression_metrics(out, ["loss"])
+    return m.select("loss", "n", r6("mae", 3).alias("mae"), r6("rmse", 3).alias("rmse"), r6("mae_mean", 3).alias("mae_mean"))
+
+
+@query("m05_timepoint_classifier")
+def m05(spark, root):
+    """Per-sample features and labels -> boosted trees -> first crossing -> time metrics."""
+    t = curves(spark, root).withColumn("ttp_true", 1.0 + F.col("well_id") * 0.2)
+    rows = long(t, "pixel_id", "ttp_true")
+    f = sr.feature_table(rows, ["pixel_id"], 10, 10).withColumn("label", (F.col("t") >= F.col("ttp_true") * 15.0).cast("int"))
+    cols = ["v", "d1", "d2", "roll_mean", "roll_std", "elapsed", "rise", "z", "slope"]
+    d = ml.assembled(f, cols).withColumn("is_val", F.col("pixel_id") % 7 == 0).withColumn("weight", F.lit(1.0))
+    s = ml.score(ml.boosted_classifier(d, "label", 3), d)
+    p = fold_traces(s.select("pixel_id", "ttp_true", "t", "y_score"), ["pixel_id", "ttp_true"], "y_score", "p")
+    m = mt.regression_metrics(p.withColumn("ttp_pred", rl.first_crossing_or_null("p", 0.5)).withColumn("method_id", F.lit("timepoint")), ["method_id"])
+    return m.select("n_total", "n", "n_nan", r6("mae", 3).alias("mae"), r6("rmse", 3).alias("rmse"))
+
+
+@query("m06_dense_classifier")
+def m06(spark, root):
+    d = ml.balanced(ml.vectors(traces(spark, root)), "y")
+    out = None
+    for kind in ("mlp", "logistic"):
+        m = _metrics(ml.score(ml.dense_classifier(d, "y", 64, kind=kind), d)).withColumn("kind", F.lit(kind))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("m07_batch_scoring")
+def m07(spark, root):
+    """Fit on some chips, store the model, load it and score every trace."""
+    from pyspark.ml import PipelineModel
+
+    from wellspring.sources.tables import scratch
+
+    d = ml.balanced(ml.vectors(traces(spark, root)), "y")
+    path = scratch(spark, "model")
+    ml.dense_classifier(d.filter("chip_id <> 'chip4'"), "y", 64, kind="logistic").write().overwrite().save(path)
+    return ml.score(PipelineModel.load(path), d).select("pixel_id", r6("y_score", 4).alias("y_score"))
