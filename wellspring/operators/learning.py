@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspring.operators.ranking import with_scalars
 from wellspring.operators.splits import shuffle_key
 
 
@@ -22,7 +23,7 @@ def vectors(df: DataFrame, x: str = "x", seed: int = 0, pid: str = "pixel_id") -
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Weight positives by n_neg / n_pos."""
     w = df.agg((F.count_if(F.col(label) == 0) / F.count_if(F.col(label) == 1)).alias("_pw"))
-    return df.join(F.broadcast(w), how="cross").withColumn("weight", F.when(F.col(label) == 1, F.col("_pw")).otherwise(1.0)).drop("_pw")  # one row
+    return with_scalars(df, w).withColumn("weight", F.when(F.col(label) == 1, F.col("_pw")).otherwise(1.0)).drop("_pw")
 
 
 def boosted_classifier(df: DataFrame, label: str, rounds: int = 20, depth: int = 3, seed: int = 0) -> PipelineModel:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wellspring.session import durable
 
-SPLIT_ROWS = 2_000_000
+SPLIT_ROWS = 500_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -118,11 +118,14 @@ def quantiles(
     counted = value_counts(have, keys, value)
     cum = running_total(counted, keys, [value], "cnt", "before", limit)
     totals = cum.groupBy(*keys).agg(F.sum("cnt").alias("n"))
-    renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "n")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    placed = cum.join(renamed, cond) if keys else cum.join(F.broadcast(renamed))  # one row
+    if keys:
+        renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "n")
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+        placed = cum.join(renamed, cond)
+    else:
+        placed = with_scalars(cum, totals)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("n") - 1) * F.lit(float(p))
@@ -147,8 +150,14 @@ def median_mad(df, keys, value, split_rows=None) -> DataFrame:
     return attach(med, raw.withColumn("mad", F.col("raw") * 1.4826).drop("raw"), keys)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the values of a one-row aggregate as literals, which needs no join at all."""
+    values = one_row.first()
+    return df.withColumns({f.name: F.lit(values[f.name]).cast(f.dataType) for f in one_row.schema})
+
+
 def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-group values back; Spark broadcasts them when their measured size allows."""
     if not keys:
-        return df.join(F.broadcast(per_group), how=how if how != "inner" else "inner")  # one row
+        return with_scalars(df, per_group)
     return df.join(per_group, list(keys), how)

@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from wellspring.functions import arrays as ar  # noqa: F401
 from wellspring.operators import metrics as mt
-from wellspring.operators.ranking import attach, median_mad, quantiles, row_index
+from wellspring.operators.ranking import attach, quantiles, with_scalars
 from wellspring.plans import query
 from wellspring.plans.bindings import (
     CLS, PREDICTIONS, RUNS, cls_scores, predictions, q6, r6, runs, table,
@@ -226,7 +225,7 @@ SELECT {q6('any_value(a)')} AS a, {q6('any_value(b)')} AS b, {q6('any_value(r2)'
 def a21(spark, root):
     o = _offsets(spark, root)
     fit = o.agg(F.regr_slope("off", "lc").alias("a"), F.regr_intercept("off", "lc").alias("b"), F.regr_r2("off", "lc").alias("r2"), F.count("*").alias("n"))
-    both = o.join(F.broadcast(fit))  # one row
+    both = with_scalars(o, fit)
     return both.agg(
         r6(F.max("a")).alias("a"), r6(F.max("b")).alias("b"), r6(F.max("r2")).alias("r2"), F.max("n").alias("n_points"),
         r6(F.stddev_pop(F.col("off") - (F.col("a") * F.col("lc") + F.col("b")))).alias("residual_std"))

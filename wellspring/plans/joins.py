@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
-from wellspring.operators import rules as rl
+from wellspring.operators.ranking import with_scalars
 from wellspring.plans import query
 from wellspring.plans.bindings import (
-    PREDICTIONS, SCORES_LONG, TRACES, STRIDE, WINDOW, predictions, q6, r6, scores, table, traces,
+    PREDICTIONS, TRACES, predictions, q6, r6, table, traces,
 )
 
 
@@ -111,7 +111,7 @@ def j11(spark, root):
     pairs = table(spark, root, "lineitem").select(F.col("l_suppkey").alias("pid"), F.col("l_linenumber").alias("run")).distinct()
     total = pairs.select("run").distinct().agg(F.count("*").alias("runs"))
     seen = pairs.groupBy("pid").agg(F.count("*").alias("seen"))
-    return seen.join(F.broadcast(total), how="cross").withColumn("complete", F.col("seen") == F.col("runs"))  # one row
+    return with_scalars(seen, total).withColumn("complete", F.col("seen") == F.col("runs"))
 
 
 @query("j12_priority_union", """SELECT l_orderkey AS pixel_id, count(DISTINCT l_linenumber) AS refs, max(l_linenumber) AS ref, max(l_extendedprice) FILTER (l_linenumber = top) AS v FROM (

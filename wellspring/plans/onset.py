@@ -164,3 +164,29 @@ def e15(spark, root):
 def q09(spark, root):
     t = on.trim_artefact(traces(spark, root), span=4, search=4.0)
     return t.select("chip_id", "pixel_id", "cut_idx", F.size("x").alias("n_left"), r6(ar.total("x")).alias("total"))
+
+
+@query("u03_parallel_row_fit")
+def u03(spark, root):
+    """The same fit as Arrow batches over evenly spread partitions."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    from wellspring.functions import kernels as kn
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at, mat in kn.by_length(pdf["x"]):
+                p = kn.fit_5pl(mat)
+                yield pd.DataFrame({"pixel_id": pdf["pixel_id"].to_numpy()[at], "r2": np.round(p[:, 5], 2), "rises": p[:, 0] > 0})
+
+    c = curves(spark, root).select("pixel_id", "x").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pixel_id")
+    return c.mapInPandas(fit, "pixel_id bigint, r2 double, rises boolean")
+
+
+@query("u05_rows_per_input")
+def u05(spark, root):
+    """Four rows per trace from one pass."""
+    return _variants(spark, root).groupBy("rule", "reason").agg(F.count("*").alias("n"), r6(F.avg("ttp")).alias("mean_ttp"))

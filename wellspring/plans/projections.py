@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
-from wellspring.operators.ranking import quantiles, row_index
-from wellspring.operators.series import over_blocks
+from wellspring.operators.ranking import quantiles, row_index, with_scalars
 from wellspring.plans import query
 from wellspring.plans.bindings import (
     PREDICTIONS, SCORES, SERIES, TRACES, long, predictions, q6, r6, scores, series, table, traces,
@@ -61,7 +60,7 @@ def p06(spark, root):
 SELECT pixel_id, CAST(w AS INTEGER) AS cut_width, {q6('list_sum(x[1:w])')} AS cut_total, CAST(64 - len(x) AS INTEGER) AS n_zero FROM r, m""")
 def p07(spark, root):
     r = traces(spark, root).select("pixel_id", F.expr("slice(x, 1, CAST(64 - pixel_id % 9 AS INT))").alias("x"))
-    r = r.join(F.broadcast(r.agg(F.min(F.size("x")).alias("w"))), how="cross")  # one row
+    r = with_scalars(r, r.agg(F.min(F.size("x")).alias("w")))
     cut, pad = ar.pad_or_cut("x", F.col("w")), ar.pad_or_cut("x", 64)
     return r.select("pixel_id", F.size(cut).alias("cut_width"), r6(ar.total(cut)).alias("cut_total"), (F.size(pad) - F.size("x")).alias("n_zero"))
 
@@ -148,8 +147,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {q6('1 / (1 + exp(-(thr -
 def p18(spark, root):
     e = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.abs(F.col("l_extendedprice") / F.col("l_quantity") - 1200).alias("err"))
     thr = quantiles(e.filter("l_returnflag = 'R'"), [], "err", {"thr": 0.95}).select("thr")
-    one = thr.join(F.broadcast(e.agg(F.stddev_pop("err").alias("sd"))), how="cross")  # one row each
-    d = e.join(F.broadcast(one), how="cross")
+    d = with_scalars(with_scalars(e, thr), e.agg(F.stddev_pop("err").alias("sd")))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(1 / (1 + F.exp(-(F.col("thr") - F.col("err")) / F.col("sd"))), 5).alias("score"))
 
 

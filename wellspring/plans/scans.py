@@ -61,7 +61,7 @@ def s04(spark, root):
 @query("s04_control_wells", """WITH h AS (SELECT p_partkey, len(list_filter(['small','red','steel'], lambda w: contains(lower(p_name), w))) AS n FROM part)
 SELECT p_partkey, CAST(unnest(string_split(CASE WHEN n >= 2 THEN '0,1,2' ELSE '2' END, ',')) AS INTEGER) AS well FROM h WHERE n >= 1""")
 def s04_wells(spark, root):
-    return s04(spark, root).filter(F.col("kind").isin("ntc_only", "mixed")).select("p_partkey", F.explode(F.split("wells", ",")).cast("int").alias("well"))
+    return s04(spark, root).filter(F.col("kind").isin("ntc_only", "mixed")).select("p_partkey", F.explode(F.split("wells", ",").cast("array<int>")).alias("well"))
 
 
 def plate_xml(spark, root):
@@ -174,14 +174,14 @@ def s15(spark, root):
     return e.select("event_id", key.alias("k"), val.alias("val"))
 
 
-NEST = """SELECT 'chip' || CAST(c_nationkey AS VARCHAR) || '__well' || CAST(c_custkey AS VARCHAR) AS well_key, round(c_acctbal / 300, 3) AS chip_ttp_min FROM customer WHERE c_custkey % 5 <> 0"""
+NEST = """SELECT 'chip' || CAST(c_nationkey AS VARCHAR) || '__well' || CAST(c_custkey AS VARCHAR) AS well_key, round(c_acctbal / 299, 3) AS chip_ttp_min FROM customer WHERE c_custkey % 5 <> 0"""
 
 
 @query("s16_nested_label_json", NEST)
 def s16(spark, root):
     c = table(spark, root, "customer")
     key = F.concat(F.lit("chip"), F.col("c_nationkey").cast("string"), F.lit("__well"), F.col("c_custkey").cast("string"))
-    body = F.create_map(key, F.struct((F.col("c_custkey") % 5 == 0).alias("is_no_amp"), F.round(F.col("c_acctbal") / 300, 3).alias("chip_ttp_min")))
+    body = F.create_map(key, F.struct((F.col("c_custkey") % 5 == 0).alias("is_no_amp"), F.round(F.col("c_acctbal") / 299, 3).alias("chip_ttp_min")))
     path = tb.scratch(spark, "labels")
     c.select(F.to_json(body).alias("value")).write.text(path)
     m = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,struct<is_no_amp:boolean,chip_ttp_min:double>>")).alias("well_key", "v"))
@@ -241,12 +241,12 @@ def s21(spark, root):
     return p.groupBy(F.col("method_id").alias("run"), "model").agg(F.count("*").alias("n"), r6(F.sum("ttp_pred"), 3).alias("total"))
 
 
-@query("s22_scoreboard_scan", """SELECT s_suppkey, coalesce(TRY_CAST(CASE WHEN s_suppkey % 6 = 0 THEN 'n/a' WHEN s_suppkey % 7 = 0 THEN '' ELSE CAST(s_acctbal AS VARCHAR) END AS DOUBLE), 1e308) AS mae FROM supplier""")
+@query("s22_scoreboard_scan", """SELECT s_suppkey, coalesce(TRY_CAST(CASE WHEN s_suppkey % 6 = 0 THEN 'n/a' WHEN s_suppkey % 7 = 0 THEN '' ELSE CAST(s_acctbal AS VARCHAR) END AS DOUBLE), CAST('inf' AS DOUBLE)) AS mae FROM supplier""")
 def s22(spark, root):
     k = F.col("s_suppkey")
     raw = table(spark, root, "supplier").select(k, F.when(k % 6 == 0, "n/a").when(k % 7 == 0, "").otherwise(F.col("s_acctbal").cast("string")).alias("mae"))
     path = tb.scratch(spark, "scoreboard")
     raw.write.option("header", True).csv(path)
     back = spark.read.schema("s_suppkey bigint, mae string").option("header", True).csv(path)
-    # a large finite default keeps unreadable rows last in every ascending ranking
-    return back.select("s_suppkey", F.coalesce(F.expr("try_cast(mae AS double)"), F.lit(1e308)).alias("mae"))
+    # an infinite default keeps unreadable rows last in every ascending ranking
+    return back.select("s_suppkey", F.coalesce(F.expr("try_cast(mae AS double)"), F.lit(float("inf"))).alias("mae"))

@@ -13,16 +13,21 @@ NB = """, nb AS (SELECT p.pixel_id, n.pixel_id AS nbr FROM traces p JOIN traces
 
 
 def box_neighbours(df, order, keys=WELL):
-    """Pixels within Chebyshev distance, found by an equi-join on shifted grid positions."""
+    """Neighbour count and id total within Chebyshev distance, by equi-join on grid positions.
+
+    Positions are summed before they are copied to their surroundings and again after, so pixels
+    sharing a position never meet pairwise.
+    """
     span = range(-order, order + 1)
+    spot = [*keys, "prow", "pcol"]
     offs = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in span for b in span]))
-    left = df.select(*keys, "pixel_id", "prow", "pcol").withColumn("o", offs).select(
-        *keys, "pixel_id", (F.col("prow") + F.col("o.dr")).alias("prow"), (F.col("pcol") + F.col("o.dc")).alias("pcol"))
-    right = df.select(*keys, "prow", "pcol", F.col("pixel_id").alias("nbr"))
-    return left.join(right, [*keys, "prow", "pcol"]).select("pixel_id", "nbr")
+    cells = df.groupBy(*spot).agg(F.count("*").alias("n"), F.sum("pixel_id").alias("s"))
+    sent = cells.withColumn("o", offs).select(*keys, (F.col("prow") + F.col("o.dr")).alias("prow"), (F.col("pcol") + F.col("o.dc")).alias("pcol"), "n", "s")
+    around = sent.groupBy(*spot).agg(F.sum("n").alias("n_nbr"), F.sum("s").alias("nbr_total"))
+    return df.select(*spot, "pixel_id").join(around, spot).select("pixel_id", "n_nbr", "nbr_total")
 
 
-@query("j08_box_neighbours", f"WITH {TRACES}{NB.format(k=5)} SELECT pixel_id, nbr FROM nb")
+@query("j08_box_neighbours", f"WITH {TRACES}{NB.format(k=5)} SELECT pixel_id, count(*) AS n_nbr, CAST(sum(nbr) AS BIGINT) AS nbr_total FROM nb GROUP BY 1")
 def j08(spark, root):
     return box_neighbours(traces(spark, root), 5)
 
@@ -72,3 +77,10 @@ def a40(spark, root):
         F.col("prow") - F.col("r0"), F.col("r1") - F.col("prow"), F.col("pcol") - F.col("c0"), F.col("c1") - F.col("pcol")).alias("d"))
     a = d.groupBy("category").agg(r6(F.avg("d")).alias("mean_d"))
     return attach(a, quantiles(d, ["category"], "d", {"m": 0.5}).select("category", "n", r6("m").alias("med_d")), ["category"])
+
+
+@query("u04_group_function", f"WITH {TRACES_LONG}{NB.format(k=1)} SELECT nb.pixel_id, {q6('avg(v)')} AS total FROM nb JOIN tl ON tl.pixel_id = nb.nbr WHERE t = 0 GROUP BY 1")
+def u04(spark, root):
+    """Per-tile group function: a group is a bounded tile of the grid, never a whole well."""
+    s = sp.box_smooth(traces(spark, root), 1)
+    return s.select("pixel_id", r6(F.get("x", F.lit(0))).alias("total"))

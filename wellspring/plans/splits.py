@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wellspring.operators import splits as sp
-from wellspring.operators.ranking import attach
+from wellspring.operators.ranking import attach, with_scalars
 from wellspring.plans import query
 from wellspring.plans.bindings import TRACES, table, traces
 
@@ -76,7 +76,7 @@ SELECT CASE WHEN chip = 's3' THEN 'test' WHEN chip = vc THEN 'val' ELSE 'train'
 def k06(spark, root):
     d = _items(spark, root)
     v = sp.pick_group(d.filter("chip <> 's3'"), "chip", 11)
-    d = d.join(F.broadcast(v), how="cross")  # one row
+    d = with_scalars(d, v)
     return _sum(d.withColumn("split", F.when(F.col("chip") == "s3", "test").when(F.col("chip") == F.col("picked"), "val").otherwise("train")))
 
 
