@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import arrays as ar
 from wellspring.operators.ranking import attach, median_mad, quantiles
 from wellspring.operators.spatial import WELL, nearest
-from wellspring.session import durable
+from wellspring.session import durable, spread
 
 STATS = ("dyn_range", "net_slope", "trace_min")
 
@@ -32,11 +32,10 @@ def control_thresholds(stats: DataFrame, rule: str = "mad", k: float = 1.5, pct_
     pairs = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in STATS])
     tall = stats.filter("is_ntc").select("chip_id", F.inline(pairs))
     keys = ["chip_id", "stat"]
-    per = median_mad(tall, keys, "v", split_rows)
+    extra = {"p_amp": pct_amp / 100.0, "p_shape": pct_shape / 100.0} if rule == "pct" else None
+    per = median_mad(tall, keys, "v", split_rows, extra)
     if rule == "pct":
-        cuts = quantiles(tall, keys, "v", {"p_amp": pct_amp / 100.0, "p_shape": pct_shape / 100.0}, split_rows)
-        cut = F.when(F.col("stat") == "dyn_range", F.col("p_amp")).otherwise(F.col("p_shape"))
-        per = attach(per, cuts.drop("n"), keys).withColumn("thr", cut)
+        per = per.withColumn("thr", F.when(F.col("stat") == "dyn_range", F.col("p_amp")).otherwise(F.col("p_shape")))
     else:
         per = per.withColumn("thr", F.col("med") - F.lit(float(k)) * F.col("mad"))
     wide = [
@@ -109,7 +108,7 @@ def disagreement(df: DataFrame, metric: str = "median", k: int = 8, kth: str = "
     if metric == "kth":
         ref = hop.filter(F.col("_k") == k).select(*WELL, "pixel_id", F.col("_nx").alias("_ref"))
     else:
-        stacks = hop.groupBy(*WELL, "pixel_id").agg(F.collect_list("_nx").alias("_st")).filter(F.size("_st") == k)
+        stacks = spread(hop, *WELL, "pixel_id").groupBy(*WELL, "pixel_id").agg(F.collect_list("_nx").alias("_st")).filter(F.size("_st") == k)
         ref = stacks.select(*WELL, "pixel_id", (_elementwise_median("_st") if metric == "median" else _elementwise_mean("_st")).alias("_ref"))
     return df.join(ref, [*WELL, "pixel_id"]).withColumn("score", ar.l2("x", "_ref")).drop("_ref")
 
@@ -131,14 +130,16 @@ def chip_filter(df: DataFrame, layers: str = "ABCD", rule: str = "mad", k: float
                 clean_controls_first: bool = False, metric: str = "median", c_k: int = 8, d_k: int = 8,
                 pct_amp: float = 5.0, pct_shape: float = 5.0, d_pct: float = 95.0,
                 split_rows: int | None = None) -> DataFrame:
-    """All chips in one job: adds a, b, c, d, ntc_d, keep. ``is_ntc`` may mark several wells.
+    """Flags a, b, c, d, ntc_d and keep for every pixel of all chips (without the traces).
 
+    ``is_ntc`` may mark several wells.
     A-C never drop controls, D may. Chips without control pixels are absent from the result.
     """
     if layers not in ("A", "AB", "ABC", "ABCD"):
         raise ValueError(f"layers must be A, AB, ABC or ABCD, got {layers!r}")
     id3 = [*WELL, "pixel_id"]
-    stats = with_stats(df)
+    # traces are read once here; everything up to layer D works on ids and three numbers per pixel
+    stats = durable(with_stats(df).drop("x"))
     if clean_controls_first:
         dropped = layer_d(df.filter("is_ntc"), rule, k, d_pct, metric, d_k, split_rows).filter("d")
         stats = stats.join(dropped.select(*id3, F.lit(True).alias("ntc_d")), id3, "left")
@@ -149,16 +150,25 @@ def chip_filter(df: DataFrame, layers: str = "ABCD", rule: str = "mad", k: float
     flags = layers_ab(stats, thr, layers)
     for name in ("a", "b"):
         flags = flags.withColumn(name, F.col(name) & ~F.col("is_ntc"))
-    flags = layer_c(flags, c_k) if "C" in layers else flags.withColumn("bad_count", F.lit(-1)).withColumn("c", F.lit(False))
+    flags = flags.drop(*[f"thr_{s}" for s in STATS])
+    if "C" in layers:
+        flags = layer_c(durable(flags), c_k)
+    else:
+        flags = flags.withColumn("bad_count", F.lit(-1)).withColumn("c", F.lit(False))
     if "D" in layers:
         flags = durable(flags)
-        d = layer_d(flags.filter("NOT (a OR b OR c)"), rule, k, d_pct, metric, d_k, split_rows)
+        alive = flags.filter("NOT (a OR b OR c)").select(*id3)
+        d = layer_d(df.join(alive, id3, "left_semi"), rule, k, d_pct, metric, d_k, split_rows)
         flags = flags.join(d.select(*id3, "score", "d"), id3, "left").withColumn("d", F.coalesce("d", F.lit(False)))
     else:
         flags = flags.withColumn("score", F.lit(None).cast("double")).withColumn("d", F.lit(False))
-    return flags.withColumn("keep", ~(F.col("a") | F.col("b") | F.col("c") | F.col("d") | F.col("ntc_d"))).drop(
-        *[f"thr_{s}" for s in STATS]
-    )
+    return flags.withColumn("keep", ~(F.col("a") | F.col("b") | F.col("c") | F.col("d") | F.col("ntc_d")))
+
+
+def kept_traces(df: DataFrame, flags: DataFrame) -> DataFrame:
+    """Rows of the trace table that the filter keeps, all columns unchanged."""
+    id3 = [*WELL, "pixel_id"]
+    return df.join(flags.filter("keep").select(*id3), id3, "left_semi")
 
 
 def settle_time(df: DataFrame, keys, t: str, temp: str, frac: float = 0.995, fallback: str = "zero") -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from wellspring.session import durable
 
-SPLIT_ROWS = 500_000
+SPLIT_ROWS = 500_000  # largest group a single task may order
+HASH_ROWS = 100_000  # largest group whose values one aggregation buffer may hold
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -38,6 +39,7 @@ def running_total(
     weight: str | None = None,
     out: str = "before",
     split_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the weight of all earlier rows of the same group (1 per row by default).
 
@@ -46,7 +48,7 @@ def running_total(
     keys, order = list(keys), list(order)
     w = F.col(weight) if weight else F.lit(1).cast("long")
     limit = SPLIT_ROWS if split_rows is None else split_rows
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         win = Window.partitionBy(*keys).orderBy(*order)
         frame = win.rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(w).over(frame), F.lit(0)).cast("long"))
@@ -105,19 +107,25 @@ def quantiles(
     value: str,
     probs: dict[str, float],
     split_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, plus ``n`` (rows with a value)."""
+    """Exact linear-interpolation quantiles per group, plus ``n`` (rows with a value).
+
+    ``largest`` passes on a group size that is already known.
+    """
     keys = list(keys)
     limit = SPLIT_ROWS if split_rows is None else split_rows
     have = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    if largest_group(have, keys) <= limit:
+    largest = largest_group(have, keys) if largest is None else largest
+    if largest <= min(limit, HASH_ROWS):
         return have.groupBy(*keys).agg(
             F.count("*").alias("n"),
             *[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()],
         )
     counted = value_counts(have, keys, value)
-    cum = running_total(counted, keys, [value], "cnt", "before", limit)
-    totals = cum.groupBy(*keys).agg(F.sum("cnt").alias("n"))
+    # distinct values never outnumber rows, so the known size still bounds every group
+    cum = running_total(counted, keys, [value], "cnt", "before", limit, largest if largest <= limit else None)
+    totals = have.groupBy(*keys).agg(F.count("*").alias("n"))
     if keys:
         renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "n")
         cond = F.lit(True)
@@ -141,12 +149,13 @@ def quantiles(
     return picked.select(*keys, "n", *cols)
 
 
-def median_mad(df, keys, value, split_rows=None) -> DataFrame:
-    """Per group: n, median ``med`` and 1.4826 x median absolute deviation ``mad``."""
-    med = quantiles(df, keys, value, {"med": 0.5}, split_rows)
-    dev = attach(df.filter(F.col(value).isNotNull()).select(*keys, value), med.select(*keys, "med"), keys)
-    dev = dev.select(*keys, F.abs(F.col(value) - F.col("med")).alias("_dev"))
-    raw = quantiles(dev, keys, "_dev", {"raw": 0.5}, split_rows).drop("n")
+def median_mad(df, keys, value, split_rows=None, extra: dict[str, float] | None = None) -> DataFrame:
+    """Per group: n, median ``med``, 1.4826 x median absolute deviation ``mad`` and ``extra`` quantiles."""
+    have = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    size = largest_group(have, keys)
+    med = quantiles(have, keys, value, {"med": 0.5, **(extra or {})}, split_rows, size)
+    dev = attach(have, med.select(*keys, "med"), keys).select(*keys, F.abs(F.col(value) - F.col("med")).alias("_dev"))
+    raw = quantiles(dev, keys, "_dev", {"raw": 0.5}, split_rows, size).drop("n")
     return attach(med, raw.withColumn("mad", F.col("raw") * 1.4826).drop("raw"), keys)
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspring.session import durable
+from wellspring.session import durable, spread
 
 WELL = ["chip_id", "well_id"]
 
@@ -159,17 +159,17 @@ def box_smooth(df: DataFrame, order: int, keys=WELL, pid: str = "pixel_id", x: s
         grid = np.zeros((side, side, length + 1))
         grid[r - r0, c - c0, :length] = np.stack(pdf["s"].to_numpy())
         grid[r - r0, c - c0, length] = pdf["n"].to_numpy()
+        at = np.arange(side)
+        lo, hi = np.maximum(at - order, 0), np.minimum(at + order + 1, side)
         for axis in (0, 1):
-            grid = np.stack([
-                grid.take(range(max(0, i - order), min(side, i + order + 1)), axis=axis).sum(axis=axis)
-                for i in range(side)
-            ], axis=axis)
+            run = np.concatenate([np.zeros_like(grid.take([0], axis=axis)), np.cumsum(grid, axis=axis)], axis=axis)
+            grid = run.take(hi, axis=axis) - run.take(lo, axis=axis)
         got = grid[r[home] - r0, c[home] - c0]
         out = pdf.loc[home, spot].copy()
         out["xs"] = pd.Series((got[:, :length] / got[:, length:]).tolist(), index=out.index, dtype=object)
         return out
 
-    smoothed = tiled.groupBy(*keys, "tr", "tc").applyInPandas(smooth, schema)
+    smoothed = spread(tiled, *keys, "tr", "tc").groupBy(*keys, "tr", "tc").applyInPandas(smooth, schema)
     return df.join(smoothed, spot).withColumn(x, F.col("xs")).drop("xs").select(*df.columns)
 
 

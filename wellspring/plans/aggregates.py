@@ -93,7 +93,7 @@ count(*) FILTER (coalesce(dm, false)) AS dropped_d_mean, count(*) FILTER (a OR b
 FROM fin JOIN bk ON bk.pixel_id = fin.pixel_id LEFT JOIN md ON md.pixel_id = fin.pixel_id GROUP BY 1, 2""")
 def a25(spark, root):
     f = ql.chip_filter(traces(spark, root), "ABCD", "pct")
-    alive = f.filter("NOT (a OR b OR c)")
+    alive = traces(spark, root).join(f.filter("NOT (a OR b OR c)").select("pixel_id"), "pixel_id", "left_semi")
     dm = ql.layer_d(alive, "pct", metric="mean").select("pixel_id", F.col("d").alias("dm"))
     j = f.join(buckets(spark, root).select("pixel_id", "bucket"), "pixel_id").join(dm, "pixel_id", "left").withColumn("dm", F.coalesce("dm", F.lit(False)))
     abc = F.col("a") | F.col("b") | F.col("c")
@@ -118,7 +118,7 @@ def a35(spark, root):
     """Strictness x smoothing order: error of the well-mean peak time against a per-well reference."""
     t, out = traces(spark, root), None
     for k in (1.5, 3.0):
-        kept = ql.chip_filter(t, "ABCD", "mad", k).filter("keep").select(*t.columns)
+        kept = ql.kept_traces(t, ql.chip_filter(t, "ABCD", "mad", k))
         for order in (0, 3):
             m = sp.mean_trace(sp.box_smooth(kept, order), WELL)
             err = F.abs(ar.argmax("x") / 15.0 - F.col("well_id") * 0.4)

@@ -192,7 +192,8 @@ def export_filter_json(spark, root):
     """Per-well records with their funnel, per-pixel records as lines beside them; no group is gathered."""
     f = ql.chip_filter(traces(spark, root), "ABC", "pct")
     path = tb.scratch(spark, "viewer")
-    px = f.select(*WELL, "pixel_id", "prow", "pcol", "a", "b", "c", "keep", F.transform("x", lambda v: F.round(v, 3)).alias("trace"))
+    rounded = traces(spark, root).select(*WELL, "pixel_id", F.transform("x", lambda v: F.round(v, 3)).alias("trace"))
+    px = f.select(*WELL, "pixel_id", "prow", "pcol", "a", "b", "c", "keep").join(rounded, [*WELL, "pixel_id"])
     px.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chip_id", "well_id", F.pmod(F.xxhash64("pixel_id"), F.lit(8))).write.partitionBy("chip_id").json(f"{path}/pixels")
     wells = f.groupBy(*WELL).agg(F.struct(F.count("*").alias("n_total"), F.count_if("a").alias("n_a"), F.count_if("b").alias("n_b"), F.count_if("c").alias("n_c")).alias("funnel"))
     wells.write.json(f"{path}/wells")

@@ -44,5 +44,10 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ahead of a heavy per-group step; a groupBy on the same keys needs no second shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def table_path(root: str, name: str) -> str:
     return os.path.join(root, f"{name}.parquet")
