@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.operators.ranking import attach, average_ranks
+from wellspring.session import durable
 
 TARGET_SLOPE = -3.1336  # fixed value: reference minutes per decade
 
@@ -46,7 +47,7 @@ def spearman(df: DataFrame, keys, x: str, y: str, split_rows: int | None = None)
 def portfolio(df: DataFrame, keys=("method_id",), split: str | None = "test") -> DataFrame:
     """All resolution metrics of every method in one job."""
     keys = list(keys)
-    wells = well_means(df, keys, split)
+    wells = durable(well_means(df, keys, split))  # one pass over pixels; the metrics below read wells
     base = wells.groupBy(*keys).agg(
         F.avg(F.abs(F.col("pred_mean") - F.col("true_mean"))).alias("per_well_mae"),
         F.avg(F.when(F.abs("pred_mean") > 1e-6, F.col("pred_std") / F.abs("pred_mean"))).alias("within_well_cov"),

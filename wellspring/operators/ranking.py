@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from wellspring.session import durable
 
 SPLIT_ROWS = 500_000  # largest group a single task may order
-HASH_ROWS = 100_000  # largest group whose values one aggregation buffer may hold
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -117,14 +116,13 @@ def quantiles(
     limit = SPLIT_ROWS if split_rows is None else split_rows
     have = df.filter(F.col(value).isNotNull()).select(*keys, value)
     largest = largest_group(have, keys) if largest is None else largest
-    if largest <= min(limit, HASH_ROWS):
+    if largest <= limit:
         return have.groupBy(*keys).agg(
             F.count("*").alias("n"),
             *[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()],
         )
     counted = value_counts(have, keys, value)
-    # distinct values never outnumber rows, so the known size still bounds every group
-    cum = running_total(counted, keys, [value], "cnt", "before", limit, largest if largest <= limit else None)
+    cum = running_total(counted, keys, [value], "cnt", "before", limit)
     totals = have.groupBy(*keys).agg(F.count("*").alias("n"))
     if keys:
         renamed = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "n")

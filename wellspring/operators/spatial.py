@@ -52,7 +52,9 @@ def nearest(df: DataFrame, k: int = 8, keys=WELL, pid: str = "pixel_id", fan: in
         .groupBy(*keys)
         .agg(F.max(F.when((F.col("mates") <= fan) | (F.col("lvl") == 0), F.col("lvl"))).alias("lvl"))
     )
+    crowd = durable(crowd)  # one row per well
     todo = base.join(crowd, keys)
+    levels = crowd
     settled: list[DataFrame] = []
     best = Window.partitionBy(*keys, pid).orderBy("d2", "_nr", "_nc", "nbr")
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
@@ -62,7 +64,6 @@ def nearest(df: DataFrame, k: int = 8, keys=WELL, pid: str = "pixel_id", fan: in
             (_cell("prow", F.col("lvl")) + F.col("_o.dr")).alias("cr"),
             (_cell("pcol", F.col("lvl")) + F.col("_o.dc")).alias("cc"),
         )
-        levels = todo.select(*keys, "lvl").distinct()
         offers = cand.join(levels, keys).select(
             *keys, "lvl", _cell("prow", F.col("lvl")).alias("cr"), _cell("pcol", F.col("lvl")).alias("cc"),
             F.col(pid).alias("nbr"), F.col("prow").alias("_nr"), F.col("pcol").alias("_nc"),
@@ -74,7 +75,7 @@ def nearest(df: DataFrame, k: int = 8, keys=WELL, pid: str = "pixel_id", fan: in
             .withColumn("nrank", F.row_number().over(best))
             .filter(F.col("nrank") <= k)
         )
-        if _everything_in_view(todo, top):
+        if _everything_in_view(levels, top):
             settled.append(near.select(*keys, pid, "nbr", "d2", "nrank"))
             break
         near = durable(near.select(*keys, pid, "nbr", "d2", "nrank", "lvl"))
@@ -86,7 +87,8 @@ def nearest(df: DataFrame, k: int = 8, keys=WELL, pid: str = "pixel_id", fan: in
         settled.append(near.join(sure, [*keys, pid], "left_semi").select(*keys, pid, "nbr", "d2", "nrank"))
         left = todo.join(sure, [*keys, pid], "left_anti").filter(F.col("lvl") < top)
         todo = durable(left.withColumn("lvl", F.col("lvl") + 1))
-        if todo.isEmpty():
+        levels = durable(todo.select(*keys, "lvl").distinct())
+        if levels.isEmpty():
             break
     out = settled[0]
     for part in settled[1:]:
@@ -94,9 +96,9 @@ def nearest(df: DataFrame, k: int = 8, keys=WELL, pid: str = "pixel_id", fan: in
     return out
 
 
-def _everything_in_view(todo: DataFrame, top: int) -> bool:
-    """True when every open pixel already looks at cells wider than the grid."""
-    return (todo.agg(F.min("lvl")).first()[0] or 0) >= top
+def _everything_in_view(levels: DataFrame, top: int) -> bool:
+    """True when every open well already looks at cells wider than the grid."""
+    return (levels.agg(F.min("lvl")).first()[0] or 0) >= top
 
 
 def sum_traces(df: DataFrame, keys, x: str = "x") -> DataFrame:
