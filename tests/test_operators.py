@@ -299,3 +299,39 @@ def test_alignment_check(spark):
     tb.validate_alignment(a, a)
     with pytest.raises(ValueError):
         tb.validate_alignment(a, a.limit(1))
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_capped_sample_sizes(spark, n):
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), F.col("id").alias("pixel_id")).filter("k = 0 OR pixel_id < 9")
+    got = {r["k"]: r["count"] for r in st.capped_sample(df, ["k"], ["pixel_id"], n, 1).groupBy("k").count().collect()}
+    assert got == {0: min(n, 2000), 1: min(n, 4)}
+
+
+def test_pixels_without_coordinates_pass_through(spark):
+    rows = [("c", 0, 7, None, None, False, 0, [1.0, 2.0, 3.0])]
+    got = {r["pixel_id"]: r["x"] for r in sp.box_smooth(pixels(spark, [(0, 0), (0, 1)], rows), 1).collect()}
+    assert got[7] == [1.0, 2.0, 3.0] and got[0] == got[1]
+
+
+def test_savgol_reproduces_a_cubic(spark):
+    t = np.arange(30) / 10.0
+    y = 1 + t - 2 * t**2 + t**3
+    assert np.allclose(one(spark, y, ar.savgol("p", 9, 3)), y)
+    assert one(spark, y[:5], ar.savgol("p", 9, 3)) is None
+
+
+def test_series_blocks_match_whole_series(spark):
+    from wellspring.operators import series as sr
+
+    rng = np.random.default_rng(8)
+    df = frame(spark, [("a", i, float(v)) for i, v in enumerate(rng.normal(size=300))], "sid string, t int, v double")
+    for build in (lambda b: sr.gradients(df, ["sid"], block=b), lambda b: sr.savgol(df, ["sid"], 9, 3, block=b), lambda b: sr.feature_table(df, ["sid"], 20, 10, block=b),
+                  lambda b: sr.scaled_derivative(df, ["sid"], 9, 2.0, block=b), lambda b: sr.padded_mean(df, ["sid"], 9, block=b)):
+        small, whole = build(24).orderBy("t").toPandas(), build(10**6).orderBy("t").toPandas()
+        assert len(small) == len(whole) >= 299
+        for c in small.columns:
+            if c != "sid":
+                assert np.allclose(small[c].astype(float), whole[c].astype(float), equal_nan=True), c

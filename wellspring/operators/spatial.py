@@ -129,10 +129,13 @@ def box_smooth(df: DataFrame, order: int, keys=WELL, pid: str = "pixel_id", x: s
 
     Each grid position is first reduced to one summed trace. Positions go to their own tile and
     to the tiles whose rim they touch, so a task holds at most (tile + 2 x order) squared
-    positions however large the well. Row count and other columns are unchanged.
+    positions however large the well. Row count and other columns are unchanged; pixels without
+    coordinates pass through.
     """
     if order == 0:
         return df
+    placed = F.col("prow").isNotNull() & F.col("pcol").isNotNull()
+    unplaced, df = df.filter(~placed), df.filter(placed)
     keys = list(keys)
     spot = [*keys, "prow", "pcol"]
     shared = df.groupBy(*spot).count().filter("count > 1").drop("count")
@@ -172,7 +175,8 @@ def box_smooth(df: DataFrame, order: int, keys=WELL, pid: str = "pixel_id", x: s
         return out
 
     smoothed = spread(tiled, *keys, "tr", "tc").groupBy(*keys, "tr", "tc").applyInPandas(smooth, schema)
-    return df.join(smoothed, spot).withColumn(x, F.col("xs")).drop("xs").select(*df.columns)
+    done = df.join(smoothed, spot).withColumn(x, F.col("xs")).drop("xs").select(*df.columns)
+    return done.unionByName(unplaced)
 
 
 def pool_tiles(df: DataFrame, order: int, keys=WELL, x: str = "x") -> DataFrame:

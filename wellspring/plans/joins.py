@@ -114,12 +114,17 @@ def j11(spark, root):
     return with_scalars(seen, total).withColumn("complete", F.col("seen") == F.col("runs"))
 
 
-@query("j12_priority_union", """SELECT l_orderkey AS pixel_id, count(DISTINCT l_linenumber) AS refs, max(l_linenumber) AS ref, max(l_extendedprice) FILTER (l_linenumber = top) AS v FROM (
- SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS top FROM lineitem) z GROUP BY 1""")
+@query("j12_priority_union", """WITH g AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN l_linenumber = (SELECT max(l_linenumber) FROM lineitem) THEN 0 ELSE l_linenumber END AS prio FROM g)
+SELECT l_orderkey AS pixel_id, count(*) AS refs, arg_min(l_linenumber, prio) AS ref, arg_min(v, prio) AS v FROM p GROUP BY 1""")
 def j12(spark, root):
-    li = table(spark, root, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("v"))
-    return li.groupBy(F.col("l_orderkey").alias("pixel_id")).agg(
-        F.count("*").alias("refs"), F.max("l_linenumber").alias("ref"), F.max_by("v", "l_linenumber").alias("v"))
+    """Trace of the last reference where the pixel is active there, else of its first earlier one."""
+    src = table(spark, root, "lineitem")
+    li = src.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("v"))
+    last = with_scalars(li, src.agg(F.max("l_linenumber").alias("last")))
+    prio = last.withColumn("prio", F.when(F.col("l_linenumber") == F.col("last"), 0).otherwise(F.col("l_linenumber")))
+    return prio.groupBy(F.col("l_orderkey").alias("pixel_id")).agg(
+        F.count("*").alias("refs"), F.min_by("l_linenumber", "prio").alias("ref"), F.min_by("v", "prio").alias("v"))
 
 
 SHIFTS, GAINS = range(-3, 4), (0.95, 1.0, 1.05)

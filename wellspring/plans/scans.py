@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
 from wellspring.operators import quality as ql
-from wellspring.operators.ranking import quantiles, attach, row_index
+from wellspring.operators.ranking import row_index
 from wellspring.operators.spatial import WELL
 from wellspring.operators.splits import capped_sample
 from wellspring.plans import query
@@ -124,6 +124,14 @@ def s09(spark, root):
     return back.select("method_id", "seed", "chip_id", "well_id", "pixel_id", r6("ttp_pred").alias("ttp_pred"), r6(ar.total("density")).alias("density_sum"))
 
 
+@query("s09_label_round_trip", f"WITH {PREDICTIONS} SELECT chip_id, well_id, pixel_id, {q6('ttp_true')} AS ttp_true, log10_conc, split FROM pred WHERE method_id = 'fam1_seed1'")
+def s09_labels(spark, root):
+    path = tb.scratch(spark, "labels")
+    p = predictions(spark, root).filter("method_id = 'fam1_seed1'")
+    tb.write_labels(p.select("chip_id", "well_id", "pixel_id", "ttp_true", "log10_conc", "split"), path)
+    return tb.read_labels(spark, path).withColumn("ttp_true", r6("ttp_true"))
+
+
 @query("s10_alignment_check", f"""WITH {PREDICTIONS}, p AS (SELECT DISTINCT chip_id, well_id, pixel_id FROM pred WHERE pixel_id % 10 <> 0), l AS (SELECT DISTINCT chip_id, well_id, pixel_id FROM pred WHERE pixel_id % 15 <> 0)
 SELECT coalesce(p.chip_id, l.chip_id) AS chip_id, coalesce(p.well_id, l.well_id) AS well_id, coalesce(p.pixel_id, l.pixel_id) AS pixel_id, CASE WHEN p.pixel_id IS NULL THEN 'predictions' ELSE 'labels' END AS missing_in
 FROM p FULL JOIN l ON p.chip_id = l.chip_id AND p.well_id = l.well_id AND p.pixel_id = l.pixel_id WHERE p.pixel_id IS NULL OR l.pixel_id IS NULL""")

@@ -47,6 +47,14 @@ def read_predictions(spark: SparkSession, path: str, extra: str = "") -> DataFra
     return spark.read.schema(PREDICTION_SCHEMA + (f", {extra}" if extra else "")).parquet(path)
 
 
+def write_labels(df: DataFrame, path: str) -> None:
+    df.write.mode("append").partitionBy("split").parquet(path)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LABEL_SCHEMA).parquet(path)
+
+
 def misaligned(preds: DataFrame, labels: DataFrame, keys=("chip_id", "well_id", "pixel_id")) -> DataFrame:
     """Keys present on one side only."""
     p = preds.select(*keys).distinct().withColumn("_p", F.lit(True))
