@@ -6,7 +6,7 @@ from wellspring.functions import arrays as ar
 from wellspring.operators.ranking import quantiles, row_index, with_scalars
 from wellspring.plans import query
 from wellspring.plans.bindings import (
-    PREDICTIONS, SCORES, SERIES, TRACES, long, predictions, q6, r6, scores, series, table, traces,
+    PREDICTIONS, SCORES, TRACES, long, predictions, q6, r6, table, traces,
 )
 
 

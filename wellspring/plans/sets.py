@@ -8,10 +8,10 @@ from wellspring.plans.bindings import TRACES, q6, r6, table, traces
 
 
 @query("o01_union_with_origin", """SELECT origin, id, CAST(v AS DOUBLE) AS v FROM (
- SELECT 'cov' AS origin, c_custkey AS id, c_acctbal AS v FROM customer UNION ALL SELECT 'uti', s_suppkey + 1000000000, s_acctbal FROM supplier) z""")
+ SELECT 'main' AS origin, c_custkey AS id, c_acctbal AS v FROM customer UNION ALL SELECT 'second', s_suppkey + 1000000000, s_acctbal FROM supplier) z""")
 def o01(spark, root):
-    a = table(spark, root, "customer").select(F.lit("cov").alias("origin"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    b = table(spark, root, "supplier").select(F.lit("uti").alias("origin"), (F.col("s_suppkey") + 1000000000).alias("id"), F.col("s_acctbal").alias("v"))
+    a = table(spark, root, "customer").select(F.lit("main").alias("origin"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
+    b = table(spark, root, "supplier").select(F.lit("second").alias("origin"), (F.col("s_suppkey") + 1000000000).alias("id"), F.col("s_acctbal").alias("v"))
     return a.unionByName(b)
 
 
