@@ -24,7 +24,7 @@ def duck(root: str):
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "∅"
     if hasattr(v, "item"):
         v = v.item()

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -34,10 +37,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wellspring-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python may not have it on its path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="wellspring-package-"), "wellspring.zip")  # read by the driver alone
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
