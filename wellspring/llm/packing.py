@@ -24,7 +24,7 @@ from wellspring.llm.common import keep, ranked
 
 CAPACITY = 4096
 END_ID = 1  # fixed value: the id after each document
-CACHED_WORDS = 300_000  # words whose ids a Python worker remembers
+CACHED_WORDS = 700_000  # words whose ids a Python worker remembers
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 _tokenizers: dict = {}
@@ -32,32 +32,70 @@ _words: dict = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer and, per id, whether its token ends a word."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        made = Tokenizer.from_file(path)
+        made.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = made.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = made, ends
     return _tokenizers[path]
 
 
+def _plain(word: str) -> bool:
+    """Letters alone, before and after lower-casing: one word to the tokenizer, whatever stands beside it."""
+    return word.isalpha() and max(word) < "\u2000" and word.lower().isalpha()
+
+
+def _pointed(word: bytes) -> bool:
+    """A word and one point or comma: two words to the tokenizer."""
+    return word[-1:] in (b".", b",") and word[-2:-1].isalnum()
+
+
+def _learn(chunks: list[bytes], path: str, known: dict[bytes, bytes]) -> dict[bytes, bytes]:
+    """Ids of chunks. Chunks of letters are encoded many at a time and cut where a token ends a word."""
+    tokenizer, ends = _tokenizer(path)
+    found: dict[bytes, bytes] = {}
+    pointed = [w for w in chunks if _pointed(w)]
+    new = [w for w in {b".", b",", *(w[:-1] for w in pointed), *(w for w in chunks if not _pointed(w))} if w not in known]
+    text = {w: w.decode("utf-8", "replace") for w in new}
+    plain = [w for w in new if _plain(text[w])]
+    for at in range(0, len(plain), 500):
+        group = plain[at : at + 500]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join([text[w] for w in group])], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(cuts) == len(group):  # else they are encoded one by one below
+            data, cuts = ids.tobytes(), cuts.tolist()
+            found.update(zip(group, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]))
+    rest = [w for w in new if w not in found]
+    for at in range(0, len(rest), 20_000):
+        words = rest[at : at + 20_000]
+        encoded = tokenizer.encode_batch_fast([text[w] for w in words], add_special_tokens=False)
+        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded))
+    of = lambda w: found[w] if w in found else known[w]
+    found.update([(w, of(w[:-1]) + of(w[-1:])) for w in pointed])
+    return found
+
+
 def id_bytes(texts: list[bytes | None], path: str) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers.
 
-    Only for tokenizers whose tokens never hold or cross a blank or a line feed, which is why a text
-    is the concatenation of its blank-separated chunks and a chunk's ids can be remembered.
+    Only for lower-casing tokenizers with word ends, whose tokens never hold or cross a blank or a line
+    feed and keep letters and punctuation apart: a text is then the concatenation of its
+    blank-separated chunks, less case, and of a word and the lone point or comma after it.
     """
     known = _words.setdefault(path, {b"": b""})
     for at in range(0, len(texts), 256):
-        chunks = [(t or b"").replace(b"\n", b" ").split(b" ") for t in texts[at : at + 256]]
+        chunks = [(t or b"").replace(b"\n", b" ").lower().split(b" ") for t in texts[at : at + 256]]
         new = [w for w in set().union(*chunks) if w not in known]
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
             known[b""] = b""
             new = [w for w in set().union(*chunks) if w]
-        for cut in range(0, len(new), 20_000):
-            words = new[cut : cut + 20_000]
-            encoded = _tokenizer(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded))
+        known.update(_learn(new, path, known))
         for c in chunks:
             yield b"".join([known[w] for w in c])
 

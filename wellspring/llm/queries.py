@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import chat, lines, mixing, neighbours, packing, quality, simhash, warc
+from wellspring.llm import chat, lines, mixing, neighbours, packing, quality, simhash, substring, warc
 from wellspring.llm.common import table
 from wellspring.sources.tables import scratch
 
@@ -107,3 +107,8 @@ def op7_simhash(spark: SparkSession, root: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     cut = lines.deduplicated(table(spark, root, "documents"))
     return cut.select("_row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("_row.text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return substring.deduplicated(table(spark, root, "documents"))

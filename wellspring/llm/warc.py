@@ -37,14 +37,20 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*[group(i) for i in range(8)]), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, digest, bytes, and ``refers_to``: null for responses."""
+def plan(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, int]:
+    """page_id, url, payload, digest, bytes, ``refers_to`` (null for responses), and the mean payload.
+
+    Digests that repeat are found without the payloads and kept as a table, whose size Spark checks
+    before it broadcasts it; a larger one is joined by shuffling.
+    """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    held = rows.filter(F.col("bytes") >= min_bytes).groupBy(F.col("digest").alias("g_digest"), F.col("bytes").alias("g_bytes")).agg(F.max("page_id").alias("held_by"), F.count("*").alias("n")).filter("n > 1")
+    sums = keep(rows.groupBy(F.col("digest").alias("g_digest"), F.col("bytes").alias("g_bytes")).agg(F.max("page_id").alias("held_by"), F.count("*").alias("n")), "digests")
+    mean = sums.agg(F.sum(F.col("g_bytes") * F.col("n")) / F.sum("n")).first()[0] or 0
+    held = keep(sums.filter((F.col("n") > 1) & (F.col("g_bytes") >= min_bytes)).drop("n"), "repeats")
     joined = rows.join(held, (F.col("digest") == F.col("g_digest")) & (F.col("bytes") == F.col("g_bytes")), "left")
     revisit = F.col("held_by").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("held_by"))
-    return joined.select("page_id", "url", "payload", "digest", "bytes", F.when(revisit, F.col("held_by")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", "bytes", F.when(revisit, F.col("held_by")).alias("refers_to")), int(mean)
 
 
 def record(page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column) -> Column:
@@ -69,10 +75,9 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Archive ``pages`` (page_id, url, html) under ``path``, plain WARC files of about ``FILE_BYTES``."""
-    planned = keep(plan(pages, min_bytes), "pages")
-    total = planned.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("bytes")).otherwise(0) + 700)).first()[0] or 0
+    planned, mean = plan(pages, min_bytes)
     text = planned.select(record(*[F.col(c) for c in ("page_id", "url", "payload", "digest", "refers_to")]).alias("value"))
-    text.repartition(max(1, -(-total // FILE_BYTES))).write.option("lineSep", "\n").text(path)
+    text.write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, FILE_BYTES // (mean + 700))).text(path)
 
 
 def _sha1(data: bytes) -> str:
