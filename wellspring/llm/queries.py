@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import chat, lines, mixing, neighbours, packing, quality, simhash, substring, warc
+from wellspring.llm import chat, lines, mixing, neighbours, packing, quality, simhash, substring, suffixes, warc
 from wellspring.llm.common import table
 from wellspring.sources.tables import scratch
 
@@ -112,3 +112,8 @@ def op8_line_dedup(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def op4_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return substring.deduplicated(table(spark, root, "documents"))
+
+
+@query()
+def op5_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, root, "documents"))
