@@ -51,9 +51,27 @@ def profile(text: bytes, least: int, seed: int) -> tuple:
     low = sliding(np.minimum, h, reach)
     rim = np.zeros(reach - 1, np.uint64)
     p = np.flatnonzero(h == sliding(np.maximum, np.concatenate([rim, low, rim]), reach))  # smallest of some window
+    p = p[~_periodic(p, h[p], least, seed)]
     return text, len(text), h[p].view(np.int64), p, p
 
 
+def _periodic(p: np.ndarray, h: np.ndarray, least: int, seed: int) -> np.ndarray:
+    """Anchors that a long periodic stretch can do without.
+
+    Equal seeds that overlap at a constant distance make the text between them periodic. Every window
+    inside so long a stretch repeats within it, and an anchor amid it matches whatever repeats part of
+    it elsewhere. So its two first and two last anchors are enough, with some no further apart than two thirds of a window.
+    """
+    drop, gap = np.zeros(len(p), bool), np.diff(p)
+    gap = np.where((h[1:] == h[:-1]) & (gap <= seed), gap, 0)
+    cut = np.flatnonzero(np.concatenate([[True], gap[1:] != gap[:-1], [True]])) if len(gap) else []
+    for a, b in zip(cut[:-1], cut[1:]):  # anchors a..b are gap[a] apart
+        if gap[a] and p[b] - p[a] >= 5 * least:
+            step = (p[a : b + 1] - p[a]) // max(1, (least - seed) * 2 // 3)
+            drop[a + 2 : b - 1] = (step[1:] == step[:-1])[1:-2]
+    return drop
+
+
 def common(a: bytes, b: bytes, start: int = 0) -> int:
     """Length of the common prefix of two strings that share their first ``start`` bytes."""
     end = min(len(a), len(b))
