@@ -26,7 +26,7 @@ def total(x) -> Column:
 
 def mean(x) -> Column:
     x = _c(x)
-    return total(x) / F.size(x)
+    return F.try_divide(total(x), F.size(x))
 
 
 def std(x, ddof: int = 0) -> Column:
@@ -34,7 +34,7 @@ def std(x, ddof: int = 0) -> Column:
 
     def spread(arr):
         dev = let(mean(arr), lambda m: F.aggregate(arr, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)))
-        return F.sqrt(dev / (F.size(arr) - F.lit(ddof)))
+        return F.sqrt(F.try_divide(dev, F.size(arr) - F.lit(ddof)))
 
     return let(x, spread)
 

@@ -22,7 +22,7 @@ def vectors(df: DataFrame, x: str = "x", seed: int = 0, pid: str = "pixel_id") -
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Weight positives by n_neg / n_pos."""
-    w = df.agg((F.count_if(F.col(label) == 0) / F.count_if(F.col(label) == 1)).alias("_pw"))
+    w = df.agg(F.try_divide(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("_pw"))
     return with_scalars(df, w).withColumn("weight", F.when(F.col(label) == 1, F.col("_pw")).otherwise(1.0)).drop("_pw")
 
 

@@ -31,17 +31,24 @@ def dose_line(wells: DataFrame, keys=("method_id",)) -> DataFrame:
     return conc.groupBy(*keys).agg(
         F.count("*").alias("n_conc"),
         F.regr_slope("m", "log10_conc").alias("slope"),
-        F.regr_r2("m", "log10_conc").alias("r2"),
+        F.pow(correlation("m", "log10_conc"), F.lit(2)).alias("r2"),
     ).withColumn("slope", F.when(F.col("n_conc") >= 2, F.col("slope")))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows with both values; NULL where either has no spread."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = (F.when(x.isNotNull() & y.isNotNull(), c) for c in (x, y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, keys, x: str, y: str, split_rows: int | None = None) -> DataFrame:
     """Rank correlation with average ranks of ties, per group."""
     keys = list(keys)
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rx = average_ranks(both, keys, x, split_rows).select(*keys, x, F.col("avg_rank").alias("_rx"))
     ry = average_ranks(both, keys, y, split_rows).select(*keys, y, F.col("avg_rank").alias("_ry"))
-    return both.join(rx, [*keys, x]).join(ry, [*keys, y]).groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"))
+    return both.join(rx, [*keys, x]).join(ry, [*keys, y]).groupBy(*keys).agg(correlation("_rx", "_ry").alias("rho"))
 
 
 def portfolio(df: DataFrame, keys=("method_id",), split: str | None = "test") -> DataFrame:

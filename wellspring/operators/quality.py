@@ -45,10 +45,11 @@ def control_thresholds(stats: DataFrame, rule: str = "mad", k: float = 1.5, pct_
 
 
 def layers_ab(stats: DataFrame, thresholds: DataFrame, layers: str = "AB") -> DataFrame:
-    """Boolean ``a`` and ``b`` (disjoint); chips without controls fall out with the inner join."""
+    """Boolean ``a`` and ``b`` (disjoint, never NULL: a missing statistic fails no layer); chips without
+    controls fall out with the inner join."""
     df = attach(stats, thresholds.select("chip_id", *[f"thr_{s}" for s in STATS]), ["chip_id"])
-    low = F.col("dyn_range") < F.col("thr_dyn_range")
-    off = (F.col("net_slope") < F.col("thr_net_slope")) | (F.col("trace_min") < F.col("thr_trace_min"))
+    under = lambda s: F.coalesce(F.col(s) < F.col(f"thr_{s}"), F.lit(False))
+    low, off = under("dyn_range"), under("net_slope") | under("trace_min")
     df = df.withColumn("a", low)
     return df.withColumn("b", off & ~low if "B" in layers else F.lit(False))
 

@@ -166,7 +166,7 @@ def feature_table(df, keys, window: int = 50, baseline: int = 30, v="v", block=N
 
     got = over_blocks(attach(df, base, keys), keys, max(lag, 3), 3, [first, lambda w: {"d2": _gradient(w, "d1", "t")}], block=block)
     return got.withColumns({
-        "elapsed": F.col("t") / (F.col("len") - 1),
+        "elapsed": F.coalesce(F.try_divide(F.col("t").cast("double"), F.col("len") - 1), F.lit(0.0)),
         "rise": F.col(v) - F.col("_bm"),
         "z": (F.col(v) - F.col("_bm")) / (F.col("_bs") + F.lit(1e-8)),
     }).drop("len", "_bm", "_bs", "_v0")

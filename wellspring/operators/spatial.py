@@ -161,9 +161,11 @@ def box_smooth(df: DataFrame, order: int, keys=WELL, pid: str = "pixel_id", x: s
         home = (r // tile == tr) & (c // tile == tc)
         r0, c0 = tr * tile - order, tc * tile - order
         side, length = tile + 2 * order, len(pdf["s"].iat[0])
-        grid = np.zeros((side, side, length + 1))
-        grid[r - r0, c - c0, :length] = np.stack(pdf["s"].to_numpy())
-        grid[r - r0, c - c0, length] = pdf["n"].to_numpy()
+        grid = np.zeros((side, side, 2 * length))
+        values = np.stack([np.asarray(s, float) for s in pdf["s"]])
+        seen = np.isfinite(values)  # a missing sample adds nothing and is not counted
+        grid[r - r0, c - c0, :length] = np.where(seen, values, 0.0)
+        grid[r - r0, c - c0, length:] = seen * pdf["n"].to_numpy()[:, None]
         at = np.arange(side)
         lo, hi = np.maximum(at - order, 0), np.minimum(at + order + 1, side)
         for axis in (0, 1):
@@ -171,7 +173,8 @@ def box_smooth(df: DataFrame, order: int, keys=WELL, pid: str = "pixel_id", x: s
             grid = run.take(hi, axis=axis) - run.take(lo, axis=axis)
         got = grid[r[home] - r0, c[home] - c0]
         out = pdf.loc[home, spot].copy()
-        out["xs"] = pd.Series((got[:, :length] / got[:, length:]).tolist(), index=out.index, dtype=object)
+        mean = np.divide(got[:, :length], got[:, length:], out=np.full((len(got), length), np.nan), where=got[:, length:] > 0)
+        out["xs"] = pd.Series(mean.tolist(), index=out.index, dtype=object)
         return out
 
     smoothed = spread(tiled, *keys, "tr", "tc").groupBy(*keys, "tr", "tc").applyInPandas(smooth, schema)

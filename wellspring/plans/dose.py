@@ -176,7 +176,7 @@ def a18(spark, root):
 SELECT method_id, {q6('corr(log10_conc, m)')} AS r, {q6('corr(log10_conc, m) ** 2')} AS r2, {q6('regr_slope(m, log10_conc)')} AS slope FROM c GROUP BY 1""")
 def a19(spark, root):
     c = predictions(spark, root).groupBy("method_id", "chip_id", "log10_conc").agg(F.avg("ttp_pred").alias("m"))
-    r = F.corr("log10_conc", "m")
+    r = mt.correlation("log10_conc", "m")
     return c.groupBy("method_id").agg(r6(r).alias("r"), r6(r * r).alias("r2"), r6(F.regr_slope("m", "log10_conc")).alias("slope"))
 
 
@@ -189,7 +189,7 @@ def a19_wide(spark, root):
     wide = table(spark, root, "customer").groupBy("c_nationkey").pivot("c_mktsegment", segs).agg(F.avg("c_acctbal"))
     tall = wide.unpivot("c_nationkey", segs, "landmark", "ttp").filter("ttp IS NOT NULL")
     return tall.groupBy("landmark").agg(
-        r6(F.corr("c_nationkey", "ttp")).alias("r"), r6(F.regr_slope("ttp", "c_nationkey")).alias("slope"), F.count("*").alias("n"))
+        r6(mt.correlation("c_nationkey", "ttp")).alias("r"), r6(F.regr_slope("ttp", "c_nationkey")).alias("slope"), F.count("*").alias("n"))
 
 
 @query("a20_plate_replicates", f"""WITH p AS (SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS label, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS cq,
@@ -284,7 +284,7 @@ SELECT experiment, model, {q6('avg(m1)')} AS mean_avg, {q6('avg(m2)')} AS mean_m
 def a47(spark, root):
     k = ["experiment", "model", "seed"]
     rs = runs(spark, root)
-    agg = rs.groupBy(*k).agg(F.max_by("loss", "epoch").alias("final_loss"), F.avg("loss").alias("m1"), F.max("loss").alias("m3"), F.corr("epoch", "loss").alias("pr"))
+    agg = rs.groupBy(*k).agg(F.max_by("loss", "epoch").alias("final_loss"), F.avg("loss").alias("m1"), F.max("loss").alias("m3"), mt.correlation("epoch", "loss").alias("pr"))
     fin = attach(agg, quantiles(rs, k, "loss", {"m2": 0.5}).drop("n"), k)
     return best_seeds(fin).groupBy("experiment", "model").agg(
         r6(F.avg("m1")).alias("mean_avg"), r6(F.avg("m2")).alias("mean_median"), r6(F.avg("m3")).alias("mean_max"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import arrays as ar
 from wellspring.functions import kernels as kn
 from wellspring.operators import series as sr
+from wellspring.operators.metrics import correlation
 from wellspring.operators.ranking import attach, quantiles
 from wellspring.plans import query
 from wellspring.plans.bindings import (
@@ -214,6 +215,6 @@ def w15(spark, root):
     t = t.withColumn("d", F.abs(F.col("fwd") - F.col("rev")))
     a = t.groupBy("well_id").agg(
         r6(F.min("fwd")).alias("min_fwd"), r6(F.max("fwd")).alias("max_fwd"), r6(F.min("rev")).alias("min_rev"), r6(F.max("rev")).alias("max_rev"),
-        r6(F.corr("rev", F.lit(63 / 15.0) - F.col("fwd"))).alias("r"))
+        r6(correlation("rev", F.lit(63 / 15.0) - F.col("fwd"))).alias("r"))
     m = quantiles(t, ["well_id"], "d", {"m": 0.5}).select("well_id", r6("m").alias("med_delta"))
     return attach(a, m, ["well_id"])
