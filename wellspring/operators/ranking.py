@@ -4,10 +4,14 @@ Small groups take the plain Spark route (window or exact ``percentile``). Once t
 group passes ``SPLIT_ROWS`` the rows are range-partitioned on (keys, order), so a hot group
 spans many tasks, and each task's local running sum is lifted by the weight that the same
 group has in earlier partitions. The lookup for that lift has at most two rows per partition.
+
+Both routes give the same bits: running sums are whole numbers, and the split quantiles follow the
+arithmetic of ``percentile``. So no strict comparison changes sides when a group grows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +22,14 @@ from wellspring.session import durable
 SPLIT_ROWS = 500_000  # largest group a single task may order
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups."""
+    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return row[0] or 0, row[1] or 0
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return group_sizes(df, keys)[0]
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -38,7 +46,6 @@ def running_total(
     weight: str | None = None,
     out: str = "before",
     split_rows: int | None = None,
-    largest: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the weight of all earlier rows of the same group (1 per row by default).
 
@@ -47,13 +54,13 @@ def running_total(
     keys, order = list(keys), list(order)
     w = F.col(weight) if weight else F.lit(1).cast("long")
     limit = SPLIT_ROWS if split_rows is None else split_rows
-    if (largest_group(df, keys) if largest is None else largest) <= limit:
+    largest, total = group_sizes(df, keys)
+    if largest <= limit:
         win = Window.partitionBy(*keys).orderBy(*order)
         frame = win.rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(w).over(frame), F.lit(0)).cast("long"))
 
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    parts = max(math.ceil(total / limit), 2)  # follows the rows, so a piece stays within the limit at any size
     placed = durable(
         df.repartitionByRange(parts, *keys, *order).withColumn("_pid", F.spark_partition_id())
     )
@@ -142,8 +149,9 @@ def quantiles(
     cols = []
     for name, p in probs.items():
         pos = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        cols.append((lo + (hi - lo) * (pos - F.floor(pos))).cast("double").alias(name))
+        lo, hi = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")
+        between = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
+        cols.append(F.when(lo == hi, lo).otherwise(between).alias(name))
     return picked.select(*keys, "n", *cols)
 
 

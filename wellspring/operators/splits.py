@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.operators.ranking import attach, row_index
@@ -54,13 +54,6 @@ def grouped_folds(df: DataFrame, group: str, label: str, folds: int, seed: int)
 
 
 def capped_sample(df: DataFrame, keys, ids, n: int, seed: int) -> DataFrame:
-    """At most ``n`` rows per group, without replacement.
-
-    For small ``n`` each task keeps its own first n rows before the shuffle; beyond the limit up to
-    which Spark does that, the group's order is taken by the range-split index instead.
-    """
+    """At most ``n`` rows per group, without replacement: those with the lowest index in the group's hash order."""
     d = df.withColumn("_k", shuffle_key(seed, *ids))
-    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        return row_index(d, list(keys), ["_k", *ids], "_r").filter(F.col("_r") < n).drop("_k", "_r")
-    w = Window.partitionBy(*keys).orderBy("_k", *ids)
-    return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_k", "_r")
+    return row_index(d, list(keys), ["_k", *ids], "_r").filter(F.col("_r") < n).drop("_k", "_r")

@@ -87,15 +87,16 @@ def a24(spark, root):
 
 @query("a25_recall_collateral", f"""WITH {_filter_sql('pct')}, {MIS}{_score_sql('sv', 'msc', 'mean')}{_cut_sql('msc', 'mcut', 'pct')},
 md AS (SELECT pixel_id, score > cut AS dm FROM msc JOIN mcut USING (chip_id, well_id))
-SELECT bk.bucket, fin.y, count(*) AS total, count(*) FILTER (a) AS dropped_a, count(*) FILTER (b) AS dropped_b, count(*) FILTER (c) AS dropped_c,
+SELECT coalesce(bk.bucket, 'no_runs') AS bucket, fin.y, count(*) AS total, count(*) FILTER (a) AS dropped_a, count(*) FILTER (b) AS dropped_b, count(*) FILTER (c) AS dropped_c,
 count(*) FILTER (d) AS dropped_d_median, count(*) FILTER (a OR b OR c OR d) AS dropped_total_median,
 count(*) FILTER (coalesce(dm, false)) AS dropped_d_mean, count(*) FILTER (a OR b OR c OR coalesce(dm, false)) AS dropped_total_mean
-FROM fin JOIN bk ON bk.pixel_id = fin.pixel_id LEFT JOIN md ON md.pixel_id = fin.pixel_id GROUP BY 1, 2""")
+FROM fin LEFT JOIN bk ON bk.pixel_id = fin.pixel_id LEFT JOIN md ON md.pixel_id = fin.pixel_id GROUP BY 1, 2""")
 def a25(spark, root):
     f = ql.chip_filter(traces(spark, root), "ABCD", "pct")
     alive = traces(spark, root).join(f.filter("NOT (a OR b OR c)").select("pixel_id"), "pixel_id", "left_semi")
     dm = ql.layer_d(alive, "pct", metric="mean").select("pixel_id", F.col("d").alias("dm"))
-    j = f.join(buckets(spark, root).select("pixel_id", "bucket"), "pixel_id").join(dm, "pixel_id", "left").withColumn("dm", F.coalesce("dm", F.lit(False)))
+    j = f.join(buckets(spark, root).select("pixel_id", "bucket"), "pixel_id", "left").join(dm, "pixel_id", "left")
+    j = j.withColumns({"dm": F.coalesce("dm", F.lit(False)), "bucket": F.coalesce("bucket", F.lit("no_runs"))})
     abc = F.col("a") | F.col("b") | F.col("c")
     return j.groupBy("bucket", "y").agg(
         F.count("*").alias("total"), *[F.count_if(c).alias(f"dropped_{c}") for c in "abc"],
@@ -104,12 +105,12 @@ def a25(spark, root):
 
 
 @query("p12_outcome_category", f"""WITH {_filter_sql('pct')}, {MIS} SELECT fin.pixel_id, CASE WHEN bucket = 'always_wrong' AND c THEN 'wrong_dropped_c' WHEN bucket = 'always_wrong' AND (a OR b) THEN 'wrong_dropped_ab'
-WHEN bucket = 'always_wrong' THEN 'wrong_kept' WHEN c THEN 'correct_dropped_c' ELSE 'other' END AS category FROM fin JOIN bk ON bk.pixel_id = fin.pixel_id""")
+WHEN bucket = 'always_wrong' THEN 'wrong_kept' WHEN bucket IS NULL THEN 'no_runs' WHEN c THEN 'correct_dropped_c' ELSE 'other' END AS category FROM fin LEFT JOIN bk ON bk.pixel_id = fin.pixel_id""")
 def p12(spark, root):
-    f = ql.chip_filter(traces(spark, root), "ABC", "pct").join(buckets(spark, root).select("pixel_id", "bucket"), "pixel_id")
+    f = ql.chip_filter(traces(spark, root), "ABC", "pct").join(buckets(spark, root).select("pixel_id", "bucket"), "pixel_id", "left")
     wrong = F.col("bucket") == "always_wrong"
     cat = (F.when(wrong & F.col("c"), "wrong_dropped_c").when(wrong & (F.col("a") | F.col("b")), "wrong_dropped_ab")
-           .when(wrong, "wrong_kept").when(F.col("c"), "correct_dropped_c").otherwise("other"))
+           .when(wrong, "wrong_kept").when(F.col("bucket").isNull(), "no_runs").when(F.col("c"), "correct_dropped_c").otherwise("other"))
     return f.select("pixel_id", cat.alias("category"))
 
 

@@ -9,6 +9,7 @@ from wellspring.operators.spatial import WELL
 from wellspring.operators.splits import capped_sample
 from wellspring.plans import query
 from wellspring.plans.bindings import CLS, PREDICTIONS, RUNS, TRACES, cls_scores, predictions, q6, r6, runs, table, traces
+from wellspring.plans.quality import _filter_sql
 from wellspring.plans.splits import _hash
 from wellspring.sources import tables as tb
 from wellspring.sources import text as tx
@@ -35,7 +36,7 @@ def s03(spark, root):
     return p.select(F.regexp_extract("url", "example[.]com/([^/?]+)", 1).alias("chip")).filter("chip <> ''").distinct()
 
 
-@query("s03_part_file_listing")
+@query("s03_part_file_listing", f"WITH {TRACES} SELECT chip_id AS chip, count(*) AS n FROM traces WHERE NOT contains(chip_id, 'chip4') GROUP BY 1")
 def s03_files(spark, root):
     """Chip folders of a partitioned table, from file paths."""
     path = tb.scratch(spark, "traces")
@@ -124,10 +125,10 @@ def s09(spark, root):
     return back.select("method_id", "seed", "chip_id", "well_id", "pixel_id", r6("ttp_pred").alias("ttp_pred"), r6(ar.total("density")).alias("density_sum"))
 
 
-@query("s09_label_round_trip", f"WITH {PREDICTIONS} SELECT chip_id, well_id, pixel_id, {q6('ttp_true')} AS ttp_true, log10_conc, split FROM pred WHERE method_id = 'fam1_seed1'")
+@query("s09_label_round_trip", f"WITH {PREDICTIONS} SELECT chip_id, well_id, pixel_id, {q6('ttp_true')} AS ttp_true, log10_conc, split FROM pred")
 def s09_labels(spark, root):
     path = tb.scratch(spark, "labels")
-    p = predictions(spark, root).filter("method_id = 'fam1_seed1'")
+    p = predictions(spark, root)
     tb.write_labels(p.select("chip_id", "well_id", "pixel_id", "ttp_true", "log10_conc", "split"), path)
     return tb.read_labels(spark, path).withColumn("ttp_true", r6("ttp_true"))
 
@@ -161,7 +162,7 @@ def s13(spark, root):
     return tx.ragged_runs(rows, "line")
 
 
-@query("s14_run_discovery")
+@query("s14_run_discovery", f"WITH {RUNS} SELECT DISTINCT experiment, model, seed FROM runs WHERE model <> 'm3'")
 def s14(spark, root):
     """Runs found by path, keeping those that have both files."""
     path = tb.scratch(spark, "runs")
@@ -208,7 +209,8 @@ def export_filter_json(spark, root):
     return path
 
 
-@query("s17_nested_json_export")
+@query("s17_nested_json_export", f"""WITH {_filter_sql('pct')} SELECT chip_id, well_id, count(*) AS n_total, count(*) FILTER (a) AS n_a,
+count(*) FILTER (b) AS n_b, count(*) FILTER (c) AS n_c FROM fin GROUP BY 1, 2""")
 def s17(spark, root):
     path = export_filter_json(spark, root)
     w = spark.read.schema("chip_id string, well_id int, funnel struct<n_total:bigint,n_a:bigint,n_b:bigint,n_c:bigint>").json(f"{path}/wells")

@@ -99,7 +99,10 @@ def w08(spark, root):
     return sr.scaled_derivative(series(spark, root), K, 10, 4.0).select("sid", "t", r6("deriv", 5).alias("deriv"))
 
 
-@query("w09_spectrogram")
+@query("w09_spectrogram", f"""WITH {TRACES}, fr AS (SELECT pixel_id, frame, n, x[frame * 11 + n + 1] AS v FROM traces, range(4) f(frame), range(22) s(n) WHERE len(x) >= frame * 11 + 22),
+c AS (SELECT pixel_id, frame, n, v - avg(v) OVER (PARTITION BY pixel_id, frame) AS v, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 22) AS w FROM fr),
+p AS (SELECT pixel_id, bin, frame, (power(sum(v * w * cos(2 * pi() * bin * n / 22)), 2) + power(sum(v * w * sin(2 * pi() * bin * n / 22)), 2)) / sum(w * w) AS p FROM c, range(10) b(bin) GROUP BY 1, 2, 3)
+SELECT pixel_id, CAST(bin AS INTEGER) AS bin, CAST(frame AS INTEGER) AS frame, {q6('p * CASE WHEN bin > 0 THEN 2 ELSE 1 END', 8)} AS power FROM p""")
 def w09(spark, root):
     """Power per (pixel, frequency bin, frame)."""
     p = traces(spark, root).select("pixel_id", kn.spectrogram(22, 11, 10)("x").alias("s"))
@@ -165,17 +168,24 @@ def w13(spark, root):
     return z.select("pixel_id", r6("z").alias("z"), r6(F.col("z") * F.col("sd") + F.col("mu")).alias("restored"))
 
 
-def _wave(*parts):
-    """Reproducible noise with unit spread: the same row and sample give the same draw."""
-    return F.sin(F.xxhash64(*parts) / F.lit(2.0**20)) * 1.4142135623730951
+def _unit(pid, seed, k):
+    """One draw in [0, 1) per row, from a digest: the same row gives the same draw in any engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(k)), F.col(pid).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def _wave(u, i):
+    """Noise with unit spread for sample ``i`` of a row whose draw is ``u``: a folded sine, no digest per sample."""
+    rough = F.sin(u * 12.9898 + i * 78.233) * 43758.5453
+    return F.sin(6.283185307179586 * (rough - F.floor(rough))) * 1.4142135623730951
 
 
 def augmented(df, x="x", pid="pixel_id", seed=7):
     """Shifted (within 20), drifted, noisy (2 % of the spread) and rescaled (0.85-1.15) copy of each trace."""
-    unit = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), pid), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    unit = lambda k: _unit(pid, seed, k)
     draw = F.struct(
         (F.floor(unit(0) * 41) - 20).cast("int").alias("shift"), (unit(1) * 0.1).alias("amp"),
-        (unit(2) * 6.283185307179586).alias("phase"), (0.85 + unit(3) * 0.3).alias("gain"), ar.std(x).alias("sd"),
+        (unit(2) * 6.283185307179586).alias("phase"), (0.85 + unit(3) * 0.3).alias("gain"), unit(4).alias("u"), ar.std(x).alias("sd"),
     )
 
     def build(arr, d):
@@ -183,24 +193,38 @@ def augmented(df, x="x", pid="pixel_id", seed=7):
         return F.transform(arr, lambda v, i: d["gain"] * (
             F.get(arr, F.pmod(i - d["shift"], n).cast("int"))
             + d["amp"] * d["sd"] * F.sin(6.283185307179586 * i / n + d["phase"])
-            + _wave(F.lit(seed), F.col(pid), i) * 0.02 * d["sd"]
+            + _wave(d["u"], i) * 0.02 * d["sd"]
         ))
 
     return df.withColumn("x_aug", ar.let(x, lambda arr: ar.let(draw, lambda d: build(arr, d))))
 
 
-def masked_chunks(x, start: int, length: int, pid="pixel_id"):
+def masked_chunks(x, start: int, length: int, pid="pixel_id", seed=7):
     """Replace a chunk by noise with the chunk's own mean and spread."""
     def fill(arr, st):
         return F.transform(arr, lambda v, i: F.when(
-            (i >= start) & (i < start + length), st["m"] + st["s"] * _wave(F.col(pid), i)).otherwise(v))
+            (i >= start) & (i < start + length), st["m"] + st["s"] * _wave(st["u"], i)).otherwise(v))
 
     part = lambda arr: F.slice(arr, start + 1, length)
     return ar.let(x, lambda arr: ar.let(
-        F.struct(ar.mean(part(arr)).alias("m"), ar.std(part(arr)).alias("s")), lambda st: fill(arr, st)))
+        F.struct(ar.mean(part(arr)).alias("m"), ar.std(part(arr)).alias("s"), _unit(pid, seed, 5).alias("u")), lambda st: fill(arr, st)))
+
+
+def _unit_sql(k):
+    return f"(('0x' || substr(md5('7|{k}|' || CAST(pixel_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+def _wave_sql(u):
+    rough = f"(sin({u} * 12.9898::DOUBLE + t * 78.233::DOUBLE) * 43758.5453::DOUBLE)"
+    return f"(sin(2 * pi() * ({rough} - floor({rough}))) * sqrt(2::DOUBLE))"
 
 
-@query("w14_trace_augmentation")
+@query("w14_trace_augmentation", f"""WITH {TRACES_LONG}, g AS (SELECT pixel_id, stddev_pop(v) AS sd, avg(v) FILTER (t BETWEEN 16 AND 31) AS m, stddev_pop(v) FILTER (t BETWEEN 16 AND 31) AS s FROM tl GROUP BY 1),
+d AS (SELECT *, CAST(floor({_unit_sql(0)} * 41) - 20 AS INTEGER) AS shift, {_unit_sql(1)} * 0.1::DOUBLE AS amp, {_unit_sql(2)} * 2 * pi() AS phase,
+  0.85::DOUBLE + {_unit_sql(3)} * 0.3::DOUBLE AS gain, {_unit_sql(4)} AS u, {_unit_sql(5)} AS um FROM g),
+a AS (SELECT tl.pixel_id, gain * (x[(t - shift + 64) % 64 + 1] + amp * sd * sin(2 * pi() * t / 64 + phase) + {_wave_sql('u')} * 0.02::DOUBLE * sd) AS aug,
+  CASE WHEN t BETWEEN 16 AND 31 THEN m + s * {_wave_sql('um')} ELSE v END AS masked FROM tl JOIN d USING (pixel_id) JOIN (SELECT pixel_id, x FROM traces) z USING (pixel_id))
+SELECT pixel_id, CAST(count(*) AS INTEGER) AS n, {q6('avg(aug)')} AS mean_aug, {q6('stddev_pop(aug)')} AS std_aug, {q6('avg(masked)')} AS mean_masked FROM a GROUP BY 1""")
 def w14(spark, root):
     a = augmented(traces(spark, root)).withColumn("masked", masked_chunks("x", 16, 16))
     return a.select("pixel_id", F.size("x_aug").alias("n"), r6(ar.mean("x_aug")).alias("mean_aug"), r6(ar.std("x_aug")).alias("std_aug"), r6(ar.mean("masked")).alias("mean_masked"))
