@@ -8,29 +8,36 @@ from wellspring.operators import spatial as sp
 from wellspring.operators.spatial import WELL
 from wellspring.plans import query
 from wellspring.plans.bindings import CURVES_LONG, PREDICTIONS, curves, predictions, q6, r6, table, traces
+from wellspring.plans.landmark_sql import anchored as anchored_sql
+from wellspring.plans.landmark_sql import grad as _grad
+from wellspring.plans.landmark_sql import landmarks as landmark_sql
 from wellspring.plans.windows import _savgol_sql
 
+# half a minute, and 0.3 minutes, as the first sample not before it
+LANDMARK_SQL = f"WITH {CURVES_LONG}{landmark_sql('cl', 'lm', 10, 8)}"
+ANCHOR_SQL = f"""WITH {CURVES_LONG}, an AS (SELECT pixel_id, CASE WHEN pixel_id % 13 <> 0 THEN (pixel_id % 10) * 0.2::DOUBLE + 0.5::DOUBLE END AS a FROM traces){anchored_sql('cl', 'an', 'va')}"""
+
 
 def _landmarks(spark, root):
     return curves(spark, root).select("pixel_id", on.landmarks(0.5, span=10, min_baseline=3)("x").alias("m")).select("pixel_id", "m.*")
 
 
-@query("e01_threshold_derivative_time")
+@query("e01_threshold_derivative_time", LANDMARK_SQL + f" SELECT pixel_id, {q6('ttp')} AS ttp, {q6('peak')} AS peak FROM lm")
 def e01(spark, root):
     return _landmarks(spark, root).select("pixel_id", r6("ttp").alias("ttp"), r6("peak").alias("peak"))
 
 
-@query("e02_tangent_intercept")
+@query("e02_tangent_intercept", LANDMARK_SQL + f" SELECT pixel_id, {q6('cy0')} AS cy0 FROM lm")
 def e02(spark, root):
     return _landmarks(spark, root).select("pixel_id", r6("cy0").alias("cy0"))
 
 
-@query("e03_second_derivative_peak")
+@query("e03_second_derivative_peak", LANDMARK_SQL + f" SELECT pixel_id, {q6('sdm')} AS sdm FROM lm")
 def e03(spark, root):
     return _landmarks(spark, root).select("pixel_id", r6("sdm").alias("sdm"))
 
 
-@query("e04_derivative_peak_time")
+@query("e04_derivative_peak_time", f"WITH {CURVES_LONG}{landmark_sql('cl', 'lm', 6, 5)} SELECT pixel_id, {q6('peak')} AS peak FROM lm")
 def e04(spark, root):
     got = curves(spark, root).select("pixel_id", on.landmarks(0.3, span=6)("x").alias("m"))
     return got.select("pixel_id", r6("m.peak").alias("peak"))
@@ -46,19 +53,14 @@ for _name, _rule in (("e05_anchored_closest_peak", "closest_peak_d1"), ("e07_anc
     def _pick(spark, root, rule=_rule):
         return _variants(spark, root).filter(F.col("rule") == rule).select("pixel_id", r6("ttp").alias("ttp"), "reason")
 
-    query(_name)(_pick)
+    query(_name, ANCHOR_SQL + f" SELECT pixel_id, {q6('ttp')} AS ttp, reason FROM va WHERE rule = '{_rule}'")(_pick)
 
 
-@query("e08_anchored_variants")
+@query("e08_anchored_variants", ANCHOR_SQL + f" SELECT pixel_id, rule, {q6('ttp')} AS ttp, reason FROM va")
 def e08(spark, root):
     return _variants(spark, root).select("pixel_id", "rule", r6("ttp").alias("ttp"), "reason")
 
 
-def _grad(src, name, col, out):
-    return f""", {name} AS (SELECT *, CASE WHEN lag({col}) OVER w IS NULL THEN lead({col}) OVER w - {col} WHEN lead({col}) OVER w IS NULL THEN {col} - lag({col}) OVER w
-  ELSE (lead({col}) OVER w - lag({col}) OVER w) / 2.0 END AS {out} FROM {src} WINDOW w AS (PARTITION BY pixel_id ORDER BY t))"""
-
-
 @query("e06_zero_crossing", f"""WITH {CURVES_LONG}{_savgol_sql(9, 3, 'cl', 'pixel_id')}{_grad('sg', 'g1', 'sg', 'd')}{_grad('g1', 'g2', 'd', 'dd')},
 a AS (SELECT pixel_id, t, dd, lead(dd) OVER (PARTITION BY pixel_id ORDER BY t) AS nx, (pixel_id % 10) * CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS a FROM g2),
 f AS (SELECT pixel_id, min(t) AS i, arg_min(dd, t) AS y0, arg_min(nx, t) AS y1 FROM a WHERE t >= ceil(a * 15.0) AND t + 1 <= floor((a + 3) * 15.0) AND sign(nx) < sign(dd) GROUP BY 1)
@@ -144,7 +146,15 @@ def e14(spark, root):
         r6(ssr, 4).alias("ssr"), r6(F.avg(r * r)).alias("mse"), r6(F.sqrt(F.avg(r * r))).alias("rmse"), r6(F.avg(F.abs(r))).alias("mae"), r6(1 - ssr / (tot + F.lit(1e-10))).alias("r_squared"))
 
 
-@query("e15_extractors_per_well")
+STAGES_SQL = f"""WITH {CURVES_LONG}, bx AS (SELECT p.chip_id, p.well_id, p.pixel_id, p.t, avg(n.v) AS v FROM cl p JOIN cl n ON n.chip_id = p.chip_id AND n.well_id = p.well_id AND n.t = p.t AND abs(n.prow - p.prow) <= 3 AND abs(n.pcol - p.pcol) <= 3 GROUP BY 1, 2, 3, 4),
+stages AS (SELECT 'raw' AS stage, chip_id, well_id, t, v FROM cl UNION ALL SELECT 'positive', chip_id, well_id, t, v FROM cl WHERE y = 1 UNION ALL SELECT 'smoothed', chip_id, well_id, t, v FROM bx),
+wl AS (SELECT stage, chip_id, well_id, stage || chip_id || '|' || CAST(well_id AS VARCHAR) AS pixel_id, t, avg(v) AS v FROM stages GROUP BY 1, 2, 3, 4, 5),
+an AS (SELECT DISTINCT stage, chip_id, well_id, pixel_id, well_id * 0.2::DOUBLE + 0.8::DOUBLE AS a FROM wl)"""
+
+
+@query("e15_extractors_per_well", f"""{STAGES_SQL}, wm AS (SELECT pixel_id, t, v FROM wl){landmark_sql('wm', 'lm', 10, 8)}{anchored_sql('wm', 'an', 'va')},
+every AS (SELECT * FROM va{"".join(f" UNION ALL SELECT pixel_id, '{r}', {r}, CASE WHEN {r} IS NULL THEN 'not found' ELSE 'ok' END FROM lm" for r in ("ttp", "cy0", "sdm"))})
+SELECT stage, chip_id, well_id, rule, {q6('ttp')} AS ttp, {q6('ttp - a')} AS err, reason FROM every JOIN an USING (pixel_id)""")
 def e15(spark, root):
     """Three stages of well means x all extractors, with the error to the plate time."""
     c = curves(spark, root)
@@ -186,7 +196,7 @@ def u03(spark, root):
     return c.mapInPandas(fit, "pixel_id bigint, r2 double, rises boolean")
 
 
-@query("u05_rows_per_input")
+@query("u05_rows_per_input", ANCHOR_SQL + f" SELECT rule, reason, count(*) AS n, {q6('avg(ttp)')} AS mean_ttp FROM va GROUP BY 1, 2")
 def u05(spark, root):
     """Four rows per trace from one pass."""
     return _variants(spark, root).groupBy("rule", "reason").agg(F.count("*").alias("n"), r6(F.avg("ttp")).alias("mean_ttp"))
