@@ -313,5 +313,8 @@ WINDOW_RULES: dict[str, tuple[str, Callable]] = {
 def apply_rules(df: DataFrame, p: str, window: int, stride: int, rules=None, keep=()) -> DataFrame:
     """One row per (input row, rule): rule columns computed side by side, then unpivoted."""
     names = list(rules or WINDOW_RULES)
-    wide = df.select(*keep, *[WINDOW_RULES[n][1](p, window, stride).cast("double").alias(n) for n in names])
+    same = {"inflection_sigmoid": "sigmoid_fit_thr0p5"}  # the same fit under two names runs once
+    own = [n for n in names if same.get(n) not in names]
+    wide = df.select(*keep, *[WINDOW_RULES[n][1](p, window, stride).cast("double").alias(n) for n in own])
+    wide = wide.withColumns({n: F.col(same[n]) for n in names if n not in own})
     return wide.unpivot(list(keep), names, "rule_id", "ttp_pred")

@@ -1,15 +1,19 @@
 """Queries for trace statistics, misclassification buckets and class balance."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
+from wellspring.operators import onset as on
 from wellspring.operators import quality as ql
 from wellspring.operators import spatial as sp
 from wellspring.operators.ranking import attach, quantiles
 from wellspring.operators.spatial import WELL
 from wellspring.plans import query
-from wellspring.plans.bindings import TRACES, TRACES_LONG, q6, r6, table, traces
+from wellspring.plans.bindings import CURVES_LONG, TRACES, TRACES_LONG, curves, q6, r6, table, traces
+from wellspring.plans.landmark_sql import landmarks as landmark_sql
 from wellspring.plans.quality import _cut_sql, _filter_sql, _score_sql
+from wellspring.session import durable
 
 STAT_SQL = TRACES_LONG + """, base AS (SELECT pixel_id, stddev_pop(v) AS sd FROM tl WHERE t < 30 GROUP BY 1),
 ms AS (SELECT pixel_id, max(abs(v)) AS mx, avg(abs(v)) AS ma FROM tl GROUP BY 1)"""
@@ -114,19 +118,38 @@ def p12(spark, root):
     return f.select("pixel_id", cat.alias("category"))
 
 
-@query("a35_grid_ablation")
+CELLS = tuple((k, o) for k in (1.5, 2.0, 3.0) for o in (0, 1, 3, 5))  # fixed values: strictness x smoothing order
+BY_METHOD = ("ttp", "cy0", "sdm")
+
+
+def _ablation_sql() -> str:
+    kept = " UNION ALL ".join(f"SELECT {k}::DOUBLE AS k, pixel_id FROM (WITH {_filter_sql('mad', k=k)} SELECT pixel_id FROM kept WHERE keep) z{i}" for i, k in enumerate((1.5, 2.0, 3.0)))
+    every = " UNION ALL ".join(f"SELECT k, o, well_id, '{m}' AS method, {m} AS ttp FROM lm JOIN cell USING (pixel_id)" for m in BY_METHOD)
+    return f"""WITH {CURVES_LONG}, kp AS MATERIALIZED ({kept}), kc AS MATERIALIZED (SELECT k, cl.* FROM cl JOIN kp ON kp.pixel_id = cl.pixel_id),
+px AS MATERIALIZED (SELECT a.k, o, a.chip_id, a.well_id, a.pixel_id, a.t, avg(b.v) AS v FROM kc a JOIN kc b ON b.k = a.k AND b.chip_id = a.chip_id AND b.well_id = a.well_id AND b.t = a.t
+  JOIN (SELECT unnest([0, 1, 3, 5]) AS o) g ON abs(b.prow - a.prow) <= o AND abs(b.pcol - a.pcol) <= o GROUP BY 1, 2, 3, 4, 5, 6),
+wl AS MATERIALIZED (SELECT k, o, well_id, CAST(k AS VARCHAR) || '|' || CAST(o AS VARCHAR) || '|' || chip_id || '|' || CAST(well_id AS VARCHAR) AS pixel_id, t, avg(v) AS v FROM px GROUP BY 1, 2, 3, 4, 5),
+cell AS MATERIALIZED (SELECT DISTINCT k, o, well_id, pixel_id FROM wl), wm AS MATERIALIZED (SELECT pixel_id, t, v FROM wl){landmark_sql('wm', 'lm', 10, 8)},
+er AS (SELECT k, o, method, abs(ttp - well_id * 0.4::DOUBLE) AS err FROM ({every}) e),
+g AS (SELECT k, o, method, count(err) AS n, {q6('avg(err)')} AS mae, {q6('100 * avg(CASE WHEN err <= 2 THEN 1.0 WHEN err > 2 THEN 0.0 END)')} AS pct_within2 FROM er GROUP BY 1, 2, 3)
+SELECT k, CAST(o AS INTEGER) AS smooth_order, method, n, mae, pct_within2, row_number() OVER (PARTITION BY method ORDER BY mae, k, o) = 1 AS is_best FROM g"""
+
+
+@query("a35_grid_ablation", _ablation_sql())
 def a35(spark, root):
-    """Strictness x smoothing order: error of the well-mean peak time against a per-well reference."""
-    t, out = traces(spark, root), None
-    for k in (1.5, 3.0):
-        kept = ql.kept_traces(t, ql.chip_filter(t, "ABCD", "mad", k))
-        for order in (0, 3):
-            m = sp.mean_trace(sp.box_smooth(kept, order), WELL)
-            err = F.abs(ar.argmax("x") / 15.0 - F.col("well_id") * 0.4)
-            row = m.agg(F.count("*").alias("n"), r6(F.avg(err)).alias("mae"), r6(100 * F.avg((err <= 2).cast("double"))).alias("pct_within2")).select(
-                F.lit(k).alias("k"), F.lit(order).alias("smooth_order"), "n", "mae", "pct_within2")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Strictness x smoothing order x method: error of well times against a per-well reference, and each method's best cell."""
+    t, c, kept, out = traces(spark, root), curves(spark, root), {}, None
+    for k, order in CELLS:
+        if k not in kept:
+            kept[k] = durable(ql.kept_traces(c, ql.chip_filter(t, "ABCD", "mad", k)))
+        m = sp.mean_trace(sp.box_smooth(kept[k], order), WELL).withColumns({"k": F.lit(k), "smooth_order": F.lit(order)})
+        out = m if out is None else out.unionByName(m)
+    got = out.select("k", "smooth_order", "well_id", on.landmarks(0.5, span=10)("x").alias("m"))
+    tall = got.select("k", "smooth_order", "well_id", *[F.col(f"m.{m}").alias(m) for m in BY_METHOD]).unpivot(["k", "smooth_order", "well_id"], list(BY_METHOD), "method", "ttp")
+    err = F.abs(F.col("ttp") - F.col("well_id") * 0.4)
+    cells = tall.groupBy("k", "smooth_order", "method").agg(F.count(err).alias("n"), r6(F.avg(err)).alias("mae"), r6(100 * F.avg((err <= 2).cast("double"))).alias("pct_within2"))
+    best = Window.partitionBy("method").orderBy(F.col("mae").asc_nulls_last(), "k", "smooth_order")
+    return cells.withColumn("is_best", F.row_number().over(best) == 1)
 
 
 @query("a41_class_balance", f"WITH {TRACES} SELECT chip_id, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, {q6('count(*) FILTER (y = 0) / CAST(count(*) FILTER (y = 1) AS DOUBLE)')} AS pos_weight FROM traces GROUP BY 1")

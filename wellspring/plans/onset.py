@@ -7,11 +7,11 @@ from wellspring.operators import onset as on
 from wellspring.operators import spatial as sp
 from wellspring.operators.spatial import WELL
 from wellspring.plans import query
-from wellspring.plans.bindings import CURVES_LONG, PREDICTIONS, curves, predictions, q6, r6, table, traces
+from wellspring.plans.bindings import CURVES_LONG, PREDICTIONS, TRACES_LONG, curves, predictions, q6, r6, table, traces
 from wellspring.plans.landmark_sql import anchored as anchored_sql
 from wellspring.plans.landmark_sql import grad as _grad
 from wellspring.plans.landmark_sql import landmarks as landmark_sql
-from wellspring.plans.windows import _savgol_sql
+from wellspring.plans.windows import _ma, _savgol_sql
 
 # half a minute, and 0.3 minutes, as the first sample not before it
 LANDMARK_SQL = f"WITH {CURVES_LONG}{landmark_sql('cl', 'lm', 10, 8)}"
@@ -170,7 +170,19 @@ def e15(spark, root):
     return flat.select("stage", *WELL, "rule", r6("ttp").alias("ttp"), r6(F.col("ttp") - F.col("plate")).alias("err"), "reason")
 
 
-@query("q09_artefact_trim")
+@query("q09_artefact_trim", f"""WITH {TRACES_LONG}, wl AS (SELECT chip_id, well_id, chip_id || '|' || CAST(well_id AS VARCHAR) AS pixel_id, t, avg(v) AS v FROM tl GROUP BY 1, 2, 3, 4){_ma('wl', 'ws', 'v', 1, 's', 'pixel_id')},
+d AS MATERIALIZED (SELECT pixel_id, t, s, lead(s) OVER w - s AS d, max(s) OVER (PARTITION BY pixel_id ORDER BY t) AS top FROM ws WINDOW w AS (PARTITION BY pixel_id ORDER BY t)),
+f AS MATERIALIZED (SELECT *, min(d) OVER (PARTITION BY pixel_id ORDER BY t) < 0 AS fell, min(d) OVER (PARTITION BY pixel_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) >= 0 AS held FROM d),
+rg AS (SELECT pixel_id, greatest(max(s) - min(s), 1e-9) AS span FROM d WHERE t < 60 GROUP BY 1),
+lw AS (SELECT pixel_id, min(t) AS low, arg_min(top - s, t) AS fall FROM f WHERE t < 57 AND fell AND held GROUP BY 1),
+ok AS MATERIALIZED (SELECT pixel_id, low, least(low + 16, 60) AS stop FROM lw JOIN rg USING (pixel_id) WHERE fall >= 0.10::DOUBLE * span),
+cb AS MATERIALIZED (SELECT f.pixel_id, any_value(low) AS low, any_value(stop) AS stop, count(*) AS n, max(d) AS steep, arg_min(t, (-d, t)) AS at_top FROM f JOIN ok ON ok.pixel_id = f.pixel_id WHERE t > low AND t < stop GROUP BY 1),
+cm AS (SELECT f.pixel_id, t, sum(CASE WHEN d < 0.30::DOUBLE * steep THEN 1 ELSE 0 END) OVER (PARTITION BY f.pixel_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS calm
+  FROM f JOIN cb ON cb.pixel_id = f.pixel_id WHERE t > at_top AND t < stop),
+fs AS (SELECT pixel_id, min(t) AS t FROM cm WHERE calm = 3 GROUP BY 1),
+ct AS (SELECT o.pixel_id, CASE WHEN cb.n IS NULL OR cb.n < 4 OR steep <= 0 THEN o.low + 1 ELSE coalesce(fs.t + 1, cb.stop) END AS c FROM ok o LEFT JOIN cb ON cb.pixel_id = o.pixel_id LEFT JOIN fs ON fs.pixel_id = o.pixel_id),
+ch AS (SELECT chip_id, max(coalesce(c, 0)) AS cut FROM (SELECT DISTINCT chip_id, pixel_id FROM wl) z LEFT JOIN ct ON ct.pixel_id = z.pixel_id GROUP BY 1)
+SELECT tl.chip_id, tl.pixel_id, CAST(any_value(cut) AS INTEGER) AS cut_idx, CAST(count(*) FILTER (t >= cut) AS INTEGER) AS n_left, {q6('sum(v) FILTER (t >= cut)')} AS total FROM tl JOIN ch ON ch.chip_id = tl.chip_id GROUP BY 1, 2""")
 def q09(spark, root):
     t = on.trim_artefact(traces(spark, root), span=4, search=4.0)
     return t.select("chip_id", "pixel_id", "cut_idx", F.size("x").alias("n_left"), r6(ar.total("x")).alias("total"))

@@ -207,13 +207,32 @@ def r16(spark, root):
 
 
 # --- sweeps -------------------------------------------------------------------------------
-SWEEP = ("first_above_K3_thr0p5", "end_of_K3_run_thr0p5", "linear_interp_thr0p5", "argmax_P")
-SWEEP_SQL = f"""WITH {SCORES_LONG}{_run_cte('kr', 3, 0.5)}{_cross(0.5)}{_argbest('sl', 'p')}, wide AS (
-  SELECT s.chip_id, s.well_id, s.pixel_id, CAST(coalesce({_centre('k.pos')}, {LAST}) AS DOUBLE) AS "first_above_K3_thr0p5",
-    CAST(coalesce({_centre('k.pos + 2')}, {LAST}) AS DOUBLE) AS "end_of_K3_run_thr0p5",
-    CAST({_cross_ttp(0.5)} AS DOUBLE) AS "linear_interp_thr0p5", CAST({_centre('a.pos')} AS DOUBLE) AS "argmax_P"
-  FROM sc s JOIN kr k USING (pixel_id) LEFT JOIN cr c USING (pixel_id) JOIN am a USING (pixel_id)),
-tall AS (UNPIVOT wide ON "first_above_K3_thr0p5", "end_of_K3_run_thr0p5", "linear_interp_thr0p5", "argmax_P" INTO NAME rule_id VALUE ttp_pred)"""
+# all window rules but the two logistic fits, which SQL cannot express
+SWEEP = tuple(n for n in rl.WINDOW_RULES if "sigmoid" not in n)
+
+
+def _sweep_sql() -> str:
+    """Ends with CTE ``tall`` (rule_id, chip_id, well_id, pixel_id, ttp_pred): one SELECT per rule, stacked."""
+    ctes, rows = [FRACTION, LOCAL, _argbest("sl", "p"), _grad("sl", "g1", "p", "d"), _grad("g1", "g2", "d", "dd"), _argbest("g1", "d", "am1"), _argbest("g2", "dd", "am2")], []
+    add = lambda rule, ttp, src: rows.append(f"SELECT '{rule}' AS rule_id, pixel_id, CAST({ttp} AS DOUBLE) AS ttp_pred FROM {src}")
+    for k, thr in ((1, 0.5), (2, 0.5), (3, 0.5), (5, 0.5), (3, 0.3), (3, 0.7)):
+        tag = f"K{k}_thr{str(thr).replace('.', 'p')}"
+        ctes.append(_run_cte(f"run_{tag}", k, thr))
+        add(f"first_above_{tag}", f"coalesce({_centre('pos')}, {LAST})", f"run_{tag}")
+    add("end_of_K3_run_thr0p5", f"coalesce({_centre('pos + 2')}, {LAST})", "run_K3_thr0p5")
+    add("fraction_above_lb10_thr0p5_f0p5", f"coalesce({_centre('pos')}, {LAST})", "fr")
+    for thr, name in ((0.5, "cr5"), (0.3, "cr3")):
+        ctes.append(_cross(thr, name))
+        add(f"linear_interp_thr{str(thr).replace('.', 'p')}", _cross_ttp(thr), f"sc LEFT JOIN {name} c USING (pixel_id)")
+    add("first_deriv_peak", _centre("pos"), "am1")
+    add("second_deriv_peak", _centre("pos"), "am2")
+    add("argmax_P", _centre("pos"), "am")
+    add("first_local_max", _centre("coalesce(l.pos, a.pos)"), "am a LEFT JOIN lm l USING (pixel_id)")
+    stacked = " UNION ALL ".join(rows)
+    return f"WITH {SCORES_LONG}{''.join(ctes)}, st AS ({stacked}), tall AS (SELECT rule_id, chip_id, well_id, pixel_id, ttp_pred FROM st JOIN sc USING (pixel_id))"
+
+
+SWEEP_SQL = _sweep_sql()
 
 
 @query("u01_rule_registry", SWEEP_SQL + f" SELECT rule_id, pixel_id, {q6('ttp_pred')} AS ttp FROM tall")
