@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
@@ -15,6 +15,10 @@ from wellspring.session import durable, spread
 STATS = ("dyn_range", "net_slope", "trace_min")
 
 
+def _number(k: float | Column) -> Column:
+    return k if isinstance(k, Column) else F.lit(float(k))
+
+
 def with_stats(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("dyn_range", ar.dyn_range("x"))
@@ -23,7 +27,7 @@ def with_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def control_thresholds(stats: DataFrame, rule: str = "mad", k: float = 1.5, pct_amp: float = 5.0,
+def control_thresholds(stats: DataFrame, rule: str = "mad", k: float | Column = 1.5, pct_amp: float = 5.0,
                        pct_shape: float = 5.0, split_rows: int | None = None) -> DataFrame:
     """Per chip, from control pixels: ``thr_<stat>`` with medians, MADs and the control count.
 
@@ -37,7 +41,7 @@ def control_thresholds(stats: DataFrame, rule: str = "mad", k: float = 1.5, pct_
     if rule == "pct":
         per = per.withColumn("thr", F.when(F.col("stat") == "dyn_range", F.col("p_amp")).otherwise(F.col("p_shape")))
     else:
-        per = per.withColumn("thr", F.col("med") - F.lit(float(k)) * F.col("mad"))
+        per = per.withColumn("thr", F.col("med") - _number(k) * F.col("mad"))
     wide = [
         F.max(F.when(F.col("stat") == s, F.col(c))).alias(f"{c}_{s}") for s in STATS for c in ("med", "mad", "thr")
     ]
@@ -114,7 +118,7 @@ def disagreement(df: DataFrame, metric: str = "median", k: int = 8, kth: str = "
     return df.join(ref, [*WELL, "pixel_id"]).withColumn("score", ar.l2("x", "_ref")).drop("_ref")
 
 
-def layer_d(df: DataFrame, rule: str = "mad", k_mad: float = 1.5, pct: float = 95.0, metric: str = "median",
+def layer_d(df: DataFrame, rule: str = "mad", k_mad: float | Column = 1.5, pct: float = 95.0, metric: str = "median",
             k: int = 8, split_rows: int | None = None) -> DataFrame:
     """Scores and drop flag ``d`` for the surviving pixels given; wells of k or fewer are absent."""
     scored = durable(disagreement(df, metric, k).select(*WELL, "pixel_id", "score"))
@@ -122,18 +126,19 @@ def layer_d(df: DataFrame, rule: str = "mad", k_mad: float = 1.5, pct: float = 9
         cut = quantiles(scored, WELL, "score", {"cut": pct / 100.0}, split_rows).drop("n")
     else:
         cut = median_mad(scored, WELL, "score", split_rows).select(
-            *WELL, (F.col("med") + F.lit(float(k_mad)) * F.col("mad")).alias("cut")
+            *WELL, (F.col("med") + _number(k_mad) * F.col("mad")).alias("cut")
         )
     return attach(scored, cut, WELL).withColumn("d", F.col("score") > F.col("cut"))
 
 
-def chip_filter(df: DataFrame, layers: str = "ABCD", rule: str = "mad", k: float = 1.5,
+def chip_filter(df: DataFrame, layers: str = "ABCD", rule: str = "mad", k: float | Column = 1.5,
                 clean_controls_first: bool = False, metric: str = "median", c_k: int = 8, d_k: int = 8,
                 pct_amp: float = 5.0, pct_shape: float = 5.0, d_pct: float = 95.0,
                 split_rows: int | None = None) -> DataFrame:
     """Flags a, b, c, d, ntc_d and keep for every pixel of all chips (without the traces).
 
-    ``is_ntc`` may mark several wells.
+    ``is_ntc`` may mark several wells. ``k`` may be an expression of ``chip_id``, so that several
+    strictnesses run as one job.
     A-C never drop controls, D may. Chips without control pixels are absent from the result.
     """
     if layers not in ("A", "AB", "ABC", "ABCD"):

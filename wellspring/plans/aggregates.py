@@ -138,11 +138,14 @@ SELECT k, CAST(o AS INTEGER) AS smooth_order, method, n, mae, pct_within2, row_n
 @query("a35_grid_ablation", _ablation_sql())
 def a35(spark, root):
     """Strictness x smoothing order x method: error of well times against a per-well reference, and each method's best cell."""
-    t, c, kept, out = traces(spark, root), curves(spark, root), {}, None
-    for k, order in CELLS:
-        if k not in kept:
-            kept[k] = durable(ql.kept_traces(c, ql.chip_filter(t, "ABCD", "mad", k)))
-        m = sp.mean_trace(sp.box_smooth(kept[k], order), WELL).withColumns({"k": F.lit(k), "smooth_order": F.lit(order)})
+    strict = sorted({k for k, _ in CELLS})
+    name = F.concat(F.col("k").cast("string"), F.lit("|"), F.col("chip_id"))  # a chip under one strictness is a chip of its own
+    per_k = lambda df: df.withColumn("k", F.explode(F.array(*map(F.lit, strict)))).withColumn("chip_id", name)
+    k_of = F.substring_index("chip_id", "|", 1).cast("double")
+    kept = durable(ql.kept_traces(per_k(curves(spark, root)), ql.chip_filter(per_k(traces(spark, root)), "ABCD", "mad", k_of)))
+    out = None
+    for order in sorted({o for _, o in CELLS}):
+        m = sp.mean_trace(sp.box_smooth(kept, order), WELL).withColumns({"k": k_of, "smooth_order": F.lit(order)})
         out = m if out is None else out.unionByName(m)
     got = out.select("k", "smooth_order", "well_id", on.landmarks(0.5, span=10)("x").alias("m"))
     tall = got.select("k", "smooth_order", "well_id", *[F.col(f"m.{m}").alias(m) for m in BY_METHOD]).unpivot(["k", "smooth_order", "well_id"], list(BY_METHOD), "method", "ttp")
