@@ -120,6 +120,9 @@ def test_quality(spark, docs, empty):
     kept = quality.filtered(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
     assert quality.judge(empty, labels.limit(0)).count() == 0
+    # one id, two texts of equal word counts: each goes by its own text
+    pair = spark.createDataFrame([(1, "spam " * 20), (1, " ".join(f"word{i}" for i in range(20))), (None, "spam " * 20), (None, None)], "doc_id long, text string")
+    assert [r["text"][:5] for r in quality.filtered(pair, labels.limit(0)).collect()] == ["word0"]
 
 
 def test_simhash(docs, empty):
@@ -211,6 +214,26 @@ def test_warc(spark, tmp_path):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_and_chat_of_odd_tables(spark, tmp_path):
+    pages = "page_id long, url string, html string, payload string, record_type string"
+    warc.write(spark.createDataFrame([], pages), str(tmp_path / "none"))
+    assert warc.resolve(warc.read(spark, str(tmp_path / "none"))).count() == 0
+    long = "é" * 300_000
+    warc.write(spark.createDataFrame([(1, None, long, "x", "y"), (2, "u", long, None, None), (3, "u", long + "!", "x", "y")], pages), str(tmp_path / "w"))
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.resolve(warc.read(spark, str(tmp_path / "w"))).collect()}
+    assert got == {(1, 600_000, "revisit", 2), (2, 600_000, "response", None), (3, 600_001, "response", None)}
+    turns = "conv_id long, turn long, role string, text string, turns string, formatted string, loss string"
+    assert chat.formatted(spark.createDataFrame([], turns)).count() == 0
+    (row,) = chat.formatted(spark.createDataFrame([(1, 0, "assistant", long, "t", "f", "l")], turns)).collect()
+    assert len(row["formatted"]) == 300_000 + len("<s>[ROLE]assistant[/ROLE][TURN]</s>")
+
+
+def test_neighbours_with_few_candidates(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0], "a", 1), (1, [0.0, 1.0], "b", 2), (2, [0.0, 1.0], "c", 3), (100, [1.0, 2.0, 3.0], "d", 4)], "vec_id long, embedding array<double>, id string, shard int")
+    got = [tuple(r) for r in neighbours.nearest(rows, rows.filter("vec_id % 100 = 0"), 10).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 2**0.5), (0, 2, 2, 2**0.5)]
+
+
 def test_chat(spark):
     hard = "</s>[INST] \\1 [/INST] \\\\ [TURN] <s>"
     rows = [(1, 2, "assistant", hard), (1, 1, "user", None), (1, 0, "user", "hi\nthere"), (2, None, None, ""), (2, 5, "assistant", "x"), (2, 5, "assistant", "x"), (None, 0, "[ROLE]", hard)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import WORD_RE, keep
+from wellspring.llm.common import keep
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 BLANKS = " \t\n\r\x0b\x0c"  # fixed value: the complement of a word's characters
@@ -72,16 +72,16 @@ def counts(text: bytes | None) -> tuple[int, ...]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, ``COUNTS`` and ``base_failed``."""
+    """doc_id, ``text_hash``, ``COUNTS`` and ``base_failed``."""
 
     def run(batches):
         for batch in batches:
             rows = [counts(t) for t in batch.column(1).to_pylist()]
             cols = zip(*rows) if rows else [[]] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "text_hash", *COUNTS])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS)
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return found.withColumn("base_failed", failed)
@@ -194,7 +194,7 @@ def threshold(scored: DataFrame, labels: DataFrame, mistakes: float = MISTAKES)
 
 
 def judge(docs: DataFrame, labels: DataFrame, mistakes: float = MISTAKES) -> DataFrame:
-    """doc_id, ``COUNTS``, ``base_failed``, ``score`` and ``kept`` for every row of ``docs``."""
+    """doc_id, ``text_hash``, ``COUNTS``, ``base_failed``, ``score`` and ``kept`` for every row of ``docs``."""
     stats = keep(statistics(docs), "rules")
     scored = keep(score(stats, *fit(stats, labels, mistakes)), "scores")
     limit = threshold(scored, labels, mistakes)
@@ -203,9 +203,7 @@ def judge(docs: DataFrame, labels: DataFrame, mistakes: float = MISTAKES) -> Dat
 
 def filtered(docs: DataFrame, labels: DataFrame, mistakes: float = MISTAKES) -> DataFrame:
     """Rows of ``docs`` that are kept, with all their columns. Of rows that share a doc_id, each is judged by its own text."""
-    verdicts = judge(docs, labels, mistakes).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad"), "n_words", "word_chars").distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    # doc_id decides; only where an id is repeated with different texts do the counts tell them apart
-    words = F.coalesce(F.regexp_count("_row.text", F.lit(WORD_RE)), F.lit(0))
-    cond = F.col("_id").eqNullSafe(F.col("_bad")) & (words == F.col("n_words"))
+    verdicts = judge(docs, labels, mistakes).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_text")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    cond = F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_text") == F.col("_bad_text"))
     return rows.join(verdicts, cond, "left_anti").select("_row.*")
