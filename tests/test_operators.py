@@ -49,6 +49,13 @@ def test_row_index_is_dense(spark, limit):
     assert len(got) == 205 and all(r["o"] == r["i"] for r in got)
 
 
+def test_quantiles_are_bit_equal_on_both_routes(spark):
+    rng = np.random.default_rng(4)
+    df = frame(spark, [("k", float(v)) for v in rng.normal(size=700)] + [("k", float("inf"))] * 2, "k string, v double").cache()
+    probs = {f"q{i}": i / 100 for i in range(0, 101, 3)}
+    assert rk.quantiles(df, ["k"], "v", probs, 90).first() == rk.quantiles(df, ["k"], "v", probs, 10**6).first()
+
+
 def test_median_mad_of_constant(spark):
     got = rk.median_mad(frame(spark, [(1, 2.0)] * 3, "k int, v double"), ["k"], "v").first()
     assert (got["med"], got["mad"], got["n"]) == (2.0, 0.0, 3)

@@ -10,7 +10,7 @@ from tests import parity
 ROOT = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 FAST = [n for n in entry.queries() if n in entry.oracle_sql()]
 # one representative of each family that has no SQL form; the rest run in tests/parity.py
-ROWS = ["e01_threshold_derivative_time", "e08_anchored_variants", "e12_sigmoid_fit", "r05_logistic_fit", "w09_spectrogram", "m01_position_clusters", "s14_run_discovery"]
+ROWS = ["e12_sigmoid_fit", "r05_logistic_fit", "r17_full_rule_sweep", "m01_position_clusters"]
 
 
 @pytest.fixture(scope="module")
