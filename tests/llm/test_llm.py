@@ -137,9 +137,47 @@ def test_simhash(docs, empty):
         if r["doc_id"] is not None:
             lowest[root[r["fp"]]] = min(r["doc_id"], lowest.get(root[r["fp"]], 10**9))
     assert all(r["component_id"] == lowest.get(root[r["fp"]]) for r in rows)
+    assert simhash.grouped(empty).count() == 0
+
+
+def groups_by_similarity(rows):
+    """Smallest ids of the groups, by brute force on sets of strings."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").lower().split()
+        sets.setdefault(frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset(), []).append((i is None, i))
+    keys = list(sets)
+    linked = {a: [b for b in keys if a and b and len(a & b) / len(a | b) >= 0.8] for a in keys}
+    seen, out = set(), []
+    for a in keys:
+        todo, group = [a], {a}
+        while todo:
+            for b in linked[todo.pop()]:
+                if b not in group:
+                    group.add(b)
+                    todo.append(b)
+        if a not in seen:
+            seen |= group
+            out.append(min((x for b in group for x in sets[b]), key=lambda x: (x[0], x[1] or 0))[1])
+    return sorted(out, key=lambda x: (x is None, x))
+
+
+def test_near_duplicates(spark, docs, empty):
     left = simhash.deduplicated(docs)
-    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(lowest.values())
-    assert simhash.grouped(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
+    got = sorted((r["doc_id"] for r in left.collect()), key=lambda x: (x is None, x))
+    assert left.columns == docs.columns and got == groups_by_similarity([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert simhash.deduplicated(empty).count() == 0
+    # edited copies on both sides of the bound, a chain of edits, and the texts that both sides share
+    rows, n = [], 1000
+    for _ in range(40):
+        words = say(150).split()
+        for edits in (0, 1, 3, 5, 8, 15):
+            changed = list(words)
+            for k in random.sample(range(150), edits):
+                changed[k] = f"new{random.randrange(10**6)}"
+            rows.append((n := n - 1, " ".join(changed)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(table).collect()) == groups_by_similarity(rows)
 
 
 def test_bit_slices():
@@ -151,6 +189,10 @@ def test_bit_slices():
     d = np.bitwise_count(fps[:, None] ^ fps[None, :])
     np.fill_diagonal(d, 99)
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(d <= 4))))
+    for radius in (1, 3, 7, 20, 31):
+        for some in (fps, fps[:9]):
+            i, j = simhash.near(some, radius)
+            assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(d[: len(some), : len(some)] <= radius))))
 
 
 def test_links_in_chunks(spark, monkeypatch):

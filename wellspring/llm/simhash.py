@@ -9,25 +9,37 @@ radius. m grows with the number of fingerprints, so that key groups stay small;
 A text without words has fingerprint zero and is linked like any other; null texts have no words.
 Documents without an id have a fingerprint and a group, but name no group. Copies meet in one
 fingerprint before anything is compared. Extra columns are ignored or carried along.
+
+``grouped`` links by fingerprints alone. ``deduplicated`` links texts whose sets of word shingles have a
+Jaccard similarity of ``SIMILARITY`` or more: such texts differ in ten bits of 64 on average, too many for
+shared keys of bits, so texts meet under bands of smallest shingle hashes, are compared bit-sliced
+within ``REACH`` bits there, and the shingle sets of every pair that is left decide.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm.common import components, keep, same
+from wellspring.llm.spans import prefix_hashes, slice_hashes
 
 SHINGLE = 4
 RADIUS = 4
 BITS = 64
 GROUP = 2000  # mean fingerprints per key aimed at
 CHUNK = 1024  # fingerprints of one key that are compared at a time
+WORDS = 5  # words of a shingle where the similarity decides
+SIMILARITY = 0.8  # least Jaccard similarity of near-duplicates
+BANDS, ROWS = 18, 4  # of smallest hashes: two texts of that similarity share no band once in 13,000 times
+REACH = 20  # bits; two texts of that similarity differ in 9.7 of 64, with a standard deviation of 2.9
+_ORDERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -56,8 +68,12 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def near(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """All ordered pairs (i, j), i != j, of positions in ``fps`` (uint64) at most ``radius`` < 8 bits apart."""
-    n, lanes = len(fps), -(-len(fps) // 64)
+    """All ordered pairs (i, j), i != j, of positions in ``fps`` (uint64) at most ``radius`` bits apart."""
+    n, lanes, levels = len(fps), -(-len(fps) // 64), max(2, radius.bit_length())
+    if n < 16:  # no more than a quarter of a machine word to share
+        apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+        np.fill_diagonal(apart, BITS + 1)
+        return np.nonzero(apart <= radius)
     bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     planes = np.zeros((BITS, lanes * 64), np.uint8)
     planes[:, :n] = bits.T
@@ -69,11 +85,11 @@ def near(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]
     sliced, over = pack(planes), pack(own)
     flip = np.where(bits, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     rows = np.arange(n)
-    c = [np.zeros((n, lanes), np.uint64) for _ in range(3)]  # the distance's bits 1, 2 and 4; `over` is 8 and up
+    c = [np.zeros((n, lanes), np.uint64) for _ in range(levels)]  # the distance's bits 1, 2, 4 ...; `over` is all beyond
 
     def exceeded() -> np.ndarray:
         out, equal = over.copy(), ~over
-        for k in (2, 1, 0):  # compare the counters with the radius from the top bit down
+        for k in range(levels)[::-1]:  # compare the counters with the radius from the top bit down
             if radius >> k & 1:
                 equal &= c[k]
             else:
@@ -90,10 +106,11 @@ def near(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]
         carry = c[0] & ones
         c[0] ^= ones
         both = twos ^ carry
-        fours = (twos & carry) | (both & c[1])
+        carry = (twos & carry) | (both & c[1])
         c[1] ^= both
-        over |= c[2] & fours
-        c[2] ^= fours
+        for k in range(2, levels):
+            c[k], carry = c[k] ^ carry, c[k] & carry
+        over |= carry
         if step % 3 == 2 and step > 3:
             alive = np.flatnonzero((exceeded() != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=1))
             if not len(alive):
@@ -130,30 +147,40 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = [sum(((1 << int(b - a)) - 1) << int(a) for a, b in c) for c in combinations(list(zip(edges, edges[1:])), m)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(x)))) for k, x in enumerate(masks)]))
-    keyed = unique.select("fp", keys.alias("key"))
+
+    def compare(f):
+        a, b = stars(f.view(np.uint64), radius)
+        return a.view(np.int64), b.view(np.int64)
+
+    return compared(unique.select("fp", keys.alias("key")), ["fp"], compare)
+
+
+def compared(keyed: DataFrame, columns: list[str], compare: Callable) -> DataFrame:
+    """(a, b): what ``compare`` finds in the rows of each key; it takes arrays of the long ``columns``, the first of which tells rows apart."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("of"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    parted = keyed.join(sizes, F.col("key") == F.col("of")).withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("chunks")).cast("int"))
+    parted = keyed.join(sizes, F.col("key") == F.col("of")).withColumn("chunk", F.pmod(F.xxhash64(columns[0], F.lit(3)), F.col("chunks")).cast("int"))
     # a key with more than a chunk of fingerprints: chunk by chunk, each pair of chunks in a group of its own
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    groups = parted.withColumn("other", other).select("fp", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("g"))
+    groups = parted.withColumn("other", other).select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("g"), *columns)
 
     def run(batches):
-        held_g, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64) for _ in range(len(columns) + 1)]
 
-        def compare(g, f):
+        def found(g, *values):
             at = np.flatnonzero(np.diff(g)) + 1
-            found = [stars(part.view(np.uint64), radius) for part in np.split(f, at) if len(part) > 1]
-            a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.uint64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            parts = zip(*(np.split(v, at) for v in values))
+            pairs = [compare(*part) for part in parts if len(part[0]) > 1]
+            a, b = (np.concatenate([x[k] for x in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            g, f = (np.concatenate([h, np.asarray(batch.column(k))]) for k, h in ((0, held_g), (1, held_f)))
-            last = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on in the next batch
-            held_g, held_f = g[last:], f[last:]
-            yield compare(g[:last], f[:last])
-        yield compare(held_g, held_f)
+            rows = [np.concatenate([h, np.asarray(batch.column(k))]) for k, h in enumerate(held)]
+            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last group may go on in the next batch
+            held = [r[last:] for r in rows]
+            yield found(*(r[:last] for r in rows))
+        yield found(*held)
 
-    return groups.select("g", "fp").repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -167,14 +194,97 @@ def grouped(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> Data
     return marked.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per group, that of its smallest doc_id, with all columns of ``docs``.
+def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the different word shingles of a text, A-Z lower-cased."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - width + 1)
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+    starts = np.append(0, ends[:-1] + 1)
+    h = slice_hashes(prefix_hashes(joined), starts[:n], ends[-n:])
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(h ^ (h >> np.uint64(31)))
+
+
+def sketch(h: np.ndarray) -> tuple[int, list[int]]:
+    """Fingerprint and bands of a set of shingle hashes; a set without any has no bands."""
+    if not len(h):
+        return 0, []
+    ones, low = np.zeros(BITS, np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096]
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        np.minimum(low, (part[:, None] * _ORDERS).min(axis=0), out=low)
+    band = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, ROWS).T:
+        band = (band ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        band ^= band >> np.uint64(32)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]), band.view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """Per row of ``docs``: doc_id, ``text_hash``, ``what`` (a hash of its shingle set), ``n`` shingles, ``fp`` and ``bands``."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
+            fp, bands = zip(*map(sketch, sets)) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)),
+                    pa.array([len(h) for h in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "text_hash", "what", "n", "fp", "bands"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, what long, n long, fp long, bands array<long>")
+
+
+def similar(docs: DataFrame, classes: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, score): all pairs of different ``classes`` whose shingle sets are similar; ``score`` is their exact Jaccard similarity."""
+
+    def compare(what, fp, n):
+        i, j = near(fp.view(np.uint64), REACH)
+        fits = (what[i] < what[j]) & (np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= similarity)
+        return what[i[fits]], what[j[fits]]
+
+    keyed = classes.select("what", "fp", "n", F.explode("bands").alias("key"))
+    pairs = keep(compared(keyed, ["what", "fp", "n"], compare).distinct(), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    holders = classes.join(asked, F.col("what") == F.col("asked")).select("what", F.col("first.doc_id").alias("h_id"), F.col("first.text_hash").alias("h_hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(holders, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("hash") == F.col("h_hash"))).select("what", "text").dropDuplicates(["what"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                sets = [shingles(t, width).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["what", "hs"])
+
+    sets = keep(texts.mapInArrow(run, "what long, hs array<long>"), "sets")
+    left, right = (sets.select(F.col("what").alias(f"{x}_what"), F.col("hs").alias(f"{x}_hs")) for x in "ab")
+    both = pairs.join(left, F.col("a") == F.col("a_what")).join(right, F.col("b") == F.col("b_what"))
+    both = both.select("a", "b", F.size(F.array_intersect("a_hs", "b_hs")).alias("common"), (F.size("a_hs") + F.size("b_hs")).alias("sizes"))
+    return both.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("score")).filter(F.col("score") >= F.lit(similarity))
+
+
+def deduplicated(docs: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per group of near-duplicates, that of its smallest doc_id, with all columns of ``docs``.
 
-    Of repeated rows one stays; an id that stands for several groups keeps as many of its rows. Of
-    groups in which no document has an id, one row per group stays.
+    Groups are what links of ``similar`` reach; texts with the same shingles are one. Texts without
+    words are a group. Rows without an id stay only where no row of their group has one. Of repeated rows one stays.
     """
-    found = keep(grouped(docs, width, radius), "groups")
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first")).agg(F.countDistinct("fp", "component_id").alias("groups"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_row.text"))))
-    return rows.join(firsts, same(rows, firsts, [("_id", "first")]) & (F.col("_nth") <= F.col("groups")), "left_semi").select("_row.*")
+    marked = keep(sketches(docs, width), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes = keep(marked.groupBy("what").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")]), "classes")
+    roots = keep(components(keep(similar(docs, classes, width, similarity), "similar")), "roots")
+    of = classes.join(roots, F.col("what") == F.col("node"), "left").select("first", F.coalesce("root", "what").alias("root"))
+    stay = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("s_id"), F.col("first.text_hash").alias("s_hash"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    held = rows.join(stay, F.col("_id").eqNullSafe(F.col("s_id")) & (F.col("_hash") == F.col("s_hash")), "left_semi")
+    return held.dropDuplicates(["_id", "_hash"]).select("_row.*")
