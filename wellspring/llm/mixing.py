@@ -76,9 +76,10 @@ def mix(docs: DataFrame, seed: int = 1, **shares) -> DataFrame:
 def emit(docs: DataFrame, seed: int = 1, **shares) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it, with all their columns."""
     drawn = mix(docs, seed, **shares)
-    order = Window.partitionBy("_id").orderBy("_source", "_size")
+    # rows of equal id, source and size are told apart by a number; their draws may be swapped
+    order = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("_row.text"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), size().alias("_size")).withColumn("_nth", F.row_number().over(order))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
-    drawn = drawn.withColumn("nth", nth).filter("copies > 0").select("doc_id", "nth", "copies")
-    joined = rows.join(drawn, same(rows, drawn, [("_id", "doc_id"), ("_nth", "nth")]))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies"))
+    drawn = drawn.withColumn("nth", nth).filter("copies > 0").select("doc_id", "source", "size", "nth", "copies")
+    joined = rows.join(drawn, same(rows, drawn, [("_id", "doc_id"), ("_source", "source"), ("_size", "size"), ("_nth", "nth")]))
     return joined.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")

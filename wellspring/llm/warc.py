@@ -26,6 +26,7 @@ from wellspring.llm.common import keep, same
 VERSION = b"WARC/1.1\r\n"  # fixed value
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 FILE_BYTES = 16 << 20  # aimed size of an archive file: a reader holds one at a time
+STEP = 1 << 16  # compressed bytes that the reader decompresses at a time
 DATE = "2024-01-01T00:00:00Z"
 _CRLF = "\r\n"
 
@@ -118,20 +119,22 @@ def _parse(data: bytes, at: int) -> tuple[dict, int] | None:
 
 def _member(data: bytes, at: int) -> tuple[list[dict], int] | None:
     """Records of a gzip member at ``at``, all of them valid, and where the member ends."""
-    box = zlib.decompressobj(31)
+    box, parts, stop = zlib.decompressobj(31), [], at
     try:
-        plain = box.decompress(data[at:])
+        while not box.eof and stop < len(data):  # in steps: the rest of the file is not copied for each member
+            parts.append(box.decompress(data[stop : stop + STEP]))
+            stop += STEP
     except zlib.error:
         return None
     if not box.eof:
         return None
-    found, inner = [], 0
+    plain, found, inner = b"".join(parts), [], 0
     while inner < len(plain):
         if (one := _parse(plain, inner)) is None:
             return None
         found.append(one[0])
         inner = one[1]
-    return found, len(data) - len(box.unused_data)
+    return found, min(stop, len(data)) - len(box.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None]]:
