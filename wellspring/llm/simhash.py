@@ -244,16 +244,32 @@ def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, what long, n long, fp long, bands array<long>")
 
 
-def similar(docs: DataFrame, classes: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, score): all pairs of different ``classes`` whose shingle sets are similar; ``score`` is their exact Jaccard similarity."""
+def candidates(rows: DataFrame, step: str, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``rows`` (what, fp, n, root, bands) of different roots that share a band and lie within ``REACH`` bits.
 
-    def compare(what, fp, n):
-        i, j = near(fp.view(np.uint64), REACH)
-        fits = (what[i] < what[j]) & (np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= similarity)
-        return what[i[fits]], what[j[fits]]
+    Step ``hub`` takes each text's smallest partner in a band, ``nearest`` its nearest one, ``all`` every one.
+    """
 
-    keyed = classes.select("what", "fp", "n", F.explode("bands").alias("key"))
-    pairs = keep(compared(keyed, ["what", "fp", "n"], compare).distinct(), "candidates")
+    def compare(what, fp, n, root):
+        i = j = np.empty(0, np.int64)
+        if (root != root[0]).any():
+            i, j = near(fp.view(np.uint64), REACH)
+            fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= similarity)
+            i, j = i[fits], j[fits]
+        if step != "all" and len(i):
+            far = np.bitwise_count(fp[i] ^ fp[j]) if step == "nearest" else np.zeros(len(i), np.uint8)
+            order = np.lexsort((what[j], far, i))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            i, j = i[first], j[first]
+        return np.minimum(what[i], what[j]), np.maximum(what[i], what[j])
+
+    keyed = rows.select("what", "fp", "n", "root", F.explode("bands").alias("key"))
+    return compared(keyed, ["what", "fp", "n", "root"], compare).distinct()
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(what, hs): shingle hashes of the texts in ``pairs``, each read from one row of ``docs``."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     holders = classes.join(asked, F.col("what") == F.col("asked")).select("what", F.col("first.doc_id").alias("h_id"), F.col("first.text_hash").alias("h_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
@@ -266,23 +282,46 @@ def similar(docs: DataFrame, classes: DataFrame, width: int = WORDS, similarity:
                 sets = [shingles(t, width).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["what", "hs"])
 
-    sets = keep(texts.mapInArrow(run, "what long, hs array<long>"), "sets")
+    return texts.mapInArrow(run, "what long, hs array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` have the exact Jaccard similarity."""
     left, right = (sets.select(F.col("what").alias(f"{x}_what"), F.col("hs").alias(f"{x}_hs")) for x in "ab")
     both = pairs.join(left, F.col("a") == F.col("a_what")).join(right, F.col("b") == F.col("b_what"))
     both = both.select("a", "b", F.size(F.array_intersect("a_hs", "b_hs")).alias("common"), (F.size("a_hs") + F.size("b_hs")).alias("sizes"))
-    return both.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("score")).filter(F.col("score") >= F.lit(similarity))
+    return both.filter(F.col("common") / (F.col("sizes") - F.col("common")) >= F.lit(similarity)).select("a", "b")
+
+
+def joined(docs: DataFrame, classes: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): the groups that similar texts of ``classes`` form, for texts with a similar one.
+
+    Two steps check a few pairs per text and join most of a large group of near copies; the last checks
+    every pair whose texts are not yet in one group, so no link between groups is lost.
+    """
+    rows = classes.withColumn("root", F.col("what"))
+    pairs = keep(candidates(rows, "hub", similarity), "candidates")
+    sets = keep(shingle_sets(docs, classes, pairs, width), "sets")  # a text without a pair here has none later
+    links = keep(similar(pairs, sets, similarity), "similar")
+    some = keep(classes.join(sets.select(F.col("what").alias("some")), F.col("what") == F.col("some"), "left_semi"), "some")
+    for step in ("nearest", "all"):
+        roots = keep(components(links), "roots")
+        rows = some.join(roots, F.col("what") == F.col("node"), "left").withColumn("root", F.coalesce("root", "what"))
+        pairs = keep(candidates(rows, step, similarity), "candidates")
+        links = keep(links.union(similar(pairs, sets, similarity)), "similar")
+    return components(links)
 
 
 def deduplicated(docs: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per group of near-duplicates, that of its smallest doc_id, with all columns of ``docs``.
 
-    Groups are what links of ``similar`` reach; texts with the same shingles are one. Texts without
+    Groups are what pairs of that Jaccard similarity reach; texts with the same shingles are one. Texts without
     words are a group. Rows without an id stay only where no row of their group has one. Of repeated rows one stays.
     """
     marked = keep(sketches(docs, width), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     classes = keep(marked.groupBy("what").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")]), "classes")
-    roots = keep(components(keep(similar(docs, classes, width, similarity), "similar")), "roots")
+    roots = keep(joined(docs, classes, width, similarity), "roots")
     of = classes.join(roots, F.col("what") == F.col("node"), "left").select("first", F.coalesce("root", "what").alias("root"))
     stay = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("s_id"), F.col("first.text_hash").alias("s_hash"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
