@@ -237,6 +237,31 @@ def test_lines(spark, empty):
     assert lines.deduplicated(empty).count() == 0
 
 
+def cut_lines(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    return [(r["text"], r["n_removed"]) for r in lines.deduplicated(rows).orderBy("_row.doc_id").select("_row.text", "n_removed").collect()]
+
+
+def test_copies_lose_every_line(spark):
+    long = "a line of six words here"
+    whole = ["# Head\n\n" + long + "\n- item\n\n- item\n}\n", "one", "Yes.\nNo.\n\nYes.", "春はあけぼの\nやうやう白くなりゆく山ぎは", "so much for this one line\n\nso much for this one line"]
+    got = cut_lines(spark, whole + whole)
+    assert [t for t, _ in got] == whole + [""] * len(whole)
+    assert [n for _, n in got] == [0] * len(whole) + [t.count("\n") + 1 for t in whole]
+
+
+def test_blocks_go_with_their_short_lines(spark):
+    block = "# Head\n\nfive words stand right here\n- item\n\n- next"
+    code = "try:\nrun()\nexcept:\npass\n\nelse:\nstop()"
+    runes = "春はあけぼのやうやう白くなりゆく山ぎはすこしあかりて"
+    first = f"before\n{block}\nafter\n{code}\nfar\n{runes}\nx"
+    later = f"start\n{block}\nother\n{code}\nends\n{runes}\ny"
+    assert cut_lines(spark, [first, later])[1] == ("start\nother\nends\ny", 6 + 7 + 1)
+    # equal short lines next to an anchor are not counted twice, nor short lines that stand elsewhere
+    a, b = "one two three four five", "six seven eight nine ten"
+    assert cut_lines(spark, [f"{a}\ns\n{b}", f"{a}\ns\ns\n{b}\ns"])[1] == ("s\ns", 3)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u\r\nv", "<p>é"), (2, None, "<p>é"), (3, "w", None), (4, "w", ""), (5, "z", "WARC/1.1\r\nfake\r\n\r\n" * 3), (5, "z", "WARC/1.1\r\nfake\r\n\r\n" * 3)]
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))

@@ -1,14 +1,17 @@
 """Line deduplication by pairwise alignment.
 
-A line's j-th occurrence in a document is a token, so every token is unique in its document, which is
-what patience diff needs. A token that one document has alone cannot overlap; each of the others
-links its documents to the first that holds it, and to no further one, so even a line found
-everywhere costs one link per document. A document and each of its partners are aligned on their
-shared tokens (longest increasing run of positions), and the aligned lines go from the later document.
-
-Lines under ``MIN_WORDS`` words are no tokens and stay. Null texts are empty and have no lines; they
-stay null. Rows without a doc_id are neither earlier nor later than others and stay whole. Repeated
-rows of one id are treated alike. A document whose lines all go keeps an empty text.
+An anchor is a line of at least ``MIN_WORDS`` words or, where lines are shorter, the shortest run of short
+lines from one on that holds as many. Its j-th occurrence in a document is a token, so every token is
+unique in its document, which is what patience diff needs. A token that one document has alone cannot
+overlap; each of the others links its documents to the first that holds it, and to no further one, so
+even a line found everywhere costs one link per document. A document and each of its partners are
+aligned on the tokens that link them (longest increasing run of positions). Each aligned anchor is
+extended over equal neighbouring lines of any length, blank ones too, and the aligned lines go from the
+later document. A text that equals an earlier document's loses every line, whatever its lines hold.
+
+Scripts without blanks count a word for each 12 bytes beyond ASCII. Null texts are empty and have no
+lines; they stay null. Rows without a doc_id are neither earlier nor later than others and stay whole.
+Repeated rows of one id are treated alike. A document whose lines all go keeps an empty text.
 """
 
 from __future__ import annotations
@@ -25,18 +28,60 @@ from pyspark.sql import functions as F
 from wellspring.llm.common import keep
 
 MIN_WORDS = 5
+ASCII = bytes(range(128))
+PLACE = ("line", "before", "after")  # where a document has a token
 
 
-def tokens(text: bytes, min_words: int = MIN_WORDS) -> tuple[list[int], list[bytes]]:
-    """Line numbers (from 0) and 16-byte tokens of the lines that count."""
+def n_words(line: bytes, enough: int) -> int:
+    """Words of a line; counting may stop at ``enough``."""
+    words = line.split(None, enough - 1)
+    if len(words) < enough and not line.isascii():
+        return sum(max(1, len(w.translate(None, ASCII)) // 12) for w in words)
+    return len(words)
+
+
+def reach(words: list[int], k: int, step: int, min_words: int) -> int:
+    """The line at which the lines from ``k`` on, forwards or backwards, hold ``min_words`` words, or the last one."""
+    n, last = 0, len(words) - 1 if step > 0 else 0
+    while (n := n + words[k]) < min_words and k != last:
+        k += step
+    return k
+
+
+def anchors(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """First and last line of each anchor, in order; those of several lines hold short ones only."""
+    out = []
+    for k, n in enumerate(words):
+        if n:
+            end = reach(words, k, 1, min_words)
+            if end == k and n >= min_words or end > k and words[end] < min_words and sum(words[k : end + 1]) >= min_words:
+                out.append((k, end))
+    return out
+
+
+def tokens(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Line number (from 0), 16-byte token and 8-byte hashes of the lines before and after, per anchor.
+
+    Either side holds as many lines as have ``min_words`` words: where more of them are shared, they are or hold an
+    anchor too. The last entry is for the whole text: less its number of lines, its token, and no neighbours.
+    """
+    import xxhash
+
+    lines = text.split(b"\n")
+    words = [n_words(line, min_words) for line in lines]
+    marks = b"".join(map(xxhash.xxh64_digest, lines))
     seen: dict = defaultdict(int)
-    at, out = [], []
-    for k, line in enumerate(text.split(b"\n")):
-        if len(line.split(None, min_words - 1)) >= min_words:
-            seen[line] += 1
-            at.append(k)
-            out.append(hashlib.blake2b(line, digest_size=16, salt=seen[line].to_bytes(8, "little")).digest())
-    return at, out
+    out = []
+    for k, end in anchors(words, min_words):
+        what = b"\n".join(lines[k : end + 1])
+        seen[what] += 1
+        first = reach(words, k - 1, -1, min_words) if k else 0
+        last = reach(words, k + 1, 1, min_words) if k + 1 < len(lines) else k
+        token = hashlib.blake2b(what, digest_size=16, salt=seen[what].to_bytes(8, "little")).digest()
+        out.append((k, token, marks[8 * first : 8 * k], marks[8 * k + 8 : 8 * last + 8]))
+    if text.strip():
+        out.append((-len(lines), hashlib.blake2b(text, digest_size=16, person=b"whole").digest(), b"", b""))
+    return out
 
 
 def patience(later: list[int], earlier: list[int]) -> list[int]:
@@ -54,6 +99,40 @@ def patience(later: list[int], earlier: list[int]) -> list[int]:
     return run[::-1]
 
 
+def alike(a: bytes, b: bytes) -> int:
+    """How many 8-byte hashes two sequences have in common at their start."""
+    n = min(len(a), len(b)) // 8
+    if a[: 8 * n] == b[: 8 * n]:
+        return n
+    return next(k for k in range(n) if a[8 * k : 8 * k + 8] != b[8 * k : 8 * k + 8])
+
+
+def alike_at_end(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b)) // 8
+    if a[len(a) - 8 * n :] == b[len(b) - 8 * n :]:
+        return n
+    return next(k for k in range(n) if a[len(a) - 8 * k - 8 : len(a) - 8 * k] != b[len(b) - 8 * k - 8 : len(b) - 8 * k])
+
+
+def aligned(links: list[dict]) -> set[int]:
+    """Lines of the later document that are aligned with one partner; ``links`` are the tokens both hold."""
+    for s in links:
+        if s["line"] < 0:
+            return set(range(-s["line"]))
+    by = {(s["line"], s["partner_line"]): s for s in links}
+    at = {line: partner_line for line, partner_line in sorted(by, reverse=True)}
+    run = patience(*zip(*at.items()))
+    gone, done, partner_done = set(), -1, -1  # the last lines aligned so far
+    for n, k in enumerate(run):
+        s, p = by[k, at[k]], at[k]
+        back = min(alike_at_end(s["before"], s["partner_before"]), k - done - 1, p - partner_done - 1)
+        room = min(run[n + 1] - k, at[run[n + 1]] - p) - 1 if n + 1 < len(run) else len(s["after"])
+        on = min(alike(s["after"], s["partner_after"]), room)
+        gone.update(range(k - max(0, back), k + on + 1))
+        done, partner_done = max(done, k + on), max(partner_done, p + on)
+    return gone
+
+
 def kept_runs(removed: list[int]) -> list[dict]:
     """Runs of lines that stay, as 1-based (start, length); the last is open."""
     out, start = [], 0
@@ -72,28 +151,28 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [tokens(t or b"", min_words) for t in part.column(2).to_pylist()]
-                n = [len(f[0]) for f in found]
-                index = pa.array(np.repeat(np.arange(len(n)), n), pa.int64())
+                index = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+                values = [[x[k] for f in found for x in f] for k in range(4)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(index), part.column(1).take(index), pa.array([k for f in found for k in f[0]], pa.int32()), pa.array([t for f in found for t in f[1]], pa.binary())],
-                    names=["doc_id", "text_hash", "line", "token"],
+                    [part.column(0).take(index), part.column(1).take(index), pa.array(values[0], pa.int32()), *[pa.array(v, pa.binary()) for v in values[1:]]],
+                    names=["doc_id", "text_hash", "line", "token", "before", "after"],
                 )
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    lines = keep(rows.mapInArrow(split, "doc_id long, text_hash long, line int, token binary"), "lines")
-    first = lines.groupBy(F.col("token").alias("of")).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("doc_id").alias("last"))
-    first = first.filter("last > first.doc_id").select("of", F.col("first.doc_id").alias("partner"), F.col("first.line").alias("partner_line"))
+    lines = keep(rows.mapInArrow(split, "doc_id long, text_hash long, line int, token binary, before binary, after binary"), "lines")
+    first = lines.groupBy(F.col("token").alias("of")).agg(F.min(F.struct("doc_id", "line", "before", "after")).alias("first"), F.max("doc_id").alias("last"))
+    first = first.filter("last > first.doc_id").select("of", F.col("first.doc_id").alias("partner"), *[F.col(f"first.{c}").alias(f"partner_{c}") for c in PLACE])
     shared = lines.join(first, F.col("token") == F.col("of")).filter("doc_id > partner")
-    per_doc = shared.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("partner", "line", "partner_line")).alias("shared"))
+    per_doc = shared.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("partner", *PLACE, *[f"partner_{c}" for c in PLACE])).alias("shared"))
 
     def align(batches):
         for batch in batches:
             removed, runs = [], []
             for shared in batch.column(2).to_pylist():
-                by = defaultdict(set)
+                by = defaultdict(list)
                 for s in shared:
-                    by[s["partner"]].add((s["line"], s["partner_line"]))
-                gone = {k for pairs in by.values() for k in patience(*zip(*pairs))}
+                    by[s["partner"]].append(s)
+                gone = {k for links in by.values() for k in aligned(links)}
                 removed.append(len(gone))
                 runs.append(kept_runs(list(gone)))
             yield pa.RecordBatch.from_arrays(
