@@ -262,6 +262,13 @@ def test_blocks_go_with_their_short_lines(spark):
     assert cut_lines(spark, [f"{a}\ns\n{b}", f"{a}\ns\ns\n{b}\ns"])[1] == ("s\ns", 3)
 
 
+def test_other_orders_meet_their_first_document(spark):
+    a, b, c = ("\n".join(f"{x} line {k} of the block" for k in range(4)) for x in "abc")
+    got = cut_lines(spark, [f"{a}\n{b}", f"{b}\n{a}", f"{b}\nown words\n{a}", f"{b}\n{a}\nmore", f"{c}\n{a}", f"{c}\n{b}\n{a}"])
+    assert [n for _, n in got] == [0, 4, 8, 8, 4, 12]
+    assert [t for t, _ in got][2:4] == ["own words", "more"]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u\r\nv", "<p>é"), (2, None, "<p>é"), (3, "w", None), (4, "w", ""), (5, "z", "WARC/1.1\r\nfake\r\n\r\n" * 3), (5, "z", "WARC/1.1\r\nfake\r\n\r\n" * 3)]
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))

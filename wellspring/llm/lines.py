@@ -3,9 +3,12 @@
 An anchor is a line of at least ``MIN_WORDS`` words or, where lines are shorter, the shortest run of short
 lines from one on that holds as many. Its j-th occurrence in a document is a token, so every token is
 unique in its document, which is what patience diff needs. A token that one document has alone cannot
-overlap; each of the others links its documents to the first that holds it, and to no further one, so
-even a line found everywhere costs one link per document. A document and each of its partners are
-aligned on the tokens that link them (longest increasing run of positions). Each aligned anchor is
+overlap; each of the others links its documents to the first that holds it, so even a line found
+everywhere costs one link per document. A document and each of its partners are aligned on the tokens
+that link them (longest increasing run of positions). Where that leaves tokens because the first holder
+has them in another order, the document is also aligned with the first holder of every pair of consecutive
+shared tokens, on all tokens both have: each order meets the earliest document that has it, again with
+one link per pair and document. Each aligned anchor is
 extended over equal neighbouring lines of any length, blank ones too, and the aligned lines go from the
 later document. A text that equals an earlier document's loses every line, whatever its lines hold.
 
@@ -22,7 +25,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm.common import keep
@@ -160,27 +163,58 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     lines = keep(rows.mapInArrow(split, "doc_id long, text_hash long, line int, token binary, before binary, after binary"), "lines")
-    first = lines.groupBy(F.col("token").alias("of")).agg(F.min(F.struct("doc_id", "line", "before", "after")).alias("first"), F.max("doc_id").alias("last"))
+    first = lines.groupBy(F.col("token").alias("of")).agg(F.min(F.struct("doc_id", *PLACE)).alias("first"), F.max("doc_id").alias("last"))
     first = first.filter("last > first.doc_id").select("of", F.col("first.doc_id").alias("partner"), *[F.col(f"first.{c}").alias(f"partner_{c}") for c in PLACE])
-    shared = lines.join(first, F.col("token") == F.col("of")).filter("doc_id > partner")
-    per_doc = shared.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("partner", *PLACE, *[f"partner_{c}" for c in PLACE])).alias("shared"))
+    held = keep(lines.join(first, F.col("token") == F.col("of")).drop("of"), "held")
+    found = keep(alignments(held.filter("doc_id > partner").withColumn("again", F.lit(False))), "aligned")
+    if found.filter("crossed").isEmpty():
+        return found.drop("crossed")
+    crossed = found.filter("crossed").select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).distinct()
+    todo = keep(held.join(crossed, (F.col("doc_id") == F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left_semi"), "crossed")
+    both = todo.filter("doc_id > partner").withColumn("again", F.lit(False)).unionByName(pair_links(held, todo).withColumn("again", F.lit(True)))
+    return found.filter("NOT crossed").unionByName(alignments(both)).drop("crossed")
+
+
+def pair_links(held: DataFrame, todo: DataFrame) -> DataFrame:
+    """Rows of ``todo`` with their place in each earlier document that is the first to hold a pair of the document's consecutive tokens."""
+    of_text = Window.partitionBy("doc_id", "text_hash").orderBy("line")
+    distinct = held.filter("line >= 0").select("doc_id", "text_hash", "line", "token").distinct()
+    pairs = distinct.withColumn("next", F.lead("token").over(of_text)).filter("next IS NOT NULL").select("doc_id", "text_hash", "token", "next")
+    pairs = keep(pairs.select("doc_id", "text_hash", F.concat("token", "next").alias("pair")), "pairs")
+    first = pairs.groupBy(F.col("pair").alias("of")).agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last")).filter("last > partner").drop("last")
+    ids = todo.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash")).distinct()
+    asked = pairs.join(ids, (F.col("doc_id") == F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")), "left_semi")
+    links = asked.join(first, F.col("pair") == F.col("of")).filter("doc_id > partner")
+    links = keep(links.select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"), F.col("partner").alias("other")).distinct(), "pair_links")
+    own = todo.filter("line >= 0").select("doc_id", "text_hash", "token", *PLACE)
+    own = own.join(links, (F.col("doc_id") == F.col("l_id")) & (F.col("text_hash") == F.col("l_hash"))).select("doc_id", "text_hash", "token", *PLACE, F.col("other").alias("partner"))
+    others = held.filter("line >= 0").join(links.select("other").distinct(), F.col("doc_id") == F.col("other"), "left_semi")
+    others = others.groupBy(F.col("doc_id").alias("o_id"), F.col("token").alias("o_token")).agg(F.min(F.struct(*PLACE)).alias("place"))
+    others = others.select("o_id", "o_token", *[F.col(f"place.{c}").alias(f"partner_{c}") for c in PLACE])
+    return own.join(others, (F.col("partner") == F.col("o_id")) & (F.col("token") == F.col("o_token"))).drop("o_id", "o_token")
+
+
+def alignments(links: DataFrame) -> DataFrame:
+    """Per document of ``links``: n_removed, ``runs``, and ``crossed``, whether a linked line stays; rows ``again`` are aligned apart from others."""
+    per_doc = links.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("partner", "again", *PLACE, *[f"partner_{c}" for c in PLACE])).alias("shared"))
 
     def align(batches):
         for batch in batches:
-            removed, runs = [], []
+            removed, runs, crossed = [], [], []
             for shared in batch.column(2).to_pylist():
                 by = defaultdict(list)
                 for s in shared:
-                    by[s["partner"]].append(s)
+                    by[s["partner"], s["again"]].append(s)
                 gone = {k for links in by.values() for k in aligned(links)}
                 removed.append(len(gone))
                 runs.append(kept_runs(list(gone)))
+                crossed.append(any(s["line"] >= 0 and s["line"] not in gone for s in shared))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))],
-                names=["doc_id", "text_hash", "n_removed", "runs"],
+                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(crossed, pa.bool_())],
+                names=["doc_id", "text_hash", "n_removed", "runs", "crossed"],
             )
 
-    return per_doc.mapInArrow(align, "doc_id long, text_hash long, n_removed long, runs array<struct<start:int,length:int>>")
+    return per_doc.mapInArrow(align, "doc_id long, text_hash long, n_removed long, runs array<struct<start:int,length:int>>, crossed boolean")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
