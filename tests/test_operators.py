@@ -290,6 +290,18 @@ def test_kmeans_separates_two_families(spark):
         cl.kmeans(df, ["w"], "pixel_id", "f", 31, strict=True)
 
 
+def test_kmeans_goes_on_until_it_settles(spark):
+    from wellspring.operators import clusters as cl
+
+    values = [float(v) ** 1.5 for v in range(200)]
+    df = frame(spark, [("w", i, [v]) for i, v in enumerate(values)], "w string, pixel_id long, f array<double>")
+    got = {r["pixel_id"]: r["cluster"] for r in cl.kmeans(df, ["w"], "pixel_id", "f", 4).collect()}
+    centres = {c: np.mean([values[i] for i in got if got[i] == c]) for c in set(got.values())}
+    assert len(centres) == 4 and all(got[i] == min(centres, key=lambda c: abs(centres[c] - v)) for i, v in enumerate(values))
+    with pytest.raises(RuntimeError):
+        cl.kmeans(df, ["w"], "pixel_id", "f", 4, rounds=2)
+
+
 def test_ensemble_rejects_ragged_members(spark):
     from wellspring.plans.spatial import ensemble
 
@@ -342,3 +354,14 @@ def test_series_blocks_match_whole_series(spark):
         for c in small.columns:
             if c != "sid":
                 assert np.allclose(small[c].astype(float), whole[c].astype(float), equal_nan=True), c
+
+
+def test_classifier_is_scored_on_held_out_rows(spark):
+    from wellspring.operators import learning as ml
+    from wellspring.plans import learning as pl
+    from wellspring.plans.bindings import traces
+
+    root = "/root/testdata/sf0.001"
+    (m,) = pl.m03(spark, root).collect()
+    held_out = ml.vectors(traces(spark, root)).filter("is_val AND y IS NOT NULL").count()
+    assert m["n_pos"] + m["n_neg"] == held_out

@@ -22,11 +22,12 @@ def _pack(centres: DataFrame, keys) -> DataFrame:
     return centres.groupBy(*keys).agg(F.transform(packed, lambda c: F.struct(c["cluster"].alias("id"), c["v"].alias("v"))).alias("_cs"))
 
 
-def kmeans(df: DataFrame, keys, pid: str, features: str, k: int, rounds: int = 8, seed: int = 0, strict: bool = False) -> DataFrame:
+def kmeans(df: DataFrame, keys, pid: str, features: str, k: int, rounds: int = 300, seed: int = 0, strict: bool = False) -> DataFrame:
     """Add ``cluster`` (0..k-1). Groups with fewer than k rows are left out, or fail when ``strict``.
 
     A round assigns every row to a centre of its group and replaces centres by elementwise means,
-    both with partial aggregation, so no group is ever gathered. Stops early once nothing moves.
+    both with partial aggregation, so no group is ever gathered. Goes on until nothing moves and
+    raises, rather than returning something unfinished, if that takes more than ``rounds``.
     """
     keys = list(keys)
     base = durable(df.filter(F.col(features).isNotNull()).select(*keys, pid, features))
@@ -49,8 +50,8 @@ def kmeans(df: DataFrame, keys, pid: str, features: str, k: int, rounds: int = 8
         moved = fresh.filter(F.round(ar.l2("v", "_old"), 9) > 0)
         packed = _pack(fresh.drop("_old"), keys)
         if moved.isEmpty():
-            break
-    return base.join(packed, keys).select(*keys, pid, _nearest(F.col(features), F.col("_cs")).alias("cluster"))
+            return base.join(packed, keys).select(*keys, pid, _nearest(F.col(features), F.col("_cs")).alias("cluster"))
+    raise RuntimeError(f"k-means did not settle in {rounds} rounds")
 
 
 def renumber_by_centre(clusters: DataFrame, keys, pid: str, value: DataFrame, col: str) -> DataFrame:

@@ -8,34 +8,46 @@ from wellspring.operators import metrics as mt
 from wellspring.operators import onset as on
 from wellspring.operators import rules as rl
 from wellspring.operators import series as sr
-from wellspring.operators.spatial import WELL, fold_traces
+from wellspring.operators.spatial import WELL, fold_traces, mean_trace
+from wellspring.operators.splits import capped_sample
 from wellspring.plans import query
 from wellspring.plans.bindings import TRACES_LONG, curves, long, r6, traces
 from wellspring.plans.windows import zscore
+from wellspring.session import durable
 
+SAMPLED = 120  # pixels shown per cluster at most
 
-def _sizes(c):
-    return c.groupBy(*WELL, "cluster").agg(F.count("*").alias("size"))
+
+def _clustered(t, ttp=None):
+    """k, cluster, size, mean trace and sampled pixels per well for K 2, 4 and 8; ``ttp`` orders one-dimensional clusters."""
+    out = None
+    for k in (2, 4, 8):
+        c = cl.kmeans(t, WELL, "pixel_id", "f", k)
+        c = cl.renumber_by_centre(c, WELL, "pixel_id", t, ttp) if ttp else c
+        c = c.select(F.lit(k).alias("k"), *WELL, "pixel_id", "cluster")
+        out = c if out is None else out.unionByName(c)
+    keys = ["k", *WELL, "cluster"]
+    c = durable(out.join(t.select(*WELL, "pixel_id", "x"), [*WELL, "pixel_id"]))
+    means = mean_trace(c, keys, "x", "mean").withColumn("mean", F.transform("mean", lambda v: r6(v)))
+    sample = capped_sample(c.select(*keys, "pixel_id"), keys, ["pixel_id"], SAMPLED, 0)
+    sample = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("pixel_id")).alias("sample"))
+    return c.groupBy(*keys).agg(F.count("*").alias("size")).join(means, keys).join(sample, keys)
 
 
 @query("m01_shape_clusters")
 def m01(spark, root):
-    t = traces(spark, root).withColumn("f", zscore("x"))
-    return _sizes(cl.kmeans(t, WELL, "pixel_id", "f", 2, rounds=3))
+    return _clustered(traces(spark, root).withColumn("f", zscore("x")))
 
 
 @query("m01_time_clusters")
 def m01_time(spark, root):
     t = curves(spark, root).withColumn("ttp", on.landmarks(0.3, span=6)("x")["peak"])
-    t = t.filter("ttp IS NOT NULL").withColumn("f", F.array("ttp"))
-    c = cl.kmeans(t, WELL, "pixel_id", "f", 2, rounds=3)
-    return _sizes(cl.renumber_by_centre(c, WELL, "pixel_id", t, "ttp"))
+    return _clustered(durable(t.filter("ttp IS NOT NULL").withColumn("f", F.array("ttp"))), "ttp")
 
 
 @query("m01_position_clusters")
 def m01_pos(spark, root):
-    t = traces(spark, root).withColumn("f", F.array(F.col("prow").cast("double"), F.col("pcol").cast("double")))
-    return _sizes(cl.kmeans(t, WELL, "pixel_id", "f", 4, rounds=3))
+    return _clustered(traces(spark, root).withColumn("f", F.array(F.col("prow").cast("double"), F.col("pcol").cast("double"))))
 
 
 @query("m02_cluster_representative", f"""WITH {TRACES_LONG}, c AS (SELECT chip_id, well_id, CAST(pixel_id % 2 AS INTEGER) AS cluster, pixel_id, t, v FROM tl),
@@ -55,13 +67,13 @@ def _metrics(scored):
 @query("m03_boosted_curve_classifier")
 def m03(spark, root):
     d = ml.balanced(ml.vectors(traces(spark, root)), "y")
-    return _metrics(ml.score(ml.boosted_classifier(d, "y", 5), d))
+    return _metrics(ml.score(ml.boosted_classifier(d, "y"), d.filter("is_val")))
 
 
 @query("m03_gain_table")
 def m03_gain(spark, root):
     d = ml.balanced(ml.vectors(traces(spark, root)), "y")
-    return ml.importance(ml.boosted_classifier(d, "y", 3), spark).withColumn("gain", r6("gain"))
+    return ml.importance(ml.boosted_classifier(d, "y"), spark).withColumn("gain", r6("gain"))
 
 
 @query("m04_boosted_curve_regressor")
@@ -69,7 +81,7 @@ def m04(spark, root):
     d = ml.vectors(traces(spark, root)).withColumn("ttp_true", F.col("well_id") * 0.4)
     out = None
     for loss in ("squared", "absolute", "huber"):
-        s = ml.score(ml.boosted_regressor(d, "ttp_true", loss, 5), d).select(F.lit(loss).alias("loss"), "ttp_pred", "ttp_true")
+        s = ml.score(ml.boosted_regressor(d.filter("NOT is_val") if loss == "huber" else d, "ttp_true", loss), d.filter("is_val")).select(F.lit(loss).alias("loss"), "ttp_pred", "ttp_true")
         out = s if out is None else out.unionByName(s)
     m = mt.regression_metrics(out, ["loss"])
     return m.select("loss", "n", r6("mae", 3).alias("mae"), r6("rmse", 3).alias("rmse"), r6("mae_mean", 3).alias("mae_mean"))
@@ -83,7 +95,7 @@ def m05(spark, root):
     f = sr.feature_table(rows, ["pixel_id"], 10, 10).withColumn("label", (F.col("t") >= F.col("ttp_true") * 15.0).cast("int"))
     cols = ["v", "d1", "d2", "roll_mean", "roll_std", "elapsed", "rise", "z", "slope"]
     d = ml.assembled(f, cols).withColumn("is_val", F.col("pixel_id") % 7 == 0).withColumn("weight", F.lit(1.0))
-    s = ml.score(ml.boosted_classifier(d, "label", 3), d)
+    s = ml.score(ml.boosted_classifier(d, "label"), d.filter("is_val"))
     p = fold_traces(s.select("pixel_id", "ttp_true", "t", "y_score"), ["pixel_id", "ttp_true"], "y_score", "p")
     m = mt.regression_metrics(p.withColumn("ttp_pred", rl.first_crossing_or_null("p", 0.5)).withColumn("method_id", F.lit("timepoint")), ["method_id"])
     return m.select("n_total", "n", "n_nan", r6("mae", 3).alias("mae"), r6("rmse", 3).alias("rmse"))
