@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
-from wellspring.operators.ranking import attach, median_mad, quantiles
-from wellspring.operators.spatial import WELL, nearest
+from wellspring.operators.ranking import attach, largest_group, median_mad, quantiles
+from wellspring.operators.spatial import WELL, WELL_ROWS, nearest, nearest_rows, neighbourhoods, stacked
 from wellspring.session import durable, spread
 
 STATS = ("dyn_range", "net_slope", "trace_min")
@@ -28,16 +30,17 @@ def with_stats(df: DataFrame) -> DataFrame:
 
 
 def control_thresholds(stats: DataFrame, rule: str = "mad", k: float | Column = 1.5, pct_amp: float = 5.0,
-                       pct_shape: float = 5.0, split_rows: int | None = None) -> DataFrame:
+                       pct_shape: float = 5.0, split_rows: int | None = None, largest: int | None = None) -> DataFrame:
     """Per chip, from control pixels: ``thr_<stat>`` with medians, MADs and the control count.
 
-    ``rule='pct'`` cuts at a low percentile, ``rule='mad'`` at median - k x MAD.
+    ``rule='pct'`` cuts at a low percentile, ``rule='mad'`` at median - k x MAD. ``largest`` passes on the
+    number of control pixels of the largest chip.
     """
     pairs = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in STATS])
     tall = stats.filter("is_ntc").select("chip_id", F.inline(pairs))
     keys = ["chip_id", "stat"]
     extra = {"p_amp": pct_amp / 100.0, "p_shape": pct_shape / 100.0} if rule == "pct" else None
-    per = median_mad(tall, keys, "v", split_rows, extra)
+    per = median_mad(tall, keys, "v", split_rows, extra, largest)
     if rule == "pct":
         per = per.withColumn("thr", F.when(F.col("stat") == "dyn_range", F.col("p_amp")).otherwise(F.col("p_shape")))
     else:
@@ -58,20 +61,43 @@ def layers_ab(stats: DataFrame, thresholds: DataFrame, layers: str = "AB") -> Da
     return df.withColumn("b", off & ~low if "B" in layers else F.lit(False))
 
 
-def layer_c(flags: DataFrame, k: int = 8, min_bad_frac: float = 0.5, edges: DataFrame | None = None) -> DataFrame:
-    """Add ``bad_count`` (-1 in wells of k pixels or fewer) and ``c``."""
-    edges = nearest(flags, k) if edges is None else edges
-    bad = flags.select(*WELL, F.col("pixel_id").alias("nbr"), (F.col("a") | F.col("b")).alias("_bad"))
-    votes = (
-        edges.join(bad, [*WELL, "nbr"])
-        .groupBy(*WELL, "pixel_id")
-        .agg(F.count("*").alias("_n"), F.sum(F.col("_bad").cast("int")).alias("_v"))
-    )
+def layer_c(flags: DataFrame, k: int = 8, min_bad_frac: float = 0.5, edges: DataFrame | None = None, largest: int | None = None) -> DataFrame:
+    """Add ``bad_count`` (-1 in wells of k pixels or fewer) and ``c``. ``flags`` is read more than once.
+
+    Votes are counted on tiles; pixels whose neighbours a tile cannot prove are joined to theirs.
+    """
+    id3 = [*WELL, "pixel_id"]
+    marked = flags.select(*id3, "prow", "pcol", (F.col("a") | F.col("b")).cast("double").alias("_bad"))
+    bad = marked.select(*WELL, F.col("pixel_id").alias("nbr"), "_bad")
+    joined = lambda e: e.join(bad, [*WELL, "nbr"]).groupBy(*id3).agg(F.count("*").alias("_n"), F.sum("_bad").alias("value")).filter(F.col("_n") == k).drop("_n")
+    if edges is not None:
+        votes = joined(edges)
+    else:
+        votes, rest = neighbourhoods(marked, k, "_bad", lambda values, home, near: np.nansum(values[near], axis=1), largest=largest)
+        votes = votes if rest is None else votes.unionByName(joined(nearest(marked, k, asking=rest)))
     need = math.ceil(min_bad_frac * k)
-    df = flags.join(votes, [*WELL, "pixel_id"], "left")
-    df = df.withColumn("bad_count", F.when(F.col("_n") == k, F.col("_v")).otherwise(-1).cast("int"))
+    df = flags.join(votes, id3, "left")
+    df = df.withColumn("bad_count", F.coalesce("value", F.lit(-1)).cast("int"))
     hit = (F.col("bad_count") >= need) & ~(F.col("a") | F.col("b")) & ~F.col("is_ntc")
-    return df.withColumn("c", hit).drop("_n", "_v")
+    return df.withColumn("c", hit).drop("value")
+
+
+def _references(metric: str):
+    """``compute`` of ``neighbourhoods``: distance of each trace to its neighbours' reference trace."""
+    def score(values: np.ndarray, home: np.ndarray, near: np.ndarray) -> np.ndarray:
+        out = np.empty(len(home))
+        for lo in range(0, len(home), 256):
+            part = near[lo : lo + 256]
+            if metric == "kth":
+                ref = values[part[:, -1]]
+            elif metric == "mean":
+                ref = values[part].mean(axis=1)
+            else:
+                ref = np.median(values[part], axis=1)
+            out[lo : lo + 256] = np.sqrt(((values[home[lo : lo + 256]] - ref) ** 2).sum(axis=1))
+        return out
+
+    return score
 
 
 def _elementwise_median(stack: str):
@@ -94,20 +120,28 @@ def _elementwise_mean(stack: str):
     return F.transform(sums, lambda v: v / n)
 
 
-def disagreement(df: DataFrame, metric: str = "median", k: int = 8, kth: str = "farthest") -> DataFrame:
-    """L2 distance of each trace to its neighbours' reference trace (``score``), wells > k pixels.
+def disagreement(df: DataFrame, metric: str = "median", k: int = 8, kth: str = "farthest", largest: int | None = None) -> DataFrame:
+    """keys, pixel_id, ``score``: L2 distance of each trace to its neighbours' reference trace, wells > k pixels.
 
-    At most k traces are gathered per pixel. ``kth='index'`` takes the neighbour with the
-    highest id instead of the farthest one.
+    Traces meet their neighbours on tiles; only pixels whose neighbours a tile cannot prove have theirs gathered by
+    a join, at most k traces per pixel. ``kth='index'`` takes the neighbour with the highest id instead of the farthest one.
     """
-    edges = nearest(df, k)
+    if metric not in ("mean", "median", "kth"):
+        raise ValueError(f"unknown metric {metric!r}")
+    if metric == "kth" and kth != "farthest":
+        return _gathered(df, nearest(df, k), metric, k, kth)
+    proven, rest = neighbourhoods(df, k, "x", _references(metric), largest=largest)
+    proven = proven.select(*WELL, "pixel_id", F.nullif(F.col("value"), F.lit(float("nan"))).alias("score"))
+    return proven if rest is None else proven.unionByName(_gathered(df, nearest(df, k, asking=rest), metric, k, kth))
+
+
+def _gathered(df: DataFrame, edges: DataFrame, metric: str, k: int, kth: str) -> DataFrame:
+    """Scores of the pixels in ``edges`` by joining each to its neighbours' traces."""
     if metric == "kth":
         pick = "nrank" if kth == "farthest" else "nbr"
         edges = edges.groupBy(*WELL, "pixel_id").agg(
             F.count("*").alias("_k"), F.max_by("nbr", pick).alias("nbr")
         )
-    elif metric not in ("mean", "median"):
-        raise ValueError(f"unknown metric {metric!r}")
     other = df.select(*WELL, F.col("pixel_id").alias("nbr"), F.col("x").alias("_nx"))
     hop = edges.join(other, [*WELL, "nbr"])
     if metric == "kth":
@@ -115,20 +149,55 @@ def disagreement(df: DataFrame, metric: str = "median", k: int = 8, kth: str = "
     else:
         stacks = spread(hop, *WELL, "pixel_id").groupBy(*WELL, "pixel_id").agg(F.collect_list("_nx").alias("_st")).filter(F.size("_st") == k)
         ref = stacks.select(*WELL, "pixel_id", (_elementwise_median("_st") if metric == "median" else _elementwise_mean("_st")).alias("_ref"))
-    return df.join(ref, [*WELL, "pixel_id"]).withColumn("score", ar.l2("x", "_ref")).drop("_ref")
+    return df.join(ref, [*WELL, "pixel_id"]).select(*WELL, "pixel_id", ar.l2("x", "_ref").alias("score"))
 
 
 def layer_d(df: DataFrame, rule: str = "mad", k_mad: float | Column = 1.5, pct: float = 95.0, metric: str = "median",
             k: int = 8, split_rows: int | None = None) -> DataFrame:
     """Scores and drop flag ``d`` for the surviving pixels given; wells of k or fewer are absent."""
-    scored = durable(disagreement(df, metric, k).select(*WELL, "pixel_id", "score"))
+    largest = largest_group(df, WELL)
+    return _judged(durable(disagreement(df, metric, k, largest=largest)), rule, k_mad, pct, split_rows, largest)
+
+
+def _judged(scored: DataFrame, rule: str, k_mad: float | Column, pct: float, split_rows: int | None, largest: int) -> DataFrame:
+    """Add the well's ``cut`` and ``d`` to a kept table of scores; rows without score pass with d false."""
     if rule == "pct":
-        cut = quantiles(scored, WELL, "score", {"cut": pct / 100.0}, split_rows).drop("n")
+        cut = quantiles(scored, WELL, "score", {"cut": pct / 100.0}, split_rows, largest).drop("n")
     else:
-        cut = median_mad(scored, WELL, "score", split_rows).select(
+        cut = median_mad(scored, WELL, "score", split_rows, largest=largest).select(
             *WELL, (F.col("med") + _number(k_mad) * F.col("mad")).alias("cut")
         )
-    return attach(scored, cut, WELL).withColumn("d", F.col("score") > F.col("cut"))
+    return attach(scored, cut, WELL, "left").withColumn("d", F.coalesce(F.col("score") > F.col("cut"), F.lit(False)))
+
+
+def _layers_cd(df: DataFrame, flags: DataFrame, metric: str, c_k: int, d_k: int, min_bad_frac: float = 0.5) -> DataFrame:
+    """``flags`` with bad_count, c and score, in one task per well: traces move once and meet their flags there."""
+    need, score = math.ceil(min_bad_frac * c_k), _references(metric)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flags.schema)
+
+    def work(marks: pd.DataFrame, traces: pd.DataFrame) -> pd.DataFrame:
+        marks = marks.reset_index(drop=True)
+        at = marks["prow"].notna().to_numpy() & marks["pcol"].notna().to_numpy()
+        bad = marks["a"].to_numpy(bool) | marks["b"].to_numpy(bool)
+        votes, result = np.full(len(marks), -1), np.full(len(marks), np.nan)
+
+        def near(some: np.ndarray, k: int) -> np.ndarray:
+            part = marks.iloc[some]
+            return nearest_rows(part["prow"].to_numpy(np.int64), part["pcol"].to_numpy(np.int64), part["pixel_id"].to_numpy(), np.arange(len(some)), k)[0]
+
+        some = np.flatnonzero(at)
+        if len(some) > c_k:
+            votes[some] = bad[some][near(some, c_k)].sum(axis=1)
+        c = (votes >= need) & ~bad & ~marks["is_ntc"].to_numpy(bool)
+        some = np.flatnonzero(at & ~bad & ~c)
+        if len(some) > d_k:
+            x = stacked(traces.set_index("pixel_id").loc[marks["pixel_id"].iloc[some], "x"])
+            result[some] = score(x, np.arange(len(some)), near(some, d_k))
+        return marks.assign(bad_count=votes, c=c, score=result)
+
+    other = df.select(*[F.col(c).alias(c) for c in (*WELL, "pixel_id", "x")])  # flags descend from the same table
+    both = flags.groupBy(*WELL).cogroup(other.groupBy(*WELL)).applyInPandas(work, f"{fields}, bad_count int, c boolean, score double")
+    return both.withColumn("score", F.nullif("score", F.lit(float("nan"))))
 
 
 def chip_filter(df: DataFrame, layers: str = "ABCD", rule: str = "mad", k: float | Column = 1.5,
@@ -152,13 +221,19 @@ def chip_filter(df: DataFrame, layers: str = "ABCD", rule: str = "mad", k: float
         stats = stats.withColumn("ntc_d", F.coalesce("ntc_d", F.lit(False)))
     else:
         stats = stats.withColumn("ntc_d", F.lit(False))
-    thr = control_thresholds(stats.filter("NOT ntc_d"), rule, k, pct_amp, pct_shape, split_rows)
+    sizes = stats.groupBy(*WELL).agg(F.count("*").alias("_n"), F.count_if("is_ntc").alias("_c")).groupBy("chip_id").agg(F.max("_n").alias("_n"), F.sum("_c").alias("_c"))
+    largest, controls = (v or 0 for v in sizes.agg(F.max("_n"), F.max("_c")).first())
+    thr = control_thresholds(stats.filter("NOT ntc_d"), rule, k, pct_amp, pct_shape, split_rows, controls)
     flags = layers_ab(stats, thr, layers)
     for name in ("a", "b"):
         flags = flags.withColumn(name, F.col(name) & ~F.col("is_ntc"))
     flags = flags.drop(*[f"thr_{s}" for s in STATS])
+    if layers == "ABCD" and largest <= WELL_ROWS:
+        flags = durable(_layers_cd(df, flags, metric, c_k, d_k))
+        flags = _judged(flags, rule, k, d_pct, split_rows, largest).drop("cut")
+        return flags.withColumn("keep", ~(F.col("a") | F.col("b") | F.col("c") | F.col("d") | F.col("ntc_d")))
     if "C" in layers:
-        flags = layer_c(durable(flags), c_k)
+        flags = layer_c(durable(flags), c_k, largest=largest)
     else:
         flags = flags.withColumn("bad_count", F.lit(-1)).withColumn("c", F.lit(False))
     if "D" in layers:

@@ -155,10 +155,13 @@ def quantiles(
     return picked.select(*keys, "n", *cols)
 
 
-def median_mad(df, keys, value, split_rows=None, extra: dict[str, float] | None = None) -> DataFrame:
-    """Per group: n, median ``med``, 1.4826 x median absolute deviation ``mad`` and ``extra`` quantiles."""
+def median_mad(df, keys, value, split_rows=None, extra: dict[str, float] | None = None, largest: int | None = None) -> DataFrame:
+    """Per group: n, median ``med``, 1.4826 x median absolute deviation ``mad`` and ``extra`` quantiles.
+
+    ``largest`` passes on a group size that is already known.
+    """
     have = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    size = largest_group(have, keys)
+    size = largest_group(have, keys) if largest is None else largest
     med = quantiles(have, keys, value, {"med": 0.5, **(extra or {})}, split_rows, size)
     dev = attach(have, med.select(*keys, "med"), keys).select(*keys, F.abs(F.col(value) - F.col("med")).alias("_dev"))
     raw = quantiles(dev, keys, "_dev", {"raw": 0.5}, split_rows, size).drop("n")
