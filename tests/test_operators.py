@@ -167,11 +167,11 @@ def test_logistic_fit_recovers_midpoint():
 
 # --- onset ------------------------------------------------------------------------------------
 def test_peaks_by_hand():
-    at, w = kn.peaks(np.array([0, 1, 0, 2, 2, 2, 0, 1.0]), 0.5, None)
+    _, at, w = kn.peaks(np.array([[0, 1, 0, 2, 2, 2, 0, 1.0]]), 0.5, None)
     assert at.tolist() == [1, 4] and w.tolist() == pytest.approx([1.0, 3.0])
-    at, _ = kn.peaks(np.array([0, 3, 2, 2.5, 0.0]), 1.0, None)
+    _, at, _ = kn.peaks(np.array([[0, 3, 2, 2.5, 0.0]]), 1.0, None)
     assert at.tolist() == [1]
-    assert kn.strongest(np.zeros(20), 1e-5) is None
+    assert kn.strongest(np.zeros((1, 20)), 1e-5).tolist() == [-1]
 
 
 def test_landmarks_on_a_logistic(spark):

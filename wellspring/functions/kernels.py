@@ -49,48 +49,101 @@ def moving_average(mat: np.ndarray, span: int) -> np.ndarray:
     return (run[:, hi] - run[:, lo]) / (hi - lo)
 
 
-def peaks(y: np.ndarray, min_prominence: float, min_width: float | None = 1.0):
-    """Positions and half-prominence widths of local maxima (flat tops count once, at their middle)."""
-    n = len(y)
-    if n < 3:
-        return np.empty(0, int), np.empty(0)
-    # runs of equal values: a peak is a run that rises before and falls after
-    first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-    last = np.r_[first[1:] - 1, n - 1]
-    level = y[first]
-    top = np.zeros(len(first), bool)
-    top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
-    spots = (first[top] + last[top]) // 2
-    at, widths = [], []
-    for i in spots:
-        above = y > y[i]
-        left_wall = np.flatnonzero(above[:i])
-        right_wall = np.flatnonzero(above[i + 1 :])
-        a = left_wall[-1] + 1 if len(left_wall) else 0
-        b = i + right_wall[0] if len(right_wall) else n - 1
-        # nearest lowest sample on each side bounds the width search
-        lbase = i - int(np.argmin(y[a : i + 1][::-1]))
-        rbase = i + int(np.argmin(y[i : b + 1]))
-        prominence = y[i] - max(y[lbase], y[rbase])
-        if prominence < min_prominence:
+class _Ranges:
+    """Sparse tables of range minima and maxima over the rows of a matrix."""
+
+    def __init__(self, y: np.ndarray, length: np.ndarray):
+        self.y, self.length = y, length
+        self.low, self.high = [y], [y]
+        for step in (1 << i for i in range(int(y.shape[1]).bit_length() - 1)):
+            self.low.append(np.minimum(self.low[-1][:, :-step], self.low[-1][:, step:]))
+            self.high.append(np.maximum(self.high[-1][:, :-step], self.high[-1][:, step:]))
+
+    def least(self, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Minimum of first..last, both included."""
+        out = np.empty(len(row))
+        level = np.frexp(last - first + 1)[1] - 1
+        for l in np.unique(level):
+            at = level == l
+            table, r = self.low[l], row[at]
+            out[at] = np.minimum(table[r, first[at]], table[r, last[at] - (1 << l) + 1])
+        return out
+
+    def walk(self, row: np.ndarray, start: np.ndarray, value: np.ndarray, left: bool, over: bool) -> np.ndarray:
+        """Nearest position beside ``start`` with a sample > value (``over``) or <= value; -1 or the row's length if none.
+
+        Blocks without such a sample are skipped, the largest first.
+        """
+        at = start.copy() if left else start + 1
+        tables, end = self.high if over else self.low, self.length[row]
+        for l in range(len(tables) - 1, -1, -1):
+            step, table = 1 << l, tables[l]
+            begin = at - step if left else at
+            inside = begin >= 0 if left else begin + step <= end
+            seen = table[row, np.clip(begin, 0, table.shape[1] - 1)]
+            skip = inside & (seen <= value if over else seen > value)
+            at = np.where(skip, at - step if left else at + step, at)
+        return at - 1 if left else at
+
+
+ROOM = 4_000_000  # cells of the sparse tables held at once
+
+
+def peaks(mat: np.ndarray, min_prominence, min_width: float | None = 1.0, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, half-prominence width) of the local maxima of all rows, in order; flat tops count once, at their middle.
+
+    ``min_prominence`` is a number or one per row; a row ends after ``length`` samples. Walls (nearest higher samples), bases and
+    width ends come from range tables, so there is no loop over rows or peaks.
+    """
+    count, n = mat.shape
+    length = np.full(count, n) if length is None else np.minimum(length, n)
+    floor = np.broadcast_to(np.asarray(min_prominence, float), (count,))
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    rows = max(1, ROOM // max(1, n * 2 * n.bit_length()))
+    for lo in range(0, count if n >= 3 else 0, rows):
+        y, size = mat[lo : lo + rows], length[lo : lo + rows]
+        # runs of equal values: a peak is a run that rises before and falls after
+        first = np.flatnonzero(np.concatenate([np.ones((len(y), 1), bool), y[:, 1:] != y[:, :-1]], axis=1))
+        row, col = first // n, first % n
+        last = np.minimum(np.append(first[1:], y.size) - row * n - 1, size[row] - 1)
+        use = (col > 0) & (last >= col) & (last < size[row] - 1)
+        row, col, last = row[use], col[use], last[use]
+        use = (y[row, col] > y[row, col - 1]) & (y[row, last] > y[row, last + 1])
+        row, at = row[use], (col[use] + last[use]) // 2
+        if not len(row):
             continue
-        height = y[i] - prominence / 2
-        under = np.flatnonzero(y[lbase:i] <= height)
-        l = lbase + under[-1] if len(under) else lbase
-        le = l + (height - y[l]) / (y[l + 1] - y[l]) if y[l] < height else float(l)
-        under = np.flatnonzero(y[i + 1 : rbase + 1] <= height)
-        r = i + 1 + under[0] if len(under) else rbase
-        re = r - (height - y[r]) / (y[r - 1] - y[r]) if y[r] < height else float(r)
-        if min_width is None or re - le >= min_width:
-            at.append(int(i))
-            widths.append(re - le)
-    return np.array(at, int), np.array(widths)
-
-
-def strongest(y: np.ndarray, min_prominence: float) -> int | None:
-    """Peak with the largest height x width (first on ties)."""
-    at, widths = peaks(y, min_prominence)
-    return None if not len(at) else int(at[np.argmax(y[at] * widths)])
+        tables = _Ranges(y, size)
+        top = y[row, at]
+        left, right = tables.walk(row, at, top, True, True), tables.walk(row, at, top, False, True)
+        prominence = top - np.maximum(tables.least(row, left + 1, at), tables.least(row, at, right - 1))
+        use = prominence >= floor[lo + row]
+        row, at, top, prominence = row[use], at[use], top[use], prominence[use]
+        height = top - prominence / 2
+        ends = []
+        for side in (True, False):  # the nearest sample at or under the height lies within the base
+            end = tables.walk(row, at, height, side, False)
+            level, inner = y[row, end], y[row, end + (1 if side else -1)]
+            part = np.divide(height - level, inner - level, out=np.zeros(len(end)), where=level < height)
+            ends.append(end + part if side else end - part)
+        width = ends[1] - ends[0]
+        use = np.ones(len(width), bool) if min_width is None else width >= min_width
+        found.append((lo + row[use], at[use], width[use]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def first_per_row(row: np.ndarray, value: np.ndarray, count: int, *order: np.ndarray) -> np.ndarray:
+    """Per row 0..count-1 the ``value`` that is first by ``order`` (least significant key first); -1 for rows without any."""
+    out = np.full(count, -1)
+    by = np.lexsort((*order, row))
+    lead = np.flatnonzero(np.diff(row[by], prepend=-1))
+    out[row[by][lead]] = value[by][lead]
+    return out
+
+
+def strongest(mat: np.ndarray, min_prominence: float, length: np.ndarray | None = None) -> np.ndarray:
+    """Per row the position of the peak with the largest height x width (first on ties), -1 without a peak."""
+    row, at, width = peaks(mat, min_prominence, 1.0, length)
+    return first_per_row(row, at, len(mat), at, -(mat[row, at] * width))
 
 
 def fit_5pl(mat: np.ndarray, rounds: int = 80) -> np.ndarray:

@@ -45,48 +45,59 @@ def landmarks(start: float, end: float = 35.0, span: int = 100, frac: float = 0.
               min_baseline: int = 1):
     """Pandas UDF: threshold time, derivative peak, tangent intercept and curvature peak, in minutes.
 
-    A landmark that cannot be found is NULL. Smoothing runs on whole batches; only the peak
-    search walks row by row.
+    A landmark that cannot be found is NULL. Smoothing and peak search run on whole batches.
     """
-    def one(x, s, d1, d2, t, lo, hi):
-        out = [np.nan] * 4
-        seg = d1[lo:hi]
-        pk = kn.strongest(seg, 1e-5) if len(seg) >= 10 else None
-        if pk is None:
+    def batch(x: np.ndarray) -> np.ndarray:
+        out = np.full((len(x), 4), np.nan)
+        t = np.arange(x.shape[1]) / rate
+        s = kn.moving_average(x, span)
+        d1 = kn.moving_average(np.diff(s, axis=1), span)
+        d2 = kn.moving_average(np.diff(d1, axis=1), span)
+        lo, hi = int(np.searchsorted(t, start)), int(np.searchsorted(t, end))
+        if d1[:, lo:hi].shape[1] < 10:
             return out
-        pk += lo
-        out[1] = t[pk]
-        floor = d1[lo : pk + 1].min()
-        below = np.flatnonzero(np.diff(x)[lo : pk + 1] < floor + frac * (d1[pk] - floor))
-        if len(below):
-            out[0] = t[lo + below[-1]]
-        slope = d1[pk] * rate
+        pk = kn.strongest(d1[:, lo:hi], 1e-5)
+        some = np.flatnonzero(pk >= 0)
+        if not len(some):
+            return out
+        pk, x, s, d1, d2 = pk[some] + lo, x[some], s[some], d1[some], d2[some]
+        top = np.take_along_axis(d1, pk[:, None], axis=1)[:, 0]
+        out[some, 1] = t[pk]
+        out[some, 0] = _last_below(x, d1, np.full(len(pk), lo), pk, top, frac, t)
+        slope = top * rate
         b0 = max(int(np.searchsorted(t, t[0] + start - baseline)), 0)
         b1 = max(lo, b0 + 1)
-        if np.isfinite(slope) and abs(slope) >= 1e-6 and b1 - b0 >= min_baseline:
-            out[2] = t[pk] - (s[pk] - np.median(s[b0:b1])) / slope
-        seg2 = d2[lo : pk + 1]
-        k2 = kn.strongest(seg2, 1e-7) if len(seg2) >= 10 else None
-        if k2 is not None:
-            out[3] = t[lo + k2]
+        steep = np.isfinite(slope) & (np.abs(slope) >= 1e-6)
+        if b1 - b0 >= min_baseline and steep.any():
+            level = s[np.arange(len(pk)), pk] - np.median(s[:, b0:b1], axis=1)
+            out[some[steep], 2] = (t[pk] - level / np.where(steep, slope, 1.0))[steep]
+        size = np.minimum(pk + 1, d2.shape[1]) - lo
+        long = np.flatnonzero(size >= 10)
+        if len(long):
+            k2 = kn.strongest(d2[long, lo:], 1e-7, size[long])
+            out[some[long[k2 >= 0]], 3] = t[lo + k2[k2 >= 0]]
         return out
 
     @F.pandas_udf(LANDMARKS)
     def extract(x: pd.Series) -> pd.DataFrame:
         res = np.full((len(x), 4), np.nan)
         for at, mat in kn.by_length(x):
-            t = np.arange(mat.shape[1]) / rate
-            s = kn.moving_average(mat, span)
-            d1 = kn.moving_average(np.diff(s, axis=1), span)
-            d2 = kn.moving_average(np.diff(d1, axis=1), span)
-            lo, hi = int(np.searchsorted(t, start)), int(np.searchsorted(t, end))
-            for i, row in enumerate(at):
-                res[row] = one(mat[i], s[i], d1[i], d2[i], t, lo, hi)
+            res[at] = batch(mat)
         return pd.DataFrame(res, columns=["ttp", "peak", "cy0", "sdm"]).astype(object).where(~np.isnan(res), None)
 
     return extract
 
 
+def _last_below(x, d, lo, pk, top, frac, t) -> np.ndarray:
+    """Time of the last step of ``x`` in lo..pk that stays under ``frac`` of the way from the least ``d`` there to ``top``; NaN if none."""
+    col = np.arange(d.shape[1])
+    inside = (col >= lo[:, None]) & (col <= pk[:, None])
+    floor = np.where(inside, d, np.inf).min(axis=1)
+    hit = inside & (np.diff(x, axis=1) < (floor + frac * (top - floor))[:, None])
+    last = hit.shape[1] - 1 - np.argmax(hit[:, ::-1], axis=1)
+    return np.where(hit.any(axis=1), t[last], np.nan)
+
+
 def zero_crossing(x, anchor, ahead: float, rate: float = 15.0, window: int = 21, poly: int = 3) -> Column:
     """First + to - change of the smoothed second derivative in [anchor, anchor + ahead], interpolated."""
     def scan(d2, a):
@@ -119,38 +130,44 @@ def anchored(span: int = 100, window: int = 21, poly: int = 3, ahead: float = 15
     weights = savgol_rows(window, poly)
 
     def closest(d1, t, a):
-        at, _ = kn.peaks(d1, np.abs(d1).max() * share, None)
-        at = at[(t[at] >= a) & (t[at] <= a + ahead)] if len(at) else at
-        return (t[at[np.argmin(np.abs(t[at] - a))]], "ok") if len(at) else (None, "no derivative peak in window")
+        row, at, _ = kn.peaks(d1, np.abs(d1).max(axis=1) * share, None)
+        use = (t[at] >= a[row]) & (t[at] <= a[row] + ahead)
+        row, at = row[use], at[use]
+        got = kn.first_per_row(row, at, len(d1), at, np.abs(t[at] - a[row]))
+        return np.where(got >= 0, t[got], np.nan), np.where(got >= 0, "ok", "no derivative peak in window")
 
     def crossing(d2, t, a):
-        inside = np.flatnonzero((t >= a) & (t <= a + ahead))
-        falls = np.flatnonzero(np.diff(np.sign(d2[inside])) < 0) if len(inside) else inside
-        if not len(falls):
-            return None, "no zero crossing in window"
-        i = inside[falls[0]]
-        return t[i] + d2[i] / (d2[i] - d2[i + 1]) * (t[i + 1] - t[i]), "ok"
+        inside = (t >= a[:, None]) & (t <= a[:, None] + ahead)
+        falls = inside[:, :-1] & inside[:, 1:] & (np.diff(np.sign(d2), axis=1) < 0)
+        i, some, each = np.argmax(falls, axis=1), falls.any(axis=1), np.arange(len(d2))
+        step = np.where(some, d2[each, i] - d2[each, i + 1], 1.0)
+        return np.where(some, t[i] + d2[each, i] / step * (t[i + 1] - t[i]), np.nan), np.where(some, "ok", "no zero crossing in window")
 
     def classical(x, s, ds, t, a):
-        lo, hi = int(np.searchsorted(t, a - margin)), int(np.searchsorted(t, a + ahead))
-        seg = ds[lo : min(hi, len(ds))]
-        pk = kn.strongest(seg, 1e-5) if len(seg) >= 10 else None
-        if pk is None:
-            why = "too few samples in window" if len(seg) < 10 else "no derivative peak in window"
-            return (None, why), (None, why)
-        pk += lo
-        b0 = int(np.searchsorted(t, a - margin - baseline))
-        b0 = 0 if lo - b0 < 2 else b0
-        slope = ds[pk] * rate
-        if lo - b0 < 2:
-            cy = (None, "baseline window too small")
-        elif not np.isfinite(slope) or abs(slope) < 1e-6:
-            cy = (None, "degenerate tangent slope")
-        else:
-            cy = (t[pk] + (np.median(s[b0:lo]) - s[pk]) / slope, "ok")
-        floor = ds[lo : pk + 1].min()
-        below = np.flatnonzero(np.diff(x)[lo : pk + 1] < floor + frac * (ds[pk] - floor))
-        return cy, ((t[lo + below[-1]], "ok") if pk > lo and len(below) else (None, "no crossing below threshold"))
+        each = np.arange(len(x))
+        lo, hi = np.searchsorted(t, a - margin), np.searchsorted(t, a + ahead)
+        size = np.minimum(hi, ds.shape[1]) - lo
+        enough = size >= 10
+        why = np.where(enough, "no derivative peak in window", "too few samples in window").astype(object)
+        cut = np.take_along_axis(ds, np.minimum(lo[:, None] + np.arange(max(size.max(initial=0), 1)), ds.shape[1] - 1), axis=1)
+        pk = kn.strongest(cut, 1e-5, np.where(enough, size, 0))
+        some = pk >= 0
+        pk = np.where(some, pk + lo, 0)
+        top = ds[each, pk]
+        b0 = np.searchsorted(t, a - margin - baseline)
+        b0 = np.where(lo - b0 < 2, 0, b0)
+        n_base, slope = lo - b0, top * rate
+        flat = ~np.isfinite(slope) | (np.abs(slope) < 1e-6)
+        col = np.arange(s.shape[1])
+        base = np.sort(np.where((col >= b0[:, None]) & (col < lo[:, None]), s, np.inf), axis=1)
+        n_safe = np.maximum(n_base, 1)
+        level = (base[each, (n_safe - 1) // 2] + base[each, n_safe // 2]) / 2
+        fine = some & (n_base >= 2) & ~flat
+        cy = np.where(fine, t[pk] + (np.where(fine, level, 0.0) - s[each, pk]) / np.where(fine, slope, 1.0), np.nan)
+        cy_why = np.where(~some, why, np.where(n_base < 2, "baseline window too small", np.where(flat, "degenerate tangent slope", "ok")))
+        thr = np.where(some & (pk > lo), _last_below(x, ds, lo, pk, top, frac, t), np.nan)
+        thr_why = np.where(~some, why, np.where(np.isnan(thr), "no crossing below threshold", "ok"))
+        return (cy, cy_why), (thr, thr_why)
 
     @F.pandas_udf(VARIANTS)
     def extract(x: pd.Series, anchor: pd.Series) -> pd.Series:
@@ -158,23 +175,23 @@ def anchored(span: int = 100, window: int = 21, poly: int = 3, ahead: float = 15
         for at, mat in kn.by_length(x):
             n = mat.shape[1]
             t = np.arange(n) / rate
-            short = n < window
-            if not short:
-                begin = np.clip(np.arange(n) - window // 2, 0, n - window)
-                sg = np.stack([mat[:, b : b + window] @ weights[i - b] for i, b in enumerate(begin)], axis=1)
-                d1 = np.gradient(sg, t, axis=1)
-                d2 = np.gradient(d1, t, axis=1)
-                s = kn.moving_average(mat, span)
-                ds = kn.moving_average(np.diff(s, axis=1), span)
+            a = anchor.iloc[at].to_numpy(float, na_value=np.nan)
+            known = np.isfinite(a)
+            for row, ok in zip(at, known):
+                why = "signal too short" if n < window else "no anchor time"
+                out.iat[row] = None if ok and n >= window else [{"rule": r, "ttp": None, "reason": why} for r in names]
+            if n < window or not known.any():
+                continue
+            at, mat, a = at[known], mat[known], a[known]
+            begin = np.clip(np.arange(n) - window // 2, 0, n - window)
+            sg = np.stack([mat[:, b : b + window] @ weights[i - b] for i, b in enumerate(begin)], axis=1)
+            d1 = np.gradient(sg, t, axis=1)
+            d2 = np.gradient(d1, t, axis=1)
+            s = kn.moving_average(mat, span)
+            ds = kn.moving_average(np.diff(s, axis=1), span)
+            got = [closest(d1, t, a), crossing(d2, t, a), *classical(mat, s, ds, t, a)]
             for i, row in enumerate(at):
-                a = anchor.iat[row]
-                if short:
-                    got = [(None, "signal too short")] * 4
-                elif a is None or not np.isfinite(a):
-                    got = [(None, "no anchor time")] * 4
-                else:
-                    got = [closest(d1[i], t, a), crossing(d2[i], t, a), *classical(mat[i], s[i], ds[i], t, a)]
-                out.iat[row] = [{"rule": r, "ttp": None if v is None else float(v), "reason": why} for r, (v, why) in zip(names, got)]
+                out.iat[row] = [{"rule": r, "ttp": None if np.isnan(v[i]) else float(v[i]), "reason": str(why[i])} for r, (v, why) in zip(names, got)]
         return out
 
     return extract
