@@ -68,7 +68,7 @@ def test_prominence_per_row():
     assert list(zip(row, at)) == [(0, 1), (0, 3), (1, 3)]
 
 
-def test_landmarks_batch_speed():
+def test_landmarks_batch_speed(spark):
     """5,000 traces of 450 samples; the target is one second on one idle core."""
     t = np.arange(450) / 15
     rng = np.random.default_rng(0)
