@@ -19,19 +19,16 @@ SAMPLED = 120  # pixels shown per cluster at most
 
 
 def _clustered(t, ttp=None):
-    """k, cluster, size, mean trace and sampled pixels per well for K 2, 4 and 8; ``ttp`` orders one-dimensional clusters."""
-    out = None
-    for k in (2, 4, 8):
-        c = cl.kmeans(t, WELL, "pixel_id", "f", k)
-        c = cl.renumber_by_centre(c, WELL, "pixel_id", t, ttp) if ttp else c
-        c = c.select(F.lit(k).alias("k"), *WELL, "pixel_id", "cluster")
-        out = c if out is None else out.unionByName(c)
+    """k, cluster, size, inertia, mean trace and sampled pixels per well for K 2, 4 and 8; ``ttp`` orders one-dimensional clusters."""
+    c = cl.kmeans(t, WELL, "pixel_id", "f", (2, 4, 8))
+    if ttp:
+        c = cl.renumber_by_centre(c, [*WELL, "k"], "pixel_id", c.select(*WELL, "pixel_id", "k").join(t.select(*WELL, "pixel_id", ttp), [*WELL, "pixel_id"]), ttp)
     keys = ["k", *WELL, "cluster"]
-    c = durable(out.join(t.select(*WELL, "pixel_id", "x"), [*WELL, "pixel_id"]))
+    c = durable(c.select(*keys, "pixel_id", "inertia").join(t.select(*WELL, "pixel_id", "x"), [*WELL, "pixel_id"]))
     means = mean_trace(c, keys, "x", "mean").withColumn("mean", F.transform("mean", lambda v: r6(v)))
     sample = capped_sample(c.select(*keys, "pixel_id"), keys, ["pixel_id"], SAMPLED, 0)
     sample = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("pixel_id")).alias("sample"))
-    return c.groupBy(*keys).agg(F.count("*").alias("size")).join(means, keys).join(sample, keys)
+    return c.groupBy(*keys).agg(F.count("*").alias("size"), r6(F.max("inertia")).alias("inertia")).join(means, keys).join(sample, keys)
 
 
 @query("m01_shape_clusters")
@@ -52,11 +49,14 @@ def m01_pos(spark, root):
 
 @query("m02_cluster_representative", f"""WITH {TRACES_LONG}, c AS (SELECT chip_id, well_id, CAST(pixel_id % 2 AS INTEGER) AS cluster, pixel_id, t, v FROM tl),
 m AS (SELECT chip_id, well_id, cluster, t, avg(v) AS m FROM c GROUP BY ALL),
-d AS (SELECT c.chip_id, c.well_id, c.cluster, c.pixel_id, round(sqrt(sum((v - m) * (v - m))), 9) AS d FROM c JOIN m ON m.chip_id = c.chip_id AND m.well_id = c.well_id AND m.cluster = c.cluster AND m.t = c.t GROUP BY ALL)
-SELECT chip_id, well_id, cluster, arg_min(pixel_id, (d, pixel_id)) AS representative, count(*) AS size FROM d GROUP BY ALL""")
+d AS (SELECT c.chip_id, c.well_id, c.cluster, c.pixel_id, round(sqrt(sum((v - m) * (v - m))), 9) AS d FROM c JOIN m ON m.chip_id = c.chip_id AND m.well_id = c.well_id AND m.cluster = c.cluster AND m.t = c.t GROUP BY ALL),
+lab AS (SELECT chip_id, well_id, CAST(pixel_id % 2 AS INTEGER) AS cluster, median(CASE WHEN pixel_id % 5 <> 0 THEN prow * CAST(0.5 AS DOUBLE) END) AS median_label FROM traces GROUP BY ALL)
+SELECT d.chip_id, d.well_id, d.cluster, arg_min(pixel_id, (d, pixel_id)) AS representative, count(*) AS size, any_value(median_label) AS median_label
+FROM d JOIN lab ON lab.chip_id = d.chip_id AND lab.well_id = d.well_id AND lab.cluster = d.cluster GROUP BY ALL""")
 def m02(spark, root):
     t = traces(spark, root).withColumn("cluster", (F.col("pixel_id") % 2).cast("int"))
-    return cl.representatives(t, [*WELL, "cluster"])
+    t = t.withColumn("label", F.when(F.col("pixel_id") % 5 != 0, F.col("prow") * 0.5))  # some pixels have no label
+    return cl.representatives(t, [*WELL, "cluster"], label="label")
 
 
 def _metrics(scored):
