@@ -146,43 +146,189 @@ def strongest(mat: np.ndarray, min_prominence: float, length: np.ndarray | None
     return first_per_row(row, at, len(mat), at, -(mat[row, at] * width))
 
 
-def fit_5pl(mat: np.ndarray, rounds: int = 80) -> np.ndarray:
+def fit_rows(y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, model, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounded nonlinear least squares for all rows at once: parameters, squared error, converged.
+
+    ``model(p)`` gives values (rows x samples) and derivatives (rows x samples x parameters). Damped steps within the
+    bounds; a parameter at a bound that the gradient pushes outward is held. A row is converged, and
+    leaves the batch, when its projected gradient or its step is negligible; rows that need more than ``rounds`` steps are not.
+    """
+    p, n_par = np.clip(start, low, high), start.shape[1]
+    err = ((y - model(p)[0]) ** 2).sum(axis=1)
+    scale = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1) + 1e-30
+    damp, done, live = np.full(len(y), 1e-2), np.zeros(len(y), bool), np.arange(len(y))
+    for _ in range(rounds):
+        if not len(live):
+            break
+        q = p[live]
+        value, jac = model(q)
+        slope = np.einsum("ntp,nt->np", jac, y[live] - value)
+        held = ((q <= low) & (slope < 0)) | ((q >= high) & (slope > 0))
+        slope = np.where(held, 0.0, slope)
+        square = np.einsum("ntp,ntq->npq", jac, jac)
+        square *= ~held[:, :, None] & ~held[:, None, :]
+        diag = np.einsum("npp->np", square)
+        lift = damp[live][:, None] * diag + np.where(diag > 0, 1e-14 * diag, 1.0)
+        step = np.linalg.solve(square + lift[:, :, None] * np.eye(n_par), slope[:, :, None])[:, :, 0]
+        trial = np.clip(q + step, low, high)
+        new = ((y[live] - model(trial)[0]) ** 2).sum(axis=1)
+        good = np.isfinite(new) & (new <= err[live])
+        size = np.abs(q) + 1e-3
+        flat = (np.abs(slope) * size).max(axis=1) <= 1e-12 * scale[live]
+        still = (np.abs(trial - q) / size).max(axis=1) <= 1e-9
+        p[live] = np.where(good[:, None], trial, q)
+        err[live] = np.where(good, new, err[live])
+        damp[live] = np.clip(np.where(good, damp[live] / 5, damp[live] * 4), 1e-14, 1e12)
+        done[live] = flat | still
+        live = live[~(flat | still)]
+    return p, err, done
+
+
+# Bounds and start of the scaled five-parameter curve (Fm, Fb, Sc, Cs, As).
+LOW_5PL, HIGH_5PL, START_5PL = np.array([-0.5, -0.5, 0.01, -0.5, 0.1]), np.array([2.0, 1.5, 500.0, 1.5, 10.0]), np.array([1.0, 0.0, 10.0, 0.5, 1.0])
+
+
+def _curve(x: np.ndarray, log_scale: bool):
+    """Values and derivatives of Fm / (1 + exp(-Sc (x - Cs)))^As + Fb; with ``log_scale`` Sc and As are given as logarithms."""
+    def model(q):
+        sc, asym = (np.exp(q[:, 2:3]), np.exp(q[:, 4:5])) if log_scale else (q[:, 2:3], q[:, 4:5])
+        e = np.exp(np.clip(-sc * (x - q[:, 3:4]), -60, 60))
+        base = (1 + e) ** -asym
+        slope = q[:, 0:1] * asym * base * e / (1 + e)
+        d_sc, d_as = slope * (x - q[:, 3:4]), -q[:, 0:1] * base * np.log1p(e)
+        if log_scale:
+            d_sc, d_as = d_sc * sc, d_as * asym
+        return q[:, 0:1] * base + q[:, 1:2], np.stack([base, np.ones_like(base), d_sc, -slope * sc, d_as], axis=2)
+
+    return model
+
+
+def _best_start(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Start with the least error over a grid of (Sc, Cs, As), height and base solved exactly for each."""
+    best, out = np.full(len(y), np.inf), np.tile(START_5PL, (len(y), 1))
+    middle = y - y.mean(axis=1, keepdims=True)
+    for sc in (2.0, 6.0, 20.0, 80.0):
+        for cs in np.linspace(0.0, 1.0, 9):
+            for asym in (0.3, 1.0, 4.0):
+                base = (1 + np.exp(np.clip(-sc * (x - cs), -60, 60))) ** -asym
+                rise = base - base.mean()
+                fm = middle @ rise / max(rise @ rise, 1e-12)
+                fb = y.mean(axis=1) - fm * base.mean()
+                err = ((middle - fm[:, None] * rise) ** 2).sum(axis=1)
+                use = err < best
+                best[use] = err[use]
+                out[use] = np.column_stack([fm, fb, np.full(len(y), sc), np.full(len(y), cs), np.full(len(y), asym)])[use]
+    return out
+
+
+def fit_5pl(mat: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Bounded least squares of Fm / (1 + exp(-Sc (x - Cs)))^As + Fb, all rows together.
 
     Rows and the axis are scaled to [0, 1]; parameters return on the original scale (axis in
-    samples): columns Fm, Fb, Sc, Cs, As, r2. Damped steps, kept inside the bounds.
+    samples): columns Fm, Fb, Sc, Cs, As, r2, converged (0 or 1). Rows that do not converge from the fixed start are fitted again
+    by a second solver: best of a grid of starts, slope and asymmetry on a log scale; the smaller error stays.
     """
     n, width = mat.shape
     x = np.linspace(0.0, 1.0, width)
     low, high = mat.min(axis=1, keepdims=True), mat.max(axis=1, keepdims=True)
     span = np.where(high > low, high - low, 1.0)
     y = (mat - low) / span
-    p = np.tile([1.0, 0.0, 10.0, 0.5, 1.0], (n, 1))
-    lo, hi = np.array([-0.5, -0.5, 0.01, -0.5, 0.1]), np.array([2.0, 1.5, 500.0, 1.5, 10.0])
-
-    def parts(q):
-        e = np.exp(np.clip(-q[:, 2:3] * (x - q[:, 3:4]), -60, 60))
-        base = (1 + e) ** -q[:, 4:5]
-        return e, base, q[:, 0:1] * base + q[:, 1:2]
-
-    def error(q):
-        return ((y - parts(q)[2]) ** 2).sum(axis=1)
-
-    err, damp = error(p), np.full(n, 1e-2)
-    for _ in range(rounds):
-        e, base, model = parts(p)
-        slope = p[:, 0:1] * p[:, 4:5] * base * e / (1 + e)
-        jac = np.stack([base, np.ones_like(base), slope * (x - p[:, 3:4]), -slope * p[:, 2:3], -p[:, 0:1] * base * np.log1p(e)], axis=2)
-        jtj = np.einsum("ntp,ntq->npq", jac, jac)
-        rhs = np.einsum("ntp,nt->np", jac, y - model)
-        diag = np.einsum("npp->np", jtj)
-        step = np.linalg.solve(jtj + np.einsum("n,np,pq->npq", damp, diag + 1e-9, np.eye(5)), rhs[:, :, None])[:, :, 0]
-        trial = np.clip(p + step, lo, hi)
-        new = error(trial)
-        good = new < err
-        p[good], err[good] = trial[good], new[good]
-        damp = np.clip(np.where(good, damp / 3, damp * 4), 1e-12, 1e8)
+    p, err, done = fit_rows(y, np.tile(START_5PL, (n, 1)), LOW_5PL, HIGH_5PL, _curve(x, False), rounds)
+    again = np.flatnonzero(~done)
+    if len(again):
+        logs = [2, 4]
+        lo, hi, start = LOW_5PL.copy(), HIGH_5PL.copy(), np.clip(_best_start(x, y[again]), LOW_5PL, HIGH_5PL)
+        lo[logs], hi[logs], start[:, logs] = np.log(lo[logs]), np.log(hi[logs]), np.log(start[:, logs])
+        q, err2, done2 = fit_rows(y[again], start, lo, hi, _curve(x, True), 2 * rounds)
+        q[:, logs] = np.exp(q[:, logs])
+        use = done2 & (err2 <= err[again] * (1 + 1e-6) + 1e-12) | (err2 < err[again])
+        at = again[use]
+        p[at], err[at], done[at] = q[use], err2[use], done2[use]
     total = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
     r2 = 1 - err / (total + 1e-10)
     last = max(width - 1, 1)
-    return np.column_stack([p[:, 0] * span[:, 0], p[:, 1] * span[:, 0] + low[:, 0], p[:, 2] / last, p[:, 3] * last, p[:, 4], r2])
+    return np.column_stack([p[:, 0] * span[:, 0], p[:, 1] * span[:, 0] + low[:, 0], p[:, 2] / last, p[:, 3] * last, p[:, 4], r2, done])
+
+
+def derivative(mat: np.ndarray, step: float, order: int = 1, method: str = "gradient", window: int = 11, poly: int = 2) -> np.ndarray:
+    """First or second derivative of evenly sampled rows, as wide as the rows.
+
+    ``gradient``: central differences, one-sided at the ends; ``savgol``: derivative of a local polynomial, the ends by the end windows' own fits
+    (NaN where a row is shorter than ``window``); ``diff``: forward differences, the last value repeated.
+    """
+    n = mat.shape[1]
+    if method == "gradient":
+        for _ in range(order):
+            mat = np.gradient(mat, step, axis=1) if n > 1 else np.full_like(mat, np.nan)
+        return mat
+    if method == "diff":
+        out = np.diff(mat, n=order, axis=1) / step**order
+        return np.pad(out, ((0, 0), (0, order)), mode="edge") if out.shape[1] else np.full_like(mat, np.nan)
+    if method != "savgol":
+        raise ValueError(f"unknown method {method!r}")
+    from wellspring.operators.series import savgol_rows
+
+    if n < window:
+        return np.full_like(mat, np.nan)
+    weights = savgol_rows(window, poly, order)
+    begin = np.clip(np.arange(n) - window // 2, 0, n - window)
+    return np.stack([mat[:, b : b + window] @ weights[i - b] for i, b in enumerate(begin)], axis=1) / step**order
+
+
+RAW_FEATURES = (
+    "xms", "max_slope", "xs", "xe", "xp1", "xp2", "threshold_distance", "first_half", "second_half", "distance_asymmetry", "peak_shift",
+    "area1", "area2", "area_asymmetry", "peak_asymmetry", "y_xms", "y_xs", "y_xe", "y_xp1", "y_xp2", "dy_xp1", "dy_xp2", "end_slope", "end_slope_abs", "neg_log_f0",
+)
+
+
+def raw_features(y: np.ndarray, step: float, threshold: float = 0.1, method: str = "gradient") -> np.ndarray:
+    """RAW_FEATURES of sampled curves, one row each, NaN where a feature does not exist.
+
+    Slope peak, the outermost crossings of a share of it, the largest hump and the deepest dip of the second derivative,
+    their distances and asymmetries, areas under the slope on both sides of its peak, levels at these points and the final slope.
+    """
+    count, n = y.shape
+    if n < 2:
+        return np.full((count, len(RAW_FEATURES)), np.nan)
+    each, t = np.arange(count), np.arange(n) * step
+    d1, d2 = derivative(y, step, 1, method), derivative(y, step, 2, method)
+    divide = lambda a, b: np.divide(a, b, out=np.full(count, np.nan), where=(b != 0) & ~np.isnan(b))
+    top_at = np.argmax(d1, axis=1)
+    top, xms = d1[each, top_at], t[top_at]
+    level = threshold * top if threshold < 1 else np.full(count, threshold)
+    over = d1 > level[:, None]
+    some = over.any(axis=1)
+
+    def crossing(i, other):
+        """Interpolated from sample ``i`` (over the level) towards ``other`` (not over it)."""
+        inside = (other >= 0) & (other < n)
+        o = np.clip(other, 0, n - 1)
+        a, b = d1[each, o], d1[each, i]
+        flat = ~inside | (a == b)
+        at = np.where(flat, t[i], t[o] + (level - a) * (t[i] - t[o]) / np.where(flat, 1.0, b - a))
+        return np.where(some, at, np.nan)
+
+    first, last = np.argmax(over, axis=1), n - 1 - np.argmax(over[:, ::-1], axis=1)
+    xs, xe = crossing(first, first - 1), crossing(last, last + 1)
+
+    def hump(sign):
+        row, at, _ = peaks(sign * d2, -np.inf, None)
+        return first_per_row(row, at, count, at, -(sign * d2)[row, at])
+
+    p1, p2 = hump(1.0), hump(-1.0)
+    at = lambda values, i: np.where(i >= 0, values[each, i], np.nan)
+    near = lambda v: np.where(np.isnan(v), -1, np.argmin(np.abs(t - np.nan_to_num(v)[:, None]), axis=1))
+    xp1, xp2 = np.where(p1 >= 0, t[p1], np.nan), np.where(p2 >= 0, t[p2], np.nan)
+    run = np.concatenate([np.zeros((count, 1)), np.cumsum((d1[:, 1:] + d1[:, :-1]) / 2 * step, axis=1)], axis=1)
+    i_s, i_e = near(xs), near(xe)
+    area1 = np.where(i_s >= 0, run[each, np.maximum(top_at, i_s)] - run[each, i_s], np.nan)
+    area2 = np.where(i_e >= 0, run[each, np.maximum(top_at, i_e)] - run[each, top_at], np.nan)
+    h1, h2 = at(d2, p1), np.abs(at(d2, p2))
+    tail = d1[:, -5:]
+    start = y[:, 0]
+    out = [
+        xms, top, xs, xe, xp1, xp2, xe - xs, xms - xs, xe - xms, divide(xe - xms, xms - xs), xp2 - xp1,
+        area1, area2, divide(area2, area1), divide(h1, h2), y[each, top_at], at(y, i_s), at(y, i_e), at(y, p1), at(y, p2), at(d1, p1), at(d1, p2),
+        tail.mean(axis=1), np.abs(tail).mean(axis=1), np.where(start > 0, -np.log10(np.where(start > 0, start, 1.0)), np.nan),
+    ]
+    return np.where(np.isnan(d1).any(axis=1)[:, None], np.nan, np.column_stack(out))

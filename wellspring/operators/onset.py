@@ -198,18 +198,18 @@ def anchored(span: int = 100, window: int = 21, poly: int = 3, ahead: float = 15
 
 
 def sigmoid_fit(rate: float = 15.0):
-    """Pandas UDF: bounded five-parameter fit per trace; NULLs and ``fit_ok = false`` on failure."""
+    """Pandas UDF: bounded five-parameter fit per trace; ``fit_ok`` is false for a fit that did not converge and, with NULLs, for traces that cannot be fitted."""
     @F.pandas_udf("fm double, fb double, sc double, cs double, asym double, r2 double, fit_ok boolean")
     def fit(x: pd.Series) -> pd.DataFrame:
-        res = np.full((len(x), 6), np.nan)
+        res = np.full((len(x), 7), np.nan)
         for at, mat in kn.by_length(x):
             fine = np.isfinite(mat).all(axis=1) & (mat.shape[1] >= 3)
             if fine.any():
                 res[at[fine]] = kn.fit_5pl(mat[fine])
         res[:, 2] *= rate
         res[:, 3] /= rate
-        ok = np.isfinite(res).all(axis=1)
-        frame = pd.DataFrame(res, columns=["fm", "fb", "sc", "cs", "asym", "r2"])
+        ok = np.isfinite(res).all(axis=1) & (res[:, 6] == 1)
+        frame = pd.DataFrame(res[:, :6], columns=["fm", "fb", "sc", "cs", "asym", "r2"]).astype(object).where(~np.isnan(res[:, :6]), None)
         frame["fit_ok"] = ok
         return frame
 
@@ -356,3 +356,55 @@ def kinetic_features(df: DataFrame, n: int, step: float, threshold: float = 0.1)
         F.try_divide(k("pos")["h"], k("neg")["h"]).alias("peak_asymmetry"), k("ct").alias("ct"),
         (xi - sigmoid_value(xi, fm, fb, sc, cs, asym) / sigmoid_slope(xi, fm, sc, cs, asym)).alias("cy0"),
         F.when(F.get("_f", F.lit(0)) > 0, -F.log10(F.get("_f", F.lit(0)))).alias("neg_log_f0"))
+
+
+def raw_kinetics(step: float, threshold: float = 0.1, method: str = "gradient"):
+    """Pandas UDF: features of the sampled curve itself, with ``ct`` (20 % of the fitted rise) and ``cy0`` of its five-parameter fit.
+
+    ``method`` picks the derivative (gradient, savgol or diff). A feature that does not exist is NULL; ct and cy0 are NULL without a converged fit.
+    """
+    names = [*kn.RAW_FEATURES, "ct", "cy0"]
+
+    def fitted(mat: np.ndarray) -> np.ndarray:
+        fm, fb, sc, cs, asym, _, done = kn.fit_5pl(mat).T
+        t = np.arange(mat.shape[1])
+        e = np.exp(np.clip(-sc[:, None] * (t - cs[:, None]), -500, 500))
+        curve = fm[:, None] * (1 + e) ** -asym[:, None] + fb[:, None]
+        low, high = curve.min(axis=1), curve.max(axis=1)
+        over = curve > (low + 0.2 * (high - low))[:, None]
+        i, each = np.argmax(over, axis=1), np.arange(len(mat))
+        before = np.maximum(i - 1, 0)
+        a, b = curve[each, before], curve[each, i]
+        ct = np.where(a == b, i, before + (low + 0.2 * (high - low) - a) / np.where(a == b, 1.0, b - a))
+        ct = np.where(over.any(axis=1) & (high > low), ct, np.nan)
+        xi = cs + np.log(asym) / sc
+        e = np.exp(np.clip(-sc * (xi - cs), -500, 500))
+        slope = fm * asym * sc * e * (1 + e) ** (-asym - 1)
+        cy0 = np.where(slope != 0, xi - (fm * (1 + e) ** -asym + fb) / np.where(slope != 0, slope, 1.0), np.nan)
+        return np.where((done == 1)[:, None], np.column_stack([ct, cy0]) * step, np.nan)
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def features(x: pd.Series) -> pd.DataFrame:
+        res = np.full((len(x), len(names)), np.nan)
+        for at, mat in kn.by_length(x):
+            fine = np.isfinite(mat).all(axis=1)
+            if fine.any():
+                res[at[fine], :-2] = kn.raw_features(mat[fine], step, threshold, method)
+                if mat.shape[1] >= 3:
+                    res[at[fine], -2:] = fitted(mat[fine])
+        return pd.DataFrame(res, columns=names).astype(object).where(~np.isnan(res), None)
+
+    return features
+
+
+def derivatives(step: float, method: str, order: int = 1, window: int = 11, poly: int = 2):
+    """Pandas UDF: derivative of every trace by ``kernels.derivative``."""
+    @F.pandas_udf("array<double>")
+    def slopes(x: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(x), dtype=object)
+        for at, mat in kn.by_length(x):
+            for row, d in zip(at, kn.derivative(mat, step, order, method, window, poly)):
+                out.iat[row] = [None if np.isnan(v) else float(v) for v in d]
+        return out
+
+    return slopes

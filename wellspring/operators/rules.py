@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
+from wellspring.functions import kernels as kn
 from wellspring.functions.arrays import SAMPLES_PER_MIN, _c
 
 
@@ -237,55 +238,50 @@ DENSITY_RULES: dict[str, Callable] = {
 
 
 # --- logistic fit (the one rule that needs iteration) -------------------------------------
-def logistic_time(window: int, stride: int, thr: float = 0.5):
-    """Pandas UDF: t0 of a fitted logistic, clipped to the centres; else the last centre.
+def logistic_fit(window: int, stride: int, thr: float = 0.5):
+    """Pandas UDF: midpoint ``t0`` and rate ``k`` of a fitted logistic, ``converged``, and the time ``ttp``.
 
+    ``ttp`` is t0 clipped to the centres; the last centre (and NULL for the rest) where scores do not span ``thr``.
     All rows of a batch with equal length are fitted together, two parameters each.
     """
 
-    @F.pandas_udf("double")
-    def fit(p: pd.Series) -> pd.Series:
-        out = np.full(len(p), np.nan)
-        sizes = p.map(len).to_numpy()
-        for size in np.unique(sizes[sizes > 0]):
-            at = np.flatnonzero(sizes == size)
-            out[at] = _fit_logistic(np.stack(p.iloc[at].to_numpy()), window, stride, thr)
-        return pd.Series(out)
+    @F.pandas_udf("ttp double, t0 double, k double, converged boolean")
+    def fit(p: pd.Series) -> pd.DataFrame:
+        out = np.full((len(p), 4), np.nan)
+        for at, mat in kn.by_length(p):
+            out[at] = _fit_logistic(mat, window, stride, thr)
+        frame = pd.DataFrame(out, columns=["ttp", "t0", "k", "converged"]).astype(object).where(~np.isnan(out), None)
+        frame["converged"] = frame["converged"].map(lambda v: None if v is None else v == 1)
+        return frame
 
     return fit
 
 
-def _fit_logistic(p: np.ndarray, window: int, stride: int, thr: float, rounds: int = 60) -> np.ndarray:
+def logistic_time(window: int, stride: int, thr: float = 0.5):
+    """Time of ``logistic_fit`` as a rule."""
+    fit = logistic_fit(window, stride, thr)
+    return lambda p: fit(p)["ttp"]
+
+
+def _fit_logistic(p: np.ndarray, window: int, stride: int, thr: float) -> np.ndarray:
     t = (np.arange(p.shape[1]) * stride + (window - 1) / 2.0) / SAMPLES_PER_MIN
-    out = np.full(len(p), t[-1])
-    ok = (p.max(axis=1) >= thr) & (p.min(axis=1) <= thr)
-    y = p[ok]
-    if not len(y):
+    out = np.full((len(p), 4), np.nan)
+    out[:, 0] = t[-1]
+    ok = np.flatnonzero((p.max(axis=1) >= thr) & (p.min(axis=1) <= thr))
+    if not len(ok):
         return out
+    y = p[ok]
     first = np.argmax(y >= thr, axis=1)
-    t0 = np.where(first > 0, t[first], t[len(t) // 2])
-    k = np.ones(len(y))
-    damp = np.full(len(y), 1e-3)
+    start = np.column_stack([np.where(first > 0, t[first], t[len(t) // 2]), np.ones(len(y))])
 
-    def model(a, b):
-        return 1.0 / (1.0 + np.exp(-np.clip(b[:, None] * (t - a[:, None]), -500, 500)))
-
-    err = ((y - model(t0, k)) ** 2).sum(axis=1)
-    for _ in range(rounds):
-        f = model(t0, k)
+    def model(q):
+        away = t - q[:, :1]
+        f = 1.0 / (1.0 + np.exp(-np.clip(q[:, 1:] * away, -500, 500)))
         g = f * (1 - f)
-        j0, j1, r = -k[:, None] * g, (t - t0[:, None]) * g, y - f
-        a, b, d = (j0 * j0).sum(1), (j0 * j1).sum(1), (j1 * j1).sum(1)
-        u, v = (j0 * r).sum(1), (j1 * r).sum(1)
-        a2, d2 = a * (1 + damp) + 1e-12, d * (1 + damp) + 1e-12
-        det = a2 * d2 - b * b
-        det = np.where(np.abs(det) < 1e-300, 1e-300, det)
-        n0, n1 = t0 + (d2 * u - b * v) / det, k + (a2 * v - b * u) / det
-        new = ((y - model(n0, n1)) ** 2).sum(axis=1)
-        good = np.isfinite(new) & (new <= err)
-        t0, k, err = np.where(good, n0, t0), np.where(good, n1, k), np.where(good, new, err)
-        damp = np.clip(np.where(good, damp / 3, damp * 4), 1e-12, 1e12)
-    out[ok] = np.clip(t0, t[0], t[-1])
+        return f, np.stack([-q[:, 1:] * g, away * g], axis=2)
+
+    q, _, done = kn.fit_rows(y, start, np.full(2, -np.inf), np.full(2, np.inf), model)
+    out[ok] = np.column_stack([np.clip(q[:, 0], t[0], t[-1]), q, done])
     return out
 
 

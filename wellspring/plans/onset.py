@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wellspring.functions import arrays as ar
+from wellspring.functions import kernels as kn
 from wellspring.operators import onset as on
 from wellspring.operators import spatial as sp
 from wellspring.operators.spatial import WELL
@@ -94,7 +95,7 @@ def e10(spark, root):
 @query("e12_sigmoid_fit")
 def e12(spark, root):
     f = curves(spark, root).select("pixel_id", on.sigmoid_fit()("x").alias("p")).select("pixel_id", "p.*")
-    return f.select("pixel_id", r6("r2", 2).alias("r2"), "fit_ok")
+    return f.select("pixel_id", *[r6(c, 4).alias(c) for c in ("fm", "fb", "sc", "cs", "asym", "r2")], "fit_ok")
 
 
 FITP = """fit AS (SELECT p_partkey, 1 + (p_partkey % 7) / CAST(4 AS DOUBLE) AS fm, (p_size % 5) / CAST(50 AS DOUBLE) + CAST(0.01 AS DOUBLE) AS fb, CAST(0.4 AS DOUBLE) + (p_partkey % 11) / CAST(20 AS DOUBLE) AS sc,
@@ -108,6 +109,14 @@ def fits(spark, root):
         (10.0 + s % 13).alias("cs"), (0.6 + (k % 5) / 4.0).alias("asym"))
 
 
+@query("e12_sigmoid_recovery", f"WITH {FITP} SELECT p_partkey, {', '.join(f'{q6(c, 3)} AS {c}' for c in ('fm', 'fb', 'sc', 'cs', 'asym'))}, true AS fit_ok, 1.0::DOUBLE AS r2 FROM fit")
+def e12_recovery(spark, root):
+    """Known curves, one per part: the fit has to give back their five parameters."""
+    grid = F.transform(F.sequence(F.lit(0), F.lit(120)), lambda i: on.sigmoid_value(i / 4.0, *[F.col(c) for c in ("fm", "fb", "sc", "cs", "asym")]))
+    f = fits(spark, root).select("p_partkey", on.sigmoid_fit(4.0)(grid).alias("p")).select("p_partkey", "p.*")
+    return f.select("p_partkey", *[r6(c, 3).alias(c) for c in ("fm", "fb", "sc", "cs", "asym", "r2")], "fit_ok")
+
+
 KCOLS = ("xms", "max_slope", "xs", "xe", "xp1", "xp2", "threshold_distance", "first_half", "second_half", "distance_asymmetry", "peak_shift",
          "area1", "area2", "area_asymmetry", "peak_asymmetry", "ct", "cy0", "neg_log_f0")
 
@@ -132,6 +141,54 @@ def e13(spark, root):
     return on.kinetic_features(fits(spark, root), 61, 0.5).select("p_partkey", *[r6(c, 5).alias(c) for c in KCOLS])
 
 
+def _sampled(method):
+    """CTE ``v`` (pixel_id, i, x, f, d, c): curve samples with first and second derivative at 15 samples a minute."""
+    if method == "gradient":
+        slope = lambda c: f"CASE WHEN i = 0 THEN (lead({c}) OVER w - {c}) * 15.0 WHEN i = 63 THEN ({c} - lag({c}) OVER w) * 15.0 ELSE (lead({c}) OVER w - lag({c}) OVER w) * 7.5 END"
+    else:
+        slope = lambda c: f"(lead({c}) OVER w - {c}) * 15.0"
+    fill = lambda c: f"coalesce({c}, last_value({c} IGNORE NULLS) OVER (PARTITION BY pixel_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+    return f"""WITH {CURVES_LONG}, s0 AS (SELECT pixel_id, t AS i, t / 15.0::DOUBLE AS x, v AS f FROM cl),
+s1 AS (SELECT *, {slope('f')} AS d_ FROM s0 WINDOW w AS (PARTITION BY pixel_id ORDER BY i)), s2 AS (SELECT *, {slope('d_')} AS c_ FROM s1 WINDOW w AS (PARTITION BY pixel_id ORDER BY i)),
+v AS (SELECT pixel_id, i, x, f, {fill('d_')} AS d, {fill('c_')} AS c FROM s2)"""
+
+
+def _raw_sql(method):
+    return f"""{_sampled(method)},
+n AS (SELECT *, lag(d) OVER w AS d0, lead(d) OVER w AS d1, lag(c) OVER w AS c0, lead(c) OVER w AS c1 FROM v WINDOW w AS (PARTITION BY pixel_id ORDER BY i)),
+m AS (SELECT pixel_id, max(d) AS top, arg_max(i, (d, -i)) AS p, 0.1::DOUBLE * max(d) AS th, arg_max(f, (d, -i)) AS y_xms, arg_min(f, i) AS f0, avg(d) FILTER (i >= 59) AS end_slope, avg(abs(d)) FILTER (i >= 59) AS end_slope_abs FROM v GROUP BY 1),
+k AS (SELECT n.pixel_id, arg_min(CASE WHEN i = 0 THEN x ELSE x - 1 / 15.0::DOUBLE + (th - d0) / 15.0::DOUBLE / (d - d0) END, i) FILTER (d > th) AS xs,
+  arg_max(CASE WHEN i = 63 THEN x ELSE x + (th - d) / 15.0::DOUBLE / (d1 - d) END, i) FILTER (d > th) AS xe,
+  arg_max(i, (c, -i)) FILTER (c > c0 AND c > c1) AS p1, arg_min(i, (c, i)) FILTER (c < c0 AND c < c1) AS p2 FROM n JOIN m USING (pixel_id) GROUP BY 1),
+o AS (SELECT k.*, m.* EXCLUDE (pixel_id), CAST(ceil(round(xs * 15, 9) - 0.5) AS INTEGER) AS i_s, CAST(ceil(round(xe * 15, 9) - 0.5) AS INTEGER) AS i_e FROM k JOIN m USING (pixel_id)),
+ar AS (SELECT o.pixel_id, coalesce(sum((a.d + b.d) / 30.0) FILTER (a.i >= i_s AND a.i < p), 0) AS area1, coalesce(sum((a.d + b.d) / 30.0) FILTER (a.i >= p AND a.i < i_e), 0) AS area2
+  FROM o JOIN v a ON a.pixel_id = o.pixel_id JOIN v b ON b.pixel_id = a.pixel_id AND b.i = a.i + 1 GROUP BY 1),
+q AS (SELECT o.pixel_id, max(f) FILTER (i = i_s) AS y_xs, max(f) FILTER (i = i_e) AS y_xe, max(f) FILTER (i = p1) AS y_xp1, max(f) FILTER (i = p2) AS y_xp2,
+  max(d) FILTER (i = p1) AS dy_xp1, max(d) FILTER (i = p2) AS dy_xp2, max(c) FILTER (i = p1) AS h1, abs(max(c) FILTER (i = p2)) AS h2 FROM o JOIN v USING (pixel_id) GROUP BY 1),
+r AS (SELECT *, p / 15.0::DOUBLE AS xms, top AS max_slope, p1 / 15.0::DOUBLE AS xp1, p2 / 15.0::DOUBLE AS xp2, CASE WHEN f0 > 0 THEN -log10(f0) END AS neg_log_f0, h1 / nullif(h2, 0) AS peak_asymmetry, area2 / nullif(area1, 0) AS area_asymmetry
+  FROM o JOIN ar USING (pixel_id) JOIN q USING (pixel_id)),
+z AS (SELECT *, xe - xs AS threshold_distance, xms - xs AS first_half, xe - xms AS second_half, (xe - xms) / nullif(xms - xs, 0) AS distance_asymmetry, xp2 - xp1 AS peak_shift FROM r)
+SELECT pixel_id, {', '.join(f'{q6(c, 4)} AS {c}' for c in kn.RAW_FEATURES)} FROM z"""
+
+
+for method_ in ("gradient", "diff"):
+    def e13_raw(spark, root, method=method_):
+        k = curves(spark, root).select("pixel_id", on.raw_kinetics(1 / 15.0, 0.1, method)("x").alias("k"))
+        return k.select("pixel_id", *[r6(f"k.{c}", 4).alias(c) for c in kn.RAW_FEATURES])
+
+    query(f"e13_raw_features_{method_}", _raw_sql(method_))(e13_raw)
+
+
+@query("w04_derivative_options", f"""{_sampled('diff')}{_savgol_sql(11, 2, "(SELECT pixel_id, t, v FROM cl)", "pixel_id", 1, "a")}{_savgol_sql(11, 2, "(SELECT pixel_id, t, v FROM cl)", "pixel_id", 2, "b")}
+SELECT v.pixel_id, v.i AS t, {q6('v.d', 4)} AS diff1, {q6('v.c', 4)} AS diff2, {q6('a.sg * 15', 4)} AS savgol1, {q6('b.sg * 225', 4)} AS savgol2
+FROM v JOIN asg a ON a.pixel_id = v.pixel_id AND a.t = v.i JOIN bsg b ON b.pixel_id = v.pixel_id AND b.t = v.i""")
+def w04_options(spark, root):
+    parts = {f"{m}{o}": on.derivatives(1 / 15.0, m, o)("x") for m in ("diff", "savgol") for o in (1, 2)}
+    wide = curves(spark, root).select("pixel_id", *[e.alias(n) for n, e in parts.items()])
+    rows = wide.select("pixel_id", F.posexplode(F.arrays_zip(*parts)).alias("t", "z"))
+    return rows.select("pixel_id", "t", *[r6(f"z.{n}", 4).alias(n) for n in parts])
+
+
 @query("e14_fit_loss", f"""WITH {PREDICTIONS}, b AS (SELECT method_id, avg(ttp_true) AS m FROM pred GROUP BY 1)
 SELECT p.method_id, {q6('sum((ttp_true - ttp_pred) ** 2)', 4)} AS ssr, {q6('avg((ttp_true - ttp_pred) ** 2)')} AS mse, {q6('sqrt(avg((ttp_true - ttp_pred) ** 2))')} AS rmse,
 {q6('avg(abs(ttp_true - ttp_pred))')} AS mae, {q6('1 - sum((ttp_true - ttp_pred) ** 2) / (sum((ttp_true - m) ** 2) + CAST(1e-10 AS DOUBLE))')} AS r_squared FROM pred p JOIN b ON b.method_id = p.method_id GROUP BY 1""")
@@ -196,16 +253,14 @@ def u03(spark, root):
     import numpy as np
     import pandas as pd
 
-    from wellspring.functions import kernels as kn
-
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at, mat in kn.by_length(pdf["x"]):
                 p = kn.fit_5pl(mat)
-                yield pd.DataFrame({"pixel_id": pdf["pixel_id"].to_numpy()[at], "r2": np.round(p[:, 5], 2), "rises": p[:, 0] > 0})
+                yield pd.DataFrame({"pixel_id": pdf["pixel_id"].to_numpy()[at], "r2": np.round(p[:, 5], 2), "rises": p[:, 0] > 0, "fit_ok": p[:, 6] == 1})
 
     c = curves(spark, root).select("pixel_id", "x").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pixel_id")
-    return c.mapInPandas(fit, "pixel_id bigint, r2 double, rises boolean")
+    return c.mapInPandas(fit, "pixel_id bigint, r2 double, rises boolean, fit_ok boolean")
 
 
 @query("u05_rows_per_input", ANCHOR_SQL + f" SELECT rule, reason, count(*) AS n, {q6('avg(ttp)')} AS mean_ttp FROM va GROUP BY 1, 2")

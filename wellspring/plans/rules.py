@@ -6,7 +6,7 @@ from wellspring.functions import arrays as ar
 from wellspring.operators import metrics as mt
 from wellspring.operators import rules as rl
 from wellspring.plans import query
-from wellspring.plans.bindings import (
+from wellspring.plans.bindings import (table, 
     SCORES_LONG, STRIDE, TRACES_LONG, WINDOW, q6, r6, scores, traces,
 )
 
@@ -69,8 +69,21 @@ for thr_ in (0.5, 0.3):
 
 @query("r05_logistic_fit")
 def r05(spark, root):
-    s = scores(spark, root)
-    return s.select("pixel_id", F.round(rl.logistic_time(WINDOW, STRIDE)("p"), 3).alias("ttp"))
+    s = scores(spark, root).select("pixel_id", rl.logistic_fit(WINDOW, STRIDE)("p").alias("f"))
+    return s.select("pixel_id", F.round("f.ttp", 3).alias("ttp"), "f.converged")
+
+
+# known logistics, one per part: the fit has to give back midpoint and rate
+KNOWN = """kn AS (SELECT p_partkey, CAST(4 AS DOUBLE) + (p_partkey % 40) / CAST(4 AS DOUBLE) AS t0, CAST(0.5 AS DOUBLE) + (p_size % 7) / CAST(4 AS DOUBLE) AS k FROM part)"""
+
+
+@query("r05_logistic_recovery", f"WITH {KNOWN} SELECT p_partkey, {q6('t0', 4)} AS t0, {q6('k', 4)} AS k, {q6('t0', 4)} AS ttp, true AS converged FROM kn")
+def r05_recovery(spark, root):
+    known = table(spark, root, "part").select("p_partkey", (4 + (F.col("p_partkey") % 40) / 4.0).alias("t0"), (0.5 + (F.col("p_size") % 7) / 4.0).alias("k"))
+    centre = lambda i: ar.centre_min(i, WINDOW, STRIDE)
+    curve = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1.0 / (1.0 + F.exp(-F.col("k") * (centre(i) - F.col("t0")))))
+    f = known.withColumn("f", rl.logistic_fit(WINDOW, STRIDE)(curve))
+    return f.select("p_partkey", r6("f.t0", 4).alias("t0"), r6("f.k", 4).alias("k"), r6("f.ttp", 4).alias("ttp"), "f.converged")
 
 
 def _grad(src, name, col, out):

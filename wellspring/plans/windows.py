@@ -56,14 +56,15 @@ def w04(spark, root):
     return sr.gradients(s, K, "v", "tm").select("sid", "t", r6("d1", 5).alias("d1"), r6("d2", 5).alias("d2"))
 
 
-def _savgol_sql(window, poly, src="series", key="sid"):
-    rows = sr.savgol_rows(window, poly)
-    vals = ", ".join(f"({i}, {j}, CAST({rows[i, j]!r} AS DOUBLE))" for i in range(window) for j in range(window)).replace("np.float64(", "").replace(") AS", " AS")
+def _savgol_sql(window, poly, src="series", key="sid", deriv=0, tag=""):
+    """CTEs ending in ``<tag>sg`` (key, t, sg): local polynomial value or derivative per sample."""
+    rows = sr.savgol_rows(window, poly, deriv)
+    vals = ", ".join(f"({i}, {j}, CAST({float(rows[i, j])!r} AS DOUBLE))" for i in range(window) for j in range(window))
     h = window // 2
-    return f""", wt(i, j, c) AS (VALUES {vals}),
-ln AS (SELECT {key}, CAST(count(*) AS INTEGER) AS len FROM {src} GROUP BY 1),
-bg AS (SELECT s.{key}, s.t, least(greatest(s.t - {h}, 0), len - {window}) AS b FROM {src} s JOIN ln USING ({key}) WHERE len >= {window}),
-sg AS (SELECT bg.{key}, bg.t, sum(y.v * wt.c) AS sg FROM bg JOIN wt ON wt.i = bg.t - bg.b JOIN {src} y ON y.{key} = bg.{key} AND y.t = bg.b + wt.j GROUP BY 1, 2)"""
+    return f""", {tag}wt(i, j, c) AS (VALUES {vals}),
+{tag}ln AS (SELECT {key}, CAST(count(*) AS INTEGER) AS len FROM {src} z GROUP BY 1),
+{tag}bg AS (SELECT s.{key}, s.t, least(greatest(s.t - {h}, 0), len - {window}) AS b FROM {src} s JOIN {tag}ln USING ({key}) WHERE len >= {window}),
+{tag}sg AS (SELECT bg.{key}, bg.t, sum(y.v * wt.c) AS sg FROM {tag}bg bg JOIN {tag}wt wt ON wt.i = bg.t - bg.b JOIN {src} y ON y.{key} = bg.{key} AND y.t = bg.b + wt.j GROUP BY 1, 2)"""
 
 
 @query("w05_savgol", f"WITH {SERIES}{_savgol_sql(9, 3)} SELECT sid, t, {q6('sg', 5)} AS sg FROM sg")
