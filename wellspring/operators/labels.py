@@ -78,3 +78,16 @@ def window_labels(ttp: str, count, window: int, stride: int, kind: str = "hard",
         return F.col(ttp) - c
 
     return F.transform(F.sequence(F.lit(0), count - 1), one)
+
+
+def sample_at(minutes, n: int, rate: float = 15.0) -> Column:
+    """First sample whose time is not before ``minutes``; NULL stays NULL."""
+    minutes = F.col(minutes) if isinstance(minutes, str) else minutes
+    early = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i / F.lit(rate) < minutes)
+    return F.when(minutes.isNotNull(), F.size(early))
+
+
+def shifted_boundaries(onset, before, after, shift, n: int, rate: float = 15.0) -> Column:
+    """Struct b1, b2, b3: samples of the onset and of the spacings before and after it (minutes), moved by ``shift`` samples, within 0..n."""
+    at = lambda minutes: F.least(F.greatest(F.bround(minutes * rate, 0) + shift, F.lit(0)), F.lit(n)).cast("int")
+    return F.struct(at(onset - before).alias("b1"), at(onset).alias("b2"), at(onset + after).alias("b3"))

@@ -12,12 +12,13 @@ from wellspring.functions import kernels as kn
 from wellspring.operators.series import savgol_rows
 
 
-def pixel_shift(x: str, mean: str, anchor: int, half: int, max_lag: int) -> Column:
-    """Lag (within ``max_lag``) at which the pixel best matches its well mean around ``anchor``.
+def pixel_shift(x: str, mean: str, anchor: int | str, half: int, max_lag: int) -> Column:
+    """Lag (within ``max_lag``) at which the pixel best matches its well mean around ``anchor`` (a sample, or the column that holds it).
 
     Positive means later than the mean; 0 for short or flat stretches; the lowest lag wins ties.
     """
-    lo = max(anchor - half, 0)
+    anchor = F.col(anchor) if isinstance(anchor, str) else F.lit(anchor)
+    lo = F.greatest(anchor - half, F.lit(0)).cast("int")
 
     def unit(a):
         return ar.let(F.struct(ar.mean(a).alias("m"), ar.std(a).alias("s")),
@@ -33,7 +34,7 @@ def pixel_shift(x: str, mean: str, anchor: int, half: int, max_lag: int) -> Colu
         lags = F.transform(F.sequence(F.greatest(F.lit(-max_lag), 1 - n), F.least(F.lit(max_lag), n - 1)), lag_score)
         return F.when((n >= 5) & p.isNotNull() & m.isNotNull(), (-F.array_max(lags)["neg"]).cast("int")).otherwise(0)
 
-    cut = lambda c: F.slice(c, lo + 1, anchor + half - lo)
+    cut = lambda c: F.slice(c, lo + 1, (anchor + half - lo).cast("int"))
     return F.coalesce(ar.let(unit(cut(F.col(x))), lambda p: ar.let(unit(cut(F.col(mean))), lambda m: best(p, m))), F.lit(0))
 
 

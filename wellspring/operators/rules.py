@@ -314,3 +314,21 @@ def apply_rules(df: DataFrame, p: str, window: int, stride: int, rules=None, kee
     wide = df.select(*keep, *[WINDOW_RULES[n][1](p, window, stride).cast("double").alias(n) for n in own])
     wide = wide.withColumns({n: F.col(same[n]) for n in names if n not in own})
     return wide.unpivot(list(keep), names, "rule_id", "ttp_pred")
+
+
+# Rules on class sequences; ``target`` classes count as risen, ``rising`` is the class that starts the rise.
+CLASS_RULES: dict[str, Callable] = {
+    "kcons2": lambda classes, shares, target, rising: class_run(classes, target, 2),
+    "kcons3": lambda classes, shares, target, rising: class_run(classes, target, 3),
+    "kcons5": lambda classes, shares, target, rising: class_run(classes, target, 5),
+    "smoothedP": lambda classes, shares, target, rising: smoothed_crossing(F.transform(shares, lambda p: F.get(p, F.lit(rising))), 5, 0.5),
+    "largestBlock": lambda classes, shares, target, rising: largest_block(classes, rising),
+    "viterbiMono": lambda classes, shares, target, rising: ordered_decode(shares, target=rising),
+}
+
+
+def apply_class_rules(df: DataFrame, classes: str, shares: str, target=(2, 3), rules=None, keep=()) -> DataFrame:
+    """One row per (input row, class rule). ``classes`` is the most likely class per sample, ``shares`` the class shares per sample."""
+    names, rising = list(rules or CLASS_RULES), 2 if 2 in target else max(target)
+    wide = df.select(*keep, *[CLASS_RULES[n](F.col(classes), F.col(shares), tuple(target), rising).cast("double").alias(n) for n in names])
+    return wide.unpivot(list(keep), names, "rule_id", "ttp_pred")

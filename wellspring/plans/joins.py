@@ -58,8 +58,11 @@ def j04(spark, root):
         F.array_join(F.transform(reps, lambda r: r["call"]), ",").alias("calls")).withColumn("unreliable", F.col("well") % 7 == 0)
 
 
-@query("j05_plate_spacings", f"""WITH {POS} SELECT well, {q6('CASE WHEN count(cq) > 0 THEN coalesce(avg(cq) - avg(CASE WHEN p_size % 3 <> 0 THEN cq - p_size / 10.0 END), 3) ELSE 3 END')} AS dt_start,
-{q6('CASE WHEN count(cq) > 0 THEN coalesce(avg(CASE WHEN p_size % 2 <> 0 THEN cq + p_size / 5.0 END) - avg(cq), 10) ELSE 10 END')} AS dt_plateau FROM ps LEFT JOIN cv ON ps.pos = cv.pos GROUP BY well""")
+SPACINGS = f"""SELECT well, {q6('CASE WHEN count(cq) > 0 THEN coalesce(avg(cq) - avg(CASE WHEN p_size % 3 <> 0 THEN cq - p_size / 10.0 END), 3) ELSE 3 END')} AS dt_start,
+{q6('CASE WHEN count(cq) > 0 THEN coalesce(avg(CASE WHEN p_size % 2 <> 0 THEN cq + p_size / 5.0 END) - avg(cq), 10) ELSE 10 END')} AS dt_plateau FROM ps LEFT JOIN cv ON ps.pos = cv.pos GROUP BY well"""
+
+
+@query("j05_plate_spacings", f"WITH {POS} {SPACINGS}")
 def j05(spark, root):
     j = _positions(spark, root)
     start = F.avg(F.when(F.col("p_size") % 3 != 0, F.col("cq") - F.col("p_size") / 10.0))

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from wellspring.operators import labels as lb
-from wellspring.operators.onset import pixel_shift
+from wellspring.operators.onset import anchored, pixel_shift
 from wellspring.operators.ranking import attach, quantiles
 from wellspring.operators.spatial import WELL, mean_trace
 from wellspring.plans import query
-from wellspring.plans.bindings import TRACES, TRACES_LONG, q6, r6, table, traces
+from wellspring.plans.bindings import CURVES_LONG, TRACES, TRACES_LONG, curves, q6, r6, table, traces
+from wellspring.plans.joins import POS, SPACINGS, j05
+from wellspring.plans.landmark_sql import anchored as anchored_sql
 from wellspring.plans.rules import CLASSES, class_frames
 
 N = 64
@@ -154,14 +156,42 @@ def e11(spark, root):
     return shifts(spark, root).select("pixel_id", "shift")
 
 
-@query("l06_shifted_boundaries", f"""WITH {SHIFT} SELECT pixel_id, CAST(least(greatest(30 + shift - 10, 0), 64) AS INTEGER) AS b1, CAST(least(greatest(30 + shift, 0), 64) AS INTEGER) AS b2,
-CAST(least(greatest(30 + shift + 15, 0), 64) AS INTEGER) AS b3 FROM sh""")
+# --- labels that follow the onset of their own well ------------------------------------------
+ONSET = f"""WITH {CURVES_LONG}, wl AS (SELECT chip_id, well_id, chip_id || '|' || CAST(well_id AS VARCHAR) AS pixel_id, t, avg(v) AS v FROM cl GROUP BY 1, 2, 3, 4),
+an AS (SELECT DISTINCT pixel_id, well_id * 0.2::DOUBLE + 0.8::DOUBLE AS a FROM wl), wm AS (SELECT pixel_id, t, v FROM wl){anchored_sql('wm', 'an', 'va')},
+wa AS (SELECT chip_id, well_id, ttp AS anchor, (SELECT count(*) FROM range(64) r(i) WHERE i / 15.0::DOUBLE < ttp) AS s FROM va JOIN (SELECT DISTINCT chip_id, well_id, pixel_id FROM wl) w ON w.pixel_id = va.pixel_id
+  WHERE rule = 'cy0_after_plate' AND ttp IS NOT NULL),
+pz AS (SELECT c.chip_id, c.well_id, c.pixel_id, t, count(*) OVER w AS n, stddev_pop(v) OVER w AS sd, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z
+  FROM cl c JOIN wa ON wa.chip_id = c.chip_id AND wa.well_id = c.well_id WHERE t BETWEEN greatest(s - 16, 0) AND s + 15 WINDOW w AS (PARTITION BY c.pixel_id)),
+mz AS (SELECT c.chip_id, c.well_id, t, stddev_pop(v) OVER w AS sd, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z
+  FROM wl c JOIN wa ON wa.chip_id = c.chip_id AND wa.well_id = c.well_id WHERE t BETWEEN greatest(s - 16, 0) AND s + 15 WINDOW w AS (PARTITION BY c.chip_id, c.well_id)),
+xc AS (SELECT p.pixel_id, CAST(p.t - m.t AS INTEGER) AS lag, sum(p.z * m.z) AS sc FROM pz p JOIN mz m ON p.chip_id = m.chip_id AND p.well_id = m.well_id AND abs(p.t - m.t) <= 10
+  WHERE n >= 5 AND p.sd >= 1e-9 AND m.sd >= 1e-9 GROUP BY 1, 2),
+best AS (SELECT pixel_id, lag FROM (SELECT *, row_number() OVER (PARTITION BY pixel_id ORDER BY round(sc, 9) DESC, lag) AS rn FROM xc) z WHERE rn = 1),
+px AS (SELECT t.pixel_id, t.well_id, anchor, coalesce(lag, 0) AS shift FROM traces t JOIN wa ON wa.chip_id = t.chip_id AND wa.well_id = t.well_id LEFT JOIN best ON best.pixel_id = t.pixel_id)"""
+
+
+def well_onsets(spark, root):
+    """Pixels with their well's anchor (tangent intercept of the mean curve after the plate time) and their shift against that mean; wells without anchor drop out."""
+    c = curves(spark, root)
+    m = mean_trace(c, WELL, "x", "wm").withColumn("plate", F.col("well_id") * 0.2 + 0.8)
+    found = anchored(span=10, window=9, ahead=3.0, margin=0.5, baseline=0.4)("wm", "plate")
+    w = m.select(*WELL, "wm", F.inline(found)).filter("rule = 'cy0_after_plate' AND ttp IS NOT NULL")
+    w = w.select(*WELL, "wm", F.col("ttp").alias("anchor"), lb.sample_at("ttp", N).alias("at"))
+    return c.join(w, WELL).withColumn("shift", pixel_shift("x", "wm", "at", 16, 10))
+
+
+@query("l06_shifted_boundaries", f"""{ONSET}, {POS}, sp AS ({SPACINGS}),
+g AS (SELECT pixel_id, shift, anchor, coalesce(dt_start, 3) AS d0, coalesce(dt_plateau, 10) AS d1 FROM px LEFT JOIN sp ON sp.well = px.well_id)
+SELECT pixel_id, shift, {', '.join(f"CAST(least(greatest(round_even(({e}) * 15.0::DOUBLE, 0) + shift, 0), 64) AS INTEGER) AS {b}" for b, e in (('b1', 'anchor - d0'), ('b2', 'anchor'), ('b3', 'anchor + d1')))} FROM g""")
 def l06(spark, root):
-    c = lambda off: F.least(F.greatest(F.lit(30) + F.col("shift") + off, F.lit(0)), F.lit(N)).cast("int")
-    return shifts(spark, root).select("pixel_id", c(-10).alias("b1"), c(0).alias("b2"), c(15).alias("b3"))
+    spacing = j05(spark, root).select(F.col("well").cast("int").alias("well_id"), "dt_start", "dt_plateau")
+    p = well_onsets(spark, root).join(spacing, "well_id", "left")
+    b = lb.shifted_boundaries(F.col("anchor"), F.coalesce("dt_start", F.lit(3.0)), F.coalesce("dt_plateau", F.lit(10.0)), F.col("shift"), N)
+    return p.select("pixel_id", "shift", b.alias("b")).select("pixel_id", "shift", "b.*")
 
 
-@query("l07_pixel_time_labels", f"WITH {SHIFT}{TTP.replace(', tt AS', ', tt AS')} SELECT pixel_id, {q6('well_id * 0.5 + 2')} AS y_broadcast, {q6('well_id * 0.5 + 2 + shift / 15.0')} AS y_shifted FROM sh JOIN tt USING (pixel_id)")
+@query("l07_pixel_time_labels", f"{ONSET} SELECT pixel_id, {q6('anchor')} AS y_broadcast, {q6('anchor + shift / 15.0::DOUBLE')} AS y_shifted FROM px")
 def l07(spark, root):
-    anchor = F.col("well_id") * 0.5 + 2
-    return shifts(spark, root).select("pixel_id", r6(anchor).alias("y_broadcast"), r6(anchor + F.col("shift") / 15.0).alias("y_shifted"))
+    p = well_onsets(spark, root)
+    return p.select("pixel_id", r6("anchor").alias("y_broadcast"), r6(F.col("anchor") + F.col("shift") / 15.0).alias("y_shifted"))

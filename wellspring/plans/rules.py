@@ -184,7 +184,7 @@ def r14(spark, root):
 
 
 def _decode_sql(step_only: bool) -> str:
-    """The best path's boundaries found by running maxima over prefix sums of log scores."""
+    """CTEs up to ``fin`` (pixel_id, pos): the best path's boundaries found by running maxima over prefix sums of log scores."""
     cells = []
     for c in range(4):
         lo = max(c - 1, 0) if step_only else 0
@@ -199,22 +199,24 @@ def _decode_sql(step_only: bool) -> str:
     best_s, best_a = "s0", "a0"
     for c in (1, 2, 3):
         best_s, best_a = f"CASE WHEN s{c} > {best_s} THEN s{c} ELSE {best_s} END", f"CASE WHEN s{c} > {best_s} THEN a{c} ELSE {best_a} END"
-    return f"""WITH RECURSIVE {CLASSES}, lg AS (
+    return f"""lg AS (
   SELECT pixel_id, t, {', '.join(f'ln(max(p) FILTER (c = {c}) + CAST(1e-8 AS DOUBLE)) AS l{c}' for c in range(4))} FROM sm GROUP BY 1, 2),
 d AS (
   SELECT pixel_id, t, {', '.join(f'{start[c]} AS s{c}, {0 if c == 2 else -1} AS a{c}' for c in range(4))} FROM lg WHERE t = 0
   UNION ALL
   SELECT d.pixel_id, d.t + 1, {', '.join(cells)} FROM d JOIN lg e ON e.pixel_id = d.pixel_id AND e.t = d.t + 1),
-fin AS (SELECT pixel_id, {best_a} AS pos FROM d WHERE t = 63)
-SELECT pixel_id, {q6('CASE WHEN pos >= 0 THEN pos ELSE 63 END / 15.0')} AS ttp FROM fin"""
+fin AS (SELECT pixel_id, {best_a} AS pos FROM d WHERE t = 63)"""
 
 
-@query("r15_monotone_decode", _decode_sql(False))
+DECODED = f" SELECT pixel_id, {q6('CASE WHEN pos >= 0 THEN pos ELSE 63 END / 15.0')} AS ttp FROM fin"
+
+
+@query("r15_monotone_decode", f"WITH RECURSIVE {CLASSES}, {_decode_sql(False)}{DECODED}")
 def r15(spark, root):
     return class_frames(spark, root).select("pixel_id", r6(rl.ordered_decode("f")).alias("ttp"))
 
 
-@query("r16_stepwise_decode", _decode_sql(True))
+@query("r16_stepwise_decode", f"WITH RECURSIVE {CLASSES}, {_decode_sql(True)}{DECODED}")
 def r16(spark, root):
     return class_frames(spark, root).select("pixel_id", r6(rl.ordered_decode("f", step_only=True)).alias("ttp"))
 
@@ -277,6 +279,53 @@ def r17_full(spark, root):
     return p.select("rule_id", "n_wells", *[r6(c, 3).alias(c) for c in ("per_well_mae", "within_well_cov", "slope", "rho")], "passes")
 
 
+def _class_sweep_sql() -> str:
+    """CTE ``tall`` (rule_id, pixel_id, ttp_pred) of all class rules."""
+    rows, ctes = [], [_decode_sql(False)]
+    for k in (2, 3, 5):
+        ctes.append(f"""kc{k} AS (SELECT pixel_id, min(t) FILTER (run = {k}) AS pos FROM (
+  SELECT pixel_id, t, sum(CASE WHEN c IN (2, 3) THEN 1 ELSE 0 END) OVER (PARTITION BY pixel_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS run FROM cs) z GROUP BY 1)""")
+        rows.append(("kcons" + str(k), "pos", f"kc{k}"))
+    ctes.append("""sp AS (SELECT pixel_id, min(t) FILTER (s > 0.5) AS pos FROM (
+  SELECT pixel_id, t, sum(p) OVER (PARTITION BY pixel_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0 AS s FROM sm WHERE c = 2) z GROUP BY 1)""")
+    rows.append(("smoothedP", "pos", "sp"))
+    ctes.append("""isl AS (SELECT pixel_id, t, t - row_number() OVER (PARTITION BY pixel_id ORDER BY t) AS g FROM cs WHERE c = 2),
+bl AS (SELECT pixel_id, min(t) AS st, count(*) AS len FROM isl GROUP BY pixel_id, g),
+lb AS (SELECT pixel_id, st AS pos FROM (SELECT *, row_number() OVER (PARTITION BY pixel_id ORDER BY len DESC, st) AS rn FROM bl) z WHERE rn = 1)""")
+    rows.append(("largestBlock", "pos", "lb"))
+    rows.append(("viterbiMono", "CASE WHEN pos >= 0 THEN pos END", "fin"))
+    stacked = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, t.chip_id, t.well_id, t.pixel_id, coalesce({e}, 63) / 15.0::DOUBLE AS ttp_pred FROM traces t LEFT JOIN {src} q ON q.pixel_id = t.pixel_id" for r, e, src in rows)
+    return f"WITH RECURSIVE {CLASSES}, {', '.join(ctes)}, tall AS ({stacked})"
+
+
+SWEPT = f""", wm AS (
+  SELECT rule_id, chip_id, well_id, avg(ttp_pred) AS m, coalesce(stddev_samp(ttp_pred), 0) AS sd, CAST(any_value(well_id) AS DOUBLE) * 1.5 AS tm, CAST(well_id % 5 AS DOUBLE) AS lc
+  FROM tall GROUP BY rule_id, chip_id, well_id),
+cm AS (SELECT rule_id, lc, avg(m) AS m FROM wm GROUP BY 1, 2),
+ln AS (SELECT rule_id, regr_slope(m, lc) AS slope, regr_r2(m, lc) AS r2 FROM cm GROUP BY 1)
+SELECT rule_id, count(*) AS n_wells, {q6('avg(abs(m - tm))')} AS per_well_mae, {q6('avg(CASE WHEN abs(m) > 0.000001 THEN sd / abs(m) END)')} AS within_well_cov,
+  {q6('any_value(slope)')} AS slope, {q6('any_value(r2)')} AS r2
+FROM wm JOIN ln USING (rule_id) GROUP BY rule_id"""
+
+
+@query("r17_class_rule_sweep", _class_sweep_sql() + SWEPT)
+def r17_classes(spark, root):
+    tall = rl.apply_class_rules(class_frames(spark, root), "c", "f", (2, 3), None, ("chip_id", "well_id", "pixel_id"))
+    return _swept(tall)
+
+
+@query("r17_class_rule_times", _class_sweep_sql() + f" SELECT rule_id, pixel_id, {q6('ttp_pred')} AS ttp FROM tall")
+def r17_class_times(spark, root):
+    out = rl.apply_class_rules(class_frames(spark, root), "c", "f", (2, 3), None, ("pixel_id",))
+    return out.select("rule_id", "pixel_id", r6("ttp_pred").alias("ttp"))
+
+
+def _swept(tall):
+    tall = tall.withColumn("ttp_true", F.col("well_id") * 1.5).withColumn("log10_conc", (F.col("well_id") % 5).cast("double"))
+    p = mt.portfolio(tall, ["rule_id"], None)
+    return p.select("rule_id", "n_wells", *[r6(c).alias(c) for c in ("per_well_mae", "within_well_cov", "slope", "r2")])
+
+
 @query("u02_density_rule_sweep", f"""WITH {SCORES_LONG}{_argbest('sl', 'p')}{TOP5}, wide AS (
   SELECT a.pixel_id, CAST(a.pos / 15.0 AS DOUBLE) AS hard_argmax, top5 AS soft_argmax_top5, expected AS expected_value, CAST(half AS DOUBLE) AS first_moment_thr0p5
   FROM am a JOIN t5 USING (pixel_id) JOIN ev USING (pixel_id) JOIN cd USING (pixel_id)),
