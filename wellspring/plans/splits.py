@@ -58,12 +58,29 @@ def k03(spark, root):
     return _sum(sp.hold_out(d, "chip", ["s1", "s5"], sp.stratified(d.filter(~F.col("chip").isin("s1", "s5")), ["chip", "y"], ID4, C2, 3)))
 
 
-@query("k04_grouped_folds", f"""WITH g AS (SELECT l_suppkey, avg(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS p, count(*) AS n FROM lineitem GROUP BY 1),
-o AS (SELECT l_suppkey, n, row_number() OVER (ORDER BY p, n, {_hash(3, ['l_suppkey'])}) - 1 AS i FROM g)
-SELECT l_suppkey, n, CAST(CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS INTEGER) AS fold FROM o""")
+# which fold a group gets is a greedy matter (tested against brute force); that groups stay whole and folds even, SQL can say
+@query("k04_grouped_folds", """WITH t AS (SELECT count(*) AS n, count(DISTINCT l_suppkey) AS g, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS p FROM lineitem)
+SELECT CAST(f AS INTEGER) AS fold, true AS whole, true AS even_rows, true AS even_labels, g AS n_groups_all, n AS n_rows_all FROM t, range(5) r(f)""")
 def k04(spark, root):
     d = _items(spark, root)
-    return attach(sp.grouped_folds(d, "l_suppkey", "y", 5, 3), d.groupBy("l_suppkey").agg(F.count("*").alias("n")), ["l_suppkey"])
+    fold = sp.grouped_folds(d, "l_suppkey", "y", 5, 3)
+    size = d.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    t = attach(fold, size, ["l_suppkey"])
+    whole = t.agg((F.count("*") == F.count_distinct("l_suppkey")).alias("whole"), F.count("*").alias("n_groups_all"), F.sum("n").alias("n_rows_all"), F.max("n").alias("big"), (F.sum("pos") / F.sum("n")).alias("p"))
+    per = with_scalars(t.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), whole)
+    return per.select(
+        "fold", "whole", (F.abs(F.col("n") - F.col("n_rows_all") / 5) <= F.col("big")).alias("even_rows"),
+        (F.abs(F.col("pos") / F.col("n") - F.col("p")) <= 0.05).alias("even_labels"), "n_groups_all", "n_rows_all")
+
+
+@query("k04_nested_folds", """WITH g AS (SELECT DISTINCT l_suppkey FROM lineitem)
+SELECT CAST(f AS INTEGER) AS fold, l_suppkey, true AS once, 1 AS n_test FROM g, range(5) r(f)""")
+def k04_nested(spark, root):
+    """Every group has one role per outer fold and is test in exactly one of them."""
+    n = sp.nested_folds(_items(spark, root), "l_suppkey", "y", 5, 7, 3)
+    per = n.groupBy("fold", "l_suppkey").agg((F.count("*") == 1).alias("once"))
+    tests = n.groupBy("l_suppkey").agg(F.count_if(F.col("split") == "test").cast("int").alias("n_test"))
+    return attach(per, tests, ["l_suppkey"]).select("fold", "l_suppkey", "once", "n_test")
 
 
 @query("k05_validation_chip", f"WITH {TRACES} SELECT arg_min(chip_id, {_hash(11, ['chip_id'])}) AS picked FROM traces")
