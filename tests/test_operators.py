@@ -371,17 +371,6 @@ def test_series_blocks_match_whole_series(spark):
                 assert np.allclose(small[c].astype(float), whole[c].astype(float), equal_nan=True), c
 
 
-def test_classifier_is_scored_on_held_out_rows(spark):
-    from wellspring.operators import learning as ml
-    from wellspring.plans import learning as pl
-    from wellspring.plans.bindings import traces
-
-    root = "/root/testdata/sf0.001"
-    (m,) = pl.m03(spark, root).collect()
-    held_out = ml.vectors(traces(spark, root)).filter("is_val AND y IS NOT NULL").count()
-    assert m["n_pos"] + m["n_neg"] == held_out
-
-
 def test_raw_features_agree_with_the_fitted_curve(spark):
     """On clean, finely sampled curves the sampled features come close to those of the curve itself."""
     step, n = 0.05, 800

@@ -8,12 +8,14 @@ from wellspring.operators import metrics as mt
 from wellspring.operators import onset as on
 from wellspring.operators import rules as rl
 from wellspring.operators import series as sr
+from wellspring.operators.ranking import quantiles, with_scalars
 from wellspring.operators.spatial import WELL, fold_traces, mean_trace
 from wellspring.operators.splits import capped_sample
 from wellspring.plans import query
 from wellspring.plans.bindings import TRACES_LONG, curves, long, r6, traces
 from wellspring.plans.windows import zscore
 from wellspring.session import durable
+from wellspring.sources.tables import scratch
 
 SAMPLED = 120  # pixels shown per cluster at most
 
@@ -64,24 +66,31 @@ def _metrics(scored):
     return m.select("n_pos", "n_neg", *[r6(c, 3).alias(c) for c in ("accuracy", "recall", "auroc")])
 
 
+def _fit_and_test(df, fit):
+    """Rows of ``is_test``, scored by a model that ``fit`` made from the others."""
+    return ml.score(fit(df.filter("NOT is_test")), df.filter("is_test"))
+
+
 @query("m03_boosted_curve_classifier")
 def m03(spark, root):
     d = ml.balanced(ml.vectors(traces(spark, root)), "y")
-    return _metrics(ml.score(ml.boosted_classifier(d, "y"), d.filter("is_val")))
+    return _metrics(_fit_and_test(d, lambda t: ml.boosted_classifier(t, "y")))
 
 
 @query("m03_gain_table")
 def m03_gain(spark, root):
-    d = ml.balanced(ml.vectors(traces(spark, root)), "y")
+    d = ml.balanced(ml.vectors(traces(spark, root)), "y").filter("NOT is_test")
     return ml.importance(ml.boosted_classifier(d, "y"), spark).withColumn("gain", r6("gain"))
 
 
 @query("m04_boosted_curve_regressor")
 def m04(spark, root):
+    """Squared, absolute and pseudo-Huber loss on times of which every 17th is spoilt in training."""
     d = ml.vectors(traces(spark, root)).withColumn("ttp_true", F.col("well_id") * 0.4)
+    spoilt = d.withColumn("ttp_true", F.when(F.col("pixel_id") % 17 == 0, 60.0).otherwise(F.col("ttp_true"))).filter("NOT is_test")
     out = None
     for loss in ("squared", "absolute", "huber"):
-        s = ml.score(ml.boosted_regressor(d.filter("NOT is_val") if loss == "huber" else d, "ttp_true", loss), d.filter("is_val")).select(F.lit(loss).alias("loss"), "ttp_pred", "ttp_true")
+        s = ml.score(ml.boosted_regressor(spoilt, "ttp_true", loss), d.filter("is_test")).select(F.lit(loss).alias("loss"), "ttp_pred", "ttp_true")
         out = s if out is None else out.unionByName(s)
     m = mt.regression_metrics(out, ["loss"])
     return m.select("loss", "n", r6("mae", 3).alias("mae"), r6("rmse", 3).alias("rmse"), r6("mae_mean", 3).alias("mae_mean"))
@@ -89,13 +98,13 @@ def m04(spark, root):
 
 @query("m05_timepoint_classifier")
 def m05(spark, root):
-    """Per-sample features and labels -> boosted trees -> first crossing -> time metrics."""
+    """Per-sample features and labels -> boosted trees -> first crossing -> time metrics, split by pixel."""
     t = curves(spark, root).withColumn("ttp_true", 1.0 + F.col("well_id") * 0.2)
     rows = long(t, "pixel_id", "ttp_true")
     f = sr.feature_table(rows, ["pixel_id"], 10, 10).withColumn("label", (F.col("t") >= F.col("ttp_true") * 15.0).cast("int"))
     cols = ["v", "d1", "d2", "roll_mean", "roll_std", "elapsed", "rise", "z", "slope"]
-    d = ml.assembled(f, cols).withColumn("is_val", F.col("pixel_id") % 7 == 0).withColumn("weight", F.lit(1.0))
-    s = ml.score(ml.boosted_classifier(d, "label"), d.filter("is_val"))
+    d = ml.three_way(ml.assembled(f, cols), "pixel_id").withColumn("weight", F.lit(1.0))
+    s = _fit_and_test(d, lambda q: ml.boosted_classifier(q, "label"))
     p = fold_traces(s.select("pixel_id", "ttp_true", "t", "y_score"), ["pixel_id", "ttp_true"], "y_score", "p")
     m = mt.regression_metrics(p.withColumn("ttp_pred", rl.first_crossing_or_null("p", 0.5)).withColumn("method_id", F.lit("timepoint")), ["method_id"])
     return m.select("n_total", "n", "n_nan", r6("mae", 3).alias("mae"), r6("rmse", 3).alias("rmse"))
@@ -103,22 +112,35 @@ def m05(spark, root):
 
 @query("m06_dense_classifier")
 def m06(spark, root):
+    """Weighted and unweighted dense network and weighted logistic regression, on rows that no fit has seen."""
     d = ml.balanced(ml.vectors(traces(spark, root)), "y")
+    fits = {
+        "dense": lambda t: ml.dense_classifier(t, "y"), "dense_unweighted": lambda t: ml.dense_classifier(t, "y", weight=None),
+        "logistic": lambda t: ml.logistic_classifier(t, "y"),
+    }
     out = None
-    for kind in ("mlp", "logistic"):
-        m = _metrics(ml.score(ml.dense_classifier(d, "y", 64, kind=kind), d)).withColumn("kind", F.lit(kind))
+    for kind, fit in fits.items():
+        m = _metrics(_fit_and_test(d, fit)).withColumn("kind", F.lit(kind))
         out = m if out is None else out.unionByName(m)
     return out
 
 
-@query("m07_batch_scoring")
+@query("m07_batch_scoring", f"WITH {TRACES_LONG} SELECT chip_id, well_id, count(*) AS n, true AS scored, true AS in_range FROM traces GROUP BY 1, 2")
 def m07(spark, root):
-    """Fit on some chips, store the model, load it and score every trace."""
-    from pyspark.ml import PipelineModel
-
-    from wellspring.sources.tables import scratch
-
+    """Fit on some chips, store the network, load it and score every trace in batches."""
     d = ml.balanced(ml.vectors(traces(spark, root)), "y")
     path = scratch(spark, "model")
-    ml.dense_classifier(d.filter("chip_id <> 'chip4'"), "y", 64, kind="logistic").write().overwrite().save(path)
-    return ml.score(PipelineModel.load(path), d).select("pixel_id", r6("y_score", 4).alias("y_score"))
+    ml.store_net(ml.dense_classifier(d.filter("chip_id <> 'chip4'"), "y", rounds=15), spark, path)
+    s = d.select(*WELL, "pixel_id", ml.batch_score(spark, path, F.col("x")).alias("y_score"))
+    return s.groupBy(*WELL).agg(F.count("*").alias("n"), (F.count("y_score") == F.count("*")).alias("scored"), (F.count_if(F.col("y_score").between(0.0, 1.0)) == F.count("*")).alias("in_range"))
+
+
+@query("p18_pca_reconstruction")
+def p18_pca(spark, root):
+    """Residual against components of the positives' training rows -> threshold at p95 of their validation rows -> score."""
+    t = ml.three_way(traces(spark, root), "pixel_id")
+    c = ml.components(t.filter("y = 1 AND NOT is_val"), "x", 8)
+    e = durable(t.select("pixel_id", "y", "is_val", c.error()("x").alias("err")))
+    thr = quantiles(e.filter("y = 1 AND is_val"), [], "err", {"thr": 0.95}).select("thr")
+    e = with_scalars(with_scalars(e, thr), e.filter("is_val").agg(F.stddev_pop("err").alias("sd")))
+    return e.select("pixel_id", r6("err", 5).alias("err"), r6(1 / (1 + F.exp(-(F.col("thr") - F.col("err")) / F.col("sd"))), 5).alias("score"))
