@@ -276,41 +276,49 @@ def across(matched: DataFrame, least: int, seed: int) -> DataFrame:
     return pairs.mapInPandas(run, "id long, at int, left int, right int, seed long, ord int")
 
 
+TEXTS = 50  # texts whose matches a task holds as Python objects at once
+
+
 def settle(per_text: DataFrame, least: int, seed: int) -> DataFrame:
     """Per text: the byte ranges that matches cover, and what stays open: (seed, anchor, fewest, most bytes before it)."""
     side = least - seed
 
     def run(batches):
         for batch in batches:
-            out = []
-            for ident, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans, anchors = set(), defaultdict(list)
-                for m in found:
-                    anchors[m["seed"], m["at"]].append((m["ord"], m["left"], m["right"]))
-                    if m["left"] + m["right"] >= least:
-                        spans.add((m["at"] - m["left"], m["at"] + m["right"]))
-                whole = []  # the union, to tell which windows are covered anyway
-                for a, b in sorted(spans):
-                    if whole and a <= whole[-1][1]:
-                        whole[-1][1] = max(b, whole[-1][1])
-                    else:
-                        whole.append([a, b])
-                rest = []
-                for (s, p), ms in anchors.items():
-                    far = max(m[2] for m in ms if m[0] == RIGHT) if any(m[0] == RIGHT for m in ms) else 0
-                    back = max(m[1] for m in ms if m[0] == LEFT) if any(m[0] == LEFT for m in ms) else 0
-                    o, last = max(0, least - far), min(back, side)
-                    for lo, hi in sorted((least - m[2], m[1]) for m in ms if m[1] + m[2] >= least):
-                        if lo > o and o <= last:
-                            rest.append((s, p, o, min(last, lo - 1)))
-                        o = max(o, hi + 1)
-                    if o <= last:
-                        rest.append((s, p, o, last))
-                rest = [r for r in rest if not any(a <= r[1] - r[3] and r[1] - r[2] + least <= b for a, b in whole)]
-                out.append((ident, [a for a, _ in whole], [b for _, b in whole], [dict(zip(("seed", "at", "fewest", "most"), r)) for r in rest]))
-            open_kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32()), ("fewest", pa.int32()), ("most", pa.int32())]))
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), open_kind)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["id", "froms", "tos", "open"])
+            for k in range(0, batch.num_rows, TEXTS):
+                yield settled(batch.slice(k, TEXTS))
+
+    def settled(batch):
+        out = []
+        for ident, found in zip(batch.column(0), batch.column(1)):
+            ident, found = ident.as_py(), found.as_py()
+            spans, anchors = set(), defaultdict(list)
+            for m in found:
+                anchors[m["seed"], m["at"]].append((m["ord"], m["left"], m["right"]))
+                if m["left"] + m["right"] >= least:
+                    spans.add((m["at"] - m["left"], m["at"] + m["right"]))
+            whole = []  # the union, to tell which windows are covered anyway
+            for a, b in sorted(spans):
+                if whole and a <= whole[-1][1]:
+                    whole[-1][1] = max(b, whole[-1][1])
+                else:
+                    whole.append([a, b])
+            rest = []
+            for (s, p), ms in anchors.items():
+                far = max(m[2] for m in ms if m[0] == RIGHT) if any(m[0] == RIGHT for m in ms) else 0
+                back = max(m[1] for m in ms if m[0] == LEFT) if any(m[0] == LEFT for m in ms) else 0
+                o, last = max(0, least - far), min(back, side)
+                for lo, hi in sorted((least - m[2], m[1]) for m in ms if m[1] + m[2] >= least):
+                    if lo > o and o <= last:
+                        rest.append((s, p, o, min(last, lo - 1)))
+                    o = max(o, hi + 1)
+                if o <= last:
+                    rest.append((s, p, o, last))
+            rest = [r for r in rest if not any(a <= r[1] - r[3] and r[1] - r[2] + least <= b for a, b in whole)]
+            out.append((ident, [a for a, _ in whole], [b for _, b in whole], [dict(zip(("seed", "at", "fewest", "most"), r)) for r in rest]))
+        open_kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32()), ("fewest", pa.int32()), ("most", pa.int32())]))
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), open_kind)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["id", "froms", "tos", "open"])
 
     return per_text.mapInArrow(run, "id long, froms array<int>, tos array<int>, open array<struct<seed:bigint,at:int,fewest:int,most:int>>")
 
