@@ -38,6 +38,8 @@ CHUNK = 1024  # fingerprints of one key that are compared at a time
 WORDS = 5  # words of a shingle where the similarity decides
 SIMILARITY = 0.8  # least Jaccard similarity of near-duplicates
 BANDS, ROWS = 18, 4  # of smallest hashes: two texts of that similarity share no band once in 13,000 times
+DENSE = 4  # pairs per text from which a group is compared whole
+BLOCK_BITS = 1 << 25  # cells of the bit sets that a task unpacks at once
 REACH = 20  # bits; two texts of that similarity differ in 9.7 of 64, with a standard deviation of 2.9
 _ORDERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -152,11 +154,12 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = stars(f.view(np.uint64), radius)
         return a.view(np.int64), b.view(np.int64)
 
-    return compared(unique.select("fp", keys.alias("key")), ["fp"], compare)
+    return compared(unique.select("fp", keys.alias("key")), ["fp"], compare).select("a", "b")
 
 
 def compared(keyed: DataFrame, columns: list[str], compare: Callable) -> DataFrame:
-    """(a, b): what ``compare`` finds in the rows of each key; it takes arrays of the long ``columns``, the first of which tells rows apart."""
+    """(a, b, g): what ``compare`` finds in the rows of each key, or chunk pair of a large key, with a hash ``g`` of it;
+    ``compare`` takes arrays of the long ``columns``, the first of which tells rows apart."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("of"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     parted = keyed.join(sizes, F.col("key") == F.col("of")).withColumn("chunk", F.pmod(F.xxhash64(columns[0], F.lit(3)), F.col("chunks")).cast("int"))
     # a key with more than a chunk of fingerprints: chunk by chunk, each pair of chunks in a group of its own
@@ -168,10 +171,11 @@ def compared(keyed: DataFrame, columns: list[str], compare: Callable) -> DataFra
 
         def found(g, *values):
             at = np.flatnonzero(np.diff(g)) + 1
-            parts = zip(*(np.split(v, at) for v in values))
-            pairs = [compare(*part) for part in parts if len(part[0]) > 1]
+            parts = zip(np.split(g, at), *(np.split(v, at) for v in values))
+            pairs = [(*compare(*part), name) for name, *part in parts if len(name) > 1]
             a, b = (np.concatenate([x[k] for x in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            of = np.concatenate([np.full(len(x[0]), x[2][0]) for x in pairs]) if pairs else np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(of)], names=["a", "b", "g"])
 
         for batch in batches:
             rows = [np.concatenate([h, np.asarray(batch.column(k))]) for k, h in enumerate(held)]
@@ -180,7 +184,7 @@ def compared(keyed: DataFrame, columns: list[str], compare: Callable) -> DataFra
             yield found(*(r[:last] for r in rows))
         yield found(*held)
 
-    return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, g long")
 
 
 def grouped(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -244,19 +248,30 @@ def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, what long, n long, fp long, bands array<long>")
 
 
+def _close(what, fp, n, root, similarity):
+    """Positions of pairs of different roots within ``REACH`` bits whose sizes allow the similarity, both ways round."""
+    if not (root != root[0]).any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    i, j = near(fp.view(np.uint64), REACH)
+    fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= similarity)
+    return i[fits], j[fits]
+
+
 def candidates(rows: DataFrame, step: str, similarity: float) -> DataFrame:
-    """(a, b): pairs of ``rows`` (what, fp, n, root, bands) of different roots that share a band and lie within ``REACH`` bits.
+    """(a, b, g): pairs of ``rows`` (what, fp, n, root, bands) of different roots that share a band and lie within ``REACH`` bits.
 
-    Step ``hub`` takes each text's smallest partner in a band, ``nearest`` its nearest one, ``all`` every one.
+    Step ``hub`` takes each text's smallest partner in a band, ``nearest`` its nearest one, ``all`` every one. Where
+    step ``all`` would give more than DENSE pairs per text of a group, the group's texts come instead, as (text, text, g): such a
+    group is compared whole by ``within``, and no pair of it is written.
     """
 
     def compare(what, fp, n, root):
-        i = j = np.empty(0, np.int64)
-        if (root != root[0]).any():
-            i, j = near(fp.view(np.uint64), REACH)
-            fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= similarity)
-            i, j = i[fits], j[fits]
-        if step != "all" and len(i):
+        i, j = _close(what, fp, n, root, similarity)
+        if step == "all":
+            members = np.unique(i)
+            if len(i) > 2 * DENSE * len(members):
+                return what[members], what[members]
+        elif len(i):
             far = np.bitwise_count(fp[i] ^ fp[j]) if step == "nearest" else np.zeros(len(i), np.uint8)
             order = np.lexsort((what[j], far, i))
             i, j = i[order], j[order]
@@ -265,7 +280,52 @@ def candidates(rows: DataFrame, step: str, similarity: float) -> DataFrame:
         return np.minimum(what[i], what[j]), np.maximum(what[i], what[j])
 
     keyed = rows.select("what", "fp", "n", "root", F.explode("bands").alias("key"))
-    return compared(keyed, ["what", "fp", "n", "root"], compare).distinct()
+    return compared(keyed, ["what", "fp", "n", "root"], compare)
+
+
+def common_counts(owner: np.ndarray, value: np.ndarray, i: np.ndarray, j: np.ndarray, rows: int) -> np.ndarray:
+    """Number of values that rows i and j share, for each pair; row ``owner[k]`` holds ``value[k]``, each once. Bit sets, BLOCK_BITS values at a time."""
+    _, code = np.unique(value, return_inverse=True)
+    out = np.zeros(len(i), np.int64)
+    step = max(64, BLOCK_BITS // max(rows, 1) // 64 * 64)
+    for lo in range(0, int(code.max(initial=-1)) + 1, step):
+        at = (code >= lo) & (code < lo + step)
+        flags = np.zeros((rows, min(step, int(code.max()) + 1 - lo)), bool)
+        flags[owner[at], code[at] - lo] = True
+        bits = np.packbits(np.pad(flags, ((0, 0), (0, -flags.shape[1] % 64))), axis=1).view(np.uint64)
+        for k in range(0, len(i), 4096):
+            out[k : k + 4096] += np.bitwise_count(bits[i[k : k + 4096]] & bits[j[k : k + 4096]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def within(dense: DataFrame, rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect the similar texts of every group of ``dense`` (what, g), one per text at most.
+
+    A group is a band's texts, or two chunks of them; all its close pairs are checked on the exact shingle sets, inside its task.
+    """
+    held = rows.select("what", "fp", "n", "root").join(sets, "what")
+
+    def check(table: pa.Table) -> pa.Table:
+        what, fp, n, root = (table.column(c).to_numpy() for c in ("what", "fp", "n", "root"))
+        i, j = _close(what, fp, n, root, similarity)
+        i, j = i[i < j], j[i < j]
+        hs = table.column("hs").combine_chunks()
+        size = hs.value_lengths().to_numpy()
+        common = common_counts(np.repeat(np.arange(len(what)), size), hs.flatten().to_numpy(), i, j, len(what))
+        same = common / (size[i] + size[j] - common) >= similarity
+        i, j = np.concatenate([i[same], j[same]]), np.concatenate([j[same], i[same]])
+        label = np.argsort(np.argsort(what))  # each text starts as its own group; a group's name is its smallest text
+        names = np.sort(what)
+        while len(i):
+            new = label.copy()
+            np.minimum.at(new, i, label[j])
+            if (new == label).all():
+                break
+            label = new
+        moved = names[label] != what
+        return pa.table({"a": pa.array(names[label][moved], pa.int64()), "b": pa.array(what[moved], pa.int64())})
+
+    return dense.join(held, "what").groupBy("g").applyInArrow(check, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -300,15 +360,17 @@ def joined(docs: DataFrame, classes: DataFrame, width: int = WORDS, similarity:
     every pair whose texts are not yet in one group, so no link between groups is lost.
     """
     rows = classes.withColumn("root", F.col("what"))
-    pairs = keep(candidates(rows, "hub", similarity), "candidates")
+    pairs = keep(candidates(rows, "hub", similarity).select("a", "b").distinct(), "candidates")
     sets = keep(shingle_sets(docs, classes, pairs, width), "sets")  # a text without a pair here has none later
     links = keep(similar(pairs, sets, similarity), "similar")
     some = keep(classes.join(sets.select(F.col("what").alias("some")), F.col("what") == F.col("some"), "left_semi"), "some")
     for step in ("nearest", "all"):
         roots = keep(components(links), "roots")
         rows = some.join(roots, F.col("what") == F.col("node"), "left").withColumn("root", F.coalesce("root", "what"))
-        pairs = keep(candidates(rows, step, similarity), "candidates")
-        links = keep(links.union(similar(pairs, sets, similarity)), "similar")
+        found = keep(candidates(rows, step, similarity).distinct(), "candidates")
+        pairs, dense = found.filter("a <> b").select("a", "b").distinct(), found.filter("a = b").select(F.col("a").alias("what"), "g")
+        links = links.union(similar(pairs, sets, similarity))
+        links = keep(links.union(within(dense, rows, sets, similarity)) if step == "all" else links, "similar")
     return components(links)
 
 
