@@ -7,7 +7,7 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -24,36 +24,39 @@ def duck(root: str):
 
 
 def cell(v):
-    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
+    if v is None or (isinstance(v, float) and math.isnan(v)):
         return "∅"
-    if hasattr(v, "item"):
-        v = v.item()
     if isinstance(v, bool):
         return f"b{v}"
-    if isinstance(v, float):
-        return repr(v)
-    return str(v)
-
-
-def rows(frame: pd.DataFrame) -> list[tuple]:
-    cols = sorted(frame.columns)
-    return sorted(tuple(cell(v) for v in rec) for rec in frame[cols].itertuples(index=False))
-
-
-def compare(spark, con, name, fn, sql, root) -> str | None:
-    """None when equal, else a short description."""
-    got_df = fn(spark, root)
-    got = got_df.toPandas()
-    if sql is None:
-        return None if len(got) else "no rows"
-    want = con.execute(sql).df()
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
-    if len(got) != len(want):
-        return f"rows {len(got)} vs {len(want)}"
-    if not len(got):
-        return "no rows on either side"
-    types = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got.columns if str(got[c].dtype) != str(want[c].dtype)}
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(map(cell, v)) + "]"
+    if isinstance(v, dict):
+        return "{" + ", ".join(f"{k}: {cell(x)}" for k, x in v.items()) + "}"
+    return repr(v) if isinstance(v, float) else str(v)
+
+
+def kind(t: pa.DataType) -> str:
+    """Name of a type; the two engines' spellings of text, and of time zones and units, are one."""
+    if pa.types.is_timestamp(t):
+        return "timestamp"
+    if pa.types.is_list(t) or pa.types.is_large_list(t):
+        return f"list<{kind(t.value_type)}>"
+    return str(t).removeprefix("large_")
+
+
+def rows(table: pa.Table) -> list[tuple]:
+    cols = sorted(table.column_names)
+    return sorted(tuple(map(cell, rec)) for rec in zip(*(table.column(c).to_pylist() for c in cols)))
+
+
+def differences(got: pa.Table, want: pa.Table) -> str | None:
+    """None when columns, their types and all rows agree, else a short description."""
+    if sorted(got.column_names) != sorted(want.column_names):
+        return f"columns {sorted(got.column_names)} vs {sorted(want.column_names)}"
+    types = {c: (kind(got.schema.field(c).type), kind(want.schema.field(c).type)) for c in got.column_names}
+    types = {c: t for c, t in types.items() if t[0] != t[1]}
+    if got.num_rows != want.num_rows:
+        return f"rows {got.num_rows} vs {want.num_rows}"
     a, b = rows(got), rows(want)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y]
@@ -61,6 +64,14 @@ def compare(spark, con, name, fn, sql, root) -> str | None:
     return f"types {types}" if types else None
 
 
+def compare(spark, con, name, fn, sql, root) -> str | None:
+    """None when equal, else a short description."""
+    got = fn(spark, root).toArrow()
+    if not got.num_rows:
+        return "no rows"
+    return None if sql is None else differences(got, con.sql(sql).to_arrow_table())
+
+
 def main(argv):
     sys.path.insert(0, ".")
     import __spark_entry__ as e

@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests import parity
+from wellspring import plans
 
 ROOT = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
-FAST = [n for n in entry.queries() if n in entry.oracle_sql()]
+FAST = [n for n in plans.QUERIES if n in plans.ORACLE]
 # one representative of each family that has no SQL form; the rest run in tests/parity.py
 ROWS = ["e12_sigmoid_fit", "r05_logistic_fit", "r17_full_rule_sweep", "m01_position_clusters"]
 
