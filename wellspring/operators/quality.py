@@ -13,6 +13,7 @@ from wellspring.functions import arrays as ar
 from wellspring.operators.ranking import attach, largest_group, median_mad, quantiles
 from wellspring.operators.spatial import WELL, WELL_ROWS, nearest, nearest_rows, neighbourhoods, stacked
 from wellspring.session import durable, spread
+from wellspring.sources.tables import write_traces
 
 STATS = ("dyn_range", "net_slope", "trace_min")
 
@@ -252,6 +253,22 @@ def kept_traces(df: DataFrame, flags: DataFrame) -> DataFrame:
     return df.join(flags.filter("keep").select(*id3), id3, "left_semi")
 
 
+def cache_id(layers: str, rule: str, k: float = 1.5, clean_controls_first: bool = False) -> str:
+    """Name of a filtered table, from the parameters that made it."""
+    strict = f"_k{k:g}".replace(".", "p") if rule == "mad" else ""
+    return f"{layers}_{rule}{strict}" + ("_ntcclean" if clean_controls_first else "")
+
+
+def write_filtered(df: DataFrame, folder: str, layers: str = "ABCD", rule: str = "mad", k: float = 1.5, clean_controls_first: bool = False, **options) -> tuple[str, DataFrame]:
+    """Filter, write the traces that stay under ``folder`` in a place named by ``cache_id``, and return that place and the rows written per chip.
+
+    Chips without control pixels are skipped.
+    """
+    flags = chip_filter(df, layers, rule, k, clean_controls_first, **options)
+    path = f"{folder}/{cache_id(layers, rule, k, clean_controls_first)}"
+    return path, write_traces(kept_traces(df, flags), path)
+
+
 def settle_time(df: DataFrame, keys, t: str, temp: str, frac: float = 0.995, fallback: str = "zero") -> DataFrame:
     """First t whose temperature reaches ``frac`` of the second half's mean; 0 or the first t if none."""
     keys = list(keys)

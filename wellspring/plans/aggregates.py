@@ -89,23 +89,33 @@ def a24(spark, root):
     return attach(a, m, k).select(*k, r6("mc").alias("median_correct"), r6("mw").alias("median_wrong"), "n_correct", "n_wrong", r6(d).alias("cohens_d"))
 
 
-@query("a25_recall_collateral", f"""WITH {_filter_sql('pct')}, {MIS}{_score_sql('sv', 'msc', 'mean')}{_cut_sql('msc', 'mcut', 'pct')},
-md AS (SELECT pixel_id, score > cut AS dm FROM msc JOIN mcut USING (chip_id, well_id))
+D_METRICS = ("mean", "kth")  # beside the median, which the filter itself uses
+
+
+def _collateral_sql() -> str:
+    extra = "".join(f"""{_score_sql('sv', f'{m}sc', m)}{_cut_sql(f'{m}sc', f'{m}cut', 'pct')},
+{m}d AS (SELECT pixel_id, score > cut AS d_{m} FROM {m}sc JOIN {m}cut USING (chip_id, well_id))""" for m in D_METRICS)
+    counts = "".join(f""",
+count(*) FILTER (coalesce(d_{m}, false)) AS dropped_d_{m}, count(*) FILTER (a OR b OR c OR coalesce(d_{m}, false)) AS dropped_total_{m}""" for m in D_METRICS)
+    joins = "".join(f" LEFT JOIN {m}d ON {m}d.pixel_id = fin.pixel_id" for m in D_METRICS)
+    return f"""WITH {_filter_sql('pct')}, {MIS}{extra}
 SELECT coalesce(bk.bucket, 'no_runs') AS bucket, fin.y, count(*) AS total, count(*) FILTER (a) AS dropped_a, count(*) FILTER (b) AS dropped_b, count(*) FILTER (c) AS dropped_c,
-count(*) FILTER (d) AS dropped_d_median, count(*) FILTER (a OR b OR c OR d) AS dropped_total_median,
-count(*) FILTER (coalesce(dm, false)) AS dropped_d_mean, count(*) FILTER (a OR b OR c OR coalesce(dm, false)) AS dropped_total_mean
-FROM fin LEFT JOIN bk ON bk.pixel_id = fin.pixel_id LEFT JOIN md ON md.pixel_id = fin.pixel_id GROUP BY 1, 2""")
+count(*) FILTER (d) AS dropped_d_median, count(*) FILTER (a OR b OR c OR d) AS dropped_total_median{counts}
+FROM fin LEFT JOIN bk ON bk.pixel_id = fin.pixel_id{joins} GROUP BY 1, 2"""
+
+
+@query("a25_recall_collateral", _collateral_sql())
 def a25(spark, root):
     f = ql.chip_filter(traces(spark, root), "ABCD", "pct")
     alive = traces(spark, root).join(f.filter("NOT (a OR b OR c)").select("pixel_id"), "pixel_id", "left_semi")
-    dm = ql.layer_d(alive, "pct", metric="mean").select("pixel_id", F.col("d").alias("dm"))
-    j = f.join(buckets(spark, root).select("pixel_id", "bucket"), "pixel_id", "left").join(dm, "pixel_id", "left")
-    j = j.withColumns({"dm": F.coalesce("dm", F.lit(False)), "bucket": F.coalesce("bucket", F.lit("no_runs"))})
+    j = f.join(buckets(spark, root).select("pixel_id", "bucket"), "pixel_id", "left").withColumn("bucket", F.coalesce("bucket", F.lit("no_runs")))
+    for m in D_METRICS:
+        j = j.join(ql.layer_d(alive, "pct", metric=m).select("pixel_id", F.col("d").alias(f"d_{m}")), "pixel_id", "left").withColumn(f"d_{m}", F.coalesce(f"d_{m}", F.lit(False)))
     abc = F.col("a") | F.col("b") | F.col("c")
+    each = [("median", F.col("d")), *[(m, F.col(f"d_{m}")) for m in D_METRICS]]
     return j.groupBy("bucket", "y").agg(
         F.count("*").alias("total"), *[F.count_if(c).alias(f"dropped_{c}") for c in "abc"],
-        F.count_if("d").alias("dropped_d_median"), F.count_if(abc | F.col("d")).alias("dropped_total_median"),
-        F.count_if("dm").alias("dropped_d_mean"), F.count_if(abc | F.col("dm")).alias("dropped_total_mean"))
+        *[e for m, d in each for e in (F.count_if(d).alias(f"dropped_d_{m}"), F.count_if(abc | d).alias(f"dropped_total_{m}"))])
 
 
 @query("p12_outcome_category", f"""WITH {_filter_sql('pct')}, {MIS} SELECT fin.pixel_id, CASE WHEN bucket = 'always_wrong' AND c THEN 'wrong_dropped_c' WHEN bucket = 'always_wrong' AND (a OR b) THEN 'wrong_dropped_ab'

@@ -277,18 +277,34 @@ def a28(spark, root):
         F.array_join(F.transform(picked, lambda s: s["seed"].cast("string")), ",").alias("picked"))
 
 
-@query("a47_best_cell_summary", f"""WITH {RUNS}, fin AS (SELECT experiment, model, seed, arg_max(loss, epoch) AS final_loss, avg(loss) AS m1, median(loss) AS m2, max(loss) AS m3,
- corr(epoch, loss) AS pr FROM runs GROUP BY 1, 2, 3),
-b3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experiment, model ORDER BY final_loss, seed) AS rn FROM fin) z WHERE rn <= 3)
-SELECT experiment, model, {q6('avg(m1)')} AS mean_avg, {q6('avg(m2)')} AS mean_median, {q6('avg(m3)')} AS mean_max, {q6('max(pr * pr) FILTER (rn = 1)')} AS best_pearson2 FROM b3 GROUP BY 1, 2""")
+CELL = ("pixel_mae", "pixel_rmse", "pixel_r2", "well_mae", "well_r2", "well_pearson2", "baseline_mae")
+
+
+@query("a47_best_cell_summary", f"""WITH {PREDICTIONS}, run AS (SELECT *, regexp_extract(method_id, '^(fam[0-9]+)', 1) AS model, CAST(regexp_extract(method_id, 'seed([0-9]+)', 1) AS INTEGER) AS seed FROM pred),
+val AS (SELECT model, seed, avg(abs(ttp_pred - ttp_true)) AS val_error FROM run WHERE split = 'train' GROUP BY 1, 2),
+px AS (SELECT *, avg(ttp_true) OVER (PARTITION BY model, seed) AS m FROM run WHERE split = 'test'),
+pm AS (SELECT model, seed, avg(abs(ttp_pred - ttp_true)) AS pixel_mae, sqrt(avg((ttp_pred - ttp_true) ** 2)) AS pixel_rmse, 1 - sum((ttp_pred - ttp_true) ** 2) / nullif(sum((ttp_true - m) ** 2), 0) AS pixel_r2, avg(abs(ttp_true - m)) AS baseline_mae FROM px GROUP BY 1, 2),
+w0 AS (SELECT model, seed, chip_id, well_id, avg(ttp_pred) AS p, avg(ttp_true) AS t FROM px GROUP BY ALL), w1 AS (SELECT *, avg(t) OVER (PARTITION BY model, seed) AS m FROM w0),
+wm AS (SELECT model, seed, avg(abs(p - t)) AS well_mae, 1 - sum((p - t) ** 2) / nullif(sum((t - m) ** 2), 0) AS well_r2, corr(p, t) ** 2 AS well_pearson2 FROM w1 GROUP BY 1, 2),
+b3 AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY val_error, seed) AS rn FROM val JOIN pm USING (model, seed) JOIN wm USING (model, seed))
+SELECT model, {', '.join(f'{q6(f"avg({c})")} AS {c}' for c in CELL)}, count(*) AS n_picked, string_agg(CAST(seed AS VARCHAR), ',' ORDER BY rn) AS picked,
+  arg_min(seed, rn) AS best_seed, {q6('max(well_pearson2) FILTER (rn = 1)')} AS best_pearson2 FROM b3 WHERE rn <= 3 GROUP BY 1""")
 def a47(spark, root):
-    k = ["experiment", "model", "seed"]
-    rs = runs(spark, root)
-    agg = rs.groupBy(*k).agg(F.max_by("loss", "epoch").alias("final_loss"), F.avg("loss").alias("m1"), F.max("loss").alias("m3"), mt.correlation("epoch", "loss").alias("pr"))
-    fin = attach(agg, quantiles(rs, k, "loss", {"m2": 0.5}).drop("n"), k)
-    return best_seeds(fin).groupBy("experiment", "model").agg(
-        r6(F.avg("m1")).alias("mean_avg"), r6(F.avg("m2")).alias("mean_median"), r6(F.avg("m3")).alias("mean_max"),
-        r6(F.max(F.when(F.col("rn") == 1, F.col("pr") * F.col("pr")))).alias("best_pearson2"))
+    """Seven test metrics per model, averaged over its three runs of least validation error, and the best run's per-well Pearson squared."""
+    k = ["model", "seed"]
+    rs = predictions(spark, root).withColumns({"model": F.regexp_extract("method_id", "^(fam[0-9]+)", 1), "seed": F.regexp_extract("method_id", "seed([0-9]+)", 1).cast("int")})
+    val = rs.filter("split = 'train'").groupBy(*k).agg(F.avg(F.abs(F.col("ttp_pred") - F.col("ttp_true"))).alias("final_loss"))
+    test = rs.filter("split = 'test'")
+    pixel = mt.regression_metrics(test, k).select(*k, F.col("mae").alias("pixel_mae"), F.col("rmse").alias("pixel_rmse"), F.col("r2").alias("pixel_r2"), F.col("mae_mean").alias("baseline_mae"))
+    wells = test.groupBy(*k, "chip_id", "well_id").agg(F.avg("ttp_pred").alias("ttp_pred"), F.avg("ttp_true").alias("ttp_true"))
+    well = mt.regression_metrics(wells, k).select(*k, F.col("mae").alias("well_mae"), F.col("r2").alias("well_r2"))
+    line = wells.groupBy(*k).agg(F.pow(mt.correlation("ttp_pred", "ttp_true"), 2).alias("well_pearson2"))
+    every = val.join(pixel, k).join(well, k).join(line, k).withColumn("experiment", F.lit(""))
+    best = best_seeds(every)
+    picked = F.array_sort(F.collect_list(F.struct("rn", "seed")))  # at most three entries
+    return best.groupBy("model").agg(
+        *[r6(F.avg(c)).alias(c) for c in CELL], F.count("*").alias("n_picked"), F.array_join(F.transform(picked, lambda q: q["seed"].cast("string")), ",").alias("picked"),
+        F.min_by("seed", "rn").alias("best_seed"), r6(F.max(F.when(F.col("rn") == 1, F.col("well_pearson2")))).alias("best_pearson2"))
 
 
 MED = PORT + """, cfg AS (SELECT *, regexp_replace(method_id, '_seed[0-9]+.*$', '') AS config FROM port),
@@ -387,16 +403,20 @@ def a38(spark, root):
 
 
 @query("a44_reference_comparison", f"""WITH {PREDICTIONS}, c AS (SELECT chip_id, log10_conc, avg(ttp_pred) FILTER (well_id < 8) AS m, stddev_pop(ttp_pred) FILTER (well_id < 8) / sqrt(count(*) FILTER (well_id < 8)) AS se FROM pred GROUP BY 1, 2),
-ref AS (SELECT CAST(r_regionkey + 5 AS DOUBLE) AS lc, 20.0 - 2.5 * r_regionkey AS ref_a, 18.0 - 2.0 * r_regionkey AS ref_b FROM region)
-SELECT chip_id, log10_conc, {q6('m')} AS mean_ttp, {q6('se')} AS se, {q6('m - ref_a')} AS off_a, {q6('m - ref_b')} AS off_b FROM c LEFT JOIN ref ON log10_conc = lc""")
+ref AS (SELECT CAST(r_regionkey + 5 AS DOUBLE) AS lc, 20.0 - 2.5 * r_regionkey AS ref_a, 18.0 - 2.0 * r_regionkey AS ref_b FROM region),
+sl AS (SELECT chip_id, regr_slope(m, log10_conc) AS slope FROM c GROUP BY 1)
+SELECT c.chip_id, log10_conc, {q6('m')} AS mean_ttp, {q6('se')} AS se, {q6('m - ref_a')} AS off_a, {q6('m - ref_b')} AS off_b, {q6('slope')} AS slope
+FROM c JOIN sl ON sl.chip_id = c.chip_id LEFT JOIN ref ON log10_conc = lc""")
 def a44(spark, root):
     keep = F.when(F.col("well_id") < 8, F.col("ttp_pred"))
     c = predictions(spark, root).groupBy("chip_id", "log10_conc").agg(
         F.avg(keep).alias("m"), F.when(F.count(keep) > 0, F.stddev_pop(keep) / F.sqrt(F.count(keep))).alias("se"))
     k = F.col("r_regionkey")
     ref = table(spark, root, "region").select((k + 5).cast("double").alias("log10_conc"), (20.0 - 2.5 * k).alias("ref_a"), (18.0 - 2.0 * k).alias("ref_b"))
-    return c.join(ref, "log10_conc", "left").select(
-        "chip_id", "log10_conc", r6("m").alias("mean_ttp"), r6("se").alias("se"), r6(F.col("m") - F.col("ref_a")).alias("off_a"), r6(F.col("m") - F.col("ref_b")).alias("off_b"))
+    slope = c.groupBy("chip_id").agg(F.regr_slope("m", "log10_conc").alias("slope"))  # minutes per decade over the concentrations with a mean
+    return attach(c, slope, ["chip_id"]).join(ref, "log10_conc", "left").select(
+        "chip_id", "log10_conc", r6("m").alias("mean_ttp"), r6("se").alias("se"), r6(F.col("m") - F.col("ref_a")).alias("off_a"), r6(F.col("m") - F.col("ref_b")).alias("off_b"),
+        r6("slope").alias("slope"))
 
 
 PEAK = """pk AS (SELECT c_nationkey AS chip, CAST(c_custkey % 6 AS INTEGER) AS well, CASE WHEN count(*) > 3 THEN avg(c_acctbal) / 400 END AS peak, 10.0 + c_nationkey / 10.0 AS settle FROM customer GROUP BY ALL),
@@ -416,15 +436,27 @@ def a45(spark, root):
     return w.select("chip", *[c for i in range(6) for c in (F.col(f"{i}_p").alias(f"peak_{i}"), F.coalesce(f"{i}_a", F.lit(False)).alias(f"amp_{i}"))])
 
 
-@query("a46_strategy_comparison", f"""WITH {PEAK} SELECT chip, {q6('avg(peak) FILTER (well < 4)')} AS mean03, {q6('median(peak) FILTER (well < 4)')} AS median03,
-{q6('avg(peak) FILTER (amp)')} AS mean_flagged, {q6('avg(peak) FILTER (well < 4) - 15')} AS offset_mean FROM fl GROUP BY 1""")
+OVERRIDE = ", ov AS (SELECT n_nationkey AS chip, unnest([1, CAST(2 + n_nationkey % 4 AS INTEGER)]) AS well FROM nation WHERE n_nationkey % 3 = 0)"
+
+
+@query("a46_strategy_comparison", f"""WITH {PEAK}{OVERRIDE}, ok AS (SELECT fl.*, ov.well IS NOT NULL AS listed, max(CASE WHEN o.chip IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY fl.chip) = 1 AS has_list
+  FROM fl LEFT JOIN ov ON ov.chip = fl.chip AND ov.well = fl.well LEFT JOIN (SELECT DISTINCT chip FROM ov) o ON o.chip = fl.chip)
+SELECT chip, {q6('avg(peak) FILTER (well < 4)')} AS mean03, {q6('median(peak) FILTER (well < 4)')} AS median03,
+{q6('avg(peak) FILTER (amp)')} AS mean_flagged, {q6('avg(peak) FILTER (well < 4) - 15')} AS offset_mean, {q6('avg(peak) FILTER (amp) - 15')} AS offset_flagged,
+{q6('avg(peak) FILTER (CASE WHEN has_list THEN listed ELSE amp END)')} AS mean_override, {q6('avg(peak) FILTER (CASE WHEN has_list THEN listed ELSE amp END) - 15')} AS offset_override FROM ok GROUP BY 1""")
 def a46(spark, root):
-    p = _peaks(spark, root)
+    """A chip with a list of wells takes the listed ones in place of the flagged ones."""
+    n = F.col("n_nationkey")
+    listed = table(spark, root, "nation").filter(n % 3 == 0).select(n.alias("chip"), F.explode(F.array(F.lit(1), (2 + n % 4).cast("int"))).alias("well"))
+    p = _peaks(spark, root).join(listed.withColumn("listed", F.lit(True)), ["chip", "well"], "left")
+    p = attach(p, listed.groupBy("chip").agg(F.lit(True).alias("has_list")), ["chip"], "left")
     low = F.when(F.col("well") < 4, F.col("peak"))
+    flagged = F.when(F.col("amp"), F.col("peak"))
+    chosen = F.when(F.when(F.col("has_list"), F.coalesce("listed", F.lit(False))).otherwise(F.col("amp")), F.col("peak"))
     # six wells per chip at most by construction, so the exact percentile holds six values
     return p.groupBy("chip").agg(
-        r6(F.avg(low)).alias("mean03"), r6(F.percentile(low, F.lit(0.5))).alias("median03"),
-        r6(F.avg(F.when(F.col("amp"), F.col("peak")))).alias("mean_flagged"), r6(F.avg(low) - 15).alias("offset_mean"))
+        r6(F.avg(low)).alias("mean03"), r6(F.percentile(low, F.lit(0.5))).alias("median03"), r6(F.avg(flagged)).alias("mean_flagged"), r6(F.avg(low) - 15).alias("offset_mean"),
+        r6(F.avg(flagged) - 15).alias("offset_flagged"), r6(F.avg(chosen)).alias("mean_override"), r6(F.avg(chosen) - 15).alias("offset_override"))
 
 
 @query("a43_landmark_wide_table", f"WITH {PEAK} SELECT chip, {', '.join(f'coalesce(printf({chr(39)}%.2f{chr(39)}, round(max(peak) FILTER (well = {w}), 2)), {chr(39)}NaN{chr(39)}) AS ttp_well{w}' for w in range(6))} FROM fl GROUP BY 1")

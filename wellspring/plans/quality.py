@@ -226,10 +226,23 @@ def q07_mad(spark, root):
 
 
 @query("q08_filtered_table", f"""WITH {_filter_sql('mad')}
-SELECT chip_id, well_id, pixel_id, prow, pcol, y, 'ABCD_mad_k1p5' AS cache_id, {q6('dyn_range')} AS dyn_range FROM kept WHERE keep""")
+SELECT chip_id, well_id, pixel_id, prow, pcol, y, 'ABCD_mad_k1p5' AS cache_id, {q6('dyn_range')} AS dyn_range, CAST(len(x) AS INTEGER) AS n_samples, {q6('list_sum(x)')} AS total FROM kept WHERE keep""")
 def q08(spark, root):
-    kept = ql.chip_filter(traces(spark, root), "ABCD", "mad", 1.5).filter("keep")
-    return kept.select(*WELL, "pixel_id", "prow", "pcol", "y", F.lit("ABCD_mad_k1p5").alias("cache_id"), r6("dyn_range").alias("dyn_range"))
+    """The sink: traces that stay are written under a name made of the parameters, and read back with all samples."""
+    from wellspring.functions import arrays as ar
+    from wellspring.sources import tables as tb
+
+    path, _ = ql.write_filtered(traces(spark, root), tb.scratch(spark, "filtered"), "ABCD", "mad", 1.5)
+    kept = ql.with_stats(tb.read_traces(spark, path))
+    return kept.select(*WELL, "pixel_id", "prow", "pcol", "y", F.lit(path.rsplit("/", 1)[-1]).alias("cache_id"), r6("dyn_range").alias("dyn_range"), F.size("x").alias("n_samples"), r6(ar.total("x")).alias("total"))
+
+
+@query("q08_filtered_log", f"WITH {_filter_sql('pct', True)} SELECT chip_id, count(*) AS n_written, 'ABCD_pct_ntcclean' AS cache_id FROM kept WHERE keep GROUP BY 1")
+def q08_log(spark, root):
+    from wellspring.sources import tables as tb
+
+    path, log = ql.write_filtered(traces(spark, root), tb.scratch(spark, "filtered"), "ABCD", "pct", clean_controls_first=True)
+    return log.withColumn("cache_id", F.lit(path.rsplit("/", 1)[-1]))
 
 
 @query("a26_filter_funnel", f"""WITH {_filter_sql('pct')}

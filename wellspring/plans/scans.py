@@ -8,6 +8,7 @@ from wellspring.operators.ranking import row_index
 from wellspring.operators.spatial import WELL
 from wellspring.operators.splits import capped_sample
 from wellspring.plans import query
+from wellspring.session import durable
 from wellspring.plans.bindings import CLS, PREDICTIONS, RUNS, TRACES, cls_scores, predictions, q6, r6, runs, table, traces
 from wellspring.plans.quality import _filter_sql
 from wellspring.plans.splits import _hash
@@ -197,24 +198,46 @@ def s16(spark, root):
     return m.filter("NOT v.is_no_amp AND v.chip_ttp_min IS NOT NULL").select("well_key", F.col("v.chip_ttp_min").alias("chip_ttp_min"))
 
 
+FUNNEL = ("n_total", "n_a", "n_b", "n_c", "n_d", "after_a", "after_b", "after_c", "after_d")
+
+
 def export_filter_json(spark, root):
-    """Per-well records with their funnel, per-pixel records as lines beside them; no group is gathered."""
-    f = ql.chip_filter(traces(spark, root), "ABC", "pct")
+    """Per chip its thresholds, per well its funnel through the stages, per pixel a record; all as JSON lines, no group is gathered."""
+    t = traces(spark, root)
+    f = durable(ql.chip_filter(t, "ABCD", "pct"))
     path = tb.scratch(spark, "viewer")
-    rounded = traces(spark, root).select(*WELL, "pixel_id", F.transform("x", lambda v: F.round(v, 3)).alias("trace"))
-    px = f.select(*WELL, "pixel_id", "prow", "pcol", "a", "b", "c", "keep").join(rounded, [*WELL, "pixel_id"])
+    rounded = t.select(*WELL, "pixel_id", F.transform("x", lambda v: F.round(v, 3)).alias("trace"))
+    px = f.select(*WELL, "pixel_id", "prow", "pcol", "a", "b", "c", "bad_count", "d", "score", "keep").join(rounded, [*WELL, "pixel_id"])
     px.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chip_id", "well_id", F.pmod(F.xxhash64("pixel_id"), F.lit(8))).write.partitionBy("chip_id").json(f"{path}/pixels")
-    wells = f.groupBy(*WELL).agg(F.struct(F.count("*").alias("n_total"), F.count_if("a").alias("n_a"), F.count_if("b").alias("n_b"), F.count_if("c").alias("n_c")).alias("funnel"))
+    gone, stages = F.lit(False), []
+    for c in "abcd":
+        gone = gone | F.col(c)
+        stages.append(F.count_if(~gone).alias(f"after_{c}"))
+    wells = f.groupBy(*WELL).agg(F.struct(F.count("*").alias("n_total"), *[F.count_if(c).alias(f"n_{c}") for c in "abcd"], *stages).alias("funnel"))
     wells.write.json(f"{path}/wells")
+    chips = ql.control_thresholds(ql.with_stats(t), "pct").select("chip_id", "n_ntc", F.struct(*[F.col(f"thr_{c}").alias(c) for c in ql.STATS]).alias("thresholds"))
+    chips.write.json(f"{path}/chips")
     return path
 
 
-@query("s17_nested_json_export", f"""WITH {_filter_sql('pct')} SELECT chip_id, well_id, count(*) AS n_total, count(*) FILTER (a) AS n_a,
-count(*) FILTER (b) AS n_b, count(*) FILTER (c) AS n_c FROM fin GROUP BY 1, 2""")
+@query("s17_nested_json_export", f"""WITH {_filter_sql('pct')}, w AS (SELECT chip_id, well_id, count(*) AS n_total, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (c) AS n_c, count(*) FILTER (d) AS n_d,
+  count(*) FILTER (NOT a) AS after_a, count(*) FILTER (NOT (a OR b)) AS after_b, count(*) FILTER (NOT (a OR b OR c)) AS after_c, count(*) FILTER (NOT (a OR b OR c OR d)) AS after_d FROM fin GROUP BY 1, 2)
+SELECT w.*, n_ntc, {', '.join(f'{q6(f"thr_{c}")} AS thr_{c}' for c in ql.STATS)} FROM w JOIN thr USING (chip_id)""")
 def s17(spark, root):
     path = export_filter_json(spark, root)
-    w = spark.read.schema("chip_id string, well_id int, funnel struct<n_total:bigint,n_a:bigint,n_b:bigint,n_c:bigint>").json(f"{path}/wells")
-    return w.select(*WELL, "funnel.*")
+    w = spark.read.schema(f"chip_id string, well_id int, funnel struct<{', '.join(f'{c}:bigint' for c in FUNNEL)}>").json(f"{path}/wells")
+    c = spark.read.schema(f"chip_id string, n_ntc bigint, thresholds struct<{', '.join(f'{c}:double' for c in ql.STATS)}>").json(f"{path}/chips")
+    return w.join(c, "chip_id").select(*WELL, "funnel.*", "n_ntc", *[r6(f"thresholds.{s}").alias(f"thr_{s}") for s in ql.STATS])
+
+
+@query("s17_pixel_records", f"""WITH {_filter_sql('pct')} SELECT chip_id, well_id, pixel_id, CASE WHEN a THEN 'A' WHEN b THEN 'B' END AS layer_ab, c AS c_dropped, nullif(bad_count, -1) AS c_score, d AS d_dropped,
+  {q6('q.score')} AS d_score, CAST(len(x) AS INTEGER) AS n_samples FROM fin LEFT JOIN (SELECT pixel_id, score FROM dsc) q USING (pixel_id)""")
+def s17_pixels(spark, root):
+    kind = "chip_id string, well_id int, pixel_id bigint, a boolean, b boolean, c boolean, bad_count int, d boolean, score double, trace array<double>"
+    p = spark.read.schema(kind).json(f"{export_filter_json(spark, root)}/pixels")
+    layer = F.when(F.col("a"), "A").when(F.col("b"), "B")
+    return p.select(*WELL, "pixel_id", layer.alias("layer_ab"), F.col("c").alias("c_dropped"), F.nullif("bad_count", F.lit(-1)).alias("c_score"), F.col("d").alias("d_dropped"),
+                    r6("score").alias("d_score"), F.size("trace").alias("n_samples"))
 
 
 @query("s18_sampled_cells", f"""WITH {TRACES}, s AS (SELECT *, row_number() OVER (PARTITION BY chip_id, well_id ORDER BY {_hash(9, ['pixel_id'])}, pixel_id) AS rn FROM traces)
