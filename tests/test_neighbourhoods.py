@@ -80,3 +80,20 @@ def test_tiles_prove_most(spark, rows, monkeypatch):
     proven, rest = sp.neighbourhoods(spark.createDataFrame(grid, SCHEMA).withColumn("v", F.lit(1.0)), 8, "v", lambda v, home, near: v[near].sum(axis=1))
     assert rest is None or rest.count() < 100
     assert proven.filter("value <> 8").count() == 0
+
+
+def test_box_smooth_routes(spark, rows, monkeypatch):
+    """Pixels as they are, or positions summed first: the same means, and those of brute force."""
+    some = [r for r in rows if r[1] in (0, 1, 5)] + [("a", 1, 99_999, None, 3, False, [1.0] * 5)]
+    df = spark.createDataFrame(some, SCHEMA)
+    ways = []
+    for limit in (1000, 0):
+        monkeypatch.setattr(sp, "SHARED", limit)
+        out = sp.box_smooth(df, 2)
+        assert out.columns == df.columns
+        ways.append({r["pixel_id"]: r["x"] for r in out.collect()})
+    assert len(ways[0]) == len(ways[1]) == len(some)
+    for _, well, pid, row, col, _, x in some:
+        near = [r[6] for r in some if r[1] == well and row is not None and r[3] is not None and abs(r[3] - row) <= 2 and abs(r[4] - col) <= 2]
+        want = np.mean(near, axis=0) if row is not None else x
+        assert ways[0][pid] == pytest.approx(list(want), abs=1e-9) and ways[1][pid] == pytest.approx(list(want), abs=1e-9)

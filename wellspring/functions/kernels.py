@@ -15,6 +15,15 @@ def by_length(x: pd.Series):
         yield at, np.stack(x.iloc[at].to_numpy()).astype(float)
 
 
+def running_sum():
+    """Pandas UDF: running sum of absolute values, linear in the length of a trace; a missing sample makes the rest missing."""
+    @F.pandas_udf("array<double>")
+    def total(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: None if a is None else np.cumsum(np.abs(np.asarray(a, float))))
+
+    return total
+
+
 def spectrogram(window: int, hop: int, keep: int):
     """Pandas UDF: Hann-windowed, mean-removed one-sided power per (bin, frame), lowest bins."""
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)

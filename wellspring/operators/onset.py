@@ -409,3 +409,37 @@ def derivatives(step: float, method: str, order: int = 1, window: int = 11, poly
         return out
 
     return slopes
+
+
+def variant_rows(**parameters):
+    """Python table function: four rows (id, rule, ttp, reason) per row (id, x, anchor) of its table argument.
+
+    Rows arrive partition by partition and are worked on HELD at a time, so a partition may be of any size.
+    """
+    run, held = anchored(**parameters).func, HELD
+
+    class Variants:
+        def __init__(self):
+            self.rows: list = []
+
+        def eval(self, row):
+            self.rows.append((row["id"], row["x"], row["anchor"]))
+            if len(self.rows) >= held:
+                yield from self.flush()
+
+        def terminate(self):
+            yield from self.flush()
+
+        def flush(self):
+            if self.rows:
+                ids, xs, anchors = zip(*self.rows)
+                self.rows = []
+                found = run(pd.Series([None if x is None else np.array(x, float) for x in xs]), pd.Series(anchors, dtype=float))
+                for ident, four in zip(ids, found):
+                    for v in four if four is not None else ():
+                        yield ident, v["rule"], v["ttp"], v["reason"]
+
+    return F.udtf(Variants, returnType="id bigint, rule string, ttp double, reason string")
+
+
+HELD = 512  # traces that the table function holds at once

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspring.functions.kernels import running_sum
 from wellspring.operators.ranking import row_index
 from wellspring.session import table_path
 
@@ -57,17 +58,8 @@ def long(df: DataFrame, *keep: str, x: str = "x", v: str = "v") -> DataFrame:
 
 # --- rising curves: running sum of absolute embedding values --------------------------------
 def curves(spark: SparkSession, root: str) -> DataFrame:
-    """Monotone traces: running sum of |v| (bounded length, so a fold per row)."""
-    run = F.aggregate(
-        F.col("x"),
-        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")),
-        lambda acc, v: F.struct(
-            (acc["s"] + F.abs(v)).alias("s"),
-            F.concat(acc["out"], F.array(acc["s"] + F.abs(v))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return traces(spark, root).withColumn("x", run)
+    """Monotone traces: running sum of |v|."""
+    return traces(spark, root).withColumn("x", running_sum()("x"))
 
 
 CURVES_LONG = TRACES_LONG + """, cl AS (

@@ -267,3 +267,12 @@ def u03(spark, root):
 def u05(spark, root):
     """Four rows per trace from one pass."""
     return _variants(spark, root).groupBy("rule", "reason").agg(F.count("*").alias("n"), r6(F.avg("ttp")).alias("mean_ttp"))
+
+
+@query("u05_table_function", ANCHOR_SQL + f" SELECT pixel_id, rule, {q6('ttp')} AS ttp, reason FROM va")
+def u05_table(spark, root):
+    """The same four rows per trace from a table function over a table argument partitioned by well."""
+    c = curves(spark, root).withColumn("anchor", F.when(F.col("pixel_id") % 13 != 0, (F.col("pixel_id") % 10) * 0.2 + 0.5))
+    rows = c.select(*WELL, F.col("pixel_id").alias("id"), "x", "anchor")
+    found = on.variant_rows(span=10, window=9, ahead=3.0, margin=0.5, baseline=0.4)(rows.asTable().partitionBy(*WELL))
+    return found.select(F.col("id").alias("pixel_id"), "rule", r6("ttp").alias("ttp"), "reason")

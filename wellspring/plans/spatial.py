@@ -79,8 +79,8 @@ def a40(spark, root):
     return attach(a, quantiles(d, ["category"], "d", {"m": 0.5}).select("category", "n", r6("m").alias("med_d")), ["category"])
 
 
-@query("u04_group_function", f"WITH {TRACES_LONG}{NB.format(k=1)} SELECT nb.pixel_id, {q6('avg(v)')} AS total FROM nb JOIN tl ON tl.pixel_id = nb.nbr WHERE t = 0 GROUP BY 1")
+@query("u04_group_function", f"WITH {TRACES_LONG}{NB.format(k=1)}, sm AS (SELECT nb.pixel_id, t, avg(v) AS v FROM nb JOIN tl ON tl.pixel_id = nb.nbr GROUP BY 1, 2) SELECT pixel_id, list({q6('v')} ORDER BY t) AS x FROM sm GROUP BY 1")
 def u04(spark, root):
-    """Per-tile group function: a group is a bounded tile of the grid, never a whole well."""
+    """Per-tile group function: a group is a bounded tile of the grid, never a whole well; whole traces come back."""
     s = sp.box_smooth(traces(spark, root), 1)
-    return s.select("pixel_id", r6(F.get("x", F.lit(0))).alias("total"))
+    return s.select("pixel_id", F.transform("x", lambda v: r6(v)).alias("x"))

@@ -22,7 +22,7 @@ DEFAULTS = {
 def local_session(cores: str = "8", **extra: str) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("wellspring")
-    conf = {**DEFAULTS, "spark.sql.shuffle.partitions": cores, "spark.driver.memory": "20g", **extra}
+    conf = {**DEFAULTS, "spark.sql.shuffle.partitions": cores, "spark.driver.memory": "12g", **extra}
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
