@@ -291,3 +291,14 @@ def test_sql_on_copies_and_long_conversations(spark, tmp_path):
     for name in ("op9_warc", "op10_chat_format", "op11_conversation_trie"):
         assert parity.compare(spark, con, name, queries.QUERIES[name], queries.ORACLE[name], str(tmp_path)) is None, name
     assert {r["record_type"] for r in queries.op9_warc(spark, str(tmp_path)).collect()} == {"response", "revisit"}
+
+
+def test_special_strings_are_tokens_wherever_they_stand():
+    from tokenizers import Tokenizer
+
+    from wellspring.llm import packing
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["<|endoftext|> hi", "Word<|startoftext|>glued. And more", "<|EndOfText|> <| x |>", "a\n<|endoftext|><|endoftext|>", "no such thing", "", "Ä <|endoftext|>" + " x" * 5000]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.id_bytes([t.encode() for t in texts], queries.tokenizer_path())]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -32,16 +32,16 @@ _words: dict = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer and, per id, whether its token ends a word."""
+    """The tokenizer, per id whether its token ends a word, and the strings that are tokens wherever they stand."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [t.content.encode().lower() for t in made.get_added_tokens_decoder().values()]
         vocabulary = made.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        _tokenizers[path] = made, ends
+        _tokenizers[path] = made, ends, special
     return _tokenizers[path]
 
 
@@ -57,7 +57,7 @@ def _pointed(word: bytes) -> bool:
 
 def _learn(chunks: list[bytes], path: str, known: dict[bytes, bytes]) -> dict[bytes, bytes]:
     """Ids of chunks. Chunks of letters are encoded many at a time and cut where a token ends a word."""
-    tokenizer, ends = _tokenizer(path)
+    tokenizer, ends, _ = _tokenizer(path)
     found: dict[bytes, bytes] = {}
     pointed = [w for w in chunks if _pointed(w)]
     new = [w for w in {b".", b",", *(w[:-1] for w in pointed), *(w for w in chunks if not _pointed(w))} if w not in known]
@@ -85,19 +85,26 @@ def id_bytes(texts: list[bytes | None], path: str) -> Iterator[bytes]:
 
     Only for lower-casing tokenizers with word ends, whose tokens never hold or cross a blank or a line
     feed and keep letters and punctuation apart: a text is then the concatenation of its
-    blank-separated chunks, less case, and of a word and the lone point or comma after it.
+    blank-separated chunks, less case, and of a word and the lone point or comma after it. A text that
+    holds the string of a special token, in any case, is encoded whole and as it is.
     """
     known = _words.setdefault(path, {b"": b""})
+    tokenizer, _, special = _tokenizer(path)
     for at in range(0, len(texts), 256):
-        chunks = [(t or b"").replace(b"\n", b" ").lower().split(b" ") for t in texts[at : at + 256]]
+        low = [(t or b"").lower() for t in texts[at : at + 256]]
+        whole = {at + k for k, t in enumerate(low) if any(s in t for s in special)}
+        chunks = [[b""] if at + k in whole else t.replace(b"\n", b" ").split(b" ") for k, t in enumerate(low)]
         new = [w for w in set().union(*chunks) if w not in known]
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
             known[b""] = b""
             new = [w for w in set().union(*chunks) if w]
         known.update(_learn(new, path, known))
-        for c in chunks:
-            yield b"".join([known[w] for w in c])
+        for k, c in enumerate(chunks, at):
+            if k in whole:
+                yield np.array(tokenizer.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join([known[w] for w in c])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
