@@ -298,20 +298,22 @@ lb AS (SELECT pixel_id, st AS pos FROM (SELECT *, row_number() OVER (PARTITION B
     return f"WITH RECURSIVE {CLASSES}, {', '.join(ctes)}, tall AS ({stacked})"
 
 
+# no r2 here: a rule that fires nowhere gives a constant, and the r2 of a constant is rounding noise
 SWEPT = f""", wm AS (
   SELECT rule_id, chip_id, well_id, avg(ttp_pred) AS m, coalesce(stddev_samp(ttp_pred), 0) AS sd, CAST(any_value(well_id) AS DOUBLE) * 1.5 AS tm, CAST(well_id % 5 AS DOUBLE) AS lc
   FROM tall GROUP BY rule_id, chip_id, well_id),
 cm AS (SELECT rule_id, lc, avg(m) AS m FROM wm GROUP BY 1, 2),
-ln AS (SELECT rule_id, regr_slope(m, lc) AS slope, regr_r2(m, lc) AS r2 FROM cm GROUP BY 1)
-SELECT rule_id, count(*) AS n_wells, {q6('avg(abs(m - tm))')} AS per_well_mae, {q6('avg(CASE WHEN abs(m) > 0.000001 THEN sd / abs(m) END)')} AS within_well_cov,
-  {q6('any_value(slope)')} AS slope, {q6('any_value(r2)')} AS r2
+ln AS (SELECT rule_id, regr_slope(m, lc) AS slope FROM cm GROUP BY 1)
+SELECT rule_id, count(*) AS n_wells, {q6('avg(abs(m - tm))')} AS per_well_mae, {q6('avg(CASE WHEN abs(m) > 0.000001 THEN sd / abs(m) END)')} AS within_well_cov, {q6('any_value(slope)')} AS slope
 FROM wm JOIN ln USING (rule_id) GROUP BY rule_id"""
 
 
 @query("r17_class_rule_sweep", _class_sweep_sql() + SWEPT)
 def r17_classes(spark, root):
     tall = rl.apply_class_rules(class_frames(spark, root), "c", "f", (2, 3), None, ("chip_id", "well_id", "pixel_id"))
-    return _swept(tall)
+    tall = tall.withColumn("ttp_true", F.col("well_id") * 1.5).withColumn("log10_conc", (F.col("well_id") % 5).cast("double"))
+    p = mt.portfolio(tall, ["rule_id"], None)
+    return p.select("rule_id", "n_wells", *[r6(c).alias(c) for c in ("per_well_mae", "within_well_cov", "slope")])
 
 
 @query("r17_class_rule_times", _class_sweep_sql() + f" SELECT rule_id, pixel_id, {q6('ttp_pred')} AS ttp FROM tall")
@@ -320,12 +322,6 @@ def r17_class_times(spark, root):
     return out.select("rule_id", "pixel_id", r6("ttp_pred").alias("ttp"))
 
 
-def _swept(tall):
-    tall = tall.withColumn("ttp_true", F.col("well_id") * 1.5).withColumn("log10_conc", (F.col("well_id") % 5).cast("double"))
-    p = mt.portfolio(tall, ["rule_id"], None)
-    return p.select("rule_id", "n_wells", *[r6(c).alias(c) for c in ("per_well_mae", "within_well_cov", "slope", "r2")])
-
-
 @query("u02_density_rule_sweep", f"""WITH {SCORES_LONG}{_argbest('sl', 'p')}{TOP5}, wide AS (
   SELECT a.pixel_id, CAST(a.pos / 15.0 AS DOUBLE) AS hard_argmax, top5 AS soft_argmax_top5, expected AS expected_value, CAST(half AS DOUBLE) AS first_moment_thr0p5
   FROM am a JOIN t5 USING (pixel_id) JOIN ev USING (pixel_id) JOIN cd USING (pixel_id)),
