@@ -160,21 +160,23 @@ def fit_rows(y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray
 
     ``model(p)`` gives values (rows x samples) and derivatives (rows x samples x parameters). Damped steps within the
     bounds; a parameter at a bound that the gradient pushes outward is held. A row is converged, and
-    leaves the batch, when its projected gradient or its step is negligible; rows that need more than ``rounds`` steps are not.
+    leaves the batch, when its projected gradient or its step is negligible, or three steps in a row have each taken less than
+    1e-9 of its error; rows that need more than ``rounds`` steps are not.
     """
     p, n_par = np.clip(start, low, high), start.shape[1]
     err = ((y - model(p)[0]) ** 2).sum(axis=1)
     scale = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1) + 1e-30
-    damp, done, live = np.full(len(y), 1e-2), np.zeros(len(y), bool), np.arange(len(y))
+    damp, done, live, slow = np.full(len(y), 1e-2), np.zeros(len(y), bool), np.arange(len(y)), np.zeros(len(y), int)
     for _ in range(rounds):
         if not len(live):
             break
         q = p[live]
         value, jac = model(q)
-        slope = np.einsum("ntp,nt->np", jac, y[live] - value)
+        turned = np.ascontiguousarray(jac.transpose(0, 2, 1))
+        slope = (turned @ (y[live] - value)[:, :, None])[:, :, 0]
         held = ((q <= low) & (slope < 0)) | ((q >= high) & (slope > 0))
         slope = np.where(held, 0.0, slope)
-        square = np.einsum("ntp,ntq->npq", jac, jac)
+        square = turned @ jac
         square *= ~held[:, :, None] & ~held[:, None, :]
         diag = np.einsum("npp->np", square)
         lift = damp[live][:, None] * diag + np.where(diag > 0, 1e-14 * diag, 1.0)
@@ -185,11 +187,14 @@ def fit_rows(y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray
         size = np.abs(q) + 1e-3
         flat = (np.abs(slope) * size).max(axis=1) <= 1e-12 * scale[live]
         still = (np.abs(trial - q) / size).max(axis=1) <= 1e-9
+        little = good & (err[live] - new <= 1e-9 * err[live])
+        slow[live] = np.where(little, slow[live] + 1, np.where(good, 0, slow[live]))
         p[live] = np.where(good[:, None], trial, q)
         err[live] = np.where(good, new, err[live])
         damp[live] = np.clip(np.where(good, damp[live] / 5, damp[live] * 4), 1e-14, 1e12)
-        done[live] = flat | still
-        live = live[~(flat | still)]
+        ended = flat | still | (slow[live] >= 3)
+        done[live] = ended
+        live = live[~ended]
     return p, err, done
 
 
@@ -230,19 +235,19 @@ def _best_start(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_5pl(mat: np.ndarray, rounds: int = 400) -> np.ndarray:
+def fit_5pl(mat: np.ndarray, rounds: int = 400, first: int = 40) -> np.ndarray:
     """Bounded least squares of Fm / (1 + exp(-Sc (x - Cs)))^As + Fb, all rows together.
 
     Rows and the axis are scaled to [0, 1]; parameters return on the original scale (axis in
-    samples): columns Fm, Fb, Sc, Cs, As, r2, converged (0 or 1). Rows that do not converge from the fixed start are fitted again
-    by a second solver: best of a grid of starts, slope and asymmetry on a log scale; the smaller error stays.
+    samples): columns Fm, Fb, Sc, Cs, As, r2, converged (0 or 1). Rows that do not converge from the fixed start within ``first`` steps
+    are fitted again by a second solver, which the narrow valleys of nearly straight curves need: best of a grid of starts, slope and asymmetry on a log scale; the smaller error stays.
     """
     n, width = mat.shape
     x = np.linspace(0.0, 1.0, width)
     low, high = mat.min(axis=1, keepdims=True), mat.max(axis=1, keepdims=True)
     span = np.where(high > low, high - low, 1.0)
     y = (mat - low) / span
-    p, err, done = fit_rows(y, np.tile(START_5PL, (n, 1)), LOW_5PL, HIGH_5PL, _curve(x, False), rounds)
+    p, err, done = fit_rows(y, np.tile(START_5PL, (n, 1)), LOW_5PL, HIGH_5PL, _curve(x, False), min(first, rounds))
     again = np.flatnonzero(~done)
     if len(again):
         logs = [2, 4]
