@@ -16,13 +16,16 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wellspring.functions.arrays import let
+
 # Fixed values of the template: escape sign with its codes, then the control strings.
 CODES = (("\\", "\\0"), ("<", "\\1"), ("[", "\\2"))
 BEGIN, ROLE, ROLE_END, TURN, END = "<s>", "[ROLE]", "[/ROLE]", "[TURN]", "</s>"
 LEARNT = "assistant"
+STRETCH = 64  # spans that are read from one stretch of the text
 
 
 def escape(text: Column) -> Column:
@@ -39,18 +42,22 @@ def unescape(text: Column) -> Column:
 
 def _merged(turns: Column) -> Column:
     """Adjacent turns of one role as one block: (role, texts)."""
-    starts = F.filter(
+    places = F.filter(
         F.sequence(F.lit(1), F.size(turns)),
         lambda i: (i == 1) | (F.element_at(turns, F.greatest(i - 1, F.lit(1))).role != F.element_at(turns, i).role),
     )
-    def block(first: Column, k: Column) -> Column:
-        last = F.coalesce(F.try_element_at(starts, k + 2) - 1, F.size(turns))
-        return F.struct(
-            F.element_at(turns, first).role.alias("role"),
-            F.transform(F.slice(turns, first, last - first + 1), lambda t: t.text).alias("texts"),
-        )
 
-    return F.when(F.size(turns) > 0, F.transform(starts, block))
+    def blocks(starts: Column) -> Column:
+        def block(first: Column, k: Column) -> Column:
+            last = F.coalesce(F.try_element_at(starts, k + 2) - 1, F.size(turns))
+            return F.struct(
+                F.element_at(turns, first).role.alias("role"),
+                F.transform(F.slice(turns, first, last - first + 1), lambda t: t.text).alias("texts"),
+            )
+
+        return F.transform(starts, block)
+
+    return F.when(F.size(turns) > 0, let(places, blocks))
 
 
 def formatted(rows: DataFrame) -> DataFrame:
@@ -66,17 +73,14 @@ def formatted(rows: DataFrame) -> DataFrame:
         F.flatten(F.transform(b.texts, lambda t: F.array(piece(F.lit(TURN), no), piece(escape(t), b.role == LEARNT)))),
         F.array(piece(F.lit(END), no)),
     )
-    pieces = blocks.select("conv_id", F.flatten(F.transform("blocks", of_block)).alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc.at + F.length(p.text)).cast("long").alias("at"),
-            F.when(p.learn, F.concat(acc.spans, F.array(F.struct(acc.at.alias("start"), F.length(p.text).cast("long").alias("length"))))).otherwise(acc.spans).alias("spans"),
-        ),
-        lambda acc: acc.spans,
-    )
-    return pieces.select("conv_id", F.array_join(F.transform("pieces", lambda p: p.text), "").alias("formatted"), spans.alias("loss"))
+    pieces = blocks.select("conv_id", F.posexplode(F.flatten(F.transform("blocks", of_block))).alias("pos", "piece"))
+    # a piece starts where the earlier ones end; rows stay on the task of their conversation
+    earlier = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("piece.text").cast("long")
+    placed = pieces.select("conv_id", "pos", "piece.*", size.alias("length"), F.coalesce(F.sum(size).over(earlier), F.lit(0).cast("long")).alias("start"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "learn", "start", "length"))).alias("pieces"))
+    spans = F.transform(F.filter("pieces", lambda p: p.learn), lambda p: F.struct(p.start.alias("start"), p.length.alias("length")))
+    return whole.select("conv_id", F.array_join("pieces.text", "").alias("formatted"), spans.alias("loss"))
 
 
 def turns_of(text: Column) -> Column:
@@ -92,6 +96,15 @@ def turns_of(text: Column) -> Column:
 
 
 def loss_text(text: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped and joined."""
-    cut = F.transform(spans, lambda s: F.substring(text, (s.start + 1).cast("int"), s.length.cast("int")))
-    return F.array_join(F.transform(cut, unescape), "")
+    """All text under the loss mask, unescaped and joined. Spans are cut from a stretch of ``STRETCH`` spans, since a cut counts code points from the start."""
+
+    def cut_all(stretch: Column) -> Column:
+        from_ = F.element_at(stretch, 1).start
+        last = F.element_at(stretch, -1)
+        part = F.substring(text, (from_ + 1).cast("int"), (last.start + last.length - from_).cast("int"))
+        cut = lambda whole: F.transform(stretch, lambda s: F.substring(whole, (s.start - from_ + 1).cast("int"), s.length.cast("int")))
+        return let(part, lambda whole: F.array_join(F.transform(cut(whole), unescape), ""))
+
+    firsts = F.sequence(F.lit(1), F.size(spans), F.lit(STRETCH))
+    stretches = F.when(F.size(spans) > 0, F.transform(firsts, lambda k: F.slice(spans, k, STRETCH)))
+    return F.coalesce(F.array_join(F.transform(stretches, lambda s: let(s, cut_all)), ""), F.lit(""))
