@@ -1,13 +1,14 @@
 """Quality rules: an isolation forest over rule statistics, with a threshold from labelled rows.
 
-Random axis-parallel splits separate unusual documents early, so their mean path is short. Trees
-grow on a bounded sample; every document is scored. Which statistics the trees split on is chosen
+Random axis-parallel splits separate unusual documents early, so their mean path is short. Each
+tree draws its own ``ROWS_A_TREE`` rows from the whole table by a hash below a bound, so only the drawn
+rows leave their tasks; every document is scored. Which statistics the trees split on is chosen
 on a bounded sample of labelled rows: an anomaly in one that says nothing about quality only blurs
 the score. The threshold comes from all labelled rows: it is the score that rejects most bad ones
 while the share of good ones rejected stays within ``MISTAKES``.
 
 Null texts have no words. A text without words fails the base rule. Rows are judged one by one, so
-repeated rows get equal verdicts. Without usable labels only the base rule rejects.
+repeated rows get equal verdicts; a draw takes rows that agree in id and text once. Without usable labels only the base rule rejects.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ BLANKS = " \t\n\r\x0b\x0c"  # fixed value: the complement of a word's characters
 MIN_WORDS = 10
 MAX_REPEAT = 20  # per cent of words in repeated windows
 WINDOW = 5
-SAMPLE = 20_000  # most rows that trees are grown on; all of them if there are fewer
 LABELLED = 6_000  # most labelled rows that the choice of statistics looks at
 TREES = 100
-ROWS_A_TREE = 256
+ROWS_A_TREE = 256  # drawn for each tree from the whole table
+SPARE = 1.6  # rows asked for per row needed: hashes decide, so their number varies
 MISTAKES = 0.002  # most of the good labelled documents that the threshold may reject
 BINS = 2000
 
@@ -100,11 +101,10 @@ def mean_path(n: float) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def grow(rows: np.ndarray, trees: int = TREES, per_tree: int = ROWS_A_TREE, seed: int = 7) -> list[tuple[np.ndarray, ...]]:
-    """Trees as arrays: feature (-1: leaf), cut, left child, right child, path length at a leaf."""
+def grow(parts: list[np.ndarray], seed: int = 7) -> list[tuple[np.ndarray, ...]]:
+    """A tree for each of ``parts``, as arrays: feature (-1: leaf), cut, left child, right child, path length at a leaf."""
     rng, forest = np.random.default_rng(seed), []
-    for _ in range(trees if len(rows) else 0):
-        part = rows[rng.choice(len(rows), min(per_tree, len(rows)), replace=False)]
+    for part in parts:
         deepest = int(np.ceil(np.log2(max(2, len(part)))))
         nodes, todo = [[-1, 0.0, 0, 0, 0.0]], [(0, part, 0)]
         while todo:
@@ -155,21 +155,37 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.filter("NOT base_failed").join(known, F.col("doc_id") == F.col("l_id")).drop("l_id")
 
 
+def draws(have: DataFrame, times: int, size: int, *more: str) -> list[np.ndarray]:
+    """``times`` samples of at most ``size`` different rows, each over the whole table, with the columns ``FEATURES`` and ``more``.
+
+    A row is in sample t if its hash with t lies below a bound that lets about ``SPARE * size`` rows pass;
+    of these the lowest hashes count. The driver gets these rows alone, however many rows or tasks there are.
+    """
+    rows = have.select("doc_id", "text_hash", *FEATURES, *more).distinct()
+    n = rows.count()
+    share = min(1.0, SPARE * size / max(1, n))
+    least = min(2**63 - 1, int((2 * share - 1) * 2**63))
+    chance = lambda t: F.xxhash64("doc_id", "text_hash", t)
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda t: F.struct(t.alias("t"), chance(t).alias("h"))), lambda d: d.h <= F.lit(least).cast("long"))
+    found = rows.select(F.inline(drawn), *FEATURES, *more).toPandas()
+    # in the order of hashes: the samples depend on the rows alone, not on which task sent them first
+    found = found.sort_values(["t", "h", *FEATURES, *more])
+    return [part.drop(columns=["t", "h"]).head(size).to_numpy(float) for _, part in found.groupby("t")]
+
+
 def fit(stats: DataFrame, labels: DataFrame, mistakes: float = MISTAKES) -> tuple[list, list[int]]:
     """The forest and the positions in ``FEATURES`` of the statistics it uses."""
     have = features(stats)
-    # sorted once more: the trees then depend on the rows alone, not on which task sent them first
-    by_hash = lambda df, n, *cols: df.orderBy(F.xxhash64("doc_id"), *FEATURES).limit(n).select(*FEATURES, *cols).toPandas().sort_values([*FEATURES, *cols])
-    rows = by_hash(have.filter("NOT base_failed"), SAMPLE).to_numpy(float)
-    known = by_hash(labelled(have, labels), LABELLED, "quality").to_numpy(float)
+    parts = draws(have.filter("NOT base_failed"), TREES, ROWS_A_TREE)
+    known = np.concatenate([np.empty((0, len(FEATURES) + 1)), *draws(labelled(have, labels), 1, LABELLED, "quality")])
     best = (0.0, list(range(len(FEATURES))))
     for n in range(1, len(FEATURES) + 1) if len(known) else ():
         for use in map(list, combinations(range(len(FEATURES)), n)):
-            s = anomaly(grow(rows[:, use]), known[:, use])
+            s = anomaly(grow([p[:, use] for p in parts]), known[:, use])
             gain, _ = cut(bins(s, known[:, -1] == 1), bins(s, known[:, -1] == 0), mistakes)
             if gain > best[0] + 1e-9:  # fewer statistics win ties
                 best = (gain, use)
-    return grow(rows[:, best[1]]), best[1]
+    return grow([p[:, best[1]] for p in parts]), best[1]
 
 
 def score(stats: DataFrame, forest: list, use: list[int]) -> DataFrame:
