@@ -34,6 +34,7 @@ SHINGLE = 4
 RADIUS = 4
 BITS = 64
 GROUP = 2000  # mean fingerprints per key aimed at
+STEP = 1 << 16  # shingles of a text whose bits are counted at a time
 CHUNK = 1024  # fingerprints of one key that are compared at a time
 WORDS = 5  # words of a shingle where the similarity decides
 SIMILARITY = 0.8  # least Jaccard similarity of near-duplicates
@@ -52,9 +53,11 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
         return 0
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    h = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[-n:].tolist())), np.uint64, n)
-    ones = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    starts, ends, ones = np.concatenate([[0], ends[:-1] + 1])[:n], ends[-n:], np.zeros(BITS, np.int64)
+    for at in range(0, n, STEP):
+        some = zip(starts[at : at + STEP].tolist(), ends[at : at + STEP].tolist())
+        h = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in some), np.uint64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
