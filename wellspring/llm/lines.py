@@ -196,12 +196,12 @@ def pair_links(held: DataFrame, todo: DataFrame) -> DataFrame:
 
 def alignments(links: DataFrame) -> DataFrame:
     """Per document of ``links``: n_removed, ``runs``, and ``crossed``, whether a linked line stays; rows ``again`` are aligned apart from others."""
-    per_doc = links.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("partner", "again", *PLACE, *[f"partner_{c}" for c in PLACE])).alias("shared"))
+    per_doc = links.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("partner", "again", *PLACE, *[f"partner_{c}" for c in PLACE])).alias("shared"))
 
     def align(batches):
         for batch in batches:
             removed, runs, crossed = [], [], []
-            for shared in batch.column(2).to_pylist():
+            for shared in (s for at in range(0, batch.num_rows, 50) for s in batch.column(2).slice(at, 50).to_pylist()):
                 by = defaultdict(list)
                 for s in shared:
                     by[s["partner"], s["again"]].append(s)
