@@ -386,3 +386,25 @@ def test_raw_features_agree_with_the_fitted_curve(spark):
             assert got[i]["cy0"] == pytest.approx(r["cy0"], abs=1e-3)
     gaps = frame(spark, [([0.0, None, 1.0],), ([1.0],), (None,)], "x array<double>")
     assert all(r["k"]["xms"] is None for r in gaps.select(on.raw_kinetics(1.0)("x").alias("k")).collect())
+
+
+def test_fitted_curves_are_dealt_and_batched(spark):
+    """Features of given curves: rows leave a one-task table, values agree with a plain loop, rows without parameters have none."""
+    rows = [(i, 1.0 + i % 7 / 4, 0.01 + i % 5 / 50, 0.4 + i % 11 / 20, 10.0 + i % 13, 0.6 + i % 5 / 4) for i in range(300)] + [(300, 1.0, None, 0.5, None, 1.0)]
+    df = frame(spark, rows, "id int, fm double, fb double, sc double, cs double, asym double").coalesce(1)
+    made = on.kinetic_features(df, 61, 0.5)
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    got = {r["id"]: r for r in made.collect()}
+    assert got[300]["xms"] is None and got[300]["cy0"] is None and got[300]["area1"] == 0.0
+    t = np.arange(61) * 0.5
+    for i, fm, fb, sc, cs, asym in rows[:300]:
+        e = np.exp(-sc * (t - cs))
+        f, d = np.round(fm / (1 + e) ** asym + fb, 12), np.round(fm * asym * sc * e / (1 + e) ** (asym + 1), 12)
+        p, level = int(np.argmax(d)), 0.1 * d.max()
+        a, b = np.flatnonzero(d > level)[[0, -1]]
+        xs = 0.0 if a == 0 else t[a - 1] + (level - d[a - 1]) * 0.5 / (d[a] - d[a - 1])
+        xe = t[b] if b == 60 else t[b] + (level - d[b]) * 0.5 / (d[b + 1] - d[b])
+        first, last = int(np.floor(xs / 0.5 + 0.5 - 1e-9)), int(np.floor(xe / 0.5 + 0.5 - 1e-9))
+        want = {"xms": t[p], "max_slope": d[p], "xs": xs, "xe": xe, "area1": sum((d[j] + d[j + 1]) / 4 for j in range(first, p)), "area2": sum((d[j] + d[j + 1]) / 4 for j in range(p, last)), "neg_log_f0": -np.log10(f[0])}
+        for c, v in want.items():
+            assert got[i][c] == pytest.approx(v, abs=1e-9), (i, c)

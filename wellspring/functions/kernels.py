@@ -346,3 +346,90 @@ def raw_features(y: np.ndarray, step: float, threshold: float = 0.1, method: str
         tail.mean(axis=1), np.abs(tail).mean(axis=1), np.where(start > 0, -np.log10(np.where(start > 0, start, 1.0)), np.nan),
     ]
     return np.where(np.isnan(d1).any(axis=1)[:, None], np.nan, np.column_stack(out))
+
+
+FITTED_FEATURES = (
+    "xms", "max_slope", "xs", "xe", "xp1", "xp2", "threshold_distance", "first_half", "second_half", "distance_asymmetry", "peak_shift",
+    "area1", "area2", "area_asymmetry", "peak_asymmetry", "ct", "cy0", "neg_log_f0",
+)
+
+
+def fitted_features(given: np.ndarray, n: int, step: float, threshold: float = 0.1) -> np.ndarray:
+    """FITTED_FEATURES of the curves with parameters (Fm, Fb, Sc, Cs, As), one row each, sampled at n points; NaN where a feature does not exist.
+
+    Slope peak, threshold crossings, curvature peaks, distances, areas, asymmetries, 20 % time, tangent intercept, -log10 of the
+    start. Samples are rounded to 12 digits, so equal samples tie. Areas without both ends are 0.
+    """
+    count = len(given)
+    if not count:
+        return np.empty((0, len(FITTED_FEATURES)))
+    each, t = np.arange(count), np.arange(n) * step
+    fm, fb, sc, cs, asym = given.T
+    over = lambda a, b: (a > b) | (np.isnan(a) & ~np.isnan(b))  # noqa: E731  NaN is above all numbers, as in Spark
+
+    def divide(a, b):
+        return np.divide(a, b, out=np.full(count, np.nan), where=(b != 0) & ~np.isnan(b))
+
+    def value(x, fm, fb, sc, cs, asym):
+        return fm / (1.0 + np.exp(-sc * (x - cs))) ** asym + fb
+
+    def slope(x, fm, sc, cs, asym):
+        e = np.exp(-sc * (x - cs))
+        return fm * asym * sc * e / (1.0 + e) ** (asym + 1.0)
+
+    def lerp(arr, i, level, there):
+        """Time at which ``arr`` passes ``level`` after sample ``i``."""
+        i = np.clip(i, 0, n - 2)
+        a, b = arr[each, i], arr[each, i + 1]
+        flat = (a == b) | (np.isnan(a) & np.isnan(b))
+        return np.where(there, t[i] + np.where(flat, step, (level - a) * step / np.where(flat, 1.0, b - a)), np.nan)
+
+    with np.errstate(all="ignore"):
+        p1, p2, p3, p4, p5 = (c[:, None] for c in (fm, fb, sc, cs, asym))
+        e = np.exp(-p3 * (t - p4))
+        f = np.round(value(t, p1, p2, p3, p4, p5), 12)
+        d = np.round(slope(t, p1, p3, p4, p5), 12)
+        c = np.round(p1 * p5 * p3 * p3 * e * (p5 * e - 1.0) / (1.0 + e) ** (p5 + 2.0), 12)
+        peak = np.argmax(d, axis=1)
+        top, xms = d[each, peak], t[peak]
+        level = threshold * top
+        above = over(d, level[:, None])
+        some = above.any(axis=1)
+        up, down = np.argmax(above, axis=1), n - 1 - np.argmax(above[:, ::-1], axis=1)
+        xs = np.where(some & (up == 0), 0.0, lerp(d, up - 1, level, some))
+        xe = np.where(some & (down == n - 1), t[n - 1], lerp(d, down, level, some))
+        low = 0.2 * f.max(axis=1)
+        above = over(f, low[:, None])
+        some, up = above.any(axis=1), np.argmax(above, axis=1)
+        ct = np.where(some & (up == 0), 0.0, lerp(f, up - 1, low, some))
+
+        def hump(s):
+            """Time and height of the highest inner peak of ``s`` times the curvature; the first of equal ones."""
+            if n < 3:
+                return np.full(count, np.nan), np.full(count, np.nan)
+            m = s[:, 1:-1]
+            there = over(m, s[:, :-2]) & over(m, s[:, 2:])
+            i = np.argmax(np.where(there, m, -np.inf), axis=1)
+            some = there.any(axis=1)
+            return np.where(some, t[i + 1], np.nan), np.where(some, m[each, i], np.nan)
+
+        (xp1, h1), (xp2, h2) = hump(c), hump(-c)
+        run = np.concatenate([np.zeros((count, 1)), np.cumsum((d[:, 1:] + d[:, :-1]) / 2.0 * step, axis=1)], axis=1)
+        near = lambda v: np.where(np.isnan(v), n, np.floor(np.nan_to_num(v) / step + 0.5 - 1e-9)).astype(int)
+        first, last = near(xs), near(xe)
+
+        def area(a, b):
+            there = (b > a) & (a < n) & (b < n)
+            return np.where(there, run[each, np.minimum(b, n - 1)] - run[each, np.minimum(a, n - 1)], 0.0)
+
+        a1, a2 = area(first, peak), area(peak, last)
+        xi = cs + np.log(asym) / sc
+        cy0 = xi - value(xi, fm, fb, sc, cs, asym) / slope(xi, fm, sc, cs, asym)
+        out = [
+            xms, top, xs, xe, xp1, xp2, xe - xs, xms - xs, xe - xms, divide(xe - xms, xms - xs), xp2 - xp1,
+            a1, a2, divide(a2, a1), divide(h1, h2), ct, cy0, np.where(f[:, 0] > 0, -np.log10(np.where(f[:, 0] > 0, f[:, 0], 1.0)), np.nan),
+        ]
+        res = np.column_stack(out)
+    missing = np.isnan(given[:, [0, 2, 3, 4]]).any(axis=1)  # without Fb the slope still has its features
+    res[missing] = np.where(np.isin(FITTED_FEATURES, ("area1", "area2")), 0.0, np.nan)
+    return res

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import arrays as ar
 from wellspring.functions import kernels as kn
 from wellspring.operators.series import savgol_rows
+from wellspring.session import spread
 
 
 def pixel_shift(x: str, mean: str, anchor: int | str, half: int, max_lag: int) -> Column:
@@ -295,68 +296,20 @@ def sigmoid_value(x, fm, fb, sc, cs, asym):
     return fm / F.pow(1.0 + F.exp(-sc * (x - cs)), asym) + fb
 
 
-def sigmoid_slope(x, fm, sc, cs, asym):
-    e = F.exp(-sc * (x - cs))
-    return fm * asym * sc * e / F.pow(1.0 + e, asym + 1.0)
-
-
-def sigmoid_curvature(x, fm, sc, cs, asym):
-    e = F.exp(-sc * (x - cs))
-    return fm * asym * sc * sc * e * (asym * e - 1.0) / F.pow(1.0 + e, asym + 2.0)
-
-
 def kinetic_features(df: DataFrame, n: int, step: float, threshold: float = 0.1) -> DataFrame:
-    """Shape features of a fitted curve (columns fm, fb, sc, cs, asym) sampled at n points.
+    """Shape features of a fitted curve (columns fm, fb, sc, cs, asym) sampled at n points: ``kernels.FITTED_FEATURES``, a batch of rows at a time.
 
-    Every value is an expression over one short array per row: slope peak, threshold crossings,
-    curvature peaks, distances, areas, asymmetries, 20 % time, tangent intercept, -log10 of the start.
+    Rows are dealt over all tasks first: a table of parameters is small to read and long to work on.
     """
-    fm, fb, sc, cs, asym = (F.col(c) for c in ("fm", "fb", "sc", "cs", "asym"))
-    at = lambda i: i * F.lit(step)
-    grid = F.sequence(F.lit(0), F.lit(n - 1))
-    d = df.select("*", F.transform(grid, lambda i: F.round(sigmoid_value(at(i), fm, fb, sc, cs, asym), 12)).alias("_f"),
-                  F.transform(grid, lambda i: F.round(sigmoid_slope(at(i), fm, sc, cs, asym), 12)).alias("_d"),
-                  F.transform(grid, lambda i: F.round(sigmoid_curvature(at(i), fm, sc, cs, asym), 12)).alias("_c"))
+    pars = ("fm", "fb", "sc", "cs", "asym")
 
-    def lerp(arr, i, level):
-        a, b = F.get(arr, i), F.get(arr, i + 1)
-        return at(i) + F.when(a == b, F.lit(step)).otherwise((level - a) * step / (b - a))
-
-    def build(f, sl, cv):
-        peak = ar.argmax(sl)
-        th = threshold * F.array_max(sl)
-        up = ar.first_where(sl, lambda v: v > th)
-        down = F.lit(n - 1) - ar.first_where(F.reverse(sl), lambda v: v > th)
-        xs = F.when(up == 0, 0.0).otherwise(lerp(sl, up - 1, th))
-        xe = F.when(down == n - 1, at(down)).otherwise(lerp(sl, down, th))
-        inner = F.sequence(F.lit(1), F.lit(n - 2))
-        hump = lambda s: F.array_max(F.transform(F.filter(inner, lambda i: (s * F.get(cv, i) > s * F.get(cv, i - 1)) & (s * F.get(cv, i) > s * F.get(cv, i + 1))),
-                                                 lambda i: F.struct((s * F.get(cv, i)).alias("h"), (-i).alias("i"))))
-        level = 0.2 * F.array_max(f)
-        c20 = ar.first_where(f, lambda v: v > level)
-        ct = F.when(c20 == 0, 0.0).otherwise(lerp(f, c20 - 1, level))
-        return F.struct(peak.alias("p"), F.array_max(sl).alias("top"), xs.alias("xs"), xe.alias("xe"), hump(1.0).alias("pos"), hump(-1.0).alias("neg"), ct.alias("ct"))
-
-    def area(sl, a, b):
-        part = F.slice(sl, a + 1, b - a + 1)
-        return F.when(b > a, (ar.total(part) - (F.get(sl, a) + F.get(sl, b)) / 2.0) * step).otherwise(0.0)
-
-    base = d.select("*", ar.let("_f", lambda f: ar.let("_d", lambda s: ar.let("_c", lambda c: build(f, s, c)))).alias("_k"))
-    k = lambda c: F.col(f"_k.{c}")
-    near = lambda v: F.floor(v / step + 0.5 - 1e-9).cast("int")
-    xms = at(k("p"))
-    x1, x2 = -k("pos")["i"] * F.lit(step), -k("neg")["i"] * F.lit(step)
-    a1 = area(F.col("_d"), near(k("xs")), k("p"))
-    a2 = area(F.col("_d"), k("p"), near(k("xe")))
-    xi = cs + F.log(asym) / sc
-    return base.select(
-        *df.columns, xms.alias("xms"), k("top").alias("max_slope"), k("xs").alias("xs"), k("xe").alias("xe"), x1.alias("xp1"), x2.alias("xp2"),
-        (k("xe") - k("xs")).alias("threshold_distance"), (xms - k("xs")).alias("first_half"), (k("xe") - xms).alias("second_half"),
-        F.try_divide(k("xe") - xms, xms - k("xs")).alias("distance_asymmetry"), (x2 - x1).alias("peak_shift"),
-        a1.alias("area1"), a2.alias("area2"), F.try_divide(a2, a1).alias("area_asymmetry"),
-        F.try_divide(k("pos")["h"], k("neg")["h"]).alias("peak_asymmetry"), k("ct").alias("ct"),
-        (xi - sigmoid_value(xi, fm, fb, sc, cs, asym) / sigmoid_slope(xi, fm, sc, cs, asym)).alias("cy0"),
-        F.when(F.get("_f", F.lit(0)) > 0, -F.log10(F.get("_f", F.lit(0)))).alias("neg_log_f0"))
+    @F.pandas_udf(", ".join(f"{c} double" for c in kn.FITTED_FEATURES))
+    def features(fm: pd.Series, fb: pd.Series, sc: pd.Series, cs: pd.Series, asym: pd.Series) -> pd.DataFrame:
+        given = np.column_stack([c.to_numpy(float, na_value=np.nan) for c in (fm, fb, sc, cs, asym)])
+        res = kn.fitted_features(given, n, step, threshold)
+        return pd.DataFrame(res, columns=kn.FITTED_FEATURES).astype(object).where(~np.isnan(res), None)
+
+    return spread(df).select(*df.columns, features(*[F.col(c).cast("double") for c in pars]).alias("_k")).select(*df.columns, "_k.*")
 
 
 def raw_kinetics(step: float, threshold: float = 0.1, method: str = "gradient"):
