@@ -408,3 +408,15 @@ def test_fitted_curves_are_dealt_and_batched(spark):
         want = {"xms": t[p], "max_slope": d[p], "xs": xs, "xe": xe, "area1": sum((d[j] + d[j + 1]) / 4 for j in range(first, p)), "area2": sum((d[j] + d[j + 1]) / 4 for j in range(p, last)), "neg_log_f0": -np.log10(f[0])}
         for c, v in want.items():
             assert got[i][c] == pytest.approx(v, abs=1e-9), (i, c)
+
+
+def test_recovery_of_parts_is_dealt_over_tasks(spark, tmp_path):
+    """One file of parts is one task to read; the fits need more."""
+    from wellspring.plans.onset import e12_recovery
+
+    rows = [(i, i % 50 + 1) for i in range(40)] + [(None, 3), (41, None)]
+    frame(spark, rows, "p_partkey bigint, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = e12_recovery(spark, str(tmp_path))
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    got = {r["p_partkey"]: r for r in made.collect() if r["fit_ok"]}
+    assert len(got) == 40 and all(r["fm"] == pytest.approx(1 + k % 7 / 4, abs=1e-3) for k, r in got.items())

@@ -13,6 +13,7 @@ from wellspring.plans.landmark_sql import anchored as anchored_sql
 from wellspring.plans.landmark_sql import grad as _grad
 from wellspring.plans.landmark_sql import landmarks as landmark_sql
 from wellspring.plans.windows import _ma, _savgol_sql
+from wellspring.session import spread
 
 # half a minute, and 0.3 minutes, as the first sample not before it
 LANDMARK_SQL = f"WITH {CURVES_LONG}{landmark_sql('cl', 'lm', 10, 8)}"
@@ -111,9 +112,9 @@ def fits(spark, root):
 
 @query("e12_sigmoid_recovery", f"WITH {FITP} SELECT p_partkey, {', '.join(f'{q6(c, 3)} AS {c}' for c in ('fm', 'fb', 'sc', 'cs', 'asym'))}, true AS fit_ok, 1.0::DOUBLE AS r2 FROM fit")
 def e12_recovery(spark, root):
-    """Known curves, one per part: the fit has to give back their five parameters."""
+    """Known curves, one per part: the fit has to give back their five parameters. Rows are dealt over all tasks before the long step."""
     grid = F.transform(F.sequence(F.lit(0), F.lit(120)), lambda i: on.sigmoid_value(i / 4.0, *[F.col(c) for c in ("fm", "fb", "sc", "cs", "asym")]))
-    f = fits(spark, root).select("p_partkey", on.sigmoid_fit(4.0)(grid).alias("p")).select("p_partkey", "p.*")
+    f = spread(fits(spark, root)).select("p_partkey", on.sigmoid_fit(4.0)(grid).alias("p")).select("p_partkey", "p.*")
     return f.select("p_partkey", *[r6(c, 3).alias(c) for c in ("fm", "fb", "sc", "cs", "asym", "r2")], "fit_ok")
 
 
