@@ -420,3 +420,19 @@ def test_recovery_of_parts_is_dealt_over_tasks(spark, tmp_path):
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     got = {r["p_partkey"]: r for r in made.collect() if r["fit_ok"]}
     assert len(got) == 40 and all(r["fm"] == pytest.approx(1 + k % 7 / 4, abs=1e-3) for k, r in got.items())
+
+
+def test_values_reach_a_large_group_where_its_rows_are(spark):
+    """A group above the limit stays spread over tasks; medians and deviations of large, small and NULL-keyed groups hold."""
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(v)) for v in rng.integers(0, 90, 700)] + [("b", float(v)) for v in range(9)] + [("c", 2.0), ("c", None), (None, 5.0), (None, 6.0)]
+    df = frame(spark, rows, "g string, v double").repartition(8)
+    sizes = df.groupBy("g").agg(F.count("*").alias("n"))
+    got = rk.attach_sized(df, sizes, ["g"], 50)
+    assert got.filter("g = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
+    assert got.count() == len(rows) and {(r["g"], r["n"]) for r in got.collect()} == {("hot", 700), ("b", 9), ("c", 2), (None, 2)}
+    mm = {r["g"]: r for r in rk.median_mad(df, ["g"], "v", 50).collect()}
+    assert set(mm) == {"hot", "b", "c"}
+    for g in mm:
+        v = np.array([x for k, x in rows if k == g and x is not None])
+        assert (mm[g]["n"], mm[g]["med"]) == (len(v), np.median(v)) and mm[g]["mad"] == pytest.approx(1.4826 * np.median(np.abs(v - np.median(v))))
