@@ -46,3 +46,17 @@ def test_folds_keep_groups_whole(spark, monkeypatch, block):
     assert len(nested) == 5 * 23 and len({(r["fold"], r["chip"]) for r in nested}) == 5 * 23
     assert sorted(r["chip"] for r in nested if r["split"] == "test") == sorted(folds)
     assert all({r["split"] for r in nested if r["fold"] == f} == {"train", "val", "test"} for f in range(5))
+
+
+def test_query_gives_each_group_its_fold(spark, tmp_path):
+    """One row per group with its size and the fold that a snake deal by positive share, size and hash gives it."""
+    import hashlib
+
+    from wellspring.plans.splits import k04
+
+    rows = [(i, 1, i, i * 7 % 41, 1.0, "RAN"[(i * i + i // 41) % 3]) for i in range(900)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    flags = {g: [r[5] == "R" for r in rows if r[3] == g] for g in range(41)}
+    order = sorted(flags, key=lambda g: (sum(flags[g]) / len(flags[g]), len(flags[g]), hashlib.md5(f"3|{g}".encode()).hexdigest()))
+    want = {g: (len(flags[g]), i % 5 if i // 5 % 2 == 0 else 4 - i % 5) for i, g in enumerate(order)}
+    assert {r["l_suppkey"]: (r["n"], r["fold"]) for r in k04(spark, str(tmp_path)).collect()} == want
