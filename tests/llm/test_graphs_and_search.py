@@ -185,6 +185,18 @@ def test_lexical_search(spark, monkeypatch, cells, chunk):
     assert Counter(map(tuple, got)) == brute_search(docs, items, 10)
 
 
+def test_an_index_task_holds_few_terms(spark, monkeypatch):
+    """Blocks of several widths in one task are given out before they hold more terms than allowed; each document is in one of them."""
+    monkeypatch.setattr(lexical, "HELD", 300)
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(3 + i % 5 * 20)), "en", "web", 1) for i in range(60)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").coalesce(1)
+    built = lexical.index(df).collect()
+    assert sorted(i for r in built for i in r["ids"]) == list(range(60))
+    assert max(len(r["terms"]) for r in built) <= 300 + 83
+    monkeypatch.setattr(lexical, "HELD", 10**9)
+    assert len(lexical.index(df).collect()) < len(built)
+
+
 def test_lexical_search_of_nothing(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "w1", "x")], "item_id long, text string, term string")
     assert lexical.search(docs, items).count() == 0

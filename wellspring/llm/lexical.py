@@ -31,6 +31,7 @@ HASHES = 4
 BITS = 8  # signature bits for each key, before rounding up to a power of two
 CELLS = 1 << 25  # documents times bits of a block
 BLOCK_DOCS = 4096
+HELD = 2_000_000  # terms of documents (8 bytes each, and a word) that a task holds before it gives out its fullest block
 CHUNK_TERMS = 200_000  # terms of the items that are asked at once
 BROADCAST_PAIRS = 500_000  # candidates (16 bytes a document, 4 a pair) up to which they are broadcast
 
@@ -68,10 +69,12 @@ class _Block:
         self.bits, self.room = bits, max(8, min(BLOCK_DOCS, CELLS // bits))
         self.docs: list[tuple] = []
         self.codes: dict[bytes, int] = {}
+        self.held = 0
 
     def add(self, ident, key, counts: Counter) -> bool:
-        codes = np.fromiter((self.codes.setdefault(t, len(self.codes)) for t in counts), np.int64, len(counts))
-        self.docs.append((ident, key, codes, np.fromiter(counts.values(), np.int64, len(counts))))
+        codes = np.fromiter((self.codes.setdefault(t, len(self.codes)) for t in counts), np.int32, len(counts))
+        self.docs.append((ident, key, codes, np.fromiter(counts.values(), np.int32, len(counts))))
+        self.held += len(counts)
         return len(self.docs) == self.room
 
     def row(self) -> dict:
@@ -87,7 +90,7 @@ class _Block:
                 slices[_positions(hashed[held], level, self.bits).ravel(), d >> 3] |= np.uint8(128 >> (d & 7))
         return {
             "bits": self.bits, "ids": [x[0] for x in self.docs], "keys": [x[1] for x in self.docs],
-            "n": [int(x[3].sum()) for x in self.docs], "most": [int(x[3].max()) for x in self.docs],
+            "n": [int(x[3].sum(dtype=np.int64)) for x in self.docs], "most": [int(x[3].max()) for x in self.docs],
             "slices": slices.tobytes(), "terms": [w.decode() for w in words], "df": df.tolist(),
         }
 
@@ -98,6 +101,7 @@ def index(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks: dict[int, _Block] = {}
+        held = 0
         for batch in batches:
             for ident, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 counts = Counter(terms(text.as_py()))
@@ -107,8 +111,13 @@ def index(docs: DataFrame) -> DataFrame:
                 keys = len(counts) if most == 1 else sum(sum(v >= least for least in LEVELS) for v in counts.values())
                 bits = max(512, 1 << math.ceil(math.log2(BITS * keys)))
                 block = open_blocks.setdefault(bits, _Block(bits))
-                if block.add(ident, key, counts):
-                    yield pa.RecordBatch.from_pylist([open_blocks.pop(bits).row()], schema)
+                full = block.add(ident, key, counts)
+                held += len(counts)
+                if full or held > HELD:
+                    block = open_blocks.pop(bits if full else max(open_blocks, key=lambda b: open_blocks[b].held))
+                    held -= block.held
+                    yield pa.RecordBatch.from_pylist([block.row()], schema)
+        batch = text = None  # the last texts need not stay while the blocks are packed
         for bits in list(open_blocks):
             yield pa.RecordBatch.from_pylist([open_blocks.pop(bits).row()], schema)
 
