@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from wellspring.operators import clusters as cl
+from wellspring.operators import onset as on
+from wellspring.plans import learning
 
 
 def inertia(x, labels):
@@ -51,3 +53,22 @@ def test_representative_and_median_label(spark):
     rows = [("w", 1, [0.0, 0.0], 4.0), ("w", 2, [1.0, 1.0], None), ("w", 3, [2.0, 2.0], 10.0), ("w", 4, [9.0, 9.0], 6.0)]
     df = spark.createDataFrame(rows, "w string, pixel_id long, x array<double>, y double")
     assert tuple(cl.representatives(df, ["w"], label="y").first()) == ("w", 3, 4, 6.0)
+
+
+def test_times_are_found_once_and_rows_without_one_left_out(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, np.cumsum(np.abs(rng.normal(size=64))).tolist()) for i in range(40)] + [(98, [1.0, 2.0, 3.0]), (99, None)]
+    df = spark.createDataFrame(rows, "pixel_id long, x array<double>")
+    plain = df.select("pixel_id", on.landmarks(0.3, span=6)("x")["peak"].alias("ttp")).collect()
+    stored, durable = [], learning.durable
+
+    def watched(t):
+        stored.append(t._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython"))
+        return durable(t)
+
+    monkeypatch.setattr(learning, "durable", watched)
+    got = learning._timed(df)
+    assert stored == [1]  # a filter in the same plan has the landmarks found a second time, below it
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["pixel_id"], r["ttp"], r["f"]) for r in got.collect()) == sorted((i, v, [v]) for i, v in plain if v is not None)
+    assert 98 not in {r["pixel_id"] for r in got.collect()} and len(plain) == 42

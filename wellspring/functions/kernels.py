@@ -7,12 +7,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-def by_length(x: pd.Series):
-    """Yield (row positions, stacked matrix) per trace length, so a batch runs vectorised."""
+SLICE = 131_072  # samples of a slice
+
+
+def by_length(x: pd.Series, most: int | None = None):
+    """Yield (row positions, stacked matrix) per trace length, so a batch runs vectorised; with ``most``, in slices of at most that many samples."""
     sizes = x.map(lambda a: -1 if a is None else len(a)).to_numpy()
     for size in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == size)
-        yield at, np.stack(x.iloc[at].to_numpy()).astype(float)
+        rows = max(1, most // size) if most else len(at)
+        for lo in range(0, len(at), rows):
+            part = at[lo : lo + rows]
+            yield part, np.stack(x.iloc[part].to_numpy()).astype(float)
 
 
 def running_sum():

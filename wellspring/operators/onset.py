@@ -47,7 +47,7 @@ def landmarks(start: float, end: float = 35.0, span: int = 100, frac: float = 0.
               min_baseline: int = 1):
     """Pandas UDF: threshold time, derivative peak, tangent intercept and curvature peak, in minutes.
 
-    A landmark that cannot be found is NULL. Smoothing and peak search run on whole batches.
+    A landmark that cannot be found is NULL. Smoothing and peak search run on slices of a batch, so memory does not follow the batch.
     """
     def batch(x: np.ndarray) -> np.ndarray:
         out = np.full((len(x), 4), np.nan)
@@ -83,7 +83,7 @@ def landmarks(start: float, end: float = 35.0, span: int = 100, frac: float = 0.
     @F.pandas_udf(LANDMARKS)
     def extract(x: pd.Series) -> pd.DataFrame:
         res = np.full((len(x), 4), np.nan)
-        for at, mat in kn.by_length(x):
+        for at, mat in kn.by_length(x, kn.SLICE):
             res[at] = batch(mat)
         return pd.DataFrame(res, columns=["ttp", "peak", "cy0", "sdm"]).astype(object).where(~np.isnan(res), None)
 

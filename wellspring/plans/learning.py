@@ -38,10 +38,15 @@ def m01(spark, root):
     return _clustered(traces(spark, root).withColumn("f", zscore("x")))
 
 
+def _timed(t):
+    """Traces with a time (``ttp``) and the feature ``f``. Stored before the filter, which Spark would else move below the landmarks and find them twice, in two workers a task."""
+    t = durable(t.withColumn("ttp", on.landmarks(0.3, span=6)("x")["peak"]))
+    return t.filter("ttp IS NOT NULL").withColumn("f", F.array("ttp"))
+
+
 @query("m01_time_clusters")
 def m01_time(spark, root):
-    t = curves(spark, root).withColumn("ttp", on.landmarks(0.3, span=6)("x")["peak"])
-    return _clustered(durable(t.filter("ttp IS NOT NULL").withColumn("f", F.array("ttp"))), "ttp")
+    return _clustered(_timed(curves(spark, root)), "ttp")
 
 
 @query("m01_position_clusters")
