@@ -314,3 +314,39 @@ def test_special_strings_are_tokens_wherever_they_stand():
     texts = ["<|endoftext|> hi", "Word<|startoftext|>glued. And more", "<|EndOfText|> <| x |>", "a\n<|endoftext|><|endoftext|>", "no such thing", "", "Ä <|endoftext|>" + " x" * 5000]
     got = [np.frombuffer(b, "<u4").tolist() for b in packing.id_bytes([t.encode() for t in texts], queries.tokenizer_path())]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_of_odd_chunks_in_small_blocks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from wellspring.llm import packing
+
+    path = queries.tokenizer_path()
+    plain, rng = Tokenizer.from_file(path), np.random.default_rng(3)
+    bits = ["a", "Z", "the", "é", "É", "ß", "İ", "ŉ", "ſ", "ÿ", "µ", "9", "²", ".", ",", "!!", "'", "'s", "&&&", "=", "̸", "̇", " ", " ", "\n", "\t", "\x85", "क़", "한", "Σ", "Å", "<|"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(3000)] + ["word, " * 500, "", "a" * 900 + ".", "x <|endoftext|>."]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for block, cached in ((packing.BLOCK_BYTES, packing.CACHED_BYTES), (3000, 20_000), (3000, 0)):
+        monkeypatch.setattr(packing, "BLOCK_BYTES", block)
+        monkeypatch.setattr(packing, "CACHED_BYTES", cached)
+        packing._known.clear()
+        assert [np.frombuffer(b, "<u4").tolist() for b in packing.id_bytes([t.encode() for t in texts], path)] == want
+
+
+def test_a_worker_remembers_a_bounded_number_of_bytes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from wellspring.llm import packing
+
+    path, letters = queries.tokenizer_path(), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[k // 26**i % 26] for i in range(5))
+    next(packing.id_bytes([b"first"], path))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    for at in range(0, 400_000, 10_000):
+        assert all(packing.id_bytes([" ".join(word(k) for k in range(at, at + 10_000)).encode()], path))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 32 << 20

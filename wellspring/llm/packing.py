@@ -14,9 +14,11 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,87 +26,145 @@ from wellspring.llm.common import keep, ranked
 
 CAPACITY = 4096
 END_ID = 1  # fixed value: the id after each document
-CACHED_WORDS = 700_000  # words whose ids a Python worker remembers
+BLOCK_BYTES = 2 << 20  # texts looked up together: cut at the text that reaches so many bytes
+CACHED_BYTES = 16 << 20  # chunks and ids that a Python worker remembers
+POINTS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # fixed value: one run of them is one word to the tokenizer
+LATIN = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"  # fixed value: letters that stay single letters when normalized
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 _tokenizers: dict = {}
-_words: dict = {}
+_known: dict = {}
+
+
+class Spans(NamedTuple):
+    """Entry k stands for ``length[k]`` of ``ids`` from ``first[k]`` on."""
+
+    first: np.ndarray
+    length: np.ndarray
+    ids: np.ndarray
+
+    def take(self, entries: np.ndarray) -> Spans:
+        """The ids of ``entries``, one after the other."""
+        length = self.length[entries]
+        first = np.cumsum(length) - length
+        return Spans(first, length, self.ids[np.repeat(self.first[entries] - first, length) + np.arange(length.sum())])
+
+    def plus(self, other: Spans) -> Spans:
+        """The entries of both."""
+        return Spans(np.concatenate([self.first, other.first + len(self.ids)]), np.concatenate([self.length, other.length]), np.concatenate([self.ids, other.ids]))
+
+
+def _spans(parts: list[np.ndarray]) -> Spans:
+    """An entry for each of ``parts``."""
+    length = np.array([len(p) for p in parts], np.int64)
+    return Spans(np.cumsum(length) - length, length, np.concatenate([np.empty(0, "<u4"), *parts]))
 
 
 def _tokenizer(path: str):
-    """The tokenizer, per id whether its token ends a word, and the strings that are tokens wherever they stand."""
+    """The tokenizer, the same for lower-case words of ``LATIN``, per id whether its token ends a word, and the strings that are tokens wherever they stand."""
     if path not in _tokenizers:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         made = Tokenizer.from_file(path)
-        special = [t.content.encode().lower() for t in made.get_added_tokens_decoder().values()]
+        latin = Tokenizer(made.model)  # one model; nothing to normalize, words are cut at blanks
+        latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        special = [t.content.lower() for t in made.get_added_tokens_decoder().values()]
         vocabulary = made.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        _tokenizers[path] = made, ends, special
+        _tokenizers[path] = made, latin, ends, special
     return _tokenizers[path]
 
 
-def _plain(word: str) -> bool:
-    """Letters alone, before and after lower-casing: one word to the tokenizer, whatever stands beside it."""
-    return word.isalpha() and max(word) < "\u2000" and word.lower().isalpha()
-
-
-def _pointed(word: bytes) -> bool:
-    """A word and one point or comma: two words to the tokenizer."""
-    return word[-1:] in (b".", b",") and word[-2:-1].isalnum()
-
-
-def _learn(chunks: list[bytes], path: str, known: dict[bytes, bytes]) -> dict[bytes, bytes]:
-    """Ids of chunks. Chunks of letters are encoded many at a time and cut where a token ends a word."""
-    tokenizer, ends, _ = _tokenizer(path)
-    found: dict[bytes, bytes] = {}
-    pointed = [w for w in chunks if _pointed(w)]
-    new = [w for w in {b".", b",", *(w[:-1] for w in pointed), *(w for w in chunks if not _pointed(w))} if w not in known]
-    text = {w: w.decode("utf-8", "replace") for w in new}
-    plain = [w for w in new if _plain(text[w])]
-    for at in range(0, len(plain), 500):
-        group = plain[at : at + 500]
-        ids = np.array(tokenizer.encode_batch_fast([" ".join([text[w] for w in group])], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (np.flatnonzero(ends[ids]) + 1) * 4
-        if len(cuts) == len(group):  # else they are encoded one by one below
-            data, cuts = ids.tobytes(), cuts.tolist()
-            found.update(zip(group, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]))
-    rest = [w for w in new if w not in found]
-    for at in range(0, len(rest), 20_000):
-        words = rest[at : at + 20_000]
-        encoded = tokenizer.encode_batch_fast([text[w] for w in words], add_special_tokens=False)
-        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded))
-    of = lambda w: found[w] if w in found else known[w]
-    found.update([(w, of(w[:-1]) + of(w[-1:])) for w in pointed])
+def _encoded(words: pa.Array, path: str) -> Spans:
+    """Ids of words. Those of ``LATIN`` alone are encoded many at a time and cut where a token ends a word."""
+    made, latin, ends, _ = _tokenizer(path)
+    one_by_one = lambda texts: _spans([np.array(e.ids, "<u4") for e in made.encode_batch_fast(texts, add_special_tokens=False)])
+    simple = pc.match_substring_regex(words, rf"\A[{LATIN}]+\z")
+    lower, groups = pc.utf8_lower(words.filter(simple)).to_pylist(), []
+    for at in range(0, len(lower), 500):
+        group = lower[at : at + 500]
+        ids = np.array(latin.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        length = np.diff(cuts, prepend=0)
+        groups.append(Spans(cuts - length, length, ids) if len(cuts) == len(group) else one_by_one(group))
+    groups.append(one_by_one(words.filter(pc.invert(simple)).to_pylist()))
+    length, ids = np.concatenate([g.length for g in groups]), np.concatenate([g.ids for g in groups])
+    place = np.argsort(~simple.to_numpy(zero_copy_only=False), kind="stable")  # entry k of the groups is word place[k]
+    found = Spans(np.empty(len(words), np.int64), np.empty(len(words), np.int64), ids)
+    found.first[place], found.length[place] = np.cumsum(length) - length, length
+    return found
+
+
+def _learnt(chunks: pa.Array, path: str) -> Spans:
+    """Ids of chunks. A chunk that ends in points after a letter of ``LATIN`` or a digit is two parts, as to the tokenizer."""
+    stems = pc.utf8_rtrim(chunks, characters=POINTS)
+    stems = pc.if_else(pc.match_substring_regex(stems, rf"[0-9{LATIN}]\z"), stems, chunks)
+    over = pc.subtract(pc.binary_length(chunks), pc.binary_length(stems)).to_numpy(zero_copy_only=False)
+    pointed = [np.flatnonzero(over == n) for n in np.unique(over[over > 0])]
+    points = [pc.utf8_slice_codeunits(chunks.take(pa.array(at)), start=-int(over[at[0]])) for at in pointed]
+    parts = pa.concat_arrays([stems, *points]).dictionary_encode()
+    codes = parts.indices.to_numpy()
+    seconds = np.zeros(len(chunks), np.int64)
+    if pointed:
+        seconds[np.concatenate(pointed)] = codes[len(chunks) :]
+    n = 1 + (over > 0)
+    at = np.cumsum(n) - n
+    order = np.empty(n.sum(), np.int64)
+    order[at] = codes[: len(chunks)]
+    order[at[over > 0] + 1] = seconds[over > 0]
+    each = _encoded(parts.dictionary, path).take(order)
+    length = np.add.reduceat(each.length, at) if len(at) else each.length
+    return Spans(np.cumsum(length) - length, length, each.ids)
+
+
+def _looked_up(chunks: pa.Array, path: str) -> Spans:
+    """Ids of different chunks. What a worker remembers is bounded in bytes; when full, it goes on with the chunks of this call."""
+    known, spans = _known.get(path, (pa.array([], pa.string()), _spans([])))
+    at = pc.fill_null(pc.index_in(chunks, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    new = np.flatnonzero(at < 0)
+    fresh = chunks.take(pa.array(new))
+    at[new] = len(known) + np.arange(len(new))
+    known, spans = pa.concat_arrays([known, fresh]), spans.plus(_learnt(fresh, path))
+    found = Spans(spans.first[at], spans.length[at], spans.ids)
+    size = lambda known, spans: known.nbytes + sum(x.nbytes for x in spans)
+    if size(known, spans) > CACHED_BYTES:
+        known, spans = chunks, spans.take(at)
+    _known[path] = (known, spans) if size(known, spans) <= CACHED_BYTES else (pa.array([], pa.string()), _spans([]))
     return found
 
 
-def id_bytes(texts: list[bytes | None], path: str) -> Iterator[bytes]:
+def _strings(texts: pa.Array) -> pa.Array:
+    try:
+        return pc.fill_null(texts.cast(pa.string()), "")
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
+def id_bytes(texts: pa.Array | list[bytes | None], path: str) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers.
 
-    Only for lower-casing tokenizers with word ends, whose tokens never hold or cross a blank or a line
-    feed and keep letters and punctuation apart: a text is then the concatenation of its
-    blank-separated chunks, less case, and of a word and the lone point or comma after it. A text that
-    holds the string of a special token, in any case, is encoded whole and as it is.
+    Only for lower-casing tokenizers with word ends and byte-level tokens, whose tokens never hold or cross a blank or
+    a line feed and keep letters and punctuation apart: a text is then the concatenation of its
+    blank-separated chunks, less case. A text that holds the string of a special token, in any case, is
+    encoded whole and as it is.
     """
-    known = _words.setdefault(path, {b"": b""})
-    tokenizer, _, special = _tokenizer(path)
-    for at in range(0, len(texts), 256):
-        low = [(t or b"").lower() for t in texts[at : at + 256]]
-        whole = {at + k for k, t in enumerate(low) if any(s in t for s in special)}
-        chunks = [[b""] if at + k in whole else t.replace(b"\n", b" ").split(b" ") for k, t in enumerate(low)]
-        new = [w for w in set().union(*chunks) if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            known[b""] = b""
-            new = [w for w in set().union(*chunks) if w]
-        known.update(_learn(new, path, known))
-        for k, c in enumerate(chunks, at):
-            if k in whole:
-                yield np.array(tokenizer.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                yield b"".join([known[w] for w in c])
+    texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+    made, _, _, special = _tokenizer(path)
+    block = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        text = _strings(texts[a:b])
+        low = pc.ascii_lower(text)
+        whole = np.zeros(b - a, bool)
+        for s in special:
+            whole |= pc.match_substring(low, s).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", low), "\n", " "), " ")
+        chunks = lists.flatten().dictionary_encode()
+        spans = _looked_up(chunks.dictionary, path).take(chunks.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(spans.length)])[np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+        for k, (first, last) in enumerate(zip([0, *ends], ends)):
+            yield np.array(made.encode(text[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes() if whole[k] else spans.ids[first:last].tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -114,7 +174,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
-            for doc, data in zip(ids, id_bytes(batch.column(1).to_pylist(), tokenizer)):
+            for doc, data in zip(ids, id_bytes(batch.column(1), tokenizer)):
                 data += end
                 for k, at in enumerate(range(0, len(data) // 4, capacity)):
                     part = data[4 * at : 4 * (at + capacity)]
